@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, mixing, sharding, urls
+from millrace.llm import decontam, lattice, mixing, neardup, sharding, substrings, urls
+from millrace.session import table as _table
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -18,10 +19,6 @@ URL_RULES = [
 ]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix; rows equal in doc_id, source and size give as many each."""
     each = mixing.copies(_table(spark, sf_dir, "documents"))
@@ -29,6 +26,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair with a containment of 0.8 or more."""
     return decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -54,10 +56,18 @@ FROM shared s JOIN n ON s.item_id = n.item_id WHERE s.n_shared >= n.n_item * 0.8
 """
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -69,8 +79,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_decontamination": op5_decontamination,
+        "op7_substrings": op7_substrings,
         "op8_url_filter": op8_url_filter,
+        "op9_vectors": op9_vectors,
         "op10_sharding": op10_sharding,
     }
 
