@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, lattice, mixing, neardup, sharding, substrings, urls
+from millrace.llm import decontam, langid, lattice, mixing, neardup, pii, sharding, substrings, urls
 from millrace.session import table as _table
 
 URL_RULES = [
@@ -26,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -56,6 +60,12 @@ FROM shared s JOIN n ON s.item_id = n.item_id WHERE s.n_shared >= n.n_item * 0.8
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_table(spark, sf_dir, "documents"))
 
@@ -79,8 +89,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_pii": op3_pii,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_decontamination": op5_decontamination,
+        "op6_language": op6_language,
         "op7_substrings": op7_substrings,
         "op8_url_filter": op8_url_filter,
         "op9_vectors": op9_vectors,
