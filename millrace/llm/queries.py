@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, lattice, mixing, neardup, pii, sharding, substrings, urls
+from millrace.llm import decontam, langid, lattice, lm, mixing, neardup, pii, sharding, substrings, urls
 from millrace.session import table as _table
 
 URL_RULES = [
@@ -26,6 +26,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target model counts documents labelled good and not toxic."""
+    labels = _table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0")
+    return lm.score(_table(spark, sf_dir, "documents"), labels.select("doc_id"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +95,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_lm_score": op2_lm_score,
         "op3_pii": op3_pii,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_decontamination": op5_decontamination,
