@@ -1,8 +1,60 @@
-"""Placeholder of the stage list while the operators are being written."""
+"""The corpus pipeline: five stages, each one of the corpus operators on all that the stage before it kept.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir), docs with the columns of `documents`, and returns a DataFrame; run() writes each
+stage's result as Parquet and reads it back as the next one's docs. All stages but the last return docs' own columns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import decontam, langid, mixing, neardup, sharding
+from millrace.llm._spark import written
+from millrace.session import table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the nearest-centroid classifier accepts."""
+    return langid.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix to target weights takes it."""
+    return mixing.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with their shard and slot."""
+    return sharding.shard(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language identification", language),
+    ("near-duplicate removal", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: SQL has no nearest-centroid model or Order MinHash; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    return docs
