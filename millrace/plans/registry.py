@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("profiling", "relational")
+
+
+def _books():
+    for name in MODULES:
+        yield import_module(f"millrace.plans.{name}").book
+
 
 def queries() -> dict:
-    return {}
+    found = {}
+    for book in _books():
+        found |= book.queries
+    return found
 
 
 def oracle_sql() -> dict:
-    return {}
+    found = {}
+    for book in _books():
+        found |= book.sql
+    return found
