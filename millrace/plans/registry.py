@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiling", "relational")
+MODULES = ("profiling", "relational", "relationships", "privacy", "warehouse", "lineage", "usage", "snapshots", "scoring", "retrieval", "inputs", "streams")
 
 
 def _books():
