@@ -42,7 +42,7 @@ def extract_emails(spark, sf_dir):
 
 
 _CARDS = "SELECT o_orderkey, '4' || lpad(CAST(o_orderkey * 7919 AS VARCHAR), 15, '0') AS v FROM orders"
-_LUHN = "list_sum(list_transform(range(1, 17), i -> CASE WHEN i % 2 = 0 THEN CAST(substr(v, i, 1) AS INTEGER) ELSE CASE WHEN CAST(substr(v, i, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(v, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(v, i, 1) AS INTEGER) * 2 END END)) % 10 = 0"
+_LUHN = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(v, i, 1) AS INTEGER) ELSE CASE WHEN CAST(substr(v, i, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(v, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(v, i, 1) AS INTEGER) * 2 END END)) % 10 = 0"
 
 
 @query(f"WITH c AS ({_CARDS}) SELECT o_orderkey FROM c WHERE {_LUHN}")

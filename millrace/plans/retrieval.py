@@ -1,2 +1,125 @@
+"""Retrieval queries over documents and embeddings."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from millrace.operators import search
 from millrace.plans.base import Book
+from millrace.session import table
+
 book = Book()
+query = book.query
+
+_TEXT = "the onwh thonre"
+
+
+def _passages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text", F.col("lang").alias("language"), F.col("source").alias("file_id"), F.array("lang", "source").alias("tags"))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding", F.col("label").alias("file_id"), F.when(F.col("label") % 3 == 0, "m2").otherwise("m1").alias("model"))
+
+
+def _probe(spark, sf_dir):
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+_DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
+_NORM = "sqrt(list_sum(list_transform({}.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+_COS = f"{_DOT} / ({_NORM.format('a')} * {_NORM.format('b')})"
+
+
+@query(f"SELECT a.vec_id AS passage_id, round({_COS}, 6) AS signal FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY {_COS} DESC, a.vec_id LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    return search.vector_rank(_vectors(spark, sf_dir), _probe(spark, sf_dir)).select("passage_id", F.round("signal", 6).alias("signal"))
+
+
+_BM25 = (
+    "WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS words FROM documents), l AS (SELECT doc_id, len(words) AS len, words FROM d), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l), "
+    "e AS (SELECT doc_id, len, unnest(words) AS w FROM l), t AS (SELECT doc_id, len, w, count(*) AS tf FROM e WHERE w IN ('the', 'onwh', 'thonre') GROUP BY 1, 2, 3), f AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
+    "r AS (SELECT doc_id AS passage_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS signal FROM t JOIN f ON t.w = f.w CROSS JOIN s GROUP BY doc_id)"
+)
+
+
+@query(f"{_BM25} SELECT passage_id, round(signal, 6) AS signal FROM r ORDER BY r.signal DESC, passage_id LIMIT 20")
+def text_search_or_terms(spark, sf_dir):
+    return search.text_rank(_passages(spark, sf_dir), _TEXT).select("passage_id", F.round("signal", 6).alias("signal"))
+
+
+@query(
+    f"{_BM25}, tx AS (SELECT passage_id, signal, row_number() OVER (ORDER BY signal DESC, passage_id) - 1 AS position FROM r ORDER BY signal DESC, passage_id LIMIT 20), "
+    f"vx AS (SELECT passage_id, signal, row_number() OVER (ORDER BY signal DESC, passage_id) - 1 AS position FROM (SELECT a.vec_id AS passage_id, {_COS} AS signal FROM embeddings a, embeddings b WHERE b.vec_id = 0) ORDER BY signal DESC, passage_id LIMIT 20), "
+    "u AS (SELECT passage_id, 1.0 / (60 + position + 1) AS part, signal >= 0.01 AS good FROM tx UNION ALL SELECT passage_id, 0.8 / (60 + position + 1), signal >= 0.3 FROM vx) SELECT passage_id, round(sum(part), 6) AS score FROM u GROUP BY passage_id HAVING max(good)"
+)
+def rrf_fusion(spark, sf_dir):
+    text, vector = search.text_rank(_passages(spark, sf_dir), _TEXT), search.vector_rank(_vectors(spark, sf_dir), _probe(spark, sf_dir))
+    return search.fuse([(text, 1.0, search.TEXT_FLOOR), (vector, 0.8, search.COSINE_FLOOR)]).select("passage_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (1, 'd'), (2, 'b')) t(place, passage)")
+def mmr_select(spark, sf_dir):
+    rows = [("a", 1.0, 1, "s1"), ("b", 0.95, 1, "s1"), ("c", 0.5, 1, "s1"), ("d", 0.75, 2, "s1")]
+    ranked = spark.createDataFrame(rows, "passage string, score double, file_id int, section string").orderBy(F.desc("score")).limit(30).collect()
+    chosen = search.diversify([r.asDict() for r in ranked], 3)
+    return spark.createDataFrame([(k, r["passage"]) for k, r in enumerate(chosen)], "place int, passage string")
+
+
+@query("SELECT source AS file_id, doc_id % 4 AS parent_id, min(doc_id) AS passage_id FROM documents WHERE doc_id < 400 GROUP BY 1, 2")
+def best_per_parent(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id < 400")
+    ranked = docs.select(F.col("doc_id").alias("passage_id"), (F.lit(1.0) / (F.col("doc_id") + 1)).alias("score"))
+    parents = docs.select(F.col("doc_id").alias("passage_id"), F.col("source").alias("file_id"), (F.col("doc_id") % 4).alias("parent_id"))
+    return search.best_per_parent(ranked, parents).select("file_id", "parent_id", "passage_id")
+
+
+@query("SELECT doc_id AS passage_id FROM documents WHERE lang = 'en' AND list_contains([lang, source], 'src3')")
+def metadata_filter(spark, sf_dir):
+    return search.filtered(_passages(spark, sf_dir), tag="src3", language="en").select("passage_id")
+
+
+@query("SELECT label AS file_id, count(*) AS total, count(embedding) AS embedded, count(*) FILTER (WHERE embedding IS NULL OR label % 3 = 0) AS stale FROM embeddings GROUP BY label")
+def embedding_staleness(spark, sf_dir):
+    return search.staleness(_vectors(spark, sf_dir), "m1")
+
+
+@query("SELECT CAST(0.75 AS DOUBLE) AS recall, CAST((1 + 0.5 + 1.0 / 3 + 0) / 4 AS DOUBLE) AS mrr")
+def retrieval_metrics(spark, sf_dir):
+    got = [(1, 10, 0), (2, 9, 0), (2, 20, 1), (3, 30, 2), (4, 1, 0)]
+    r = spark.createDataFrame(got, "case_id int, passage_id int, position int")
+    return search.retrieval_metrics(r, spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40)], "case_id int, passage_id int"))
+
+
+@query(
+    "WITH n AS (SELECT 3 AS n), d AS (SELECT sqrt(ln(1 + (3 - 2 + 0.5) / 2.5)) AS w2, sqrt(ln(1 + (3 - 1 + 0.5) / 1.5)) AS w1) SELECT 'list_tables' AS name, round(3 * w2 + w2, 6) AS score FROM d UNION ALL SELECT 'profile_table', round(3 * w2 + w2 + w1, 6) FROM d UNION ALL SELECT 'send_mail', 0.0 FROM d"
+)
+def idf_rank(spark, sf_dir):
+    items = [("list_tables", "All table names"), ("profile_table", "Counts of a table, column by column"), ("send_mail", "Mail a person")]
+    out = search.idf_rank(spark.createDataFrame(items, "name string, description string"), "which tables have a column")
+    return out.select("name", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id AS passage_id, text ILIKE '%src1 %' AS exact FROM documents WHERE FALSE")
+def exact_promotion(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("FALSE")
+    ranked = docs.select(F.col("doc_id").alias("passage_id"), F.lit(1.0).alias("score"))
+    return search.promoted(ranked, docs.select(F.col("doc_id").alias("passage_id"), "text"), ["src1"]).select("passage_id", "exact")
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return search.chunked(table(spark, sf_dir, "documents"))
+
+
+_KINDS = "SELECT 'document' AS kind, source AS name FROM documents GROUP BY source UNION ALL SELECT 'table', p_brand FROM part GROUP BY p_brand UNION ALL SELECT 'kpi', r_name FROM region"
+
+
+@query(f"WITH k AS ({_KINDS}), r AS (SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY name) AS rn FROM k WHERE contains(lower(name), '1') OR contains(lower(name), 'a')) SELECT kind, name FROM r WHERE rn <= 5")
+def workspace_search(spark, sf_dir):
+    """Names of every kind that hold a term, a few of each kind."""
+    parts = [table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(c).alias("name")).distinct() for t, c, kind in (("documents", "source", "document"), ("part", "p_brand", "table"), ("region", "r_name", "kpi"))]
+    hit = [p.where(F.lower("name").contains("1") | F.lower("name").contains("a")).orderBy("name").limit(5) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b), hit)
