@@ -48,12 +48,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (
-    SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') AS words FROM documents WHERE text IS NOT NULL
+    SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL
 ), ds AS (
     SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
     FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
 ), b AS (
-    SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') AS words FROM benchmark WHERE text IS NOT NULL
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM benchmark WHERE text IS NOT NULL
 ), bs AS (
     SELECT DISTINCT item_id, array_to_string(words[i:i + 4], ' ') AS shingle
     FROM (SELECT item_id, words, unnest(range(1, len(words) - 3)) AS i FROM b WHERE len(words) >= 5)
@@ -88,7 +88,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     slim = docs.select("doc_id", "source", size.alias("size"), sharding.checksum(F.col("text")).alias("text_crc32"))
-    out = sharding.shard(slim, shards=24, tie=F.col("text_crc32"))
+    out = sharding.assign(slim, "text_crc32", shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 

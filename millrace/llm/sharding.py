@@ -38,13 +38,13 @@ def checksum(text) -> F.Column:
     return F.crc32(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-def shard(docs: DataFrame, shards: int = 24, seed: int = 29, tie: F.Column | None = None) -> DataFrame:
-    """docs with shard (0 to shards - 1) and slot (0, 1, ... within the shard). Counts differ by one at most.
+def assign(docs: DataFrame, tie: str, shards: int = 24, seed: int = 29) -> DataFrame:
+    """docs (doc_id, source, tie, ...) with shard (0 to shards - 1) and slot (0, 1, ... within the shard).
 
-    tie tells rows with one doc_id apart, by default the text's checksum; with another one, docs needs no text, and
-    only the columns given are shuffled.
+    Counts differ by one at most. tie tells rows with one doc_id apart. All columns of docs are shuffled twice, so it is
+    meant for a few short ones.
     """
-    u = uniform(F.lit(seed), "doc_id", F.col("source").cast("string"), checksum(F.col("text")) if tie is None else tie)
+    u = uniform(F.lit(seed), "doc_id", F.col("source").cast("string"), tie)
     stats = docs.groupBy(F.col("source").cast("string").alias("__src")).agg(F.count(F.lit(1)).alias("__n_s"))
     stats = written(stats.coalesce(1), "shard-sources")
     n = stats.agg(F.sum("__n_s")).first()[0] or 0
@@ -62,3 +62,20 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 29, tie: F.Column | Non
     number = F.floor(at * shards / size)
     first = F.ceil(number * size / F.lit(shards))  # the first position that floors to this shard
     return rows.select(*[rows[c] for c in docs.columns], number.cast("int").alias("shard"), (at - first).cast("long").alias("slot"))
+
+
+def shard(docs: DataFrame, shards: int = 24, seed: int = 29) -> DataFrame:
+    """docs (doc_id, source, text, ...) with shard and slot, as assign() gives them.
+
+    Places are worked out on short columns; the texts are shuffled once, to meet them. Rows that agree in doc_id, source
+    and text are numbered on both sides and meet one to one.
+    """
+    same = F.xxhash64("doc_id", F.col("source").cast("string"), checksum(F.col("text")))
+    slim = docs.select("doc_id", "source", checksum(F.col("text")).alias("__tie"), same.alias("__same"))
+    placed = assign(slim, "__tie", shards, seed)
+    nth = F.row_number().over(Window.partitionBy("__same").orderBy("shard", "slot"))
+    placed = placed.select(F.col("__same").alias("__k"), "shard", "slot", nth.alias("__j"))
+    rows = docs.withColumn("__same", same).withColumn("__i", F.row_number().over(Window.partitionBy("__same").orderBy("__same")))
+    # the number is compared as a range, so the join stays on the key that the texts are already dealt by
+    met = rows.join(placed, (F.col("__same") == F.col("__k")) & (F.col("__i") >= F.col("__j")) & (F.col("__i") <= F.col("__j")))
+    return met.select(*[rows[c] for c in docs.columns], "shard", "slot")

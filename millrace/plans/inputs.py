@@ -1,2 +1,60 @@
+"""Queries on sources, sheets and the guarded SELECT."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import guard
 from millrace.plans.base import Book
+from millrace.session import table
+from millrace.sources import files, sinks
+
 book = Book()
+query = book.query
+
+
+@query(
+    r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), "
+    r"'<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_hash FROM pages".replace('\'""\'', "'\"'")
+)
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(files.html_text(F.col("html"))).alias("text_hash"))
+
+
+@query("SELECT * FROM (VALUES ('duplicate_table', 'a'), ('duplicate_column', 'a.x'), ('unknown_table', 'ghost.y'), ('unknown_reference', 'fk1'), ('reference_arity', 'fk2'), ('unknown_column', 'fk3')) t(problem, object)")
+def schema_import_problems(spark, sf_dir):
+    tables = spark.createDataFrame([("a",), ("a",), ("b",)], "table string")
+    columns = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "k"), ("ghost", "y")], "table string, column string")
+    constraints = [("a", "fk1", "x", "nowhere", "k"), ("a", "fk2", "x", "b", "k,l"), ("b", "fk3", "zz", "b", "k"), ("b", "pk", "k", None, None)]
+    return files.schema_problems(tables, columns, spark.createDataFrame(constraints, "table string, name string, columns string, ref_table string, ref_columns string"))
+
+
+@query("SELECT * FROM (VALUES ('direct', 'email; phone', 'mail; tel'), ('financial', '''=iban', 'iban')) t(category, columns, rules)")
+def pii_inventory(spark, sf_dir):
+    found = [("direct", "email", "mail"), ("direct", "phone", "tel"), ("direct", "email", "mail"), ("financial", "=iban", "iban")]
+    return sinks.pii_inventory(spark.createDataFrame(found, "category string, column string, rule string"))
+
+
+_GUARDED = "SELECT c_mktsegment, upper(c_name) AS shouted, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NOT NULL GROUP BY c_mktsegment, c_name HAVING count(*) > 0 ORDER BY c_mktsegment, c_name LIMIT 50"
+
+
+@query("SELECT c_mktsegment, '[masked]' AS shouted, n FROM (SELECT c_mktsegment, c_name, count(*) AS n FROM customer GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 50)")
+def guarded_select(spark, sf_dir):
+    """A protected column stays protected through an expression; counts stay readable."""
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
+    return guard.run(spark, _GUARDED, tables, {("customer", "c_name")})
+
+
+_VERDICTS = [
+    ("SELECT c_name FROM customer", True), ("SELECT c_name FROM customer; DROP TABLE customer", False), ("INSERT INTO customer SELECT * FROM customer", False), ("SELECT * FROM customer NATURAL JOIN nation", False),
+    ("SELECT * FROM secrets", False), ("SELECT reflect('java.lang.Runtime', 'getRuntime')", False), ("WITH t AS (SELECT c_custkey AS k FROM customer) SELECT count(*) FROM t", True), ("SELECT c_name FROM customer LIMIT 5", True),
+    ("SELECT sum(c_acctbal) OVER (PARTITION BY c_nationkey) FROM customer", True), ("SELECT c_custkey FROM customer UNION ALL SELECT n_nationkey FROM nation", True), ("SELECT /*+ BROADCAST(customer) */ c_name FROM customer", False),
+    ("SELECT c_name FROM customer WHERE c_custkey IN (SELECT n_nationkey FROM nation)", True), ("SELECT no_such FROM customer", False), ("SELECT c_name FROM customer GROUP BY ROLLUP (c_name)", False), ("", False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).upper()})" for i, (_, ok) in enumerate(_VERDICTS)) + ") t(case_no, accepted)")
+def guard_verdicts(spark, sf_dir):
+    for t in ("customer", "nation"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.createDataFrame([(i, guard.accepts(spark, sql, {"customer", "nation"})) for i, (sql, _) in enumerate(_VERDICTS)], "case_no int, accepted boolean")

@@ -1,2 +1,41 @@
+"""Streaming queries over the events table (extensions)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from millrace.plans.base import Book
+from millrace.session import table
+from millrace.streaming import windows
+
 book = Book()
+query = book.query
+
+
+def _stream(spark, sf_dir):
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS calls FROM events GROUP BY 1, 2")
+def stream_tumbling_counts(spark, sf_dir):
+    return windows.drained(windows.tumbling_counts(_stream(spark, sf_dir), ["event_type"], "1 hour"))
+
+
+@query("SELECT date_trunc('minute', ts) AS window_start, user_id % 10 AS workspace, count(*) AS calls FROM events GROUP BY 1, 2")
+def request_windows(spark, sf_dir):
+    return windows.tumbling_counts(table(spark, sf_dir, "events").withColumn("workspace", F.col("user_id") % 10), ["workspace"])
+
+
+@query(
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), "
+    "s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS events FROM s GROUP BY user_id, k"
+)
+def event_sessions(spark, sf_dir):
+    return windows.sessions(table(spark, sf_dir, "events"), "user_id", "6 hours")
+
+
+@query("SELECT * FROM (VALUES (1, 'requeue'), (2, 'fail')) t(job_id, next)")
+def stale_jobs(spark, sf_dir):
+    jobs = [(1, "running", "2024-01-01 00:00:00", 1), (2, "running", "2024-01-01 00:00:10", 3), (3, "running", "2024-01-01 00:01:50", 1), (4, "done", "2024-01-01 00:00:00", 1)]
+    df = spark.createDataFrame(jobs, "job_id int, status string, heartbeat_at string, attempt int")
+    return windows.stale_jobs(df, F.lit("2024-01-01 00:02:00").cast("timestamp")).select("job_id", "next")
