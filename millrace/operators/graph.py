@@ -1,34 +1,58 @@
 """Lineage graphs as edge lists (source, target, kind): closures, impact, and how personal data spreads.
 
-A walk keeps a frontier: each round joins it with the edges, drops what has been visited, and writes the rest to a
-checkpoint, so cycles end and the plan does not grow. Rounds are as many as the longest path, MAX_DEPTH at most.
+A walk in a large graph keeps a frontier: each round joins it with the edges, drops what has been visited, and writes the
+rest to the shared folder, so cycles end and the plan does not grow. No walk goes further than MAX_DEPTH hops.
 """
 
 from __future__ import annotations
 
-import tempfile
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import stored
+
 MAX_DEPTH = 64
+#: Edges up to which every task gets the whole graph and walks it by itself.
+SMALL = 200_000
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, small: int = SMALL) -> DataFrame:
+    """(seed, node, hops): the nodes that each seed (node) reaches along the edges, itself at 0 hops, by the fewest hops.
+
+    A graph of `small` edges at most is broadcast (its size is counted first) and each seed is walked in one pass; a
+    larger one is walked by joins.
+    """
+    step = stored(edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).where("__s IS NOT NULL AND __t IS NOT NULL").distinct(), "graph-edges")
+    start = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0))
+    return _walked(step, start, depth) if step.limit(small + 1).count() <= small else _joined(step, start, depth)
+
+
+def _walked(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    shared = step.sparkSession.sparkContext.broadcast([tuple(r) for r in step.collect()])
 
+    def walk(frames):
+        after: dict = {}
+        for source, target in shared.value:
+            after.setdefault(source, []).append(target)
+        for frame in frames:
+            for seed in frame["seed"].tolist():
+                hops, layer = {seed: 0}, [seed]
+                while layer and hops[layer[0]] < depth:
+                    found = dict.fromkeys(t for n in layer for t in after.get(n, ()) if t not in hops)
+                    layer = list(found)
+                    hops |= dict.fromkeys(found, max(hops.values()) + 1)
+                yield pd.DataFrame({"seed": seed, "node": list(hops), "hops": list(hops.values())})
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+    return start.select("seed").where("seed IS NOT NULL").mapInPandas(walk, start.schema)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(seed, node, hops): the nodes that each seed (node) reaches along the edges, itself at 0 hops, by the fewest hops."""
-    step = _cut(edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).distinct())
-    frontier = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0)))
+def _joined(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    frontier = stored(start, "graph-seeds")
     seen = frontier
     for hops in range(1, depth + 1):
         new = frontier.join(step, F.col("node") == F.col("__s")).select("seed", F.col("__t").alias("node")).distinct()
-        frontier = _cut(new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        frontier = stored(new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hops)), "graph-reached")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -77,10 +101,10 @@ def origins(edges: DataFrame, protected: DataFrame) -> DataFrame:
 def roots(edges: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
     """(node, root): back along nodes with a single input, until one has none or several."""
     single = edges.where("kind = 'value'").groupBy(F.col("target").alias("__t")).agg(F.min("source").alias("__s"), F.count_distinct("source").alias("__n")).where("__n = 1")
-    single = _cut(single.select("__t", "__s"))
+    single = stored(single.select("__t", "__s"), "graph-single")
     at = nodes.select("node", F.col("node").alias("root"))
     for _ in range(depth):
-        at = _cut(at.join(single, F.col("root") == F.col("__t"), "left").select("node", F.coalesce("__s", "root").alias("root"), F.col("__s").isNotNull().alias("moved")))
+        at = stored(at.join(single, F.col("root") == F.col("__t"), "left").select("node", F.coalesce("__s", "root").alias("root"), F.col("__s").isNotNull().alias("moved")), "graph-roots")
         if at.where("moved").isEmpty():
             break
         at = at.drop("moved")

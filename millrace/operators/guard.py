@@ -80,6 +80,10 @@ def check(spark: SparkSession, sql: str, views: set[str], protected: set[tuple[s
         for function in re.findall(r"'(\w+)\(", line):
             if function.lower() not in FUNCTIONS:
                 raise Refused(f"function {function} is not allowed")
+    try:
+        spark.sql(sql)  # lazy: a SELECT is only analysed here, and EXPLAIN prints some failed analyses instead of raising
+    except (ParseException, AnalysisException) as e:
+        raise Refused(str(e).split("\n")[0]) from None
     return Checked(sql, *_taint(analysed, protected))
 
 

@@ -14,8 +14,8 @@ query = book.query
 
 
 @query(
-    r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), "
-    r"'<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_hash FROM pages".replace('\'""\'', "'\"'")
+    r'''SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '''
+    r''''<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_hash FROM pages'''
 )
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(files.html_text(F.col("html"))).alias("text_hash"))

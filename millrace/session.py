@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,3 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and return it read back: cuts the lineage, survives lost executors, and tells
+    Spark the table's true size when it picks a join."""
+    path = f"{shared_dir(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
