@@ -1,7 +1,7 @@
 """URL filter by a path-template tree.
 
-Every host has a tree of path segments. Level by level, children that hold a fair share of their parent's pages stay
-literal; all others are generalised to a wildcard of their shape (number, number with extension, end of path, anything).
+Every host has a tree of path segments. Level by level, children that hold a fair share of their parent's pages, and not
+just one or two of them, stay literal; all others are generalised to a wildcard of their shape (number, number with extension, end of path, anything).
 Literal branches whose labelled share of bad pages does not differ from that of their labelled siblings (a z test of one
 proportion against the pooled one) are merged. A leaf is a template. Its purity is its labelled bad share, smoothed by the
 host's, which is smoothed by one half; a template with enough labelled pages and a purity of at least `reject` is rejected.
@@ -57,10 +57,10 @@ def _shape(segment) -> F.Column:
     )
 
 
-def templates(pages: DataFrame, levels: int = 5, share: float = 0.02, least: int = 3, z: float = 2.0) -> DataFrame:
+def templates(pages: DataFrame, levels: int = 5, share: float = 0.02, least: int = 3, z: float = 2.0, support: int = 3) -> DataFrame:
     """(host, path, template) of each distinct host and path in pages (host, path, label): label 1 bad, 0 good, null unknown.
 
-    share: the part of the parent's pages that keeps a child literal. least: labelled pages below which a branch is not
+    share, support: the part of the parent's pages, and the pages, that keep a child literal. least: labelled pages below which a branch is not
     merged. What lies deeper than `levels` segments is one wildcard.
     """
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/")
@@ -73,7 +73,7 @@ def templates(pages: DataFrame, levels: int = 5, share: float = 0.02, least: int
         parent = child.groupBy("host", "template").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("kinds"))
         parent = parent.select(F.col("host").alias("ph"), F.col("template").alias("pt"), "n_all", "kinds")
         kept = child.join(parent, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")))
-        kept = kept.where((F.col("n") >= F.col("n_all") * F.lit(share)) & ~F.col("segment").rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"))
+        kept = kept.where((F.col("n") >= F.greatest(F.lit(support), F.col("n_all") * F.lit(share))) & ~F.col("segment").rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"))
         sums = F.struct("segment", "labelled", "bad")
         literals = kept.groupBy("host", "template").agg(F.collect_list(sums).alias("kept"))  # 1/share entries at most
         known = F.filter("kept", lambda k: k["labelled"] >= F.lit(least))
