@@ -65,6 +65,7 @@ def templates(pages: DataFrame, levels: int = 5, share: float = 0.02, least: int
     """
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/")
     rows = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce("label", F.lit(0))).alias("bad"))
+    rows = written(rows, "url-paths")  # every level reads it again
     rows = rows.withColumn("segments", segments).withColumn("template", F.lit(""))
     for level in range(levels):
         rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
