@@ -139,7 +139,7 @@ def fit(docs: DataFrame) -> dict | None:
         if len(langs):
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blobs, pa.binary()), pa.array(reaches, pa.float64())], names=["lang", "vector", "reach"])
 
-    model = rows.mapInArrow(vectorise, "lang string, doc_id long, tf binary").coalesce(1).mapInArrow(learn, "lang string, vector binary, reach double").collect()
+    model = rows.mapInArrow(vectorise, "lang string, doc_id long, tf binary").repartition(1).mapInArrow(learn, "lang string, vector binary, reach double").collect()
     if not model:
         return None
     return {
