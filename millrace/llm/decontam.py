@@ -75,7 +75,7 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every item that a document contains."""
     shingles = written(item_shingles(items), "bench-shingles")
-    index = written(sketches(shingles, threshold).coalesce(1), "bench-sketches")  # its true size picks the join
+    index = written(sketches(shingles, threshold), "bench-sketches")  # its true size picks the join
     hashed = docs.select("doc_id", F.explode(F.array(_hashes(F.col("text")))).alias("hashes"))
     probes = hashed.select("doc_id", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("probe"))
     hits = probes.join(index, (F.col("probe") == F.col("hash")) & (F.col("n_doc") >= F.col("need")))
