@@ -220,6 +220,31 @@ def test_near_duplicate_classes_of_planted_copies(spark):
     assert got == {d: first[f] for d, f in family.items()}
 
 
+def test_near_duplicates_behind_a_leader_like_neither(spark):
+    passage = [f"p{i}" for i in range(150)]  # all that b and c share, and every bucket of it is led by one of the first documents
+    rows = [(i, [f"x{i}-{j}" for j in range(60 + i)] + passage) for i in range(20)]
+    b = passage + [f"b{i}" for i in range(40)]
+    c = list(b)
+    c[150::2] = [f"c{i}" for i in range(20)]
+    rows += [(102, b), (103, c)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = dict(map(tuple, neardup.classes(docs).select("doc_id", "class_id").collect()))
+    assert got == {**{i: i for i in range(20)}, 102: 102, 103: 102}
+
+
+@pytest.mark.parametrize("share, recall", [(0.8, 0.95), (0.85, 0.98), (0.9, 0.99)])
+def test_near_duplicate_pairs_meet_at_the_link_threshold(share, recall):
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(1000):
+        a = rng.integers(0, 2**63, 100, dtype=np.uint64)
+        b = a.copy()
+        at = rng.choice(100, round(100 * (1 - share)), replace=False)
+        b[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        met += bool(np.intersect1d(neardup.order_samples(a), neardup.order_samples(b)).size)
+    assert met >= recall * 1000
+
+
 def test_near_duplicates_on_odd_and_empty_tables(odd, odd_rows, empty):
     got = defaultdict(set)
     for r in neardup.classes(odd).collect():
