@@ -5,7 +5,9 @@ E8 lattice: its cell. A vector is stored in its own cell of each table and looks
 (the lattice points one minimal vector away). All pairs that meet in a cell, at least one of them at home there, are compared
 by cosine in double precision, in blocks of a matrix product; links are counted, not listed.
 
-The lattice is scaled by the number of distinct vectors, so that a cell holds about CELL of them if they are spread evenly.
+The lattice is scaled by the number of distinct vectors, so that a cell holds about CELL of them if they are spread evenly,
+but never finer than the threshold allows (REACH): the chance that a linked pair meets does not fall as the table grows;
+cells of a large table hold more vectors instead.
 Equal vectors are one vector with a multiplicity. A pair that shares several cells is counted in the first table in which
 the two are at home together (each row carries its home cells of all tables); pairs that only meet by probing are listed
 once. A cell of more than SPLIT vectors is dealt to chunks, and each pair of chunks is a piece of work of its own.
@@ -30,6 +32,8 @@ from millrace.llm._spark import width, written
 from millrace.llm.components import components
 
 THRESHOLD, TABLES, PROBES, CELL, SPLIT = 0.95, 6, 3, 24, 4096
+#: Least scale of the lattice in units of sqrt(1 - threshold).
+REACH = 5.6
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -84,6 +88,12 @@ def cells(unit: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     return home, probed
 
 
+def cell_scale(n: int, threshold: float = THRESHOLD) -> float:
+    """Scale of the lattice for n distinct vectors; two random unit vectors share a cell with a chance of scale^8 / (4 pi)^4."""
+    even = (24_936.0 * CELL / max(1, n)) ** 0.125
+    return min(4.0, max(0.4, REACH * max(0.0, 1 - threshold) ** 0.5, even))
+
+
 def _checked(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector, key): the components as doubles and a hash of them, both null where the vector is unusable."""
 
@@ -215,8 +225,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grouped = checked.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("vector").alias("vector"))
     originals = written(grouped, "vec-originals")
     n = originals.count()
-    scale = min(4.0, max(0.4, (24_936.0 * CELL / max(1, n)) ** 0.125))  # two unit vectors share a cell with a chance of scale^8 / (4 pi)^4
-    placed = _meetings(originals, scale)
+    placed = _meetings(originals, cell_scale(n, threshold))
     crowded = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("held")).where("rows > 1 AND held")
     crowded = written(crowded.select(F.col("cell").alias("cc"), F.ceil(F.col("rows") / F.lit(SPLIT)).cast("int").alias("chunks")), "vec-cells")
     shared = placed.join(crowded, F.col("cell") == F.col("cc")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))

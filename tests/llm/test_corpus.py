@@ -432,6 +432,20 @@ def test_vector_links_of_random_clusters(spark):
     assert sum(got.values()) >= 0.9 * near.sum()
 
 
+@pytest.mark.parametrize("n", [100_000, 1_000_000, 10_000_000, 1_000_000_000])
+def test_vector_pairs_at_the_threshold_meet_in_tables_of_any_size(n):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * b
+    scale = lattice.cell_scale(n)
+    (home_a, near_a), (home_b, near_b) = lattice.cells(a, scale), lattice.cells(b, scale)
+    met = (home_a == home_b) | (near_a == home_b[:, :, None]).any(2) | (near_b == home_a[:, :, None]).any(2)
+    assert met.any(1).mean() >= 0.99
+
+
 def test_vectors_on_odd_and_empty_tables(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(1, v, "x"), (2, [2 * x for x in v], "x"), (3, [-x for x in v], "x"), (4, None, "x"), (5, [0.0] * 4, "x"), (6, [1.0, None, 2.0, 3.0], "x"), (7, [float("nan")] * 4, "x"), (8, [], "x"), (9, v[:3], "x"), (1, v, "x"), (None, v, None)]
