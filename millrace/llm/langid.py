@@ -3,8 +3,9 @@
 A text's vector holds its letter n-grams (one to three letters, case folded, other characters as one blank), hashed to
 DIMS places, as sqrt(count) times inverse document frequency, of unit length. Each language has up to CLUSTERS centroids,
 found by spherical k-means on its training texts; a text gets the language of the centroid with the largest cosine. The
-prediction is rejected by distance: where the cosine is below NEAR of what 99 % of the language's own training texts reach.
-A short text has few n-grams and lies far from everything, so the limit falls with the number of letters.
+prediction is rejected by distance: where the cosine is below NEAR of the median that texts of the language and of this length
+class reach. A short text has few n-grams and lies far from everything, so the sample's texts and their beginnings are scored,
+each half of a language's texts by the centroids of the other half, and every doubling of the letters is a class of its own.
 
 The classifier is fitted on a bounded sample, PER_LANGUAGE labelled texts for each language and SAMPLE in all, chosen by a
 hash of doc_id over the whole table. The fit is one task on that sample; predictions are map-only over whole texts.
@@ -27,7 +28,9 @@ from millrace.llm._spark import uniform, written
 
 DIMS, CLUSTERS = 1 << 13, 3
 PER_LANGUAGE, SAMPLE = 500, 6000
-NEAR, SHORT = 0.25, 50
+NEAR, CLASSES = 0.3, 16
+#: Characters of the beginnings that the limits are learnt from.
+PREFIXES = (2, 5, 10, 20, 40, 80, 160, 320, 640, 1280)
 _FOLD: list[np.ndarray] = []
 
 
@@ -91,7 +94,19 @@ def _centroids(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refused(top: np.ndarray, reach: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    return (letters == 0) | (top < NEAR * reach * letters / (letters + SHORT))
+    return (letters == 0) | (top < NEAR * reach[np.arange(len(letters)), _length_class(letters)])
+
+
+def _length_class(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), CLASSES - 1)
+
+
+def _usual(cosine: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The median cosine of each length class; one of under five texts takes the class below, and the lowest ones the next above."""
+    sizes = np.bincount(length, minlength=CLASSES)
+    known = np.flatnonzero(sizes >= min(5, sizes.max()))
+    medians = np.array([np.median(cosine[length == c]) for c in known])
+    return medians[np.maximum(np.searchsorted(known, np.arange(CLASSES), side="right") - 1, 0)]
 
 
 def held_out(doc_id) -> F.Column:
@@ -110,36 +125,56 @@ def fit(docs: DataFrame) -> dict | None:
     bound = max(5, min(PER_LANGUAGE, SAMPLE // languages))
     rows = rows.join(by, F.col("lang") == F.col("l")).where(uniform(F.lit(41), "doc_id") * F.col("n") < bound).select("doc_id", "lang", "text")
 
+    sampled = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("size", pa.int32()), ("letters", pa.int64()), ("tf", pa.binary())])
+
+    def dense(blobs):
+        tf = np.zeros((len(blobs), DIMS), np.float32)
+        for i, blob in enumerate(blobs):
+            at, n = P.unpack(blob, np.uint16, np.float32)
+            tf[i, at] = n
+        return tf
+
     def vectorise(batches):
         for batch in batches:
             for part in P.pieces(batch):
-                tf, letters = counts([x.encode() for x in part.column("text").to_pylist()])
-                rows = [(part.column("lang")[i].as_py(), part.column("doc_id")[i].as_py(), P.pack(np.flatnonzero(tf[i]).astype(np.uint16), tf[i][tf[i] > 0])) for i in np.flatnonzero(letters)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "doc_id", "tf"])
+                texts = part.column("text").to_pylist()
+                for size in (0, *PREFIXES):  # 0: the whole text
+                    pick = [i for i, x in enumerate(texts) if not size or len(x) > size]
+                    for lo in range(0, len(pick), 256):
+                        own = pick[lo : lo + 256]
+                        tf, letters = counts([(texts[i][:size] if size else texts[i]).encode() for i in own])
+                        rows = [(part.column("lang")[own[i]].as_py(), part.column("doc_id")[own[i]].as_py(), size, int(letters[i]), P.pack(np.flatnonzero(tf[i]).astype(np.uint16), tf[i][tf[i] > 0])) for i in np.flatnonzero(letters)]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(sampled.types)], schema=sampled)
 
     def learn(batches):
-        table = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("tf", pa.binary())])).sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+        every = pa.Table.from_batches(list(batches), sampled).sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+        table = every.filter(pc.equal(every.column("size"), 0))
         langs = np.array(table.column("lang").to_pylist(), object)
-        tf = np.zeros((len(langs), DIMS), np.float32)
-        for i, blob in enumerate(table.column("tf").to_pylist()):
-            at, n = P.unpack(blob, np.uint16, np.float32)
-            tf[i, at] = n
+        tf = dense(table.column("tf").to_pylist())
         idf = (np.log((1 + len(langs)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
         vectors = _unit(tf, idf)
-        long = tf.sum(1) > 600  # about 200 letters
-        names, blobs, reaches = [""], [idf.tobytes()], [0.0]
+        names, blobs, reaches = [""], [idf.tobytes()], [[0.0]]
         for lang in sorted(set(langs)):
-            centres, cosine = _centroids(vectors[langs == lang])
-            usual = cosine[long[langs == lang]]
-            reach = float(np.quantile(usual if len(usual) else cosine, 0.01))
+            own = vectors[langs == lang]
+            centres, _ = _centroids(own)
+            ids = table.column("doc_id").to_numpy()[langs == lang]
+            half = np.searchsorted(np.unique(ids), ids) % 2
+            across = [_centroids(own[half != h])[0] if (half != h).any() else centres for h in (0, 1)]
+            parts = every.filter(pc.equal(every.column("lang"), lang))
+            side = np.searchsorted(np.unique(ids), np.minimum(parts.column("doc_id").to_numpy(), ids.max())) % 2
+            cosine = np.zeros(len(parts), np.float32)
+            for lo in range(0, len(parts), 512):
+                v = _unit(dense(parts.column("tf")[lo : lo + 512].to_pylist()), idf)
+                cosine[lo : lo + 512] = np.where(side[lo : lo + 512] == 0, (v @ across[0].T).max(1), (v @ across[1].T).max(1))
+            reach = _usual(cosine, _length_class(parts.column("letters").to_numpy())).tolist()
             for c in centres:
                 names.append(lang)
                 blobs.append(c.astype(np.float32).tobytes())
                 reaches.append(reach)
         if len(langs):
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blobs, pa.binary()), pa.array(reaches, pa.float64())], names=["lang", "vector", "reach"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blobs, pa.binary()), pa.array(reaches, pa.list_(pa.float64()))], names=["lang", "vector", "reach"])
 
-    model = rows.mapInArrow(vectorise, "lang string, doc_id long, tf binary").repartition(1).mapInArrow(learn, "lang string, vector binary, reach double").collect()
+    model = rows.mapInArrow(vectorise, "lang string, doc_id long, size int, letters long, tf binary").repartition(1).mapInArrow(learn, "lang string, vector binary, reach array<double>").collect()
     if not model:
         return None
     return {

@@ -293,6 +293,20 @@ def test_languages_of_held_out_documents(spark, sf, sf_docs):
     assert sum(a == b for a, b in judged) >= 0.9 * len(judged)
 
 
+def test_language_rejects_what_no_language_is_near_to(spark, sf_docs):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."
+    strange = ["".join(rng.choice(letters) for _ in range(n)) for n in (60, 150, 900)] + [" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(150))]
+    strange += ["".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(1200)), polish, turkish]
+    model = langid.fit(sf_docs)
+    rows = [(i, x) for i, x in enumerate(strange)]
+    assert all(r["rejected"] for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    prose = sf_docs.where("lang IS NOT NULL AND n_chars >= 40").select("doc_id", "text")
+    assert langid.predict(prose, model).where("rejected").count() == 0
+
+
 def test_language_on_odd_and_empty_tables(odd, odd_rows, empty):
     got = {r["doc_id"]: r for r in langid.predict(odd, langid.fit(odd)).where("doc_id <> 3").collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] and got[i]["score"] == 0 for i in (0, 1, 2, 12))
