@@ -3,7 +3,8 @@
 Base spans come from four patterns on the text as it is. Then a chain of transducers rewrites the text and keeps, for every
 character it puts out, the source characters it stands for: look-alike letters and digits become ASCII and invisible
 characters go; disguised at and dot ("[at]", "(dot)", "name at site dot org") become signs; runs of spelled digits become
-digits. The same patterns run on the rewritten text, and what they find is mapped back to source offsets. A found span is
+digits, runs of fewer than four only beside digits. Addresses of four numbers with disguised dots or spelled digits are
+rewritten by themselves, since elsewhere a full stop between spelled digits parts nothing. The same patterns run on the rewritten text, and what they find is mapped back to source offsets. A found span is
 added where it overlaps no base span and something in it was rewritten.
 
 Offsets are code points, ends exclusive. Every search is linear in the text's length.
@@ -73,6 +74,14 @@ _DISGUISE_PART = re.compile(rf"(?P<at>{_AT_SIGN}|{_AT_WORD})|(?P<dot>{_DOT_SIGN}
 _DISGUISE_HINT = re.compile(r"[\[({<]\x20?(?:at|arroba|@|dot|punkt|punto|point|\.)\x20?[\])}>]|\x20(?:dot|punkt|punto|point)\x20", re.I)
 
 
+_WORDS = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
+_SHORT_RUN = re.compile(rf"(?:(?<=[0-9][\x20.,()-])|(?<=[0-9][\x20.,()-]{{2}})|(?<=\+)){_WORDS}(?:[\x20.,-]{{1,2}}{_WORDS}){{0,2}}(?!\w)|(?<!\w){_WORDS}(?:[\x20.,-]{{1,2}}{_WORDS}){{0,2}}(?=[\x20.,()-]{{1,2}}[0-9])", re.I)
+_NUMERAL = rf"(?:(?<![0-9])[0-9]++|(?<!\w){_WORDS}(?:[\x20-]{_WORDS}){{0,9}}(?!\w))"
+_IP_DISGUISED = re.compile(rf"{_NUMERAL}(?:(?:{_DOT_SIGN}|{_DOT_WORD}|\.){_NUMERAL}){{3}}", re.I)
+_IP_PART = re.compile(rf"(?P<dot>{_DOT_SIGN}|{_DOT_WORD}|\.)|(?P<word>{_WORDS})|(?P<gap>[\x20-])", re.I)
+_IP_HINT = re.compile(rf"{_DOT_SIGN}(?:[0-9]|{_WORDS})|{_DOT_WORD}(?:[0-9]|{_WORDS})|(?<!\w){_WORDS}\.[\w]|[0-9]\.{_WORDS}(?!\w)", re.I)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -160,15 +169,26 @@ def _digits(t: Mapped) -> None:
             found.append((at, p.end(), "+" if word in ("plus", "más") else _SPELLED.get(word, word)))
             at = p.end()
     t.rewrite(found)
+    found = []
+    for m in _SHORT_RUN.finditer(t.text):
+        at = m.start()
+        for p in _RUN_PART.finditer(t.text, m.start(), m.end()):
+            found.append((at, p.end(), _SPELLED[p[0].lower()]))
+            at = p.end()
+    t.rewrite(found)
 
 
-def disguised(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the rewritten text at source offsets, where rewriting took part in them."""
-    steps = [f for f, hint in ((_plain_letters, _ODD), (_signs, _DISGUISE_HINT), (_digits, _RUN_HINT)) if hint.search(text)]
-    if not steps:
-        return []
+def _addresses(t: Mapped) -> None:
+    found = []
+    for m in _IP_DISGUISED.finditer(t.text):
+        for p in _IP_PART.finditer(t.text, m.start(), m.end()):
+            found.append((p.start(), p.end(), "." if p["dot"] else _SPELLED[p["word"].lower()] if p["word"] else ""))
+    t.rewrite(found)
+
+
+def _rewritten(text: str, steps: list) -> list[tuple[str, int, int]]:
     t = Mapped(text)
-    for f in (_plain_letters, _signs, _digits) if _plain_letters in steps else steps:
+    for f in steps:
         f(t)
     out = []
     for kind, a, b in detect(t.text):
@@ -178,6 +198,18 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def disguised(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the rewritten text at source offsets, where rewriting took part in them."""
+    odd = bool(_ODD.search(text))
+    steps = [f for f, hints in ((_signs, (_DISGUISE_HINT,)), (_digits, (_RUN_HINT, _SHORT_RUN))) if odd or any(h.search(text) for h in hints)]
+    first = [_plain_letters] if odd else []
+    out = _rewritten(text, first + steps) if steps else []
+    if odd or _IP_HINT.search(text):
+        addresses = [x for x in _rewritten(text, [*first, _addresses]) if x[0] == "ip"]
+        out = [x for x in out if x[0] != "ip" or not any(x[1] < b and a < x[2] for _, a, b in addresses)] + addresses
+    return out
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: base ones and those behind a disguise that touch none of them."""
     if not text:

@@ -177,6 +177,28 @@ def test_disguised_identifiers_map_back_to_their_source(text, kind, piece):
     assert (kind, a, a + len(piece)) in pii.find(text)[1]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "piece"),
+    [
+        ("host 192[.]168[.]0[.]1 is up", "ip", "192[.]168[.]0[.]1"),
+        ("host 10 (dot) 0 (dot) 0 (dot) 1 is up", "ip", "10 (dot) 0 (dot) 0 (dot) 1"),
+        ("host 10 dot 0 dot 0 dot 1 is up", "ip", "10 dot 0 dot 0 dot 1"),
+        ("host one.two.three.four is up", "ip", "one.two.three.four"),
+        ("host one nine two dot 168 dot zero dot one is up", "ip", "one nine two dot 168 dot zero dot one"),
+        ("call +49 one two three 4567 890 now", "phone", "+49 one two three 4567 890"),
+        ("card 4111 1111 1111 one one one 1 ok", "card", "4111 1111 1111 one one one 1"),
+    ],
+)
+def test_disguised_addresses_and_short_spelled_runs(text, kind, piece):
+    a = text.index(piece)
+    assert pii.find(text) == ([], [(kind, a, a + len(piece))])
+
+
+@pytest.mark.parametrize("text", ["300 dot 0 dot 0 dot 1", "version 1 dot 2 dot 3", "one or two dot com names", "7 one. two. three."])
+def test_numbers_that_are_no_address_stay(text):
+    assert pii.find(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the map", "one two three and nothing more", "at dot at dot", "meet me at noon dot"])
 def test_plain_sentences_hold_no_identifier(text):
     assert pii.find(text) == ([], [])
