@@ -10,19 +10,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables under sf_dir; makes sure that Python workers find this package."""
+def prepare(spark: SparkSession) -> None:
+    """Make sure that Python workers find this package where it is not installed on them."""
     root = str(Path(__file__).resolve().parent.parent)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables under sf_dir."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one is set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a session in one process sets a temporary one; on a
+    cluster that is an error, as executors would write to disks that others do not see."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
