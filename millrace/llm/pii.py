@@ -17,12 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._spark import prepare
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -41,9 +46,11 @@ _LOOK_ALIKE = dict(
     )
 )
 _LOOK_ALIKE |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
-_LOOK_ALIKE |= {chr(0x1D7CE + k): str(k % 10) for k in range(50)}
+# mathematical, letterlike and circled forms stand for the ASCII letter or digit they decompose to
+_LOOK_ALIKE |= {chr(c): n for c in (*range(0x1D400, 0x1D800), *range(0x2100, 0x2150), *range(0x24B6, 0x24EA)) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii() and n.isalnum()}
 _UNSEEN = "­​‌‍⁠﻿"
-_ODD = re.compile("[" + "".join(re.escape(c) for c in [*_LOOK_ALIKE, *_UNSEEN]) + "]")
+_ODD_CHARACTERS = frozenset([*_LOOK_ALIKE, *_UNSEEN])
+_ODD = re.compile("[" + "".join(re.escape(c) for c in sorted(_ODD_CHARACTERS)) + "]")
 
 # The digits as words in English, German, French and Spanish.
 _SPELLED = {
@@ -55,23 +62,21 @@ _SPELLED = {
 _NUMBER = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + "|[0-9])"
 _RUN = re.compile(rf"(?<!\w)(?:(?:plus|más)\x20)?{_NUMBER}(?:[\x20.,-]{{1,2}}{_NUMBER}){{3,}}(?!\w)", re.I)
 _RUN_PART = re.compile(_NUMBER + r"|plus|más", re.I)
-_RUN_HINT = re.compile("(?<!\\w)(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")[\x20.,-]{1,2}" + _NUMBER + "(?!\\w)", re.I)
 
 _AT_SIGN = r"\x20?[\[({<]\x20?(?:at|arroba|@)\x20?[\])}>]\x20?"
 _AT_WORD = r"\x20(?:at|arroba)\x20"
 _DOT_SIGN = r"\x20?[\[({<]\x20?(?:dot|punkt|punto|point|\.)\x20?[\])}>]\x20?"
 _DOT_WORD = r"\x20(?:dot|punkt|punto|point)\x20"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:(?:{_DOT_SIGN})[A-Za-z0-9._%+-]{{1,64}}){{0,3}}"
-    rf"(?:(?:{_AT_SIGN}){_LABEL}(?:(?:{_DOT_SIGN}|{_DOT_WORD}|\.){_LABEL}){{1,6}}|(?:{_AT_WORD}){_LABEL}(?:(?:{_DOT_SIGN}|{_DOT_WORD}){_LABEL}){{1,6}}|@{_LABEL}(?:\.{_LABEL}){{0,4}}(?:(?:{_DOT_SIGN}|{_DOT_WORD}){_LABEL}){{1,4}})",
-    re.I,
-)
+_LOCAL_PART, _LABEL = r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]++"
+_SITE = rf"(?:(?:{_AT_SIGN}){_LABEL}(?:(?:{_DOT_SIGN}|{_DOT_WORD}|\.){_LABEL})++|(?:{_AT_WORD}){_LABEL}(?:(?:{_DOT_SIGN}|{_DOT_WORD}){_LABEL})++|@{_LABEL}(?:\.{_LABEL})*+(?:(?:{_DOT_SIGN}|{_DOT_WORD}){_LABEL}(?:\.{_LABEL})*+)++)"
+# a chain of parts is taken whole whether or not a site follows, so that none of it is read twice
+_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL_PART}(?:(?:(?:{_DOT_SIGN}){_LOCAL_PART})++(?P<far>{_SITE})?+|(?P<near>{_SITE}))", re.I)
 _BRACKET = re.compile(r"[\[({<]")
 # Last labels that a name spelled in plain words must end in.
 _TOP_LEVEL = frozenset("com org net edu gov mil int info biz io ai co me tv app dev example test eu uk us de fr es it nl ch at be pl pt se no dk fi ru cn jp in br mx ca au nz".split())
 _DISGUISE_PART = re.compile(rf"(?P<at>{_AT_SIGN}|{_AT_WORD})|(?P<dot>{_DOT_SIGN}|{_DOT_WORD})", re.I)
-_DISGUISE_HINT = re.compile(r"[\[({<]\x20?(?:at|arroba|@|dot|punkt|punto|point|\.)\x20?[\])}>]|\x20(?:dot|punkt|punto|point)\x20", re.I)
+_SIGN_HINT = re.compile(r"[\[({<]\x20?(?:at|arroba|@|dot|punkt|punto|point|\.)\x20?[\])}>]", re.I)
+_AT_WORDS, _DOT_WORDS, _TOKEN = frozenset(("at", "arroba")), frozenset(("dot", "punkt", "punto", "point")), re.compile(r"\w+")
 
 
 _WORDS = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
@@ -79,7 +84,6 @@ _SHORT_RUN = re.compile(rf"(?:(?<=[0-9][\x20.,()-])|(?<=[0-9][\x20.,()-]{{2}})|(
 _NUMERAL = rf"(?:(?<![0-9])[0-9]++|(?<!\w){_WORDS}(?:[\x20-]{_WORDS}){{0,9}}(?!\w))"
 _IP_DISGUISED = re.compile(rf"{_NUMERAL}(?:(?:{_DOT_SIGN}|{_DOT_WORD}|\.){_NUMERAL}){{3}}", re.I)
 _IP_PART = re.compile(rf"(?P<dot>{_DOT_SIGN}|{_DOT_WORD}|\.)|(?P<word>{_WORDS})|(?P<gap>[\x20-])", re.I)
-_IP_HINT = re.compile(rf"{_DOT_SIGN}(?:[0-9]|{_WORDS})|{_DOT_WORD}(?:[0-9]|{_WORDS})|(?<!\w){_WORDS}\.[\w]|[0-9]\.{_WORDS}(?!\w)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -129,20 +133,34 @@ class Mapped:
     """A text with the source span of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.starts = text, np.arange(len(text))
-        self.ends = self.starts + 1
+        self.text, self._starts, self._ends = text, None, None
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.arange(len(self.text)) if self._starts is None else self._starts
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.arange(1, len(self.text) + 1) if self._ends is None else self._ends
+
+    def copy(self) -> Mapped:
+        other = Mapped(self.text)
+        other._starts, other._ends = self._starts, self._ends
+        return other
 
     def rewrite(self, found: list[tuple[int, int, str]]) -> None:
         """Put new text in place of spans (start, end, new), in order; each new character stands for its whole span."""
-        text, starts, ends, at = [], [], [], 0
+        if not found:
+            return
+        old_starts, old_ends, text, starts, ends, at = self.starts, self.ends, [], [], [], 0
         for a, b, new in found:
             text += [self.text[at:a], new]
-            starts += [self.starts[at:a], np.full(len(new), self.starts[a])]
-            ends += [self.ends[at:a], np.full(len(new), self.ends[b - 1])]
+            starts += [old_starts[at:a], np.full(len(new), old_starts[a])]
+            ends += [old_ends[at:a], np.full(len(new), old_ends[b - 1])]
             at = b
         text.append(self.text[at:])
         self.text = "".join(text)
-        self.starts, self.ends = np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]])
+        self._starts, self._ends = np.concatenate([*starts, old_starts[at:]]), np.concatenate([*ends, old_ends[at:]])
 
 
 def _plain_letters(t: Mapped) -> None:
@@ -152,6 +170,8 @@ def _plain_letters(t: Mapped) -> None:
 def _signs(t: Mapped) -> None:
     found = []
     for m in _DISGUISED.finditer(t.text):
+        if m["far"] is None and m["near"] is None:
+            continue
         if not _BRACKET.search(m[0]) and m[0].rpartition(" ")[2].lower() not in _TOP_LEVEL:
             continue  # plain words: "look at the dot on the map" is no address
         for p in _DISGUISE_PART.finditer(t.text, m.start(), m.end()):
@@ -186,28 +206,67 @@ def _addresses(t: Mapped) -> None:
     t.rewrite(found)
 
 
-def _rewritten(text: str, steps: list) -> list[tuple[str, int, int]]:
-    t = Mapped(text)
-    for f in steps:
-        f(t)
+def _changed(text: str, t: Mapped, kinds: tuple = KINDS) -> list[tuple[str, int, int]]:
+    """Spans of the rewritten text at source offsets, where rewriting took part in them."""
     out = []
     for kind, a, b in detect(t.text):
         start, end = int(t.starts[a]), int(t.ends[b - 1])
-        if text[start:end] != t.text[a:b]:
+        if kind in kinds and text[start:end] != t.text[a:b]:
             out.append((kind, start, end))
     return out
 
 
+def _apart(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of the others."""
+    if not others:
+        return spans
+    others = sorted((a, b) for _, a, b in others)
+    starts, reach = [a for a, _ in others], list(accumulate((b for _, b in others), max))
+    free = lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a
+    return [s for s in spans if free(s[1], s[2])]
+
+
+def _steps(text: str) -> tuple[list, bool]:
+    """The transducers that may find something in a text of plain letters, and whether a disguised address may be there.
+
+    Both come from its words: a spelled digit counts beside another number, a dot word before a number or in an address.
+    """
+    words = _TOKEN.findall(text.lower())
+    known = set(words)
+    signs = bool(("[" in text or "(" in text or "{" in text or "<" in text) and _SIGN_HINT.search(text))
+    dots = not known.isdisjoint(_DOT_WORDS)
+    number = lambda w: w[0].isdigit() or w in _SPELLED
+    runs = ips = False
+    if dots or not known.isdisjoint(_SPELLED):
+        for w, after in zip(words, [*words[1:], "_"], strict=True):
+            if w in _SPELLED:
+                runs = runs or number(after)
+            elif w in _DOT_WORDS:
+                ips = ips or number(after)
+            elif w[-1].isdigit():
+                runs = runs or after in _SPELLED
+    steps = [_signs] if signs or (dots and ("@" in text or not known.isdisjoint(_AT_WORDS))) else []
+    return [*steps, _digits] if runs else steps, signs or ips or runs
+
+
 def disguised(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the rewritten text at source offsets, where rewriting took part in them."""
-    odd = bool(_ODD.search(text))
-    steps = [f for f, hints in ((_signs, (_DISGUISE_HINT,)), (_digits, (_RUN_HINT, _SHORT_RUN))) if odd or any(h.search(text) for h in hints)]
-    first = [_plain_letters] if odd else []
-    out = _rewritten(text, first + steps) if steps else []
-    if odd or _IP_HINT.search(text):
-        addresses = [x for x in _rewritten(text, [*first, _addresses]) if x[0] == "ip"]
-        out = [x for x in out if x[0] != "ip" or not any(x[1] < b and a < x[2] for _, a, b in addresses)] + addresses
-    return out
+    """Spans behind a disguise, at source offsets."""
+    plain = Mapped(text)
+    odd = not text.isascii() and not _ODD_CHARACTERS.isdisjoint(set(text))
+    if odd:
+        _plain_letters(plain)
+    steps, address = _steps(plain.text)
+    out, found = [], []
+    if address:
+        t = plain.copy()
+        _addresses(t)
+        found = _changed(text, t, ("ip",))
+    if odd or steps:
+        for f in steps:
+            f(plain)
+        out = _changed(text, plain)
+    ips = [x for x in out if x[0] == "ip"]
+    return [x for x in out if x[0] != "ip"] + _apart(ips, found) + found
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -215,7 +274,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if not text:
         return [], []
     base = detect(text)
-    more = [s for s in disguised(text) if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    more = _apart(disguised(text), base)
     if not more:
         return base, base
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -243,6 +302,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
                 )
 
+    prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(look, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
@@ -264,4 +324,5 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = [None if t is None else mask(t) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
+    prepare(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)
