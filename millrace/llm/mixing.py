@@ -11,9 +11,13 @@ few documents of different sizes, and those are dealt to groups again until each
 log_25(n) levels, each one shuffle of a few numbers a row. The last group rounds its residual by a coin and then flips
 documents of its own where that brings the source nearer to its target.
 
+Rows that agree in doc_id, source and size are one unit of n rows, whose copies are n times the rate: only the fraction of a
+copy that is left meets other units, so a row repeated in a third of the table weighs there no more than any other. The
+unit's copies are spread evenly over its rows, which differ by one copy at most.
+
 Defined cases: a null or wordless text has size 0, is copied by an own coin of the same probability and gives no words; a
-null source is a source of its own, last in order; rows that agree in doc_id, source and size share one decision; an empty
-table gives an empty result; further columns are carried, and names starting with two underscores are reserved.
+null source is a source of its own, last in order; equal rows get copies that differ by one at most; an empty table gives an
+empty result; further columns are carried, and names starting with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -117,22 +121,27 @@ def _level(rows: DataFrame, seed: int, depth: int, last: bool) -> DataFrame:
     return out.select("source", F.lit(1).cast("long").alias("groups"), F.aggregate(order, begin, fit)["done"].alias("done"), nothing.alias("rest"))
 
 
-def copies(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """Copies of each document, one row for each distinct (doc_id, source, size): n rows of it, and copies of each.
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of each row of docs."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+
+
+def copies(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """Copies of each distinct (doc_id, source, size) of rows, as sized() gives them: n rows of it, and copies of all n.
 
     Columns: doc_id, source, size, n, source_size, target, rate, copies. The sum of size * copies over a source differs
     from its target by less than the words of one small document. Only whole documents are taken.
     """
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    units = written(units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-units")
+    units = written(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-units")
     targets = written(source_targets(units, tuple(weights), share, cap).coalesce(1), "mix-targets")
     rated = units.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "inner").drop("__s")
-    whole = F.floor("rate").cast("long")
-    rated = rated.withColumn("whole", whole).withColumn("p", F.col("rate") - whole)
+    all_ = F.col("n") * F.col("rate")
+    whole = F.floor(all_ + F.lit(1e-9)).cast("long")
+    rated = rated.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), all_ - whole))
     coin = (F.col("size") <= 0) | (F.col("p") <= 0)
     groups = F.ceil(F.col("units") / F.lit(FAN)).cast("long")
     identity = F.struct("doc_id", "source", "size").alias("id")
-    rows = rated.where(~coin).select("source", groups.alias("groups"), identity, (F.col("size") * F.col("n")).cast("double").alias("mass"), "p")
+    rows = rated.where(~coin).select("source", groups.alias("groups"), identity, F.col("size").cast("double").alias("mass"), "p")
     most = targets.agg(F.max("units")).first()[0] or 0
     decided, depth = [], 0
     while True:
@@ -156,10 +165,34 @@ def copies(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float =
     return joined.select("doc_id", "source", "size", "n", "source_size", "target", "rate", (F.col("whole") + F.coalesce(F.col("taken"), own).cast("long")).alias("copies"))
 
 
+def shared(rows: DataFrame, decided: DataFrame, size: str = "size") -> DataFrame:
+    """Each row of rows (doc_id, source, size and others) with __source_size, __target and __c, its own copies, as decided says.
+
+    Only where a unit's copies do not come out even are its rows numbered: within their partition, and partitions by a
+    running sum of their counts, so no unit is brought to one task.
+    """
+    decided = decided.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("n").alias("__n"), F.col("copies").alias("__all"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col(size) == F.col("__z"))
+    uneven = F.col("__all") % F.col("__n") != 0
+    each = F.floor(F.col("__all") / F.col("__n"))
+    even = rows.join(decided.where(~uneven), on).withColumn("__c", each.cast("int"))
+    if decided.where(uneven).isEmpty():
+        return even.drop("__d", "__s", "__z", "__n", "__all")
+    met = rows.withColumn("__p", F.spark_partition_id()).join(decided.where(uneven), on)
+    unit = ["__d", "__s", "__z"]
+    so_far = Window.partitionBy(*unit).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = met.groupBy(*unit, "__p").agg(F.count(F.lit(1)).alias("__k"))
+    parts = parts.select(*[F.col(c).alias(f"{c}1") for c in (*unit, "__p")], F.coalesce(F.sum("__k").over(so_far), F.lit(0)).alias("__before"))
+    same = F.lit(True)
+    for c in (*unit, "__p"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}1"))
+    met = met.withColumn("__i", F.row_number().over(Window.partitionBy(*unit, "__p").orderBy("__p"))).join(parts, same)
+    own = each + (F.col("__before") + F.col("__i") <= F.col("__all") % F.col("__n")).cast("int")
+    return even.unionByName(met.withColumn("__c", own.cast("int")).select(*even.columns)).drop("__d", "__s", "__z", "__n", "__all")
+
+
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix copies it (none, once or more), with docs' own columns."""
-    decided = copies(docs, **params).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").cast("int").alias("__c"))
-    keyed = docs.withColumn("__z0", word_count(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__z0") == F.col("__z"))
-    taken = keyed.join(decided.where("__c > 0"), on, "inner")
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__c")))).select(*[keyed[c] for c in docs.columns])
+    decided = written(copies(sized(docs), **params), "mix-copies")
+    taken = shared(docs.withColumn("__z0", word_count(F.col("text"))), decided.where("copies > 0"), "__z0").where("__c > 0")
+    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__c")))).select(*[F.col(f"`{c}`") for c in docs.columns])

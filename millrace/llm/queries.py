@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, lattice, lm, mixing, neardup, pii, sharding, substrings, urls
+from millrace.llm._spark import written
 from millrace.session import table as _table
 
 URL_RULES = [
@@ -20,10 +21,11 @@ URL_RULES = [
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words each document gives to the mix; rows equal in doc_id, source and size give as many each."""
-    each = mixing.copies(_table(spark, sf_dir, "documents"))
-    rows = each.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    """Words each document gives to the mix."""
+    rows = written(mixing.sized(_table(spark, sf_dir, "documents")), "mix-rows")
+    each = mixing.shared(rows, written(mixing.copies(rows), "mix-copies"))
+    source = F.col("__source_size").alias("source_size"), F.col("__target").alias("target")
+    return each.select("doc_id", "size", *source, (F.col("size") * F.col("__c")).alias("taken"), "source", F.col("__c").alias("copies"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
