@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: A word, wherever a contract speaks of words: a run of characters other than space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from millrace.session import prepare, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+__all__ = ["WORD", "prepare", "uniform", "width", "word_count", "written"]
 
+#: A word, wherever a contract speaks of words: a run of characters other than space, tab, LF, VT, FF and CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and return it read back.
-
-    It cuts the lineage like checkpoint() and survives lost executors, but stays columnar: later reads prune columns,
-    and Spark knows the table's true size when it picks a join.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a DataFrame once to the shared folder and returns it read back: it cuts the lineage like checkpoint() and survives
+#: lost executors, but stays columnar, so later reads prune columns, and Spark knows the true size when it picks a join.
+written = stored
 
 
 def width(spark: SparkSession) -> int:

@@ -7,8 +7,9 @@ prediction is rejected by distance: where the cosine is below NEAR of the median
 class reach. A short text has few n-grams and lies far from everything, so the sample's texts and their beginnings are scored,
 each half of a language's texts by the centroids of the other half, and every doubling of the letters is a class of its own.
 
-The classifier is fitted on a bounded sample, PER_LANGUAGE labelled texts for each language and SAMPLE in all, chosen by a
-hash of doc_id over the whole table. The fit is one task on that sample; predictions are map-only over whole texts.
+The classifier is fitted on a bounded sample: of each language the PER_LANGUAGE labelled texts, fewer where there are many
+languages, that come first by a hash of doc_id and text over the whole table; SAMPLE in all, and so of the LANGUAGES most
+frequent ones at most. Equal rows count once. The fit is one task on that sample; predictions are map-only over whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, and rejected; without any labelled text every
 text is; rows with one doc_id are judged each for itself; a null doc_id is never in the sample; an empty table gives an
@@ -20,14 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import _packed as P
-from millrace.llm._spark import uniform, written
+from millrace.llm._spark import prepare, uniform, written
 
 DIMS, CLUSTERS = 1 << 13, 3
-PER_LANGUAGE, SAMPLE = 500, 6000
+PER_LANGUAGE, SAMPLE, LANGUAGES = 500, 6000, 1200
 NEAR, CLASSES = 0.3, 16
 #: Characters of the beginnings that the limits are learnt from.
 PREFIXES = (2, 5, 10, 20, 40, 80, 160, 320, 640, 1280)
@@ -117,13 +118,21 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame) -> dict | None:
     """The model from a bounded sample of docs (doc_id, text, lang), held-out ones apart; None without labelled texts."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    by = written(rows.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "lang-counts")
+    prepare(docs.sparkSession)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    known = written(rows.select("lang", "doc_id", "hash").distinct(), "lang-known")
+    by = known.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    by = written(by, "lang-counts")
     languages = by.count()
     if not languages:
         return None
-    bound = max(5, min(PER_LANGUAGE, SAMPLE // languages))
-    rows = rows.join(by, F.col("lang") == F.col("l")).where(uniform(F.lit(41), "doc_id") * F.col("n") < bound).select("doc_id", "lang", "text")
+    bound = min(PER_LANGUAGE, SAMPLE // languages)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(uniform(F.lit(41), "doc_id", "hash"), "doc_id", "hash"))
+    chosen = known.join(F.broadcast(by), F.col("lang") == F.col("l")).withColumn("place", place).where(F.col("place") <= bound)
+    chosen = written(chosen.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), F.col("lang").alias("g")), "lang-sample")  # SAMPLE rows at most
+    same = (F.col("doc_id") == F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("lang") == F.col("g"))
+    rows = rows.join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "lang", "hash").agg(F.min("text").alias("text")).select("doc_id", "lang", "text")
 
     sampled = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("size", pa.int32()), ("letters", pa.int64()), ("tf", pa.binary())])
 
@@ -185,6 +194,7 @@ def fit(docs: DataFrame) -> dict | None:
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row of docs (doc_id, text)."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids for each language: bounded by the sample
 
     def look(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._packed import mix
-from millrace.llm._spark import width, written
+from millrace.llm._spark import prepare, width, written
 from millrace.llm.components import components
 
 THRESHOLD, TABLES, PROBES, CELL, SPLIT = 0.95, 6, 3, 24, 4096
@@ -221,6 +221,7 @@ def _linked(meetings: DataFrame, threshold: float, pieces: int) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id."""
+    prepare(vectors.sparkSession)
     checked = written(_checked(vectors), "vec-checked")
     grouped = checked.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.first("vector").alias("vector"))
     originals = written(grouped, "vec-originals")

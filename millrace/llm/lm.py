@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _packed as P
-from millrace.llm._spark import width, written
+from millrace.llm._spark import prepare, width, written
 
 VOCABULARY, K = 32_766, 4.0
 #: Ids of the unknown word and of the boundary; words have 1 to VOCABULARY.
@@ -142,6 +142,7 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     targets: (doc_id) of the documents that the target model counts.
     """
     spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
     groups = min(60_000, 2 * width(spark))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _packed as P
-from millrace.llm._spark import width
+from millrace.llm._spark import prepare, width
 
 WINDOW, BLOCK = 50, 25
 #: Rolling windows a task gathers before it sends them on.
@@ -281,6 +281,7 @@ def _removed(docs: DataFrame, answers: DataFrame, groups: int, want_text: bool)
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, and with_text the kept words joined by spaces."""
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = min(60_000, 2 * width(docs.sparkSession))
     buckets = groups
