@@ -69,13 +69,13 @@ def test_mix_meets_its_targets_and_reruns_agree(spark, sf):
 
 def test_mix_with_many_documents_of_one_source_goes_through_levels(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
-    got = mixing.copies(docs).collect()
+    got = mixing.copies(mixing.sized(docs)).collect()
     off = check_mix([(r["source"], r["size"], r["source_size"], r["target"], r["size"] * r["copies"]) for r in got])
     assert len(got) == 40_000 and max(map(abs, off.values())) < 20
 
 
 def test_mix_keeps_rows_whole(odd, odd_rows):
-    given = mixing.copies(odd).agg(F.sum("n")).first()[0]
+    given = mixing.copies(mixing.sized(odd)).agg(F.sum("n")).first()[0]
     assert given == len(odd_rows)
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
@@ -83,6 +83,20 @@ def test_mix_keeps_rows_whole(odd, odd_rows):
     assert all(known[(r["doc_id"], r["text"])] for r in mixed.collect())
 
 
+def test_mix_of_a_row_that_a_third_of_the_table_repeats(spark):
+    rows = [(1, "ten words " * 5, "a")] * 1000 + [(None, "three more words", "b")] * 301 + [(i, "w " * (i % 7 + 1), "a") for i in range(2, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    sizes = mixing.sized(docs)
+    each = mixing.shared(sizes, mixing.copies(sizes)).collect()
+    off = check_mix([(r["source"], r["size"], r["__source_size"], r["__target"], r["size"] * r["__c"]) for r in each])
+    assert len(each) == len(rows) and max(map(abs, off.values())) <= 10
+    for d in (1, None):
+        own = [r["__c"] for r in each if r["doc_id"] == d]
+        assert max(own) - min(own) <= 1
+    mixed = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
+    assert sum(mixed.values()) == sum(r["__c"] for r in each) and mixed[1] == sum(r["__c"] for r in each if r["doc_id"] == 1)
+
+
 # --- 2: language-model scoring
 
 
@@ -275,8 +289,9 @@ def test_near_duplicates_on_odd_and_empty_tables(odd, odd_rows, empty):
     assert got[16] == got[17] == got[18] == {16}
     assert neardup.classes(odd).count() == len(odd_rows) and neardup.classes(empty).count() == 0
     kept = neardup.keep_one(odd)
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    assert kept.columns == odd.columns and max(ids.values()) == 1 and {6, 7, 17, 18}.isdisjoint(ids)
+    ids = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == odd.columns and max(ids.values()) == 1 and {6, 7, 17, 18}.isdisjoint(d for d, _ in ids)
+    assert {d for d, _ in ids} == {r[0] for r in odd_rows} - {6, 7, 17, 18}
 
 
 # --- 5: decontamination (its SQL is compared above)
@@ -421,6 +436,90 @@ def test_url_templates_learn_from_labels(spark):
     assert all(verdict[p] == p.startswith("/shop") for _, p, _ in rows) and len(got) == len(rows)
 
 
+def brute_templates(pages, share=0.02, least=3, z=2.0, support=3):
+    """pages: (path, label) of one tree. The template of each path."""
+
+    def shape(x):
+        if x == "":
+            return "<end>"
+        m = re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]+)?", x)
+        return f"<n>{(m[1] or '').lower()}" if m else "*"
+
+    split = {p: p.removeprefix("/").split("/") for p, _ in pages}
+    template = dict.fromkeys(split, "")
+    for level in range(max(map(len, split.values()))):
+        children = defaultdict(lambda: defaultdict(list))
+        for p, label in pages:
+            if level < len(split[p]) and split[p][level]:
+                children[template[p]][split[p][level]].append(label)
+        tokens = {}
+        for parent, kids in children.items():
+            whole = sum(map(len, kids.values()))
+            literal = {k: [x for x in v if x is not None] for k, v in kids.items() if len(v) >= max(support, share * whole) and shape(k) == "*"}
+            known = {k: v for k, v in literal.items() if len(v) >= least}
+            rate = sum(map(sum, known.values())) / max(1, sum(map(len, known.values())))
+            alike = sorted(k for k, v in known.items() if abs(sum(v) / len(v) - rate) <= z * math.sqrt(rate * (1 - rate) / len(v)) + 1e-12)
+            for k in literal:
+                tokens[parent, k] = "{" + "|".join(alike) + "}" if k in alike and len(alike) > 1 else k
+        for p, parts in split.items():
+            if level < len(parts):
+                template[p] += "/" + tokens.get((template[p], parts[level]), shape(parts[level]))
+    return template
+
+
+def brute_purity(pages):
+    """pages: (host, path, label) of all pages. (purity, labelled in the pooled branch) of each host and path."""
+    trees, counts, branch = defaultdict(list), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    names = lambda h: (("a", ""), ("d", ".".join(h.split(".")[-2:])), ("h", h))
+    for h, p, label in pages:
+        for t in names(h):
+            trees[t].append((p, label))
+    found = {t: brute_templates(v) for t, v in trees.items()}
+    for h, p, label in pages:
+        if label is not None:
+            places = [counts[t, found[t][p]] for t in names(h)] + [branch[found["a", ""][p].rpartition("/")[0]]]
+            for c in places:
+                c[0] += label
+                c[1] += 1
+    out = {}
+    for h, p, _ in pages:
+        up = branch[found["a", ""][p].rpartition("/")[0]]
+        purity = 0.5
+        for bad, n in (up, *(counts[t, found[t][p]] for t in names(h))):
+            purity = (bad + purity) / (n + 1)
+        out[h, p] = (purity, up[1])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_trees_agree_with_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(700):
+        host = rng.choice(["a.x.org", "b.x.org", "b.x.org", "c.y.net", "y.net", ""])
+        path = "".join("/" + rng.choice(["shop", "news", "en", "de", f"i{rng.randrange(40)}", str(rng.randrange(99)), f"{rng.randrange(99)}.html", ""]) for _ in range(rng.randrange(5)))
+        rows.append((host, path, rng.choice([None, None, int("shop" in path), int("shop" in path or "de" in path), 0])))
+    expected = brute_purity(rows)
+    got = {(r["host"], r["path"]): (r["purity"], r["labelled"], r["rejected"]) for r in urls.judged(spark.createDataFrame(rows, "host string, path string, label long")).collect()}
+    assert set(got) == set(expected)
+    for k, (purity, labelled) in expected.items():
+        assert got[k] == (pytest.approx(purity), labelled, labelled >= 5 and purity >= 0.9)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_url_templates_decide_about_pages_without_a_rule(spark, sf, size):
+    got = queries.op8_url_filter(spark, sf.replace("sf0.001", size)).collect()
+    free = [r for r in got if r["rule"] is None]
+    pure = brute_purity_of(got) if size == "sf0.01" else None
+    blocked = [r for r in free if r["verdict"] == "block"]
+    assert 0 < len(blocked) < len(free) / 2 and all(r["purity"] >= 0.9 for r in blocked)
+    assert pure is None or all((r["verdict"] == "block") == (pure[r["host"], r["path"]][1] >= 5 and pure[r["host"], r["path"]][0] >= 0.9) for r in free)
+
+
+def brute_purity_of(got):
+    return brute_purity([(r["host"], r["path"], None if r["rule"] is None else int(r["verdict"] == "block")) for r in got])
+
+
 def test_urls_on_odd_and_empty_tables(spark):
     odd = [(1, None, 5), (2, "", 5), (3, "no scheme", 5), (4, "HTTP://EX\u00c4mple.COM", 5), (5, "a://b://c/d?x#y", 5), (None, "http://x.com/en/", 5), (7, "http://x.com/en/", 5), (7, "http://x.com/en/", 5), (8, "http://h/" + "a/" * 5000, 5)]
     df = spark.createDataFrame(odd, "page_id long, url string, template int")
@@ -550,3 +649,62 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, sf, odd, empty):
             now = stage(spark, now, sf)
             assert now.columns[: len(docs.columns)] == docs.columns
             now.count()
+
+
+# --- more of near-duplicates: large texts, hot leaders, several texts under one id
+
+
+def test_long_texts_are_aligned_in_parts():
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 2**32, 1_000_000, dtype=np.uint32)
+    for changed, alike in ((0.15, True), (0.25, False)):
+        b = a.copy()
+        at = rng.choice(len(a), int(changed * len(a)), replace=False)
+        b[at] = rng.integers(0, 2**32, len(at), dtype=np.uint32)
+        b = np.delete(b, rng.choice(len(b), 1000, replace=False))
+        assert neardup.similar(a, b) == alike
+    line = rng.integers(0, 2**32, 12, dtype=np.uint32)
+    assert neardup.similar(np.tile(line, 5000), np.tile(line, 4900))
+
+
+def test_samples_do_not_depend_on_neighbouring_documents():
+    rng = np.random.default_rng(4)
+    sizes = [3, 0, 700, 1, 5, 1_200_000, 40]
+    words = rng.integers(0, 2**63, sum(sizes), dtype=np.uint64)
+    words[10:300] = words[10]
+    first = np.append(0, np.cumsum(sizes))
+    keys, full = neardup.sample_keys(words, first)
+    assert full.tolist() == [0, 2, 3, 4, 5, 6]
+    for k, i in enumerate(full):
+        assert (keys[:, k] == neardup.order_samples(words[first[i] : first[i + 1]])).all()
+
+
+def test_near_duplicate_pairs_against_all_pairs_by_the_same_alignment(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(50):
+        words = [f"t{rng.randrange(5000)}" for _ in range(rng.choice([100, 200, 400]))]
+        own = list(words)
+        for at in rng.sample(range(len(own)), int(len(own) * rng.uniform(0.1, 0.19))):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(own))]
+    codes = {i: np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint32) for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(codes, 2) if neardup.similar(codes[a], codes[b])]
+    got = dict(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert len(linked) == 50 and sum(got[a] == got[b] for a, b in linked) >= 0.9 * len(linked)
+    assert all(got[i] in (i, i - 1) for i in got)
+
+
+def test_texts_under_one_id_are_kept_in_any_order(spark):
+    rng = random.Random(13)
+    a, b = prose_of(rng, 90), prose_of(rng, 90)
+    rows = [(7, a, 1), (7, b, 2), (7, a, 1), (8, b, 3), (9, a, 4), (None, a, 5), (None, a, 5), (10, None, 6)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n long").repartition(3)
+        kept.append(sorted(map(tuple, neardup.keep_one(docs).collect()), key=str))
+    assert kept[0] == kept[1] == sorted([(7, a, 1), (7, b, 2), (None, a, 5), (None, a, 5), (10, None, 6)], key=str)
+
+
+def prose_of(rng, n):
+    return " ".join(f"q{rng.randrange(4000)}" for _ in range(n))
