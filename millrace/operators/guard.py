@@ -1,21 +1,23 @@
 """A guarded read-only SELECT over given tables: one statement of allowed constructs, protected columns masked, rows capped.
 
-Spark parses and analyses the statement; the guard reads the plans that EXPLAIN prints. Nothing runs before it has passed.
+Protected columns are masked in the views that the statement reads, before it runs, so no expression, set operation or
+subquery can bring their values out. Spark's own parser reads the statement; the guard walks the parsed tree and refuses
+every construct, function and relation that is not on its lists. Common table expressions are known only inside their scope.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
 
 from millrace.functions.validators import masked
 
 MAX_LENGTH = 20_000
-_NODES = frozenset("Project Filter Join Aggregate Sort Distinct GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedRelation Union Intersect Except UnresolvedWith CTE Window UnresolvedHaving OneRowRelation UnresolvedInlineTable".split())
+_NODES = frozenset("Project Filter Join Aggregate Sort Distinct GlobalLimit LocalLimit Offset SubqueryAlias Union Intersect Except UnresolvedHaving OneRowRelation UnresolvedRelation UnresolvedWith".split())
 
 # Functions a guarded statement may call.
 FUNCTIONS = frozenset(
@@ -30,105 +32,79 @@ class Refused(ValueError):
     """The statement is not one that the guard lets through."""
 
 
-@dataclass(frozen=True)
-class Checked:
-    """A statement that passed, and the output columns that hold protected values."""
-
-    sql: str
-    columns: list[str]
-    tainted: list[bool]
-
-
-def _plans(spark: SparkSession, sql: str) -> tuple[list[str], list[str]]:
-    """Lines of the parsed and of the analysed plan."""
-    try:
-        text = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
-    except (ParseException, AnalysisException) as e:
-        raise Refused(str(e).split("\n")[0]) from None
-    parts = re.split(r"== (Parsed|Analyzed|Optimized) Logical Plan ==\n|== Physical Plan ==\n", text)
-    return parts[2].splitlines(), parts[4].splitlines()
-
-
-def _top_level(text: str) -> list[str]:
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c in "([") - (c in ")]")
-        if c == "," and depth == 0:
-            out.append(text[at:i])
-            at = i + 1
-    return [*out, text[at:]]
-
-
-def check(spark: SparkSession, sql: str, views: set[str], protected: set[tuple[str, str]] = frozenset()) -> Checked:
-    """Refuse all but one SELECT of allowed parts over the given views; find out which outputs come from protected columns."""
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _walk(plan, known: frozenset[str]) -> None:
+    """Refuse a parsed plan that has anything but allowed nodes and functions, or reads a relation that is not known."""
+    name = plan.nodeName().lstrip("'")
+    if name not in _NODES:
+        raise Refused(f"{name} is not allowed")
+    if name == "UnresolvedRelation":
+        parts = _items(plan.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in known:
+            raise Refused(f"unknown table {'.'.join(parts)}")
+    if name == "UnresolvedWith":
+        for cte in _items(plan.cteRelations()):  # each may read those before it
+            _walk(cte._2(), known)
+            known = known | {cte._1().lower()}
+    if name == "Join" and re.search("Natural|Using", plan.joinType().toString()):
+        raise Refused("joins without a condition are not allowed")
+    for e in _items(plan.expressions()):
+        _walk_expression(e, known)
+    for child in _items(plan.children()):
+        _walk(child, known)
+
+
+def _walk_expression(e, known: frozenset[str]) -> None:
+    if e.nodeName().lstrip("'") == "UnresolvedFunction":
+        parts = _items(e.nameParts())
+        if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
+            raise Refused(f"function {'.'.join(parts)} is not allowed")
+    kind = e.getClass()
+    if kind.getSimpleName() in ("Rollup", "Cube", "GroupingSets"):
+        raise Refused("grouping sets are not allowed")
+    if kind.getSuperclass().getSimpleName() == "SubqueryExpression":
+        if kind.getSimpleName() not in ("ScalarSubquery", "Exists", "ListQuery"):
+            raise Refused(f"{kind.getSimpleName()} is not allowed")
+        _walk(e.plan(), known)
+    for child in _items(e.children()):
+        _walk_expression(child, known)
+
+
+def check(spark: SparkSession, sql: str, views: set[str]) -> str:
+    """The statement, if it is one SELECT of allowed parts over the given views."""
     sql = sql.strip().rstrip(";").strip()
     if len(sql) > MAX_LENGTH or "\0" in sql:
         raise Refused("too long, or holds a NUL")
     bare = re.sub(r"'(?:[^']|'')*'", "''", sql)
-    if ";" in bare or "/*+" in bare or "/*!" in bare or not re.match(r"(?i)(select|with)\b", bare):
+    if "/*+" in bare or not re.match(r"(?i)(select|with)\b", bare):
         raise Refused("one SELECT is asked for")
-    if re.search(r"(?i)\b(natural|using|lateral|recursive|window\s+\w+\s+as|rollup|cube|grouping\s+sets|tablesample|pivot|unpivot|qualify)\b", bare):
-        raise Refused("a construct that is not supported")
-    parsed, analysed = _plans(spark, sql)
-    for line in parsed:
-        name = re.match(r"[\s:+-]*'*(\w+)", line)
-        if name and line.strip(" :+-") and name[1] not in _NODES:
-            raise Refused(f"{name[1]} is not allowed")
-        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", line):
-            if relation.lower() not in views and not re.search(rf"(?i)\b{re.escape(relation)}\s+as\s*\(", bare):
-                raise Refused(f"unknown table {relation}")
-        for function in re.findall(r"'(\w+)\(", line):
-            if function.lower() not in FUNCTIONS:
-                raise Refused(f"function {function} is not allowed")
     try:
-        spark.sql(sql)  # lazy: a SELECT is only analysed here, and EXPLAIN prints some failed analyses instead of raising
-    except (ParseException, AnalysisException) as e:
+        _walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset(v.lower() for v in views))
+        spark.sql(sql)  # lazy: a SELECT is only analysed here
+    except (ParseException, AnalysisException, Py4JJavaError) as e:
         raise Refused(str(e).split("\n")[0]) from None
-    return Checked(sql, *_taint(analysed, protected))
-
-
-def _taint(lines: list[str], protected: set[tuple[str, str]]) -> tuple[list[str], list[bool]]:
-    """Output names of the analysed plan, and which of them are computed from protected columns. Counts give no value away."""
-    bad: set[str] = set()
-    names = [c.split(":")[0].strip() for c in _top_level(lines[0])]
-    body, outputs = lines[1:], None
-    for depth, line in enumerate(reversed(body)):
-        relation = re.search(r"SubqueryAlias (?:\w+\.)*`?(\w+)`?", line)
-        if relation:
-            for below in body[len(body) - depth :]:
-                for column, number in re.findall(r"(\w+)#(\d+)", below):
-                    if (relation[1].lower(), column.lower()) in protected:
-                        bad.add(number)
-                break_at = re.search(r"(Relation|LogicalRDD|LocalRelation|View)", below)
-                if break_at:
-                    break
-    changed = True
-    while changed:
-        changed = False
-        for line in body:
-            for bracket in re.findall(r"\[(.*)\]", line):
-                for item in _top_level(bracket):
-                    alias = re.match(r"\s*\[?(.*) AS \w+#(\d+)", item)
-                    if alias and alias[2] not in bad and not re.match(r"count\(", alias[1].strip()) and any(n in bad for n in re.findall(r"#(\d+)", alias[1])):
-                        bad.add(alias[2])
-                        changed = True
-    for line in body:
-        listed = re.search(r"(?:Project|Aggregate) .*\[(.*)\]\s*$", line)
-        if listed and outputs is None:
-            inner = listed[1].split("], [")[-1]
-            outputs = [re.findall(r"#(\d+)", item)[-1:] for item in _top_level(inner)]
-    if outputs is None or len(outputs) != len(names):
-        return names, [bool(bad)] * len(names)  # not followed: everything counts as protected when anything is
-    return names, [bool(o and o[0] in bad) for o in outputs]
+    return sql
 
 
 def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], protected: set[tuple[str, str]] = frozenset(), cap: int = 1000) -> DataFrame:
-    """The statement's rows, `cap` + 1 at most (one more says that there were more), protected outputs masked."""
+    """The statement's rows, `cap` + 1 at most (one more says that there were more), over tables with protected columns masked.
+
+    A view's protected columns read as masked text everywhere in the statement, in filters and groups too. Output columns
+    without a plain name are named by their place.
+    """
+    hidden = {(t.lower(), c.lower()) for t, c in protected}
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    ok = check(spark, sql, {n.lower() for n in tables}, {(t.lower(), c.lower()) for t, c in protected})
-    out = spark.sql(ok.sql).toDF(*[n if n and re.fullmatch(r"\w+", n) else f"col{i + 1}" for i, n in enumerate(ok.columns)])
-    return out.select(*[(masked(F.col(f"`{c}`")) if bad else F.col(f"`{c}`")).alias(c) for c, bad in zip(out.columns, ok.tainted, strict=True)]).limit(cap + 1)
+        df.select(*[(masked(F.col(f"`{c}`")) if (name.lower(), c.lower()) in hidden else F.col(f"`{c}`")).alias(c) for c in df.columns]).createOrReplaceTempView(name)
+    out = spark.sql(check(spark, sql, set(tables)))
+    return out.toDF(*[n if re.fullmatch(r"[A-Za-z_]\w*", n) else f"col{i + 1}" for i, n in enumerate(out.columns)]).limit(cap + 1)
+
+
+def masked_places(df: DataFrame, places: set[int]) -> DataFrame:
+    """df with the columns at the given places (from 0) masked, whatever their names; two may share one."""
+    return df.toDF(*[f"__{i}" for i in range(len(df.columns))]).select(*[(masked(F.col(f"__{i}")) if i in places else F.col(f"__{i}")).alias(c) for i, c in enumerate(df.columns)])
 
 
 def accepts(spark: SparkSession, sql: str, views: set[str]) -> bool:

@@ -38,18 +38,32 @@ def pii_inventory(spark, sf_dir):
 _GUARDED = "SELECT c_mktsegment, upper(c_name) AS shouted, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NOT NULL GROUP BY c_mktsegment, c_name HAVING count(*) > 0 ORDER BY c_mktsegment, c_name LIMIT 50"
 
 
-@query("SELECT c_mktsegment, '[masked]' AS shouted, n FROM (SELECT c_mktsegment, c_name, count(*) AS n FROM customer GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 50)")
+@query("SELECT c_mktsegment, '[MASKED]' AS shouted, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY 1 LIMIT 50")
 def guarded_select(spark, sf_dir):
-    """A protected column stays protected through an expression; counts stay readable."""
+    """A protected column is masked before the statement runs, so also where it groups; counts stay readable."""
     tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
     return guard.run(spark, _GUARDED, tables, {("customer", "c_name")})
 
 
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT '[masked]' FROM customer")
+def guarded_union(spark, sf_dir):
+    """A protected column in a later branch of a set operation is masked as well."""
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
+    return guard.run(spark, "SELECT n_name AS name FROM nation UNION ALL SELECT c_name FROM customer", tables, {("customer", "c_name")}, cap=10**9)
+
+
+@query("SELECT DISTINCT '[masked]' AS most FROM nation")
+def guarded_subquery(spark, sf_dir):
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
+    return guard.run(spark, "SELECT DISTINCT (SELECT max(c_name) FROM customer) AS most FROM nation", tables, {("customer", "c_name")})
+
+
 _VERDICTS = [
     ("SELECT c_name FROM customer", True), ("SELECT c_name FROM customer; DROP TABLE customer", False), ("INSERT INTO customer SELECT * FROM customer", False), ("SELECT * FROM customer NATURAL JOIN nation", False),
     ("SELECT * FROM secrets", False), ("SELECT reflect('java.lang.Runtime', 'getRuntime')", False), ("WITH t AS (SELECT c_custkey AS k FROM customer) SELECT count(*) FROM t", True), ("SELECT c_name FROM customer LIMIT 5", True),
     ("SELECT sum(c_acctbal) OVER (PARTITION BY c_nationkey) FROM customer", True), ("SELECT c_custkey FROM customer UNION ALL SELECT n_nationkey FROM nation", True), ("SELECT /*+ BROADCAST(customer) */ c_name FROM customer", False),
-    ("SELECT c_name FROM customer WHERE c_custkey IN (SELECT n_nationkey FROM nation)", True), ("SELECT no_such FROM customer", False), ("SELECT c_name FROM customer GROUP BY ROLLUP (c_name)", False), ("", False),
+    ("SELECT c_name FROM customer WHERE c_custkey IN (SELECT n_nationkey FROM nation)", True), ("SELECT no_such FROM customer", False), ("SELECT k FROM secrets /* secrets as ( */", False), ("SELECT n_name FROM nation WHERE n_nationkey IN (SELECT k FROM secrets)", False), ("SELECT (SELECT max(k) FROM secrets) FROM nation", False),
+    ("SELECT k FROM secrets UNION ALL (WITH secrets AS (SELECT 1 AS k) SELECT k FROM secrets)", False), ("SELECT c_name FROM customer GROUP BY ROLLUP (c_name)", False), ("", False),
 ]
 
 
