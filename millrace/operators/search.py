@@ -5,6 +5,7 @@ Text ranking is a BM25 of its own; the capability is the same as a database's co
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.validators import normalised
+from millrace.session import stored
 
 # Fixed values of the fusion: rank constant, floors of the raw signals, weight of relevance against novelty, likeness of two
 # sections of one document.
@@ -26,20 +28,24 @@ def terms(c: Column) -> Column:
 def text_rank(passages: DataFrame, query: str, k: int = POOL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(passage_id, signal, position) of the k best passages by BM25 over any of the query's words.
 
-    One scan: only the query's words are exploded, and document frequencies come from the same rows.
+    The texts are read once: each passage's length and its counts of the query's words are written as one narrow row, from
+    which the number of passages, their mean length and the document frequencies come as one aggregate, a single row.
     """
     spark = passages.sparkSession
-    wanted = spark.range(1).select(terms(F.lit(query)).alias("t")).first()["t"]
+    wanted = sorted(set(spark.range(1).select(terms(F.lit(query)).alias("t")).first()["t"]))
     if not wanted:
         return passages.select("passage_id", F.lit(0.0).alias("signal"), F.lit(0).cast("long").alias("position")).limit(0)
-    t = passages.select("passage_id", terms(F.col("text")).alias("words")).select("passage_id", F.size("words").alias("len"), F.filter("words", lambda w: w.isin(*set(wanted))).alias("hits"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    tf = t.select("passage_id", "len", F.explode("hits").alias("word")).groupBy("passage_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, F.col("word") == F.col("w")).crossJoin(stats)  # one row of statistics
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return _positions(joined.groupBy("passage_id").agg(F.sum(part).alias("signal")), k)
+    count = lambda words, w: F.size(F.filter(words, lambda x: x == F.lit(w)))
+    read = passages.select("passage_id", terms(F.col("text")).alias("words"))
+    rows = stored(read.select("passage_id", F.size("words").alias("len"), *[count(F.col("words"), w).alias(f"t{i}") for i, w in enumerate(wanted)]), "text-rank")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))]).first()
+    signal = F.lit(0.0)
+    for i in range(len(wanted)):
+        idf = math.log(1 + (stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5))
+        tf = F.col(f"t{i}")
+        signal = signal + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(stats["mean"] or 1.0)))
+    hit = F.greatest(F.lit(0), *[F.col(f"t{i}") for i in range(len(wanted))]) > 0
+    return _positions(rows.where(hit).select("passage_id", signal.alias("signal")), k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -79,19 +85,34 @@ def best_per_parent(ranked: DataFrame, parents: DataFrame) -> DataFrame:
     return ranked.join(p, F.col("passage_id") == F.col("pp")).groupBy("file_id", "parent_id").agg(F.min_by(F.struct("passage_id", "score"), F.struct(-F.col("score"), "passage_id")).alias("b")).select("b.passage_id", "b.score", "file_id", "parent_id")
 
 
-def diversify(rows: list[dict], limit: int, weight: float = MMR) -> list[dict]:
-    """Maximal marginal relevance over at most a few dozen rows (score, file_id, section), in order of choice."""
-    if len(rows) <= 1 or weight >= 1:
-        return rows[:limit]
-    low = min(0.0, min(r["score"] for r in rows))
-    span = (max(r["score"] for r in rows) - low) or 1.0
-    alike = lambda a, b: 0.0 if a["file_id"] != b["file_id"] else 1.0 if a["section"] == b["section"] else SAME_DOCUMENT
-    left, chosen = list(rows), []
-    while left and len(chosen) < limit:
-        best = max(left, key=lambda r: weight * (r["score"] - low) / span - (1 - weight) * max((alike(r, c) for c in chosen), default=0.0))
-        chosen.append(best)
-        left.remove(best)
-    return chosen
+def diversify(ranked: DataFrame, limit: int, weight: float = MMR, pool: int = 30) -> DataFrame:
+    """ranked (score, file_id, section and others) with `place`: the `limit` rows that maximal marginal relevance takes.
+
+    The best `pool` rows are one array, of bounded size, and each step of a fold over it takes the row with the most of
+    weight x relevance - (1 - weight) x likeness to what has been taken; earlier rows win ties. Relevance is the score
+    moved to start at zero and divided by the pool's largest; likeness is 1 in one section of a file, SAME_DOCUMENT in one
+    file, else 0.
+    """
+    best = ranked.orderBy(F.desc("score"), *[c for c in ranked.columns if c != "score"]).limit(pool)
+    row = F.struct((-F.col("score")).alias("by"), F.struct(*[F.col(c) for c in ranked.columns]).alias("row"))
+    rows = best.agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["row"]).alias("rows"))
+    low = F.least(F.lit(0.0), F.array_min(F.transform("rows", lambda r: r["score"])))
+    most = F.array_max(F.transform("rows", lambda r: r["score"])) - low
+    rows = rows.withColumns({"low": low, "span": F.when(most == 0, F.lit(1.0)).otherwise(most)})
+    kind = rows.schema["rows"].dataType.simpleString()
+
+    def alike(a, b):
+        return F.when(~a["file_id"].eqNullSafe(b["file_id"]), F.lit(0.0)).when(a["section"].eqNullSafe(b["section"]), F.lit(1.0)).otherwise(F.lit(SAME_DOCUMENT))
+
+    def take(taken, _):
+        gain = lambda r: F.lit(weight) * (r["score"] - F.col("low")) / F.col("span") - F.lit(1 - weight) * F.coalesce(F.array_max(F.transform(taken, lambda t: alike(r, t["row"]))), F.lit(0.0))
+        left = F.filter(F.transform("rows", lambda r, i: F.struct(gain(r).alias("gain"), (-i).alias("i"), r.alias("row"))), lambda x: ~F.exists(taken, lambda t: t["i"] == x["i"]))
+        best_one = F.array_max(F.transform(left, lambda x: F.struct(x["gain"].alias("gain"), x["i"].alias("i"))))
+        return F.concat(taken, F.filter(left, lambda x: x["i"] == best_one["i"]))
+
+    nothing = F.expr(f"cast(array() as array<struct<gain:double,i:int,row:{kind.removeprefix('array<')[:-1]}>>)")
+    chosen = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(limit), F.size("rows"))), nothing, take)
+    return rows.where(F.size("rows") > 0).select(F.posexplode(chosen).alias("place", "c")).select("place", "c.row.*")
 
 
 def promoted(ranked: DataFrame, texts: DataFrame, identifiers: list[str]) -> DataFrame:

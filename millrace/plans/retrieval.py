@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import search
@@ -63,14 +64,24 @@ def rrf_fusion(spark, sf_dir):
 @query("SELECT * FROM (VALUES (0, 'a'), (1, 'd'), (2, 'b')) t(place, passage)")
 def mmr_select(spark, sf_dir):
     rows = [("a", 1.0, 1, "s1"), ("b", 0.95, 1, "s1"), ("c", 0.5, 1, "s1"), ("d", 0.75, 2, "s1")]
-    ranked = spark.createDataFrame(rows, "passage string, score double, file_id int, section string").orderBy(F.desc("score")).limit(30).collect()
-    chosen = search.diversify([r.asDict() for r in ranked], 3)
-    return spark.createDataFrame([(k, r["passage"]) for k, r in enumerate(chosen)], "place int, passage string")
+    ranked = spark.createDataFrame(rows, "passage string, score double, file_id int, section string")
+    return search.diversify(ranked, 3).select("place", "passage")
 
 
-@query("SELECT source AS file_id, doc_id % 4 AS parent_id, min(doc_id) AS passage_id FROM documents WHERE doc_id < 400 GROUP BY 1, 2")
+@query(
+    "WITH RECURSIVE p AS (SELECT doc_id AS passage, source AS file_id, lang AS section, n_chars / 1000.0 AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30), s AS (SELECT max(score) AS top FROM p), "
+    "c(place, i, taken) AS (SELECT 0, 1::BIGINT, [1::BIGINT] UNION ALL SELECT place + 1, b.i, list_append(taken, b.i) FROM c, LATERAL (SELECT p.i FROM p, s WHERE NOT list_contains(c.taken, p.i) ORDER BY 0.7 * p.score / s.top - 0.3 * (SELECT max(CASE WHEN q.file_id <> p.file_id THEN 0.0 WHEN q.section IS NOT DISTINCT FROM p.section THEN 1.0 ELSE 0.3 END) FROM p q WHERE list_contains(c.taken, q.i)) DESC, p.i LIMIT 1) b WHERE place < 9) "
+    "SELECT place, passage FROM c JOIN p ON c.i = p.i"
+)
+def mmr_documents(spark, sf_dir):
+    """The ten documents that relevance (here: length) against novelty takes from the thirty longest."""
+    docs = table(spark, sf_dir, "documents").select((F.col("n_chars") / 1000.0).alias("score"), F.col("doc_id").alias("passage"), F.col("source").alias("file_id"), F.col("lang").alias("section"))
+    return search.diversify(docs, 10).select("place", "passage")
+
+
+@query("SELECT source AS file_id, doc_id % 4 AS parent_id, min(doc_id) AS passage_id FROM documents GROUP BY 1, 2")
 def best_per_parent(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id < 400")
+    docs = table(spark, sf_dir, "documents")
     ranked = docs.select(F.col("doc_id").alias("passage_id"), (F.lit(1.0) / (F.col("doc_id") + 1)).alias("score"))
     parents = docs.select(F.col("doc_id").alias("passage_id"), F.col("source").alias("file_id"), (F.col("doc_id") % 4).alias("parent_id"))
     return search.best_per_parent(ranked, parents).select("file_id", "parent_id", "passage_id")
@@ -102,11 +113,13 @@ def idf_rank(spark, sf_dir):
     return out.select("name", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id AS passage_id, text ILIKE '%src1 %' AS exact FROM documents WHERE FALSE")
+@query("SELECT p_partkey AS passage_id, regexp_matches(p_name, '(^|[^A-Za-z0-9_-])(red|large)($|[^A-Za-z0-9_-])', 'i') AS exact, row_number() OVER (ORDER BY regexp_matches(p_name, '(^|[^A-Za-z0-9_-])(red|large)($|[^A-Za-z0-9_-])', 'i') DESC, p_partkey) - 1 AS place FROM part")
 def exact_promotion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("FALSE")
-    ranked = docs.select(F.col("doc_id").alias("passage_id"), F.lit(1.0).alias("score"))
-    return search.promoted(ranked, docs.select(F.col("doc_id").alias("passage_id"), "text"), ["src1"]).select("passage_id", "exact")
+    """All parts, those first that hold one of two identifiers as written."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("passage_id"), F.col("p_name").alias("text"))
+    ranked = parts.select("passage_id", F.lit(1.0).alias("score"))
+    found = search.promoted(ranked, parts, ["red", "large"]).select("passage_id", "exact")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("exact"), "passage_id")) - 1)
 
 
 @query()
