@@ -14,17 +14,17 @@ from millrace.session import stored
 
 MAX_DEPTH = 64
 #: Edges up to which every task gets the whole graph and walks it by itself.
-SMALL = 200_000
+SMALL = 50_000
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, small: int = SMALL) -> DataFrame:
     """(seed, node, hops): the nodes that each seed (node) reaches along the edges, itself at 0 hops, by the fewest hops.
 
-    A graph of `small` edges at most is broadcast (its size is counted first) and each seed is walked in one pass; a
+    Null nodes reach nothing and are left out. A graph of `small` edges at most is broadcast (its size is counted first) and each seed is walked in one pass; a
     larger one is walked by joins.
     """
     step = stored(edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).where("__s IS NOT NULL AND __t IS NOT NULL").distinct(), "graph-edges")
-    start = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0))
+    start = seeds.where("node IS NOT NULL").select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0))
     return _walked(step, start, depth) if step.limit(small + 1).count() <= small else _joined(step, start, depth)
 
 
@@ -37,14 +37,14 @@ def _walked(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             after.setdefault(source, []).append(target)
         for frame in frames:
             for seed in frame["seed"].tolist():
-                hops, layer = {seed: 0}, [seed]
-                while layer and hops[layer[0]] < depth:
-                    found = dict.fromkeys(t for n in layer for t in after.get(n, ()) if t not in hops)
-                    layer = list(found)
-                    hops |= dict.fromkeys(found, max(hops.values()) + 1)
+                hops, layer, at = {seed: 0}, [seed], 0
+                while layer and at < depth:
+                    at += 1
+                    layer = list(dict.fromkeys(t for n in layer for t in after.get(n, ()) if t not in hops))
+                    hops |= dict.fromkeys(layer, at)
                 yield pd.DataFrame({"seed": seed, "node": list(hops), "hops": list(hops.values())})
 
-    return start.select("seed").where("seed IS NOT NULL").mapInPandas(walk, start.schema)
+    return start.select("seed").mapInPandas(walk, start.schema)
 
 
 def _joined(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:

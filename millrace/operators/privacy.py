@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from millrace.functions import validators as V
 
@@ -99,21 +100,49 @@ def masked_by_name(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return masked_columns(df, hit), hit
 
 
-# Patterns of free-text redaction, in the order they are applied.
+# What free text is searched for, in this order: rule, pattern of a candidate, the check that it must pass.
 REDACTIONS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    ("iban", r"\bSA[0-9]{2}(?:[ -]?[0-9A-Z]{4}){5}\b"),
-    ("ip", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
-    ("number", r"\+?\b[0-9](?:[ -]?[0-9]){8,18}\b"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", None),
+    ("iban", r"\bSA[0-9]{2}(?:[ -]?[0-9A-Z]{4}){5}\b", V.iban),
+    ("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", V.ip_address),
+    ("card_number", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", V.card_number),
+    ("national_id", r"\b1[0-9]{9}\b", V.national_id),
+    ("iqama", r"\b2[0-9]{9}\b", V.iqama),
+    ("phone", r"(?:\+966|\b00966|\b966|\b0)[ -]?5(?:[ -]?[0-9]){8}\b", V.mobile),
 ]
 
 
 def redacted(c: Column) -> Column:
-    for name, pattern in REDACTIONS:
-        c = F.regexp_replace(c, pattern, f"[{name}]")
+    """Text with each identifier that passes its check replaced by [redacted: rule]; other numbers stay as they are."""
+    for rule, pattern, holds in REDACTIONS:
+        mark = F.lit(f"[redacted: {rule}]")
+        if holds is None:
+            c = F.regexp_replace(c, pattern, f"[redacted: {rule}]")
+            continue
+        between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        c = F.array_join(F.zip_with(between, found, lambda text, hit: F.concat(text, F.when(hit.isNull(), F.lit("")).when(holds(hit), mark).otherwise(hit))), "")  # noqa: B023
     return c
 
 
+def redacted_json(c: Column, kind: str) -> Column:
+    """A JSON text of the given Spark type with every string in it redacted; null where it is not of that type."""
+
+    def walk(value, t):
+        name = t.typeName()
+        if name == "string":
+            return redacted(value)
+        if name == "array":
+            return F.transform(value, lambda x: walk(x, t.elementType))
+        if name == "map":
+            return F.transform_values(value, lambda _, x: walk(x, t.valueType))
+        if name == "struct":
+            return F.when(value.isNotNull(), F.struct(*[walk(value[f.name], f.dataType).alias(f.name) for f in t.fields]))
+        return value
+
+    parsed = DataType.fromDDL(kind)
+    return F.to_json(walk(F.from_json(c, parsed), parsed))
+
+
 def merged_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of findings by column: a decision is kept, confidence only rises, a rule changes only while suggested."""
     o, n = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns]), new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])

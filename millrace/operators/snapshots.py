@@ -10,6 +10,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from millrace.session import stored
 from pyspark.sql import types as T
 
 SAME_CHILDREN = 0.6
@@ -66,13 +68,22 @@ def table_rename_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
     return good.select(F.col("r").alias("from_name"), F.col("a").alias("to_name"), F.round(0.7 * F.col("j") + 0.3 * likeness("r", "a"), 2).alias("confidence"))
 
 
-def greedy_pairs(candidates: DataFrame) -> list[tuple[str, str, float]]:
-    """One-to-one renames, best first. Candidates are a few for a snapshot, so the choice is made on the driver."""
-    chosen, used = [], set()
-    for r in sorted(candidates.collect(), key=lambda r: (-r["confidence"], r["from_name"], r["to_name"])):
-        if ("from", r["from_name"]) not in used and ("to", r["to_name"]) not in used:
-            used |= {("from", r["from_name"]), ("to", r["to_name"])}
-            chosen.append((r["from_name"], r["to_name"], r["confidence"]))
+def greedy_pairs(candidates: DataFrame) -> DataFrame:
+    """One-to-one renames (from_name, to_name, confidence), best first: by confidence, then by name.
+
+    A pair that is the best of both its names is chosen; what shares no name with a chosen pair goes to the next round. That
+    is what taking pairs one by one in this order gives.
+    """
+    left = stored(candidates.select("from_name", "to_name", "confidence"), "renames")
+    order = F.struct((-F.col("confidence")).alias("by"), "from_name", "to_name")
+    chosen = left.limit(0)
+    while not left.isEmpty():
+        by_from, by_to = (left.groupBy(F.col(c).alias(f"k_{c}")).agg(F.min(order).alias("b")).select(f"k_{c}", F.col("b.to_name" if c == "from_name" else "b.from_name").alias(f"best_{c}")) for c in ("from_name", "to_name"))
+        both = left.join(by_from, (F.col("from_name") == F.col("k_from_name")) & (F.col("to_name") == F.col("best_from_name"))).join(by_to, (F.col("to_name") == F.col("k_to_name")) & (F.col("from_name") == F.col("best_to_name")))
+        now = stored(both.select("from_name", "to_name", "confidence"), "renames")
+        chosen = chosen.unionByName(now)
+        left = left.join(now.select(F.col("from_name").alias("uf")), F.col("from_name") == F.col("uf"), "left_anti")
+        left = stored(left.join(now.select(F.col("to_name").alias("ut")), F.col("to_name") == F.col("ut"), "left_anti"), "renames")
     return chosen
 
 

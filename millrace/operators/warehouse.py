@@ -168,17 +168,31 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, F.nullif(b, F.lit(0).cast("double")))
 
 
-def hijri(df: DataFrame, day: str) -> DataFrame:
-    """df with hijri_year, hijri_month and hijri_day of a date column by the arithmetic (civil) calendar; null outside 1924-2077.
+# The months of the Hijri year.
+HIJRI_MONTHS = ("Muharram", "Safar", "Rabi al-Awwal", "Rabi al-Thani", "Jumada al-Ula", "Jumada al-Akhirah", "Rajab", "Shaaban", "Ramadan", "Shawwal", "Dhu al-Qadah", "Dhu al-Hijjah")
 
-    The arithmetic calendar has 11 leap years in 30; it may differ from the observed or the Umm al-Qura one by a day or two.
+
+def hijri(df: DataFrame, day: str, months: DataFrame | None = None) -> DataFrame:
+    """df with hijri_year, hijri_month, hijri_day, hijri_year_month and hijri_month_name of a date column.
+
+    months (first_day, hijri_year, hijri_month) are the first days of an observed calendar's months, such as the Umm al-Qura
+    one; a day belongs to the last month that begins no later, if the next one is given too. Without them the arithmetic
+    (civil) calendar is used, with 11 leap years in 30 and null outside 1924-2077: it may differ by a day or two.
     """
-    inside = F.col(day).between(F.lit(_HIJRI_FIRST).cast("date"), F.lit(_HIJRI_LAST).cast("date"))
-    n = F.date_diff(F.col(day), F.lit("0622-07-19").cast("date"))
-    year = F.floor((30 * n + 10646) / 10631)
-    first = lambda y: 354 * (y - 1) + F.floor((3 + 11 * y) / 30)
-    rest = n - first(year)
-    month = F.least(F.lit(12), F.ceil((rest + 0.5) / 29.5))
-    month_day = rest - F.ceil(29.5 * (month - 1)) + 1
-    keep = lambda c: F.when(inside, c.cast("int"))
-    return df.withColumns({"hijri_year": keep(year), "hijri_month": keep(month), "hijri_day": keep(month_day)})
+    if months is None:
+        inside = F.col(day).between(F.lit(_HIJRI_FIRST).cast("date"), F.lit(_HIJRI_LAST).cast("date"))
+        n = F.date_diff(F.col(day), F.lit("0622-07-19").cast("date"))
+        year = F.floor((30 * n + 10646) / 10631)
+        first = lambda y: 354 * (y - 1) + F.floor((3 + 11 * y) / 30)
+        rest = n - first(year)
+        month = F.least(F.lit(12), F.ceil((rest + 0.5) / 29.5))
+        month_day = rest - F.ceil(29.5 * (month - 1)) + 1
+        keep = lambda c: F.when(inside, c.cast("int"))
+        out = df.withColumns({"hijri_year": keep(year), "hijri_month": keep(month), "hijri_day": keep(month_day)})
+    else:
+        until = F.lead("first_day").over(Window.orderBy("first_day"))  # a row for each month of the calendar: some thousands
+        spans = months.select(F.col("first_day").alias("__from"), until.alias("__until"), "hijri_year", "hijri_month")
+        days = spans.where("__until IS NOT NULL").select(F.explode(F.sequence("__from", F.date_sub("__until", 1))).alias("__day"), F.col("hijri_year").cast("int").alias("hijri_year"), F.col("hijri_month").cast("int").alias("hijri_month"), "__from")
+        out = df.join(days, F.col(day) == F.col("__day"), "left").withColumn("hijri_day", F.date_diff(F.col(day), F.col("__from")) + 1).drop("__day", "__from")
+    name = F.element_at(F.array(*[F.lit(m) for m in HIJRI_MONTHS]), F.col("hijri_month"))
+    return out.withColumns({"hijri_year_month": F.col("hijri_year") * 100 + F.col("hijri_month"), "hijri_month_name": F.when(F.col("hijri_month").isNotNull(), name)})

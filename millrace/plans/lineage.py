@@ -1,4 +1,4 @@
-"""Lineage queries, on a graph that the orders make: each order points to orders of other customers, cycles included."""
+"""Lineage queries, on a graph that the parts make: a part comes from one with about half its key; small keys make cycles."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ from millrace.session import table
 book = Book()
 query = book.query
 
-_EDGES = "SELECT DISTINCT p_partkey AS source, (p_partkey * 7 + p_size) % 400 AS target, CASE WHEN p_partkey % 3 = 0 THEN 'uses' WHEN p_partkey % 11 = 0 THEN 'lookup' ELSE 'value' END AS kind FROM part WHERE p_partkey < 400"
-_WALK = f"WITH RECURSIVE e AS ({_EDGES}), r(seed, node) AS (SELECT DISTINCT source, source FROM e WHERE source IN (5, 17, 100) UNION SELECT r.seed, e.target FROM r JOIN e ON r.node = e.source"
+_EDGES = "SELECT DISTINCT p_partkey // 2 + p_size % 3 AS source, p_partkey AS target, CASE WHEN p_partkey % 3 = 0 THEN 'uses' WHEN p_partkey % 11 = 0 THEN 'lookup' ELSE 'value' END AS kind FROM part"
+_WALK = f"WITH RECURSIVE e AS ({_EDGES}), r(seed, node) AS (SELECT s, s FROM (VALUES (5::BIGINT), (17), (100)) v(s) UNION SELECT r.seed, e.target FROM r JOIN e ON r.node = e.source"
 
 
 def _edges(spark, sf_dir):
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "uses").when(k % 11 == 0, "lookup").otherwise("value")
-    return table(spark, sf_dir, "part").where(k < 400).select(k.alias("source"), ((k * 7 + F.col("p_size")) % 400).alias("target"), kind.alias("kind")).distinct()
+    return table(spark, sf_dir, "part").select((F.floor(k / 2) + F.col("p_size") % 3).alias("source"), k.alias("target"), kind.alias("kind")).distinct()
 
 
 def _seeds(spark):
@@ -40,9 +40,9 @@ def lineage_upstream_edges(spark, sf_dir):
     return graph.reachable_edges(_edges(spark, sf_dir), spark.createDataFrame([(5,)], "node long"), upstream=True)
 
 
-@query(f"{_WALK}), h AS (SELECT DISTINCT node FROM r WHERE node <> seed OR FALSE) SELECT p_brand AS type, count(*) AS n FROM part WHERE p_partkey < 400 AND p_partkey IN (SELECT node FROM h) GROUP BY 1")
+@query(f"{_WALK}), h AS (SELECT DISTINCT node FROM r WHERE node <> seed) SELECT p_brand AS type, count(*) AS n FROM part WHERE p_partkey IN (SELECT node FROM h) GROUP BY 1")
 def lineage_impact(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("type"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("type"))
     return graph.impact(_edges(spark, sf_dir), nodes, _seeds(spark))
 
 
@@ -65,7 +65,10 @@ def pii_origins(spark, sf_dir):
     return graph.origins(_edges(spark, sf_dir), _seeds(spark)).select("node", F.array_join("origins", ",").alias("origins"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE e AS ({_EDGES}), one AS (SELECT target, min(source) AS source FROM e WHERE kind = 'value' GROUP BY target HAVING count(DISTINCT source) = 1), "
+    "r(node, root, hops) AS (SELECT DISTINCT target, target, 0 FROM e UNION ALL SELECT r.node, one.source, hops + 1 FROM r JOIN one ON r.root = one.target WHERE hops < 8) SELECT node, arg_max(root, hops) AS root FROM r GROUP BY node"
+)
 def trace_to_root(spark, sf_dir):
     e = _edges(spark, sf_dir)
     return graph.roots(e, e.select(F.col("target").alias("node")).distinct())

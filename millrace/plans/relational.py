@@ -75,9 +75,9 @@ def derived_tables(spark, sf_dir):
     return per.groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS cell FROM documents WHERE doc_id % 5 = 0")
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS cell FROM documents")
 def cell_shaping(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", R.shaped_cell(F.col("text")).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.shaped_cell(F.col("text")).alias("cell"))
 
 
 @query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05'")
@@ -149,15 +149,15 @@ def join_composite(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part WHERE p_partkey < 300), b AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey < 300), "
+    "WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE c_name END AS name FROM customer), b AS (SELECT c_custkey AS id, c_name AS name FROM customer), "
     "e AS (SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON a.name = b.name), la AS (SELECT * FROM a WHERE id NOT IN (SELECT left_id FROM e)), lb AS (SELECT * FROM b WHERE id NOT IN (SELECT right_id FROM e)), "
     "ua AS (SELECT lower(name) AS f, min(id) AS id FROM la GROUP BY 1 HAVING count(*) = 1), ub AS (SELECT lower(name) AS f, min(id) AS id FROM lb GROUP BY 1 HAVING count(*) = 1) "
     "SELECT left_id, right_id, 'exact' AS how FROM e UNION ALL SELECT ua.id, ub.id, 'fold' FROM ua JOIN ub ON ua.f = ub.f"
 )
 def identity_match(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 300")
-    a = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
-    return R.identity_match(a, p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    c = table(spark, sf_dir, "customer")
+    a = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("name"))
+    return R.identity_match(a, c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, round(avg(l_discount), 6) AS discount, min(l_quantity) AS least, max(l_quantity) AS most, round(stddev_samp(l_quantity), 6) AS deviation, round(var_samp(l_quantity), 4) AS variance, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag, l_linestatus")
@@ -262,11 +262,11 @@ def set_union_all(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT l_suppkey AS a, l_partkey AS b, l_tax AS confidence FROM lineitem WHERE l_partkey < 50 AND l_suppkey < 50) "
+    "WITH p AS (SELECT l_suppkey AS a, l_partkey AS b, l_tax AS confidence FROM lineitem) "
     "SELECT least(a, b) AS low, greatest(a, b) AS high, max(confidence) AS confidence, count(*) AS n FROM p GROUP BY 1, 2"
 )
 def undirected_merge(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").where("l_partkey < 50 AND l_suppkey < 50").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_tax").alias("confidence"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_tax").alias("confidence"))
     return R.undirected(pairs)
 
 

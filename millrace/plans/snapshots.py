@@ -60,7 +60,7 @@ def table_renames(spark, sf_dir):
     cols = lambda t, *cs: [(t, c) for c in cs]
     removed = spark.createDataFrame(cols("clients", "id", "name", "city", "vip") + cols("invoice", "id", "total", "paid"), "table string, child string")
     added = spark.createDataFrame(cols("customers", "id", "name", "city", "segment", "vip") + cols("invoices", "id", "total", "paid") + cols("misc", "x"), "table string, child string")
-    return spark.createDataFrame(S.greedy_pairs(S.table_rename_candidates(removed, added)), "from_name string, to_name string, confidence double")
+    return S.greedy_pairs(S.table_rename_candidates(removed, added))
 
 
 @query(

@@ -30,7 +30,11 @@ def time_dim(spark, sf_dir):
     return WH.time_dimension(spark)
 
 
-@query()
+@query(
+    "WITH d AS (SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS full_date), n AS (SELECT full_date, date_diff('day', DATE '0622-07-19', full_date) AS n FROM d), y AS (SELECT *, (30 * n + 10646) // 10631 AS y FROM n), "
+    "r AS (SELECT *, n - 354 * (y - 1) - (3 + 11 * y) // 30 AS r FROM y), m AS (SELECT *, least(12, CAST(ceil((r + 0.5) / 29.5) AS BIGINT)) AS m FROM r) SELECT full_date, CAST(y AS INTEGER) AS hijri_year, CAST(m AS INTEGER) AS hijri_month, CAST(r - ceil(29.5 * (m - 1)) + 1 AS INTEGER) AS hijri_day, "
+    "CAST(y * 100 + m AS INTEGER) AS hijri_year_month, ['Muharram', 'Safar', 'Rabi al-Awwal', 'Rabi al-Thani', 'Jumada al-Ula', 'Jumada al-Akhirah', 'Rajab', 'Shaaban', 'Ramadan', 'Shawwal', 'Dhu al-Qadah', 'Dhu al-Hijjah'][m] AS hijri_month_name FROM m"
+)
 def hijri_dates(spark, sf_dir):
     return WH.hijri(WH.date_dimension(spark, 2020, 2024).select("full_date"), "full_date")
 
@@ -64,11 +68,11 @@ def scd2_versions(spark, sf_dir):
 
 
 _KEYED = " , d AS (SELECT *, o_custkey * 100000 + CAST(date_diff('day', DATE '1990-01-01', CAST(valid_from AS DATE)) AS BIGINT) AS sk FROM v)"
-_SHIPPED = "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, o_custkey AS custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40"
+_SHIPPED = "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, o_custkey AS custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 def _facts(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 40")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.col("o_custkey").alias("custkey"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from millrace.session import shared_dir
 
 
 def tumbling_counts(events: DataFrame, keys: list[str], length: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -31,13 +33,17 @@ def stale_jobs(jobs: DataFrame, now, after_seconds: int = 60, attempts: int = 3)
     return jobs.where((F.col("status") == "running") & quiet).withColumn("next", F.when(F.col("attempt") < attempts, "requeue").otherwise("fail"))
 
 
-def drained(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """What a stream has given once it has read all there is now: for tests and one-off runs, results kept in memory."""
-    name = "drained_" + uuid.uuid4().hex
-    where = checkpoint or tempfile.mkdtemp(prefix="millrace-stream-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+def drained(stream: DataFrame) -> DataFrame:
+    """What an append stream, or the last state of an aggregating one, has given once all there is now has been read.
+
+    The micro-batches go to files in the shared folder, where the stream also keeps its progress; the result is read back.
+    """
+    where = f"{shared_dir(stream.sparkSession)}/millrace/drained-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{where}-progress").trigger(availableNow=True)
+    q = q.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{where}/batch={batch:08d}")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = stream.sparkSession.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{where}").where("batch IS NOT NULL")
+    return last.where(F.col("batch") == (last.agg(F.max("batch")).first()[0] or 0)).drop("batch")
 
 
 def upsert_batches(stream: DataFrame, apply, checkpoint: str):

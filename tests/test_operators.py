@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, guard
+from millrace.operators import graph, guard, privacy, search, snapshots, warehouse
 from millrace.sources import files
 
 
@@ -59,11 +59,18 @@ def test_reach_of_an_empty_graph_is_the_seeds(spark):
         ("SELECT * FROM other", False),
         ("SELECT java_method('java.lang.System', 'exit', 0)", False),
         ("SELECT k FROM parquet.`/etc`", False),
+        ("SELECT k FROM secrets /* secrets as ( */", False),
+        ("SELECT k FROM t WHERE k IN (SELECT k FROM secrets)", False),
+        ("SELECT (SELECT max(k) FROM secrets) AS m FROM t", False),
+        ("SELECT k FROM secrets UNION ALL (WITH secrets AS (SELECT 1 AS k) SELECT k FROM secrets)", False),
+        ("WITH u AS (SELECT k FROM t) SELECT k FROM u ORDER BY (SELECT max(k) FROM secrets)", False),
+        ("WITH u AS (SELECT k FROM t), w AS (SELECT k FROM u) SELECT k FROM w", True),
         ("", False),
     ],
 )
 def test_guard(spark, sql, ok):
-    spark.createDataFrame([(1, "x")], "k int, v string").createOrReplaceTempView("t")
+    for view in ("t", "secrets"):
+        spark.createDataFrame([(1, "x")], "k int, v string").createOrReplaceTempView(view)
     assert guard.accepts(spark, sql, {"t"}) is ok
 
 
@@ -71,7 +78,77 @@ def test_guard_masks_protected_columns_and_caps_rows(spark):
     people = spark.createDataFrame([(i, f"name{i}") for i in range(20)], "k int, name string")
     out = guard.run(spark, "SELECT k, name, upper(name) AS loud, count(*) AS n FROM people GROUP BY k, name", {"people": people}, {("people", "name")}, cap=5)
     rows = out.collect()
-    assert len(rows) == 6 and {r["name"] for r in rows} == {r["loud"] for r in rows} == {"[masked]"} and {r["n"] for r in rows} == {1}
+    assert len(rows) == 6 and {r["name"] for r in rows} == {"[masked]"} and {r["loud"] for r in rows} == {"[MASKED]"} and {r["n"] for r in rows} == {1}
+
+
+def test_guard_masks_in_every_branch_and_subquery(spark):
+    people = spark.createDataFrame([(1, "Ann"), (2, "Bob")], "k int, name string")
+    for sql in ("SELECT cast(k AS string) AS x FROM people UNION ALL SELECT name FROM people", "SELECT (SELECT max(name) FROM people) AS x FROM people", "WITH p AS (SELECT name AS x FROM people) SELECT x FROM p", "SELECT k AS x FROM people WHERE name = 'Ann'"):
+        assert not {"Ann", "Bob"} & {r["x"] for r in guard.run(spark, sql, {"people": people}, {("people", "name")}).collect()}
+    assert guard.run(spark, "SELECT k FROM people WHERE name = 'Ann'", {"people": people}, {("people", "name")}).count() == 0
+
+
+def test_masking_by_place(spark):
+    df = spark.createDataFrame([("a", "b")], "x string, y string").select("x", "y", "x")
+    assert [tuple(r) for r in guard.masked_places(df, {2}).collect()] == [("a", "b", "[masked]")]
+
+
+def test_reach_leaves_null_seeds_out_both_ways(spark):
+    edges = spark.createDataFrame([(1, 2, "value"), (None, 3, "value"), (2, None, "value")], "source long, target long, kind string")
+    seeds = spark.createDataFrame([(1,), (None,)], "node long")
+    assert _reached(graph.reach(edges, seeds, small=0)) == _reached(graph.reach(edges, seeds, small=1000)) == {(1, 1, 0), (1, 2, 1)}
+
+
+def test_redaction_keeps_numbers_that_fail_their_check(spark):
+    text = "card 4111 1111 1111 1111, not 4111 1111 1111 1112; id 1000000008 not 1000000009; ip 10.0.0.1 not 999.1.1.1; SA0380000000608010167519 not SA0380000000608010167518; 0551234567"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(privacy.redacted(F.col("t")).alias("r"))
+    marks = ("card_number", "national_id", "ip_address", "iban", "phone")
+    want = "card [redacted: {}], not 4111 1111 1111 1112; id [redacted: {}] not 1000000009; ip [redacted: {}] not 999.1.1.1; [redacted: {}] not SA0380000000608010167518; [redacted: {}]".format(*marks)
+    assert [r["r"] for r in df.collect()] == [want, None, ""]
+
+
+def test_redaction_of_json(spark):
+    df = spark.createDataFrame([('{"a": "mail x@y.org", "b": ["x@y.org", "z"], "n": 5}',)], "j string")
+    out = df.select(privacy.redacted_json(F.col("j"), "a string, b array<string>, n int").alias("r")).first()["r"]
+    assert out == '{"a":"mail [redacted: email]","b":["[redacted: email]","z"],"n":5}'
+
+
+def test_hijri_days_of_a_given_calendar(spark):
+    months = spark.createDataFrame([("2024-03-11", 1445, 9), ("2024-04-10", 1445, 10), ("2024-05-09", 1445, 11)], "d string, hijri_year int, hijri_month int").select(F.col("d").cast("date").alias("first_day"), "hijri_year", "hijri_month")
+    days = spark.createDataFrame([("2024-03-10",), ("2024-03-11",), ("2024-04-09",), ("2024-04-10",), ("2024-05-09",)], "d string").select(F.col("d").cast("date").alias("d"))
+    got = [(r["hijri_year_month"], r["hijri_day"], r["hijri_month_name"]) for r in warehouse.hijri(days, "d", months).orderBy("d").collect()]
+    assert got == [(None, None, None), (144509, 1, "Ramadan"), (144509, 30, "Ramadan"), (144510, 1, "Shawwal"), (None, None, None)]
+
+
+def _plain_mmr(rows, limit, weight=0.7):
+    left, taken = sorted(rows, key=lambda r: (-r[0], r[1:])), []
+    low = min(0, *(r[0] for r in rows))
+    span = max(r[0] for r in rows) - low or 1
+    while left and len(taken) < limit:
+        gains = [weight * (r[0] - low) / span - (1 - weight) * max([0.0, *(0.0 if r[2] != t[2] else 1.0 if r[3] == t[3] else 0.3 for t in taken)]) for r in left]
+        taken.append(left.pop(gains.index(max(gains))))
+    return [r[1] for r in taken]
+
+
+def test_diversity_agrees_with_a_plain_choice(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 25):
+        rows = [(rng.randrange(-3, 12) / 4, i, rng.randrange(3), rng.choice("ab")) for i in range(n)]
+        df = spark.createDataFrame(rows, "score double, id int, file_id int, section string")
+        assert [r["id"] for r in search.diversify(df, 10).orderBy("place").collect()] == _plain_mmr(rows, 10)
+    assert search.diversify(df.where("false"), 10).count() == 0
+
+
+def test_rename_pairs_are_taken_best_first(spark):
+    rng = random.Random(9)
+    rows = [(f"a{i}", f"b{j}", rng.randrange(5) / 4) for i in range(9) for j in range(9) if rng.random() < 0.6]
+    used, want = set(), set()
+    for a, b, c in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((a, b, c))
+    got = snapshots.greedy_pairs(spark.createDataFrame(rows, "from_name string, to_name string, confidence double"))
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_html_text(spark):
