@@ -7,7 +7,7 @@ anchors, and only there, the repeat is extended word by word to its full length:
 are compared exactly across documents, and those that also start in a document with a smaller doc_id are removed. Their
 union is the maximal repeat.
 
-As jobs: (1) each task sends its probes, packed by hash bucket, 4 bytes a probe; (2) a bucket finds the anchors and
+As jobs: (1) each task sends its probes, packed by hash bucket, each hash once for a group of documents; (2) a bucket finds the anchors and
 answers each group of documents with the anchor hashes it has; (3) the groups' tasks meet their texts again, extend, and
 ask for the smallest document of each window, one question for a window and group; (4) buckets answer; (5) the tasks
 remove. A passage in a third of all documents costs a question for each group, not one for each pair of documents.
@@ -39,7 +39,7 @@ _SALT = np.uint64(0xA0761D6478BD642F)
 
 def _key(h: np.ndarray, buckets: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of a hash and the 32 bits that are sent within the bucket."""
-    return (h % buckets).astype(np.uint16), ((h // buckets) & _LOW).astype(np.uint32)
+    return (h % buckets).astype(np.uint32), ((h // buckets) & _LOW).astype(np.uint32)
 
 
 def _split(order_keys: np.ndarray) -> list[tuple[int, int, int]]:
@@ -52,7 +52,10 @@ def _split(order_keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _probes(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """(bucket, payload): per task and bucket the probes of many documents; aligned ones are the reference blocks."""
+    """(bucket, payload): per task and bucket the probes of many documents, one for each hash and group of documents.
+
+    Two bits say whether one of them is a reference block, and whether several documents of the task have the hash.
+    """
     nb = np.uint64(buckets)
 
     def send(batches):
@@ -62,12 +65,25 @@ def _probes(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
             h = np.concatenate([x[0] for x in gathered])
             doc = np.concatenate([x[1] for x in gathered])
             aligned = np.concatenate([x[2] for x in gathered])
-            g = np.array(table, np.uint16)
+            g = np.array(table, np.uint32)[doc]
             bucket, rest = _key(h, nb)
-            order = np.argsort(bucket, kind="stable")
-            bucket, rest, doc, aligned = bucket[order], rest[order], doc[order], aligned[order]
-            runs = _split(bucket)
-            blobs = [P.pack(rest[a:b], doc[a:b], np.packbits(aligned[a:b]), g) for _, a, b in runs]
+            key = (bucket.astype(np.uint64) << np.uint64(32)) | rest
+            order = np.argsort(key, kind="stable")
+            key, doc, aligned, g = key[order], doc[order], aligned[order], g[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(key)))
+            several = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), sizes)
+            aligned = np.repeat(np.logical_or.reduceat(aligned, starts), sizes)
+            again = np.flatnonzero(np.repeat(sizes > 1, sizes))  # only these can hold a hash and group twice
+            again = again[np.lexsort((g[again], key[again]))]
+            twice = again[1:][(key[again[1:]] == key[again[:-1]]) & (g[again[1:]] == g[again[:-1]])]
+            keep = np.ones(len(key), bool)
+            keep[twice] = False
+            key, g, several, aligned = key[keep], g[keep], several[keep], aligned[keep]
+            rest, runs = (key & _LOW).astype(np.uint32), _split((key >> np.uint64(32)).astype(np.int64))
+            blobs = [P.pack(rest[a:b], g[a:b], np.packbits(aligned[a:b]), np.packbits(several[a:b])) for _, a, b in runs]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
 
         for batch in batches:
@@ -96,30 +112,28 @@ def _anchors(probes: DataFrame, buckets: int) -> DataFrame:
     """(g, kind 0, payload): for each group of documents the hashes it shares with another document's reference block."""
 
     def meet(key, table):
-        bucket, rests, docs, aligned, tables, base = key[0].as_py(), [], [], [], [], 0
+        bucket, rests, groups_of, aligned, several = key[0].as_py(), [], [], [], []
         for blob in table.column("payload").to_pylist():
-            rest, doc, bits, g = P.unpack(blob, np.uint32, np.uint16, np.uint8, np.uint16)
+            rest, g, bits, more = P.unpack(blob, np.uint32, np.uint32, np.uint8, np.uint8)
             rests.append(rest)
-            docs.append(doc.astype(np.uint32) + np.uint32(base))
+            groups_of.append(g)
             aligned.append(np.unpackbits(bits, count=len(rest)).astype(bool))
-            tables.append(g)
-            base += len(g)
-        rest, doc, aligned, g = np.concatenate(rests), np.concatenate(docs), np.concatenate(aligned), np.concatenate(tables)
+            several.append(np.unpackbits(more, count=len(rest)).astype(bool))
+        rest, g, aligned, several = np.concatenate(rests), np.concatenate(groups_of), np.concatenate(aligned), np.concatenate(several)
         order = np.argsort(rest, kind="stable")
         rest = rest[order]
         same = np.zeros(len(rest), bool)
         same[1:] = rest[1:] == rest[:-1]
-        many = same.copy()
-        many[:-1] |= same[1:]  # members of runs longer than one
-        rest, order = rest[many], order[many]
+        several, aligned, g = several[order], aligned[order], g[order]
+        many = same | several
+        many[:-1] |= same[1:]  # members of runs longer than one, or of one that stands for several documents
+        rest, g, aligned = rest[many], g[many], aligned[many]
         out_g, out_blob = [], []
         if len(rest):
-            doc, aligned = doc[order], aligned[order]
             starts = np.flatnonzero(np.diff(rest, prepend=rest[0] ^ np.uint32(1)))
             sizes = np.diff([*starts, len(rest)])
-            hit = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) & np.logical_or.reduceat(aligned, starts)
-            keep = np.repeat(hit, sizes)
-            pairs = np.unique((g[doc[keep]].astype(np.uint64) << np.uint64(32)) | rest[keep])
+            keep = np.repeat(np.logical_or.reduceat(aligned, starts), sizes)
+            pairs = np.unique((g[keep].astype(np.uint64) << np.uint64(32)) | rest[keep])
             gs, rs = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
             for group, a, b in _split(gs):
                 out_g.append(group)
@@ -151,7 +165,7 @@ def _questions(docs: DataFrame, anchors: DataFrame, groups: int, buckets: int) -
             starts = np.flatnonzero(new)
             lo, hi = doc[starts], doc[np.append(starts[1:], len(doc)) - 1]
             h1, h2 = h1[starts], h2[starts]
-            bucket = (h1 % nb).astype(np.uint16)
+            bucket = (h1 % nb).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             runs = _split(bucket[order])
             blobs = []
@@ -283,7 +297,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, and with_text the kept words joined by spaces."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = min(60_000, 2 * width(docs.sparkSession))
+    groups = P.groups_for(docs, width(docs.sparkSession))
     buckets = groups
     anchors = _anchors(_probes(docs, groups, buckets), buckets)
     answers = _answers(_questions(docs, anchors, groups, buckets))
