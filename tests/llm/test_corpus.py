@@ -102,32 +102,35 @@ def test_mix_of_a_row_that_a_third_of_the_table_repeats(spark):
 
 def brute_scores(docs, targets):
     edge = object()
-    words = {d: WORD.findall(t or "") for d, t in docs}
-    vocabulary = [w for w, _ in Counter(w for ws in words.values() for w in ws).most_common()]
-    assert len(vocabulary) < lm.VOCABULARY
-    models = []
-    for pick in (targets, set(words)):
-        uni, bi, seen = Counter(), Counter(), Counter()
-        for d in pick & set(words):
-            line = [edge, *words[d], edge]
-            uni.update(words[d])
-            uni[edge] += 1
-            bi.update(itertools.pairwise(line))
-            seen.update(line[:-1])
-        total, size = sum(uni.values()), lm.VOCABULARY + 2
-        models.append(lambda v, w, uni=uni, bi=bi, seen=seen, total=total, size=size: -math.log((bi[v, w] + lm.K * (uni[w] + 1) / (total + size)) / (seen[v] + lm.K)))
+    lines = {d: [edge, *WORD.findall(t or ""), edge] for d, t in docs}
+    count = lambda ds: (Counter(w for d in ds for w in lines[d][1:]), Counter(b for d in ds for b in itertools.pairwise(lines[d])))
+    chosen = set(targets) & set(lines)
+    models = {"target": count(chosen), "background": count(lines)}
+    size, mass = len(models["background"][0]), sum(models["target"][0].values())
+    everything = sum(models["background"][0].values())
     out = {}
-    for d, ws in words.items():
-        line = list(itertools.pairwise([edge, *ws, edge]))
-        out[d] = (len(line), *(sum(m(v, w) for v, w in line) / len(line) for m in models))
+    for d, line in lines.items():
+        own_words, own_pairs = Counter(line[1:]), Counter(itertools.pairwise(line))
+        mean = []
+        for name, share in (("target", 1.0), ("background", mass / everything if mass else 1.0)):
+            words, pairs = models[name]
+            mine = name == "background" or d in chosen
+            n = lambda w: share * (words[w] - mine * own_words[w])  # noqa: B023, E731
+            c = lambda v, w: share * (pairs[v, w] - mine * own_pairs[v, w])  # noqa: B023, E731
+            whole = mass if name == "target" or mass else everything
+            loss = [-math.log((c(v, w) + lm.K * (n(w) + 1) / (whole + size)) / (n(v) + lm.K)) for v, w in itertools.pairwise(line)]
+            mean.append(sum(loss) / len(loss))
+        out[d] = (len(line) - 1, *mean)
     return out
 
 
-def test_lm_scores_agree_with_plain_counts(spark):
+@pytest.mark.parametrize(("targets", "hot"), [(set(range(0, 120, 4)), 2000), (set(range(0, 120, 4)), 30), (set(), 30)])
+def test_lm_scores_agree_with_plain_counts(spark, monkeypatch, targets, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
     rng = random.Random(3)
     docs = [(i, " ".join(f"v{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randrange(0, 120)))) for i in range(120)] + [(500, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    targets = set(range(0, 120, 4)) | {9999}
+    targets = targets | {9999}
     got = {r["doc_id"]: r for r in lm.score(df, spark.createDataFrame([(t,) for t in targets], "doc_id long")).collect()}
     expected = brute_scores(docs, targets)
     assert set(got) == set(expected)
