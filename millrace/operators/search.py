@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,29 +158,95 @@ def idf_rank(items: DataFrame, query: str, name_weight: int = 3) -> DataFrame:
     return items.select("name").join(scored.groupBy(F.col("name").alias("sn")).agg(F.sum(part).alias("score")), F.col("name") == F.col("sn"), "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _pieces(text: str, most: int, overlap: int) -> list[str]:
-    """Paragraphs and sentences packed to pieces of at most `most` words, each starting with the last words of the one before."""
-    units = [u for p in re.split(r"\n\s*\n|\f", text) for u in re.split(r"(?<=[.!?])\s+|\n", p) if u.strip()]
-    out, now = [], []
-    for unit in units:
-        words = unit.split()
-        while words:
-            if len(now) + len(words) > most and len(now) > overlap:
-                out.append(" ".join(now))
-                now = now[-overlap:] if overlap else []
-            room = most - len(now)
-            now, words = now + words[:room], words[room:]
-    if now:
-        out.append(" ".join(now))
+# Tokens of a passage and of its parent (aimed at, at most), and tokens that neighbouring passages share.
+CHILD, PARENT, OVERLAP = (250, 375), (1000, 1500), 40
+_HEADING = re.compile(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*$")
+_TABLE = re.compile(r"(?m)^[ \t]*\|.*\|[ \t]*\n[ \t]*\|[ \t:|-]*-[ \t:|-]*\|[ \t]*(?:\n[ \t]*\|.*\|[ \t]*)*")
+_FINER = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+")
+
+
+def tokens(text: str) -> int:
+    """An estimate of a text's tokens: four characters make one."""
+    return -(-len(text) // 4)
+
+
+def _units(text: str, most: int) -> list[str]:
+    """A text in pieces of at most `most` tokens: cut at paragraphs, what is too long at lines, then sentences, then words."""
+    pieces = [text.strip()]
+    for separator in _FINER:
+        pieces = [x.strip() for p in pieces for x in ([p] if tokens(p) <= most else re.split(separator, p))]
+    return [x for p in pieces if p for x in ([p] if tokens(p) <= most else textwrap.wrap(p, 4 * most))]
+
+
+def _rows(table: str, most: int) -> list[str]:
+    """A table in texts of at most `most` tokens, each with the header; a row that is too long is cut."""
+    head, rule, *body = [line.strip() for line in table.splitlines()]
+    header = f"{head}\n{rule}"
+    room = most - tokens(header) - 1
+    if room < 1:
+        return _units(table, most)
+    out, at = [], ""
+    for row in (x for line in body for x in ([line] if tokens(line) <= room else textwrap.wrap(line, 4 * room))):
+        if at and tokens(f"{at}\n{row}") > room:
+            out.append(f"{header}\n{at}")
+            at = ""
+        at = f"{at}\n{row}" if at else row
+    return [*out, f"{header}\n{at}"] if at else out
+
+
+def _sections(text: str):
+    """(heading, page, text) of each stretch under one heading on one page; a page goes on with the heading before it."""
+    heading, paged = None, "\f" in text
+    for number, page in enumerate(text.split("\f"), 1):
+        marks = list(_HEADING.finditer(page))
+        for m, until in zip([None, *marks], [*(x.start() for x in marks), len(page)], strict=True):
+            heading = m[1] if m else heading
+            yield heading, number if paged else None, page[m.end() if m else 0 : until]
+
+
+def passages(text: str, aim: int, most: int, overlap: int = 0) -> list[tuple[str | None, int | None, str]]:
+    """(heading, page, passage) of a text, in order: about `aim` tokens each and never more than `most`.
+
+    A passage never crosses a page, a heading or a table; tables stand alone, split by rows under a repeated header. Prose
+    passages of one stretch share their last `overlap` tokens, as whole words, with the next.
+    """
+    out = []
+    for heading, page, part in _sections(text):
+        at, now = 0, ""
+        tables = [(m.start(), m.end(), m[0]) for m in _TABLE.finditer(part)]
+        for start, end, table in [*tables, (len(part), len(part), None)]:
+            for unit in _units(part[at:start], min(aim, most - overlap)):
+                if now and tokens(f"{now}\n\n{unit}") > aim:
+                    out.append((heading, page, now))
+                    tail = now[-4 * overlap :].partition(" ")[2] if overlap else ""
+                    now = tail if tail and tokens(f"{tail}\n\n{unit}") <= most else ""
+                now = f"{now}\n\n{unit}" if now else unit
+            if now:
+                out.append((heading, page, now))
+            if table:
+                out += [(heading, page, x) for x in _rows(table, most)]
+            at, now = end, ""
     return out
 
 
-def chunked(docs: DataFrame, most: int = 200, overlap: int = 20, parents: int = 5) -> DataFrame:
-    """(doc_id, chunk, parent, text): the pieces of each text; each `parents` neighbouring chunks have one parent."""
+def chunked(docs: DataFrame, child: tuple[int, int] = CHILD, parent: tuple[int, int] = PARENT, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, parent, chunk, section, page, text, parent_text): passages to embed, cut from larger parents of about 1 000 tokens.
+
+    section is the heading, or "Part n" by the parent's number where there is none; page is null in texts without page breaks.
+    """
 
     def cut(batches):
         for pdf in batches:
-            rows = [(d, i, i // parents, piece) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for i, piece in enumerate(_pieces(t, most, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "parent", "text"])
-
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk int, parent int, text string")
+            rows, names = [], ["doc_id", "parent", "chunk", "section", "page", "text", "parent_text"]
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                n = 0
+                for p, (heading, page, whole) in enumerate(passages(text or "", *parent)):
+                    for _, _, piece in passages(whole, *child, overlap):
+                        rows.append((doc_id, p, n, heading or f"Part {p + 1}", page, piece, whole))
+                        n += 1
+                if len(rows) > 5000:
+                    yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+
+    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, parent int, chunk int, section string, page int, text string, parent_text string")

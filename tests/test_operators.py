@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,31 @@ def test_rename_pairs_are_taken_best_first(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_passages_keep_pages_headings_and_tables_apart():
+    rng = random.Random(3)
+    sentence = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(4, 25))) + "."
+    prose = lambda n: "\n\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    table = "| a | b |\n|---|:-:|\n" + "\n".join(f"| {i} | {'x' * 60} |" for i in range(60))
+    text = prose(6) + "\n# One\n" + prose(9) + "\n" + table + "\nafter the table\n\f" + prose(3) + "\n## Two\n" + "y" * 9000
+    got = search.passages(text, 250, 375, 40)
+    assert all(search.tokens(p) <= 375 for _, _, p in got) and {h for h, _, _ in got} == {None, "One", "Two"} and {p for _, p, _ in got} == {1, 2}
+    assert [h for h, p, _ in got if p == 2][0] == "One"
+    tables = [p for _, _, p in got if p.startswith("| a | b |")]
+    assert len(tables) > 1 and [line for t in tables for line in t.splitlines()[2:]] == table.splitlines()[2:]
+    bare = search.passages(text, 250, 375)
+    words = lambda t: re.findall(r"w[0-9]+", t)
+    assert [w for _, _, p in bare for w in words(p)] == words(text) and sum(p.count("y") for _, _, p in bare) == 9000
+    assert search.passages("", 10, 20) == [] and search.passages("one", 10, 20) == [(None, None, "one")]
+
+
+def test_chunks_belong_to_their_parents(spark):
+    text = "# T\n" + "\n\n".join(" ".join(f"a{i}b{j}" for j in range(60)) + "." for i in range(40))
+    rows = search.chunked(spark.createDataFrame([(1, text), (2, None), (3, "short")], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == {1, 3} and len({r["parent"] for r in rows if r["doc_id"] == 1}) > 1
+    assert [r["chunk"] for r in rows if r["doc_id"] == 1] == list(range(len(rows) - 1))
+    assert all(set(r["text"].split()) <= set(r["parent_text"].split()) for r in rows) and {r["section"] for r in rows} == {"T", "Part 1"}
+
+
 def test_html_text(spark):
     page = "<html><style>p{}</style><script>var x = '<b>';</script><!-- no --><p>A &amp; B&nbsp;C</p>\n<b>d</b></html>"
     df = spark.createDataFrame([(page,), (None,)], "html string").select(files.html_text(F.col("html")).alias("t"))
