@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir), docs with the columns of `documents`, and returns a DataFrame; run() writes each
 stage's result as Parquet and reads it back as the next one's docs. All stages but the last return docs' own columns.
+
+Defined cases, of docs with any further columns: a null, empty or letterless text goes at language identification, and of
+what is left nothing is null. Rows without a doc_id pass near-duplicate removal and are mixed and sharded like others. Rows
+equal in doc_id and text are one document there, and one of them stays; several texts under one doc_id all stay. In
+decontamination they go together when one of them holds an item. Equal rows that are mixed in more than once are shards' rows
+of their own. Ties are broken by doc_id or by a hash of the row, so reruns agree. An empty table gives an empty result with
+the same columns, as does one from which no language can be learnt.
 """
 
 from __future__ import annotations

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import stored
+
 TOP_N, PATTERN_SAMPLE, PATTERN_SHARE = 10, 200, 0.8
 MOSTLY_NULL, DROP, DAYS_PER_MONTH = 50.0, 0.2, 30.44
 
@@ -30,21 +34,45 @@ def kind_of(data_type: T.DataType) -> str:
     return "ordered"
 
 
-def column_profile(df: DataFrame, row_cap: int | None = None) -> DataFrame:
+def column_profile(df: DataFrame, row_cap: int | None = None, approximate: bool = False) -> DataFrame:
     """One row for each column: row_count, null_count, null_pct, distinct_count, min, max, avg_length, max_length.
 
-    All columns are profiled in one aggregation over one scan. row_cap profiles the first rows only (in no set order), as
-    an explicit sampling of the caller's. Distinct counts are exact; one column's distinct values never meet in one task,
-    Catalyst expands them to (column, value) groups with partial aggregation.
+    Distinct counts are exact: each column is grouped by its values, with partial counts before the shuffle, and all its
+    figures come from those groups; a scan reads that column alone. With `approximate` they are estimates (HyperLogLog), and
+    all columns are profiled in one aggregation over one scan: for wide tables of mostly unique columns. row_cap profiles
+    the first rows only (in no set order), as an explicit sampling of the caller's.
     """
     if row_cap is not None:
-        df = df.limit(row_cap)
+        df = stored(df.limit(row_cap), "profiled")
+    if approximate:
+        return _one_pass(df)
+    parts = []
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), kind_of(field.dataType)
+        if kind == "other":
+            figures = df.agg(F.count(F.lit(1)).alias("rows"), F.count(c).alias("n"))
+        else:
+            groups = df.select(c.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+            figures = groups.agg(
+                F.coalesce(F.sum("k"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0)).alias("n"), F.count("v").alias("d"), F.min("v").cast("string").alias("lo"), F.max("v").cast("string").alias("hi"),
+                *([F.sum(F.char_length("v") * F.col("k")).alias("chars"), F.max(F.char_length("v")).alias("ml")] if kind == "text" else []),
+            )
+        pick = lambda name, t: (F.col(name) if name in figures.columns else F.lit(None)).cast(t)  # noqa: B023, E731
+        nulls = F.col("rows") - F.col("n")
+        parts.append(figures.select(
+            F.lit(field.name).alias("column_name"), F.col("rows").alias("row_count"), nulls.alias("null_count"), F.when(F.col("rows") > 0, F.lit(100.0) * nulls / F.col("rows")).otherwise(F.lit(0.0)).alias("null_pct"),
+            pick("d", "long").alias("distinct_count"), pick("lo", "string").alias("min_value"), pick("hi", "string").alias("max_value"), (F.try_divide(pick("chars", "double"), F.col("n"))).alias("avg_length"), pick("ml", "int").alias("max_length"),
+        ))
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+def _one_pass(df: DataFrame) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("__rows")]
     for i, field in enumerate(df.schema.fields):
         c, kind = F.col(f"`{field.name}`"), kind_of(field.dataType)
         aggregates.append(F.count(c).alias(f"n{i}"))
         if kind != "other":
-            aggregates += [F.count_distinct(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
+            aggregates += [F.approx_count_distinct(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
         if kind == "text":
             aggregates += [F.avg(F.char_length(c)).alias(f"al{i}"), F.max(F.char_length(c)).alias(f"ml{i}")]
     wide = df.agg(*aggregates)
