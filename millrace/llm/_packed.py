@@ -138,7 +138,8 @@ def packed_docs(docs: DataFrame, groups: int) -> DataFrame:
 
     A payload is the Arrow stream of a few hundred kB of documents; doc_documents() opens it.
     """
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))  # rows without a doc_id are dealt by their text
+    keyed = docs.select(F.pmod(F.xxhash64(place), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def pack_up(batches):
         waiting: dict[int, list] = {}

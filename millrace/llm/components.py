@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label among its own, its neighbours' and its label's, so labels travel at least
     twice as far each round; rounds grow with the logarithm of the longest path. Every round is written to the shared
-    folder. Minima have partial sums, so the centre of a large star is no large group.
+    folder. Minima have partial sums, so the centre of a large star is no large group. Edges with a null end and loops are
+    left out: a node without another edge has no row.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "cc-edges")

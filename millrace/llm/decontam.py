@@ -5,7 +5,9 @@ documents hold short items, so Jaccard similarity says nothing; containment is s
 partitioned by size (doubling classes of their shingle count). An item's sketch is its m minimum shingle hashes, and m comes
 from the upper bound b of its partition: m = b - ceil(threshold * b) + 1. At most q - ceil(threshold * q) of an item's q
 shingles may be missing, so by the pigeonhole principle a document that contains it holds one of its m minimum hashes: the
-search loses nothing, and the sketch is about a fifth of the item. Every shingle hash of every document probes the sketches;
+search loses nothing, and the sketch is about a fifth of the item. A partition differs from others only in m and in the
+shingles a document must have, so all are searched in one pass over the documents, each entry with its partition's need:
+partitions searched one by one would read the documents once for each and find the same. Every shingle hash of every document probes the sketches;
 documents with fewer shingles than an item of the partition needs are passed over. The hits are verified by counting exact
 shingles, as text, in the documents hit.
 
