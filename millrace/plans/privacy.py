@@ -70,7 +70,14 @@ def iban_valid(spark, sf_dir):
     return c.where(V.iban(iban)).select("c_custkey")
 
 
-@query()
+_RULES = "[" + ", ".join(f"'{r}'" for r in V.VALIDATORS) + "]"
+_VALID_EMAIL = r"regexp_full_match(v, '[\w.%+\-]+@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}')"
+
+
+@query(
+    f"WITH m AS (SELECT unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents), n AS (SELECT count(*) AS total, count(*) FILTER (WHERE {_VALID_EMAIL}) AS hits FROM m), r AS (SELECT unnest({_RULES}) AS rule), c AS (SELECT unnest(['contact', 'note']) AS column_name), "
+    "x AS (SELECT column_name, rule, CASE WHEN column_name = 'contact' AND rule = 'email' THEN hits ELSE 0 END AS matched, total FROM c, r, n) SELECT *, CASE WHEN total > 0 THEN matched / total ELSE 0.0 END::DOUBLE AS ratio FROM x"
+)
 def pii_value_scan(spark, sf_dir):
     emails = extract_emails(spark, sf_dir).select(F.col("value").alias("contact"), F.lit("-").alias("note"))
     return privacy.value_scan(emails)

@@ -79,6 +79,19 @@ def score_by_table(spark, sf_dir):
     return score.table_scores(_findings(spark, sf_dir))
 
 
+@query(
+    f"WITH f AS ({_FINDINGS}), t AS (SELECT table_id, round(100.0 * sum(CASE WHEN passed THEN {_WEIGHT} ELSE 0 END) / sum({_WEIGHT}), 2) AS score FROM f GROUP BY 1), n AS (SELECT CAST(p_partkey % 97 AS VARCHAR) AS id, count(*) AS n FROM part WHERE p_partkey % 97 < 80 GROUP BY 1), "
+    "l AS (SELECT CASE WHEN CAST(table_id AS INTEGER) % 3 = 0 THEN 'mart' ELSE 'core' END AS layer, score, coalesce(n, 1) AS w FROM t LEFT JOIN n ON table_id = id), s AS (SELECT layer, round(sum(score * w) / sum(w), 2) AS score FROM l GROUP BY 1), b AS (SELECT layer, max(severity = 'error' AND NOT passed) AS bad FROM f GROUP BY 1), "
+    "g AS (SELECT s.layer, score, bad, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS g FROM s JOIN b ON s.layer = b.layer) SELECT layer, score, CASE WHEN bad AND g IN ('A', 'B') THEN 'C' ELSE g END AS grade FROM g"
+)
+def score_by_layer(spark, sf_dir):
+    """Layers' scores, tables weighted by how many columns they have; the parts stand for columns."""
+    found = _findings(spark, sf_dir)
+    tables = found.select("table_id", F.when(F.col("table_id").cast("int") % 3 == 0, "mart").otherwise("core").alias("layer")).distinct()
+    columns = table(spark, sf_dir, "part").where("p_partkey % 97 < 80").select((F.col("p_partkey") % 97).alias("table_id"))
+    return score.layer_scores(found, tables, columns)
+
+
 @query(
     f"WITH f AS ({_FINDINGS}), s AS (SELECT round(100.0 * sum(CASE WHEN passed THEN {_WEIGHT} ELSE 0 END) / sum({_WEIGHT}), 2) AS score, max(severity = 'error' AND NOT passed) AS bad FROM f), "
     "g AS (SELECT score, bad, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS g FROM s) SELECT score, CASE WHEN bad AND g IN ('A', 'B') THEN 'C' ELSE g END AS grade, bad AND g IN ('A', 'B') AS capped FROM g"
