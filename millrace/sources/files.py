@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import zipfile
 from dataclasses import dataclass, field
 from typing import Protocol
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import prepare, stored
+
 
 class Source(Protocol):
     """What a source offers: its tables, a whole table, and a capped sample."""
@@ -78,19 +85,66 @@ class Jdbc:
         return reader.load()
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _workbook(content: bytes) -> dict[str, list[list[str | None]]]:
+    """The rows of each sheet of a workbook, cells as text."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    tree = lambda name: ElementTree.fromstring(book.read(name))
+    shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+    targets = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in tree("xl/_rels/workbook.xml.rels")}
+    out = {}
+    for sheet in tree("xl/workbook.xml").iter(f"{_SHEET}sheet"):
+        rows: list[list[str | None]] = []
+        for row in tree("xl/" + targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]).iter(f"{_SHEET}row"):
+            cells: list[str | None] = []
+            for c in row.iter(f"{_SHEET}c"):
+                letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                at = functools.reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0) - 1 if letters else len(cells)
+                value, inline = c.find(f"{_SHEET}v"), c.find(f"{_SHEET}is")
+                text = "".join(t.text or "" for t in inline.iter(f"{_SHEET}t")) if inline is not None else None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text
+                cells += [None] * (at - len(cells)) + [text]
+            rows.append(cells)
+        out[sheet.get("name")] = rows
+    return out
+
+
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row, cells) of every sheet of the workbooks at path: each is read in a task, a workbook being small by format."""
+
+    def read(frames):
+        for pdf in frames:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = [(where, name, i + 1, cells) for name, sheet in _workbook(content).items() for i, cells in enumerate(sheet)]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells"])
+
+    prepare(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(read, "path string, sheet string, row int, cells array<string>")
+
+
 def xlsx(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A workbook's sheet, all cells as text. Needs openpyxl, and the file on the driver: workbooks are small by format."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        raise RuntimeError("reading XLSX needs openpyxl") from None
-    import pandas as pd
-
-    found = pd.read_excel(path, sheet_name=None, dtype=str)
-    name = list(found)[sheet] if isinstance(sheet, int) else sheet
-    if name not in found:
-        raise ValueError(f"sheet_not_found: {name}; there are {', '.join(found)}")
-    return spark.createDataFrame(found[name].fillna(""))
+    """A workbook's sheet, by name or place, all cells as text under the names of its first row; empty cells are empty texts."""
+    rows = stored(workbook_rows(spark, path), "workbook")
+    names = [r["sheet"] for r in rows.where("row = 1").select("sheet").collect()]  # one for each sheet
+    name = names[sheet] if isinstance(sheet, int) else sheet
+    own = rows.where(F.col("sheet") == name)
+    head = own.where("row = 1").select("cells").first()
+    if head is None:
+        raise ValueError(f"sheet_not_found: {name}; there are {', '.join(names)}")
+    return own.where("row > 1").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c or f"col{i + 1}") for i, c in enumerate(head["cells"])])
+
+
+def catalog(source: Source, schema: str = "main") -> DataFrame:
+    """(schema, table, column, ordinal, data_type, nullable) of all tables of a source, as their readers see them."""
+    spark, rows = None, []
+    for name in source.tables():
+        df = source.read(name)
+        spark = df.sparkSession
+        rows += [(schema, name, f.name, i + 1, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
+    spark = spark or SparkSession.getActiveSession()
+    return spark.createDataFrame(rows, "schema string, table string, column string, ordinal int, data_type string, nullable boolean")
 
 
 # File signatures and the extensions that may carry them.

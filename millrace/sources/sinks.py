@@ -30,18 +30,39 @@ _DDL = {
 }
 
 
-def create_table(name: str, schema: T.StructType, platform: str = "spark") -> str:
-    """CREATE TABLE text of a schema; no data moves."""
-    quote = {"spark": "`{}`", "postgresql": '"{}"', "sqlserver": "[{}]"}[platform]
+_DDL |= {
+    "oracle": {"long": "NUMBER(19)", "integer": "NUMBER(10)", "short": "NUMBER(5)", "double": "BINARY_DOUBLE", "float": "BINARY_FLOAT", "string": "CLOB", "boolean": "NUMBER(1)", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"},
+    "snowflake": {"long": "BIGINT", "integer": "INTEGER", "short": "SMALLINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP_TZ", "timestamp_ntz": "TIMESTAMP_NTZ", "binary": "BINARY"},
+    "bigquery": {"long": "INT64", "integer": "INT64", "short": "INT64", "double": "FLOAT64", "float": "FLOAT64", "string": "STRING", "boolean": "BOOL", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "DATETIME", "binary": "BYTES"},
+}
+_QUOTE = {"spark": "`{}`", "bigquery": "`{}`", "sqlserver": "[{}]"}
+
+
+def create_table(name: str, schema: T.StructType, platform: str = "spark", key: list[str] = (), foreign: list[tuple[list[str], str, list[str]]] = ()) -> str:
+    """CREATE TABLE text of a schema with its key, and an ALTER TABLE for each foreign key (columns, table, its columns)."""
+    quoted = lambda x: ".".join(_QUOTE.get(platform, '"{}"').format(p) for p in x.split("."))
+    listed = lambda xs: ", ".join(quoted(x) for x in xs)
     types = _DDL[platform]
 
     def one(f: T.StructField) -> str:
         t = f.dataType
         kind = f"DECIMAL({t.precision},{t.scale})" if isinstance(t, T.DecimalType) else types[t.typeName()]
-        return f"  {quote.format(f.name)} {kind}{'' if f.nullable else ' NOT NULL'}"
+        return f"  {quoted(f.name)} {kind}{'' if f.nullable else ' NOT NULL'}"
 
+    unforced = " NOT ENFORCED" if platform == "bigquery" else ""
+    lines = [one(f) for f in schema.fields] + ([f"  PRIMARY KEY ({listed(key)}){unforced}"] if key and platform != "spark" else [])
     tail = " USING parquet" if platform == "spark" else ""
-    return f"CREATE TABLE {'.'.join(quote.format(p) for p in name.split('.'))} (\n" + ",\n".join(one(f) for f in schema.fields) + f"\n){tail};"
+    out = [f"CREATE TABLE {quoted(name)} (\n" + ",\n".join(lines) + f"\n){tail};"]
+    if platform != "spark":
+        out += [f"ALTER TABLE {quoted(name)} ADD FOREIGN KEY ({listed(cs)}) REFERENCES {quoted(to)} ({listed(rs)}){unforced};" for cs, to, rs in foreign]
+    return "\n".join(out)
+
+
+def insert_unknown(name: str, schema: T.StructType, key: str, platform: str = "spark", value: int = -1) -> str:
+    """INSERT text of a dimension's unknown member: its surrogate key, empty texts where null is not allowed, else null."""
+    quoted = lambda x: ".".join(_QUOTE.get(platform, '"{}"').format(p) for p in x.split("."))
+    values = [str(value) if f.name == key else "NULL" if f.nullable else "'Unknown'" if isinstance(f.dataType, T.StringType) else str(value) for f in schema.fields]
+    return f"INSERT INTO {quoted(name)} ({', '.join(quoted(f.name) for f in schema.fields)}) VALUES ({', '.join(values)});"
 
 
 def pii_inventory(findings: DataFrame) -> DataFrame:
