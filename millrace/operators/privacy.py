@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -59,6 +60,18 @@ def name_rule(name: str, custom: list[tuple[str, str, float, str]] = ()) -> tupl
     return None
 
 
+def name_scan(columns: DataFrame, floor: float = RECORD_FROM) -> DataFrame:
+    """(column_name, rule, confidence) of the columns (column_id, column) whose names a rule fits, at least `floor` sure."""
+
+    @F.pandas_udf("rule string, confidence double")
+    def found(names: pd.Series) -> pd.DataFrame:
+        hits = [name_rule(n) if n is not None else None for n in names]
+        return pd.DataFrame([(h[0], max(floor, h[2])) if h else (None, None) for h in hits], columns=["rule", "confidence"])
+
+    named = columns.select(F.col("column_id").alias("column_name"), found("column").alias("f"))
+    return named.where("f.rule IS NOT NULL").select("column_name", "f.rule", "f.confidence")
+
+
 def value_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, rule, matched, total, ratio) for all rules and columns, in one pass with one aggregation."""
     columns = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer")]

@@ -147,3 +147,20 @@ def growth(points: DataFrame, key: str, at: str = "taken_at", size: str = "row_e
     facts = facts.withColumn("per_month", per_month).withColumn("dropped_at", F.col(f"low.{at}"))
     change = F.when(F.col("first") != 0, (F.col("latest") - F.col("first")) / F.col("first") * 100)
     return facts.select(key, "first", "latest", change.alias("change_pct"), "per_month", F.greatest(F.lit(0.0), F.col("latest") + F.col("per_month") * 12).alias("in_12_months"), "dropped_at")
+
+
+def source_summaries(tables: DataFrame, findings: DataFrame) -> DataFrame:
+    """(source, tables, documented_pct, profiled_pct, accepted, to_review, status) of each source.
+
+    tables: (source, description, profiled), a row for each table; findings: (source, status). A source is complete when all
+    its tables are documented and profiled and nothing waits for review, not_started when nothing has been done.
+    """
+    documented, profiled = F.count_if(F.coalesce(F.trim("description") != "", F.lit(False))), F.count_if("profiled")
+    per = tables.groupBy("source").agg(F.count(F.lit(1)).alias("tables"), documented.alias("d"), profiled.alias("p"))
+    found = findings.groupBy(F.col("source").alias("fs")).agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "suggested").alias("to_review"))
+    both = per.join(found, F.col("source") == F.col("fs"), "left").fillna(0, ["accepted", "to_review"])
+    nothing = (F.col("d") == 0) & (F.col("p") == 0) & (F.col("accepted") + F.col("to_review") == 0)
+    everything = (F.col("d") == F.col("tables")) & (F.col("p") == F.col("tables")) & (F.col("to_review") == 0)
+    share = lambda c: F.round(100.0 * F.col(c) / F.col("tables")).cast("long")
+    status = F.when(nothing, "not_started").when(everything, "complete").otherwise("in_progress")
+    return both.select("source", "tables", share("d").alias("documented_pct"), share("p").alias("profiled_pct"), "accepted", "to_review", status.alias("status"))

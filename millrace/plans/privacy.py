@@ -32,11 +32,19 @@ _DIGITS = "regexp_replace(h, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CAST({_DIGITS}[length({_DIGITS}) - i] AS INTEGER) * (1 + i % 2) - CASE WHEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INTEGER) * (1 + i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
 _MOD_97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(upper(regexp_replace(h, '[ -]', '', 'g')), 5) || substr(upper(regexp_replace(h, '[ -]', '', 'g')), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, d: (a * (CASE WHEN d > 9 THEN 100 ELSE 10 END) + d) % 97) = 1"
 _HOLDS = {"iban": _MOD_97, "ip_address": "list_max(list_transform(string_split(h, '.'), lambda x: CAST(x AS INTEGER))) <= 255", "card_number": f"{_LUHN} AND regexp_replace({_DIGITS}, substr({_DIGITS}, 1, 1), '', 'g') <> ''", "national_id": _LUHN, "iqama": _LUHN}
-_STEPS, _AT = [], "documents"
-for _k, (_rule, _pattern, _) in enumerate(privacy.REDACTIONS):
-    _hit = re.sub(r"\bh\b", "z[2]", f"CASE WHEN h <> '' AND {_HOLDS.get(_rule, 'TRUE')} THEN '[redacted: {_rule}]' ELSE h END")
-    _STEPS.append(f"s{_k} AS (SELECT doc_id, array_to_string(list_transform(list_zip(string_split_regex(text, '{_pattern}'), list_append(regexp_extract_all(text, '{_pattern}'), '')), lambda z: z[1] || {_hit}), '') AS text FROM {_AT})")
-    _AT = f"s{_k}"
+
+
+def redact_steps(source: str, keys: str) -> tuple[list[str], str]:
+    """Common table expressions that redact the texts of source, kept with its keys, and the last one's name."""
+    steps = []
+    for k, (rule, pattern, _) in enumerate(privacy.REDACTIONS):
+        hit = re.sub(r"\bh\b", "z[2]", f"CASE WHEN h <> '' AND {_HOLDS.get(rule, 'TRUE')} THEN '[redacted: {rule}]' ELSE h END")
+        steps.append(f"s{k} AS (SELECT {keys}, array_to_string(list_transform(list_zip(string_split_regex(text, '{pattern}'), list_append(regexp_extract_all(text, '{pattern}'), '')), lambda z: z[1] || {hit}), '') AS text FROM {source})")
+        source = f"s{k}"
+    return steps, source
+
+
+_STEPS, _AT = redact_steps("documents", "doc_id")
 
 
 @query(f"WITH {', '.join(_STEPS)} SELECT doc_id, md5(text) AS redacted FROM {_AT}")
