@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 import textwrap
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,6 +81,16 @@ def fuse(rankings: list[tuple[DataFrame, float, float]]) -> DataFrame:
     return both.groupBy("passage_id").agg(F.sum("part").alias("score"), F.max("good").alias("good")).where("good").select("passage_id", "score").orderBy(F.desc("score"), "passage_id")
 
 
+def stage_trace(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, passage_id, position, value) of the rankings that a search went through, each (passage_id, signal or score)."""
+    parts = []
+    for name, df in stages.items():
+        value = F.col("signal" if "signal" in df.columns else "score")
+        place = F.row_number().over(Window.orderBy(F.desc("v"), "passage_id")) - 1  # a pool of some dozens
+        parts.append(df.select("passage_id", value.alias("v")).select(F.lit(name).alias("stage"), "passage_id", place.cast("long").alias("position"), F.col("v").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def best_per_parent(ranked: DataFrame, parents: DataFrame) -> DataFrame:
     """The best passage of each parent (passage_id, file_id, parent_id): by score, then id."""
     p = parents.select(F.col("passage_id").alias("pp"), "file_id", "parent_id")

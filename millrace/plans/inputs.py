@@ -35,6 +35,33 @@ def pii_inventory(spark, sf_dir):
     return sinks.pii_inventory(spark.createDataFrame(found, "category string, column string, rule string"))
 
 
+_SHEETS = "t AS (SELECT p_partkey % 500 AS t FROM part), c AS (SELECT l_partkey % 520 AS t, l_suppkey % 40 AS c FROM lineitem), k AS (SELECT o_orderkey AS n, o_orderkey % 500 AS t, o_custkey % 45 AS c, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 530 END AS rt, CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS rn FROM orders)"
+
+
+@query(
+    f"WITH {_SHEETS}, kt AS (SELECT DISTINCT t FROM t), kc AS (SELECT DISTINCT t, c FROM c) SELECT 'duplicate_table' AS problem, 't' || t AS object FROM t GROUP BY t HAVING count(*) > 1 UNION ALL SELECT 'duplicate_column', 't' || t || '.c' || c FROM c GROUP BY t, c HAVING count(*) > 1 UNION ALL SELECT 'unknown_table', 't' || t || '.c' || c FROM c WHERE t NOT IN (SELECT t FROM kt) "
+    "UNION ALL SELECT 'unknown_reference', 'k' || n FROM k WHERE rt NOT IN (SELECT t FROM kt) UNION ALL SELECT 'reference_arity', 'k' || n FROM k WHERE rt IS NOT NULL AND rn = 2 UNION ALL SELECT 'unknown_column', 'k' || n FROM k WHERE (t, c) NOT IN (SELECT (t, c) FROM kc)"
+)
+def schema_import_of_parts(spark, sf_dir):
+    """The checks on sheets as large as the tables."""
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    tables = table(spark, sf_dir, "part").select(named("t", F.col("p_partkey") % 500).alias("table"))
+    columns = table(spark, sf_dir, "lineitem").select(named("t", F.col("l_partkey") % 520).alias("table"), named("c", F.col("l_suppkey") % 40).alias("column"))
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    constraints = o.select(named("t", k % 500).alias("table"), named("k", k).alias("name"), named("c", F.col("o_custkey") % 45).alias("columns"), F.when(k % 2 == 0, named("t", F.col("o_custkey") % 530)).alias("ref_table"), F.when(k % 6 == 0, "a,b").otherwise("a").alias("ref_columns"))
+    return files.schema_problems(tables, columns, constraints)
+
+
+@query(
+    "WITH f AS (SELECT o_orderpriority AS category, CASE WHEN o_custkey % 3 = 0 THEN '=' ELSE '' END || 'c' || (o_custkey % 11) AS c, 'r' || (o_orderkey % 5) AS r FROM orders), g AS (SELECT category, string_agg(DISTINCT c, '; ' ORDER BY c) AS columns, string_agg(DISTINCT r, '; ' ORDER BY r) AS rules FROM f GROUP BY 1) "
+    "SELECT category, CASE WHEN columns LIKE '=%' THEN chr(39) || columns ELSE columns END AS columns, rules FROM g"
+)
+def pii_inventory_of_orders(spark, sf_dir):
+    k = F.col("o_custkey")
+    column = F.concat(F.when(k % 3 == 0, "=").otherwise(""), F.lit("c"), (k % 11).cast("string"))
+    return sinks.pii_inventory(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), column.alias("column"), F.concat(F.lit("r"), (F.col("o_orderkey") % 5).cast("string")).alias("rule")))
+
+
 _GUARDED = "SELECT c_mktsegment, upper(c_name) AS shouted, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NOT NULL GROUP BY c_mktsegment, c_name HAVING count(*) > 0 ORDER BY c_mktsegment, c_name LIMIT 50"
 
 

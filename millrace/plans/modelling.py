@@ -50,8 +50,8 @@ def lookup_rules(spark, sf_dir):
     return M.lookup_problems(lookups, n.select(F.col("n_nationkey").alias("table_id"), F.col("n_regionkey").alias("scd_type")), keys)
 
 
-_LINES = "r AS (SELECT DISTINCT l_orderkey AS mapping_id, CASE WHEN l_orderkey % 2 = 0 THEN 'core' ELSE 'mart' END AS layer, CASE WHEN l_suppkey % 9 > 0 THEN 'T' || (l_suppkey % 5) END AS tab, 'C' || (l_partkey % 50) AS col, CASE WHEN l_linenumber % 2 = 0 THEN 'uses' ELSE 'value' END AS use FROM lineitem)"
-_COLUMNS = "c AS (SELECT s_suppkey AS input_id, CASE WHEN s_suppkey % 2 = 0 THEN 'staging' ELSE 'core' END AS cl, 't' || (s_suppkey % 5) AS ct, 'c' || (s_suppkey % 60) AS cc FROM supplier WHERE s_suppkey < 60)"
+_LINES = "r AS (SELECT DISTINCT l_orderkey AS mapping_id, CASE WHEN l_orderkey % 2 = 0 THEN 'core' ELSE 'mart' END AS layer, CASE WHEN l_suppkey % 9 > 0 THEN 'T' || (l_suppkey % 5) END AS tab, 'C' || CASE WHEN l_partkey % 7 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS col, CASE WHEN l_linenumber % 2 = 0 THEN 'uses' ELSE 'value' END AS use FROM lineitem)"
+_COLUMNS = "c AS (SELECT s_suppkey AS input_id, CASE WHEN s_suppkey % 2 = 0 THEN 'staging' ELSE 'core' END AS cl, 't' || (s_suppkey % 5) AS ct, 'c' || s_suppkey AS cc FROM supplier)"
 _RESOLVED = f"WITH {_LINES}, {_COLUMNS}, j AS (SELECT r.*, input_id FROM r LEFT JOIN c ON cl = CASE WHEN layer = 'core' THEN 'staging' ELSE 'core' END AND ct = lower(tab) AND cc = lower(col))"
 
 
@@ -59,10 +59,10 @@ def _resolved(spark, sf_dir):
     k = F.col("l_orderkey")
     refs = table(spark, sf_dir, "lineitem").select(
         k.alias("mapping_id"), F.when(k % 2 == 0, "core").otherwise("mart").alias("layer"), F.when(F.col("l_suppkey") % 9 > 0, F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string"))).alias("table"),
-        F.concat(F.lit("C"), (F.col("l_partkey") % 50).cast("string")).alias("column"), F.when(F.col("l_linenumber") % 2 == 0, "uses").otherwise("value").alias("use"),
+        F.concat(F.lit("C"), F.when(F.col("l_partkey") % 7 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).cast("string")).alias("column"), F.when(F.col("l_linenumber") % 2 == 0, "uses").otherwise("value").alias("use"),
     ).distinct()
     s = F.col("s_suppkey")
-    columns = table(spark, sf_dir, "supplier").where(s < 60).select(s.alias("column_id"), F.when(s % 2 == 0, "staging").otherwise("core").alias("layer"), F.concat(F.lit("t"), (s % 5).cast("string")).alias("table"), F.concat(F.lit("c"), (s % 60).cast("string")).alias("column"))
+    columns = table(spark, sf_dir, "supplier").select(s.alias("column_id"), F.when(s % 2 == 0, "staging").otherwise("core").alias("layer"), F.concat(F.lit("t"), (s % 5).cast("string")).alias("table"), F.concat(F.lit("c"), s.cast("string")).alias("column"))
     return M.resolved_inputs(refs, columns)
 
 

@@ -108,3 +108,18 @@ def finding_upsert(spark, sf_dir):
     old = spark.createDataFrame([("a", "email", 0.6, "accepted"), ("b", "email", 0.7, "suggested"), ("d", "email", 0.7, "rejected")], "column_name string, rule string, confidence double, status string")
     new = spark.createDataFrame([("a", "email", 0.9), ("b", "phone", 0.8), ("c", "iban", 0.9), ("d", "email", 0.5)], "column_name string, rule string, confidence double")
     return privacy.merged_findings(old, new)
+
+
+_KNOWN = "o AS (SELECT c_custkey AS c, ['email', 'phone', 'iban'][c_custkey % 3 + 1] AS rule, (c_custkey % 10) / 10.0 AS conf, ['suggested', 'accepted', 'rejected'][c_nationkey % 3 + 1] AS status FROM customer WHERE c_custkey % 4 > 0), n AS (SELECT c_custkey AS c, ['email', 'phone'][c_custkey % 2 + 1] AS rule, (c_custkey % 7) / 7.0 AS conf FROM customer WHERE c_custkey % 5 > 0)"
+
+
+@query(
+    f"WITH {_KNOWN}, j AS (SELECT coalesce(o.c, n.c) AS c, o.rule AS o_rule, o.conf AS o_conf, status, n.rule AS n_rule, n.conf AS n_conf, coalesce(n.conf > coalesce(o.conf, -1), FALSE) AS up FROM o FULL JOIN n ON o.c = n.c) SELECT c AS column_name, "
+    "CASE WHEN status IS NULL OR (status <> 'accepted' AND up) THEN n_rule ELSE o_rule END AS rule, CAST(greatest(o_conf, n_conf) AS DOUBLE) AS confidence, CASE WHEN status IS NULL OR (status = 'rejected' AND n_rule IS NOT NULL AND (n_rule <> o_rule OR up)) THEN 'suggested' ELSE status END AS status FROM j"
+)
+def finding_upsert_of_customers(spark, sf_dir):
+    """Findings of most customers merged with a new scan of others."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    old = c.where(k % 4 > 0).select(k.alias("column_name"), pick(("email", "phone", "iban"), k % 3).alias("rule"), ((k % 10) / 10.0).alias("confidence"), pick(("suggested", "accepted", "rejected"), F.col("c_nationkey") % 3).alias("status"))
+    return privacy.merged_findings(old, c.where(k % 5 > 0).select(k.alias("column_name"), pick(("email", "phone"), k % 2).alias("rule"), ((k % 7) / 7.0).alias("confidence")))

@@ -66,12 +66,12 @@ def retype_propagation(spark, sf_dir):
 def nullability_propagation(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     columns = p.select(k.alias("column_id"), (F.col("p_size") % 4 != 1).alias("nullable"), F.when(k % 9 == 0, "nk").otherwise("attribute").alias("role"))
-    return P.nullability_flags(_edges(spark, sf_dir), spark.range(0, 10**6, 5).select(F.col("id").alias("node")), columns)
+    return P.nullability_flags(_edges(spark, sf_dir), _edges(spark, sf_dir).select(F.col("source").alias("node")).distinct().where("node % 5 = 0"), columns)
 
 
 @query("SELECT DISTINCT p_partkey AS node, CASE WHEN p_size % 3 = 0 THEN 'flag' ELSE 'unmap' END AS action FROM part WHERE (p_partkey // 2) % 7 = 0")
 def removal_propagation(spark, sf_dir):
-    return P.removal_effects(_edges(spark, sf_dir), spark.range(0, 10**6, 7).select(F.col("id").alias("node")))
+    return P.removal_effects(_edges(spark, sf_dir), _edges(spark, sf_dir).select(F.col("source").alias("node")).distinct().where("node % 7 = 0"))
 
 
 @query(

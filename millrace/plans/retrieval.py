@@ -61,6 +61,29 @@ def rrf_fusion(spark, sf_dir):
     return search.fuse([(text, 1.0, search.TEXT_FLOOR), (vector, 0.8, search.COSINE_FLOOR)]).select("passage_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"{_BM25}, tx AS (SELECT passage_id, signal, row_number() OVER (ORDER BY signal DESC, passage_id) - 1 AS position FROM r ORDER BY signal DESC, passage_id LIMIT 20), "
+    f"vx AS (SELECT passage_id, signal, row_number() OVER (ORDER BY signal DESC, passage_id) - 1 AS position FROM (SELECT a.vec_id AS passage_id, {_COS} AS signal FROM embeddings a, embeddings b WHERE b.vec_id = 0) ORDER BY signal DESC, passage_id LIMIT 20), "
+    "u AS (SELECT passage_id, 1.0 / (60 + position + 1) AS part, signal >= 0.01 AS good FROM tx UNION ALL SELECT passage_id, 0.8 / (60 + position + 1), signal >= 0.3 FROM vx), fu AS (SELECT passage_id, sum(part) AS score FROM u GROUP BY passage_id HAVING max(good)) "
+    "SELECT 'text' AS stage, passage_id, position, round(signal, 6) AS value FROM tx UNION ALL SELECT 'vector', passage_id, position, round(signal, 6) FROM vx UNION ALL SELECT 'fused', passage_id, row_number() OVER (ORDER BY score DESC, passage_id) - 1, round(score, 6) FROM fu"
+)
+def stage_trace(spark, sf_dir):
+    """What each stage of a hybrid search ranked, and where."""
+    text, vector = search.text_rank(_passages(spark, sf_dir), _TEXT), search.vector_rank(_vectors(spark, sf_dir), _probe(spark, sf_dir))
+    fused = search.fuse([(text, 1.0, search.TEXT_FLOOR), (vector, 0.8, search.COSINE_FLOOR)])
+    return search.stage_trace({"text": text, "vector": vector, "fused": fused}).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "WITH g AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS p FROM lineitem WHERE l_linenumber % 3 = 2), h AS (SELECT c, min(l_linenumber - 1) AS first FROM lineitem JOIN g ON l_orderkey = c AND l_partkey = p WHERE l_linenumber > 1 GROUP BY c), a AS (SELECT DISTINCT c FROM g) "
+    "SELECT avg(CASE WHEN first < 3 THEN 1.0 ELSE 0.0 END) AS recall, avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 / (first + 1) END) AS mrr FROM a LEFT JOIN h USING (c)"
+)
+def retrieval_metrics_of_orders(spark, sf_dir):
+    """Every order is a case whose parts were found in the order of its lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("passage_id"), (F.col("l_linenumber") - 1).alias("position"))
+    return search.retrieval_metrics(lines.where("position > 0"), lines.where("position % 3 = 1").select("case_id", "passage_id").distinct())
+
+
 @query("SELECT * FROM (VALUES (0, 'a'), (1, 'd'), (2, 'b')) t(place, passage)")
 def mmr_select(spark, sf_dir):
     rows = [("a", 1.0, 1, "s1"), ("b", 0.95, 1, "s1"), ("c", 0.5, 1, "s1"), ("d", 0.75, 2, "s1")]

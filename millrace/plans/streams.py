@@ -39,3 +39,12 @@ def stale_jobs(spark, sf_dir):
     jobs = [(1, "running", "2024-01-01 00:00:00", 1), (2, "running", "2024-01-01 00:00:10", 3), (3, "running", "2024-01-01 00:01:50", 1), (4, "done", "2024-01-01 00:00:00", 1)]
     df = spark.createDataFrame(jobs, "job_id int, status string, heartbeat_at string, attempt int")
     return windows.stale_jobs(df, F.lit("2024-01-01 00:02:00").cast("timestamp")).select("job_id", "next")
+
+
+@query(
+    "SELECT o_orderkey AS job, CASE WHEN o_custkey % 5 < 3 THEN 'requeue' ELSE 'fail' END AS next FROM orders WHERE o_orderkey % 4 = 0 AND CAST(o_orderdate AS TIMESTAMP) < TIMESTAMP '1996-01-01' - INTERVAL 60 SECOND"
+)
+def stale_jobs_of_orders(spark, sf_dir):
+    """Orders as jobs whose last heartbeat was their date."""
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderkey") % 4 == 0, "running").otherwise("done").alias("status"), F.col("o_orderdate").cast("timestamp").alias("heartbeat_at"), (F.col("o_custkey") % 5).alias("attempt"))
+    return windows.stale_jobs(jobs, F.lit("1996-01-01 00:00:00").cast("timestamp")).select("job", "next")
