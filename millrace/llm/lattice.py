@@ -94,6 +94,20 @@ def cell_scale(n: int, threshold: float = THRESHOLD) -> float:
     return min(4.0, max(0.4, REACH * max(0.0, 1 - threshold) ** 0.5, even))
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """Components in four bytes each where nothing is lost, else in eight; the first byte says which."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return b"\4" + short.tobytes() if (short == v).all() else b"\10" + v.tobytes()
+
+
+def _units(packed: list[bytes]) -> np.ndarray:
+    """Packed vectors of one length as unit vectors in double precision, one a row."""
+    raw = np.vstack([np.frombuffer(p, np.float32 if p[0] == 4 else np.float64, offset=1) for p in packed]).astype(np.float64)
+    raw /= np.abs(raw).max(1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
 def _checked(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector, key): the components as doubles and a hash of them, both null where the vector is unusable."""
 
@@ -107,7 +121,7 @@ def _checked(vectors: DataFrame) -> DataFrame:
                     keys.append(None)
                 else:
                     v = np.where(v == 0, 0.0, v)
-                    out.append(v.tobytes())
+                    out.append(_packed(v))
                     keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary()), pa.array(keys, pa.binary())], names=["vec_id", "vector", "key"])
 
@@ -115,17 +129,19 @@ def _checked(vectors: DataFrame) -> DataFrame:
 
 
 def _meetings(originals: DataFrame, scale: float) -> DataFrame:
-    """(cell, home, node, mult, homes, vector): each original in its own and its neighbouring cells of every table."""
+    """(cell, home, node, mult, homes, vector): each original in its own and its neighbouring cells of every table.
+
+    The vectors go along: in 8 of a vector's dimensions a cell at the threshold's scale holds so many others that pairs of ids
+    for a later look-up would be larger than the vectors.
+    """
 
     def place(batches):
         for batch in batches:
             data = batch.column("vector").to_pylist()
-            sizes = np.array([len(v) // 8 for v in data])
+            sizes = np.array([(len(v) - 1) // v[0] for v in data])
             for dims in np.unique(sizes):
                 pick = np.flatnonzero(sizes == dims)
-                raw = np.vstack([np.frombuffer(data[i], np.float64) for i in pick])
-                peak = np.abs(raw).max(1, keepdims=True)
-                unit = raw / peak / np.linalg.norm(raw / peak, axis=1, keepdims=True)
+                unit = _units([data[i] for i in pick])
                 home, probed = cells(unit, scale)
                 homes = [h.tobytes() for h in home]
                 per = TABLES * (1 + PROBES)
@@ -135,12 +151,12 @@ def _meetings(originals: DataFrame, scale: float) -> DataFrame:
                     [
                         pa.array(cell.ravel().view(np.int64)), pa.array(np.tile(np.arange(per) % (1 + PROBES) == 0, len(pick))), batch.column("node").take(pa.array(rows)),
                         batch.column("mult").take(pa.array(rows)), pa.array(homes, pa.binary()).take(pa.array(np.repeat(np.arange(len(pick)), per))),
-                        pa.array([u.tobytes() for u in unit], pa.binary()).take(pa.array(np.repeat(np.arange(len(pick)), per))),
+                        batch.column("vector").take(pa.array(rows)),
                     ],
-                    names=["cell", "home", "node", "mult", "homes", "unit"],
+                    names=["cell", "home", "node", "mult", "homes", "vector"],
                 )
 
-    return originals.select("node", "mult", "vector").mapInArrow(place, "cell long, home boolean, node long, mult long, homes binary, unit binary")
+    return originals.select("node", "mult", "vector").mapInArrow(place, "cell long, home boolean, node long, mult long, homes binary, vector binary")
 
 
 def _compare(rows: dict, threshold: float, crossing: bool) -> tuple[list, list]:
@@ -194,7 +210,7 @@ def _linked(meetings: DataFrame, threshold: float, pieces: int) -> DataFrame:
         cell, i, j = (table.column(c).to_numpy() for c in ("cell", "i", "j"))
         node, mult, home, side = (table.column(c).to_numpy() for c in ("node", "mult", "home", "side"))
         homes = np.frombuffer(b"".join(table.column("homes").to_pylist()), np.uint64).reshape(len(node), TABLES)
-        units = table.column("unit").to_pylist()
+        vectors = table.column("vector").to_pylist()
         new = np.ones(len(cell), bool)
         new[1:] = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.flatnonzero(new)
@@ -204,8 +220,7 @@ def _linked(meetings: DataFrame, threshold: float, pieces: int) -> DataFrame:
                 continue
             at = slice(lo, hi)
             table_of = int(np.flatnonzero(homes[lo:hi][home[lo:hi]][0].view(np.int64) == cell[lo])[0])
-            unit = np.vstack([np.frombuffer(u, np.float64) for u in units[lo:hi]])
-            rows = {"node": node[at], "mult": mult[at], "home": home[at], "homes": homes[at], "unit": unit, "side": side[at], "table": table_of}
+            rows = {"node": node[at], "mult": mult[at], "home": home[at], "homes": homes[at], "unit": _units(vectors[lo:hi]), "side": side[at], "table": table_of}
             c, p = _compare(rows, threshold, bool(i[lo] != j[lo]))
             counts += c
             listed += p
@@ -231,7 +246,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowded = written(crowded.select(F.col("cell").alias("cc"), F.ceil(F.col("rows") / F.lit(SPLIT)).cast("int").alias("chunks")), "vec-cells")
     shared = placed.join(crowded, F.col("cell") == F.col("cc")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cell", "home", "node", "mult", "homes", "unit", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    dealt = dealt.select("cell", "home", "node", "mult", "homes", "vector", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     found = written(_linked(dealt, threshold, 4 * width(vectors.sparkSession)), "vec-links")
     pairs = found.where("n < 0").select("a", "b", "ma", "mb").distinct()
     parts = found.where("n >= 0").select(F.col("a").alias("node"), "n")
