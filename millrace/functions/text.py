@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.validators import bound
 from millrace.operators.privacy import redacted
 
 LONGEST, MOST_DIGITS = 300, 5
@@ -62,16 +63,19 @@ def instructs(text: Column) -> Column:
 def stem(word: Column) -> Column:
     """The light stem of a normalised word of Arabic or plain English letters; other words stay as they are."""
     arabic = F.regexp_replace(F.regexp_replace(word, rf"^(?:{AR_PREFIXES})(?=.{{{AR_STEM},}}$)", ""), rf"^(.{{{AR_STEM},}}?)(?:{AR_SUFFIXES})$", "$1")
-    plural = (
+    singular = (
         F.when(word.rlike("^..+ies$"), F.regexp_replace(word, "ies$", "y"))
         .when(word.rlike("(?:sses|ches|shes|xes|zes)$"), F.regexp_replace(word, "es$", ""))
         .when(word.rlike("s$") & ~word.rlike("(?:ss|us|is)$"), F.regexp_replace(word, "s$", ""))
         .otherwise(word)
     )
-    root = F.regexp_extract(plural, "^(..+?)(?:ing|ed)$", 1)
-    bare = F.when(root.rlike(r"..([bcdfghjkmnpqrtvwxy])\1$"), F.regexp_replace(root, ".$", "")).otherwise(root)
-    verb = F.when((root != "") & root.rlike("[aeiou]"), bare).otherwise(plural)
-    ended = F.when((F.length(verb) > 3) & verb.endswith("y"), F.regexp_replace(verb, "y$", "i")).otherwise(verb)
-    ended = F.when((F.length(ended) >= 3) & ended.endswith("e"), F.regexp_replace(ended, "e$", "")).otherwise(ended)
-    english = F.when(F.length(word) > 3, ended).otherwise(F.regexp_replace(word, "^(..)e$", "$1"))
+
+    def verb(w):
+        root = F.regexp_extract(w, "^(..+?)(?:ing|ed)$", 1)
+        return F.when(root.rlike("[aeiou]"), F.regexp_replace(root, r"^(.{2,}([bcdfghjkmnpqrtvwxy]))\2$", "$1")).otherwise(w)
+
+    def ended(w):
+        return F.regexp_replace(F.when((F.length(w) > 3) & w.endswith("y"), F.regexp_replace(w, "y$", "i")).otherwise(w), "^(..+)e$", "$1")
+
+    english = F.when(F.length(word) > 3, bound(bound(singular, verb), ended)).otherwise(F.regexp_replace(word, "^(..)e$", "$1"))
     return F.when(word.rlike("^[ء-ي]+$"), arabic).when(word.rlike("^[A-Za-z]+$"), english).otherwise(word)

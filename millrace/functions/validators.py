@@ -97,6 +97,11 @@ VALIDATORS = {
 }
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once: where body names it several times, the plain expression would repeat it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalised(c: Column) -> Column:
     """Lower case, without Arabic diacritics, Arabic letter forms unified."""
     plain = F.regexp_replace(c, "[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۨ-ۭـ]", "")

@@ -128,15 +128,23 @@ REDACTIONS = [
 def redacted(c: Column) -> Column:
     """Text with each identifier that passes its check replaced by [redacted: rule]; other numbers stay as they are."""
     for rule, pattern, holds in REDACTIONS:
-        mark = F.lit(f"[redacted: {rule}]")
         if holds is None:
             c = F.regexp_replace(c, pattern, f"[redacted: {rule}]")
-            continue
-        between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        c = F.array_join(F.zip_with(between, found, lambda text, hit: F.concat(text, F.when(hit.isNull(), F.lit("")).when(holds(hit), mark).otherwise(hit))), "")  # noqa: B023
+        else:
+            c = V.bound(c, _marker(rule, pattern, holds))
     return c
 
 
+def _marker(rule: str, pattern: str, holds):
+    def marked(text: Column) -> Column:
+        """The text between the candidates, and each of these or its mark; a text without digits has none."""
+        between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        each = F.zip_with(between, found, lambda t, hit: F.concat(t, F.when(hit.isNull(), F.lit("")).when(holds(hit), F.lit(f"[redacted: {rule}]")).otherwise(hit)))
+        return F.when(text.rlike(r"[0-9]{2}|[0-9]\."), F.array_join(each, "")).otherwise(text)
+
+    return marked
+
+
 def redacted_json(c: Column, kind: str) -> Column:
     """A JSON text of the given Spark type with every string in it redacted; null where it is not of that type."""
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.functions.validators import bound
+
 
 @dataclass(frozen=True)
 class Platform:
@@ -77,37 +79,48 @@ def translated(data_type: Column, platform: str, engine: Column | None = None) -
     p = PLATFORMS[platform]
     engine = F.lit(None).cast("string") if engine is None else engine
     low = F.lower(F.trim(F.coalesce(data_type, F.lit(""))))
-    array = low.endswith("[]") | low.startswith("_") | low.startswith("array")
-    inside = F.regexp_extract(low, r"\(([^)]*)\)", 1)
-    base = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"\([^)]*\)", " "), r"\b(unsigned|zerofill|signed)\b", ""), r"\s+", " "))
-    number = lambda i: F.expr("try_cast(null as int)") if i is None else F.try_to_number(F.nullif(F.regexp_extract(F.get(F.split(inside, ","), F.lit(i)), r"^\s*(-?[0-9]{1,9})(?:\s|$)", 1), F.lit("")), F.lit("S999999999")).cast("int")
-    n, m = number(0), number(1)
     known = F.create_map(*[F.lit(x) for kind, names in KINDS.items() for name in names.split() for x in (name.replace("|", " "), kind)])
-    kind = F.try_element_at(known, base)
-    kind = F.when((engine == "sqlserver") & base.isin("timestamp", "rowversion"), "binary").when((engine == "oracle") & (base == "date"), "timestamp").otherwise(kind)
-    prefixed = F.lit(None).cast("int")
-    for name, length in AS_STRING.items():
-        prefixed = F.when((base == name) | base.startswith(name + " "), length).otherwise(prefixed)
-    known_kind = kind.isNotNull()
-    kind = F.when(low == "", "text").when(array, "json").when(known_kind, kind).when(prefixed.isNotNull(), "string").otherwise("text")
-    kind = F.when((kind == "double") & (base == "float") & (n <= 24), "float").otherwise(kind)
-    wide = (kind == "string") & known_kind & (n > p.varchar)
-    kind = F.when(kind.isin("char", "string") & (F.trim(inside) == "max"), "text").when(wide, "text").otherwise(kind)
-
-    money = base.isin("money", "smallmoney")
-    digits = F.when(base == "money", 19).when(base == "smallmoney", 10).when(n.isNull(), p.decimal[0]).otherwise(F.least(n, F.lit(WIDEST)))
-    asked = F.coalesce(m, F.lit(0))
-    scale = F.when(money, min(4, p.scale)).when(n.isNull(), p.decimal[1]).otherwise(F.least(F.greatest(asked, F.lit(0)), F.lit(p.scale), digits))
-    cut = ~money & (n.isNull() | (n > WIDEST) | (asked < 0) | (asked > p.scale) | (F.least(F.greatest(asked, F.lit(0)), F.lit(p.scale)) > digits))
-    row_version = (engine == "sqlserver") & base.isin("timestamp", "rowversion")
-    length = (
-        F.when(kind == "char", F.coalesce(n, F.lit(1))).when((kind == "string") & known_kind, n).when(kind == "string", prefixed).when(row_version, 8).when((kind == "binary") & n.between(1, 1_000_000), n)
-    )
-    fallback = (low == "") | array | (known_kind & base.isin(*FALLBACK)) | wide | (~known_kind & prefixed.isNull())
-    lossy = ~array & (base.isin(*LOSSY) | ((kind == "decimal") & cut) | (~known_kind & prefixed.isNotNull()))
-    flags = F.array_compact(F.array(F.when(lossy & (low != ""), F.lit("lossy_type")), F.when(fallback, F.lit("fallback_type"))))
-    decimal = kind == "decimal"
-    return F.struct(kind.alias("kind"), length.cast("int").alias("length"), F.when(decimal, digits).cast("int").alias("precision"), F.when(decimal, scale).cast("int").alias("scale"), flags.alias("flags"))
+
+    def parts(t):
+        """The name without its parameters, what is in them, and the first two numbers."""
+        inside = F.regexp_extract(t, r"\(([^)]*)\)", 1)
+        base = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", " "), r"\b(unsigned|zerofill|signed)\b", ""), r"\s+", " "))
+        number = lambda i: F.nullif(F.regexp_extract(F.get(F.split(inside, ","), F.lit(i)), r"^\s*(-?[0-9]{1,9})(?:\s|$)", 1), F.lit("")).cast("int")
+        return F.struct(t.alias("low"), inside.alias("inside"), base.alias("base"), number(0).alias("n"), number(1).alias("m"), engine.alias("engine"))
+
+    def first_kind(x):
+        """The kind by name, whether the name is known, and the length of types kept as text."""
+        row_version = (x["engine"] == "sqlserver") & x["base"].isin("timestamp", "rowversion")
+        kind = F.when(row_version, "binary").when((x["engine"] == "oracle") & (x["base"] == "date"), "timestamp").when((x["base"] == "float") & (x["n"] <= 24), "float").otherwise(F.try_element_at(known, x["base"]))
+        length = F.coalesce(*[F.when((x["base"] == name) | x["base"].startswith(name + " "), length) for name, length in AS_STRING.items()])
+        array = x["low"].endswith("[]") | x["low"].startswith("_") | x["low"].startswith("array")
+        return F.struct(x.alias("x"), kind.alias("kind"), length.alias("length"), array.alias("array"), F.coalesce(row_version, F.lit(False)).alias("row_version"))
+
+    def settled(y):
+        x, named = y["x"], y["kind"].isNotNull()
+        wide = F.coalesce((y["kind"] == "string") & (x["n"] > p.varchar), F.lit(False))
+        text = y["kind"].isin("char", "string") & (F.trim(x["inside"]) == "max")
+        kind = F.when(x["low"] == "", "text").when(y["array"], "json").when(text | wide, "text").when(named, y["kind"]).when(y["length"].isNotNull(), "string").otherwise("text")
+        return F.struct(y.alias("y"), kind.alias("kind"), wide.alias("wide"), (named & ~y["array"] & (x["low"] != "")).alias("named"))
+
+    def result(z):
+        y, x, kind = z["y"], z["y"]["x"], z["kind"]
+        asked = F.greatest(F.coalesce(x["m"], F.lit(0)), F.lit(0))
+        money = F.when(x["base"] == "money", 19).when(x["base"] == "smallmoney", 10)
+        digits = F.coalesce(money, F.least(x["n"], F.lit(WIDEST)), F.lit(p.decimal[0]))
+        scale = F.when(money.isNotNull(), min(4, p.scale)).when(x["n"].isNull(), p.decimal[1]).otherwise(F.least(asked, F.lit(p.scale), digits))
+        cut = money.isNull() & (x["n"].isNull() | (x["n"] > WIDEST) | (x["m"] < 0) | (asked > p.scale) | (asked > digits))
+        length = (
+            F.when(kind == "char", F.coalesce(x["n"], F.lit(1))).when((kind == "string") & z["named"], x["n"]).when(kind == "string", y["length"]).when(y["row_version"], 8).when((kind == "binary") & x["n"].between(1, 1_000_000), x["n"])
+        )
+        unnamed = ~z["named"] & ~y["array"] & (x["low"] != "")
+        lossy = (z["named"] & (x["base"].isin(*LOSSY) | ((kind == "decimal") & F.coalesce(cut, F.lit(False))))) | (unnamed & y["length"].isNotNull())
+        fallback = (x["low"] == "") | y["array"] | z["wide"] | (z["named"] & x["base"].isin(*FALLBACK)) | (unnamed & y["length"].isNull())
+        flags = F.array_compact(F.array(F.when(lossy, F.lit("lossy_type")), F.when(fallback, F.lit("fallback_type"))))
+        decimal = kind == "decimal"
+        return F.struct(kind.alias("kind"), length.cast("int").alias("length"), F.when(decimal, digits).cast("int").alias("precision"), F.when(decimal, scale).cast("int").alias("scale"), flags.alias("flags"))
+
+    return bound(bound(bound(bound(low, parts), first_kind), settled), result)
 
 
 def _plain(name: str | None) -> str | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import session
-from millrace.operators import relational
+from millrace.operators import relational, staging
 from millrace.sources import files, sinks
 from millrace.streaming import windows
 
@@ -134,3 +134,20 @@ def test_approximate_profiles_are_close(spark):
     for c in df.columns:
         assert abs(exact[c]["distinct_count"] - near[c]["distinct_count"]) <= 0.1 * exact[c]["distinct_count"]
         assert {k: v for k, v in exact[c].items() if k != "distinct_count"} == {k: v for k, v in near[c].items() if k != "distinct_count"}
+
+
+@pytest.mark.parametrize(
+    ("source", "platform", "engine", "want"),
+    [
+        ("NUMBER(12,2)", "oracle", "oracle", ("decimal", None, 12, 2, [])), ("number", "bigquery", None, ("decimal", None, 38, 9, ["lossy_type"])), ("numeric(40, 3)", "postgresql", None, ("decimal", None, 38, 3, ["lossy_type"])),
+        ("number(5,-2)", "oracle", "oracle", ("decimal", None, 5, 0, ["lossy_type"])), ("decimal(4,9)", "postgresql", None, ("decimal", None, 4, 4, ["lossy_type"])), ("money", "bigquery", None, ("decimal", None, 19, 4, [])),
+        ("varchar(9000)", "sqlserver", None, ("text", None, None, None, ["fallback_type"])), ("varchar2(100 char)", "oracle", "oracle", ("string", 100, None, None, [])), ("nvarchar(max)", "sqlserver", None, ("text", None, None, None, [])),
+        ("char", "postgresql", None, ("char", 1, None, None, [])), ("int unsigned", "postgresql", None, ("integer", None, None, None, [])), ("float(24)", "postgresql", None, ("float", None, None, None, [])), ("float(53)", "postgresql", None, ("double", None, None, None, [])),
+        ("timestamp", "sqlserver", "sqlserver", ("binary", 8, None, None, [])), ("date", "oracle", "oracle", ("timestamp", None, None, None, [])), ("time with time zone", "postgresql", None, ("time", None, None, None, ["lossy_type"])),
+        ("integer[]", "postgresql", None, ("json", None, None, None, ["fallback_type"])), ("interval year to month", "postgresql", None, ("string", 64, None, None, ["lossy_type"])), ("wibble", "postgresql", None, ("text", None, None, None, ["fallback_type"])),
+        ("", "postgresql", None, ("text", None, None, None, ["fallback_type"])), (None, "postgresql", None, ("text", None, None, None, ["fallback_type"])), ("XML", "postgresql", None, ("text", None, None, None, ["fallback_type"])), ("varbinary(20)", "postgresql", None, ("binary", 20, None, None, [])),
+    ],
+)
+def test_source_types_become_staging_types(spark, source, platform, engine, want):
+    df = spark.createDataFrame([(source, engine)], "t string, e string").select(staging.translated(F.col("t"), platform, F.col("e")).alias("r"))
+    assert tuple(df.first()["r"]) == want
