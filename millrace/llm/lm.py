@@ -38,7 +38,8 @@ from millrace.llm._spark import prepare, width, written
 K, HOT = 4.0, 2000
 #: The boundary token's hash.
 EDGE = np.uint64(0x5DEECE66D1234567)
-GATHER = 2_000_000
+#: Bigrams a task gathers before it packs and sends them.
+GATHER = 1_000_000
 UNIT = 1e5
 
 
