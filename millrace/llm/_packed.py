@@ -118,6 +118,15 @@ def pack(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+def halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high halves of 32-bit numbers: small ones have high halves that pack to almost nothing."""
+    return (numbers & np.uint32(0xFFFF)).astype(np.uint16), (numbers >> np.uint32(16)).astype(np.uint16)
+
+
+def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
+
+
 def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     sizes, at, out = np.frombuffer(raw, "<i8", len(kinds)), 8 * len(kinds), []

@@ -83,7 +83,8 @@ def _probes(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
             keep[twice] = False
             key, g, several, aligned = key[keep], g[keep], several[keep], aligned[keep]
             rest, runs = (key & _LOW).astype(np.uint32), _split((key >> np.uint64(32)).astype(np.int64))
-            blobs = [P.pack(rest[a:b], g[a:b], np.packbits(aligned[a:b]), np.packbits(several[a:b])) for _, a, b in runs]
+            # hashes are sorted, so their steps are small
+            blobs = [P.pack(*P.halves(np.diff(rest[a:b], prepend=np.uint32(0))), *P.halves(g[a:b]), np.packbits(aligned[a:b]), np.packbits(several[a:b])) for _, a, b in runs]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
 
         for batch in batches:
@@ -114,9 +115,10 @@ def _anchors(probes: DataFrame, buckets: int) -> DataFrame:
     def meet(key, table):
         bucket, rests, groups_of, aligned, several = key[0].as_py(), [], [], [], []
         for blob in table.column("payload").to_pylist():
-            rest, g, bits, more = P.unpack(blob, np.uint32, np.uint32, np.uint8, np.uint8)
+            low, high, g_low, g_high, bits, more = P.unpack(blob, *[np.uint16] * 4, np.uint8, np.uint8)
+            rest = np.cumsum(P.whole(low, high), dtype=np.uint32)
             rests.append(rest)
-            groups_of.append(g)
+            groups_of.append(P.whole(g_low, g_high))
             aligned.append(np.unpackbits(bits, count=len(rest)).astype(bool))
             several.append(np.unpackbits(more, count=len(rest)).astype(bool))
         rest, g, aligned, several = np.concatenate(rests), np.concatenate(groups_of), np.concatenate(aligned), np.concatenate(several)
