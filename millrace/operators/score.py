@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import stored
+
 # Weights of the severities, floors of the grades, the best grade with an error open, the width limit.
 WEIGHTS = {"error": 10, "warning": 3, "info": 1}
 GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D")]
@@ -226,8 +228,11 @@ def pii_in_mart(m):
 
 
 def run_checks(model: Model, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of all enabled checks: check_code, severity, object_id, table_id, layer, passed, message."""
-    parts = []
+    """Findings of all enabled checks: check_code, severity, object_id, table_id, layer, passed, message.
+
+    The model's tables are written once: every check reads them, and Spark then knows which are small enough to broadcast.
+    """
+    model, parts = {name: stored(df, f"model-{name}") for name, df in model.items()}, []
     for code, (severity, f) in CHECKS.items():
         if code not in disabled:
             severe = F.when(F.col("layer") == "staging", "warning").otherwise(severity) if code == "no_source_removed_inputs" else F.lit(severity)
