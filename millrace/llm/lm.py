@@ -39,7 +39,7 @@ K, HOT = 4.0, 2000
 #: The boundary token's hash.
 EDGE = np.uint64(0x5DEECE66D1234567)
 #: Bigrams a task gathers before it packs and sends them.
-GATHER = 1_000_000
+GATHER = 2_000_000
 UNIT = 1e5
 
 
@@ -170,7 +170,7 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
-    groups = P.groups_for(known, width(spark))
+    groups = P.groups_for(known, width(spark), 8_000_000)  # a bucket is some twenty times its packed size when it is worked on
     shared = spark.sparkContext.broadcast(_model(known, targets, groups))
 
     def bigrams(batches):
