@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, lattice, lm, mixing, neardup, pii, sharding, substrings, urls
+from millrace.llm import decontam, langid, lattice, lm, mixing, neardup, negatives, pii, quantize, sharding, substrings, urls, warc
 from millrace.llm._spark import written
 from millrace.session import table as _table
 
@@ -94,6 +94,67 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives it was written to."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+h AS (SELECT html, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+    CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.html = h.html
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows whose vec_id 50 divides, a seventh of the labels being moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")).alias("label")
+    return negatives.mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, eight parts of sixteen entries after six rounds."""
+    return quantize.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """The rounds written out one after another; each codebook is a small table of its own."""
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM v, range(8) t(p))",
+        "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x QUALIFY e < 16)",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, label, x.p, x, min(({distance}, e)) AS best FROM x JOIN b{k} b ON x.p = b.p GROUP BY ALL)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT p, e, list(f ORDER BY i) AS c FROM (SELECT p, best[2] AS e, i, CAST(floor(sum(x[i])::DOUBLE / count(*)) AS BIGINT) AS f FROM a{k}, range(1, 9) t(i) GROUP BY ALL) GROUP BY ALL)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.p = m.p AND b.e = m.e)")
+    steps.append(f"r AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY ALL)")
+    sha = f"(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, {sha} AS codebooks_sha256 FROM r"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -106,9 +167,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_vectors": op9_vectors,
         "op10_sharding": op10_sharding,
+        "op11_warc": op11_warc,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins of the queries that SQL can express on whole tables."""
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op11_warc": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_codes": _op13_sql()}
