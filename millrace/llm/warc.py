@@ -16,7 +16,8 @@ percent-encoded. Rows that repeat the largest page_id of their payload are respo
 are smaller than all others and revisit like them; among null page_ids alone all are responses, and a record without
 page_id is read back without one. Empty files and files without any record give gaps only (an empty file gives nothing). An
 archive longer than memory allows is one that a single record made: payloads are held whole, one at a time. Inside the block
-of a damaged record, a well-formed record that the page quotes is taken for one. Further columns are ignored.
+of a damaged record, a well-formed record that the page quotes is taken for one. Where nothing is compressed no checksum covers
+a header: damage to it is seen only if it no longer parses or its numbers no longer fit. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -171,20 +172,19 @@ def _plain(data: memoryview, at: int, digested: bool = False) -> Iterator[tuple[
 def _member(data: memoryview, at: int) -> tuple[int | None, bytes]:
     """The gzip member at `at`: where it ends, or null if it is damaged, and what could be unpacked of it."""
     opened, out = zlib.decompressobj(31), bytearray()
-    step = 1 << 20
-    try:
-        for lo in range(at, len(data), step):
-            out += opened.decompress(data[lo : lo + step])
+    for step in (1 << 20, 4096, 1):  # what stands before the damage is lost with the step that meets it, so steps get smaller
+        while at < len(data):
+            before = opened.copy()
+            try:
+                out += opened.decompress(data[at : at + step])
+            except zlib.error:
+                opened = before
+                break
+            at += step
             if opened.eof:
-                return min(lo + step, len(data)) - len(opened.unused_data), bytes(out)
-    except zlib.error:
-        # what stands before the damage comes out byte by byte only
-        again, out, step = zlib.decompressobj(31), bytearray(out[:0]), 4096
-        try:
-            for lo in range(at, len(data), step):
-                out += again.decompress(data[lo : lo + step])
-        except zlib.error:
-            pass
+                return min(at, len(data)) - len(opened.unused_data), bytes(out)
+        else:
+            break
     return None, bytes(out)
 
 
