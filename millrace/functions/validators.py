@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_LENGTH = 200
+#: A longer value is free text, never an identifier.
+MAX_LENGTH = 256
 
-# Decimal digits of other scripts, folded to ASCII.
-_DIGITS = "٠١٢٣٤٥٦٧٨٩" + "۰۱۲۳۴۵۶۷۸۹" + "०१२३४५६७८९" + "０１２３４５６７８９"
+#: Decimal digits of all scripts but ASCII's own, from the character database.
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
 
 
 def ascii_digits(c: Column) -> Column:
-    return F.translate(c, _DIGITS, "0123456789" * 4)
+    """Decimal digits of any script as ASCII ones; everything else stays, so places in the text do too."""
+    return F.translate(c, "".join(_DIGITS), "".join(str(unicodedata.decimal(d)) for d in _DIGITS))
 
 
 def _text(c: Column) -> Column:

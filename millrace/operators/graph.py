@@ -59,6 +59,58 @@ def _joined(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def spread(edges: DataFrame, start: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node): the start nodes and all that any of them reaches, each once, however far; one walk for all of them.
+
+    Null nodes reach nothing and are left out. A graph of `small` edges at most is walked in one task, a larger one by joins.
+    """
+    step = stored(edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).where("__s IS NOT NULL AND __t IS NOT NULL").distinct(), "graph-edges")
+    seeds = stored(start.where("node IS NOT NULL").select("node").distinct(), "graph-start")
+    if step.limit(small + 1).count() > small:
+        frontier = seen = seeds
+        while not frontier.isEmpty():
+            new = frontier.join(step, F.col("node") == F.col("__s")).select(F.col("__t").alias("node")).distinct()
+            frontier = stored(new.join(seen, "node", "left_anti"), "graph-spread")
+            seen = seen.unionByName(frontier)
+        return seen
+    shared = step.sparkSession.sparkContext.broadcast([tuple(r) for r in step.collect()])
+
+    def walk(frames):
+        after: dict = {}
+        for source, target in shared.value:
+            after.setdefault(source, []).append(target)
+        seen: set = set()
+        for frame in frames:
+            layer = [n for n in frame["node"].tolist() if n not in seen]
+            new: dict = {}
+            while layer:
+                seen.update(layer)
+                layer = list(dict.fromkeys(t for n in layer for t in after.get(n, ()) if t not in seen))
+                new |= dict.fromkeys(layer)
+            yield pd.DataFrame({"node": pd.Series(list(new), dtype=frame["node"].dtype)})
+
+    inside = seeds.join(step.select(F.col("__s").alias("node")).distinct(), "node", "left_semi").coalesce(1)  # `small` nodes at most
+    return seeds.unionByName(inside.mapInPandas(walk, seeds.schema)).distinct()
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): the length of the longest walk that ends at a node; null on a cycle and behind one.
+
+    Each round takes the nodes that nothing left points to. A node that points to itself is a cycle.
+    """
+    step = stored(edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).where("__s IS NOT NULL AND __t IS NOT NULL").distinct(), "graph-edges")
+    left = stored(nodes.select("node").where("node IS NOT NULL").distinct(), "graph-left")
+    step = step.join(left.select(F.col("node").alias("__n")), F.col("__s") == F.col("__n"), "left_semi")
+    done, level = left.limit(0).withColumn("level", F.lit(0)), 0
+    while True:
+        held = step.join(left.select(F.col("node").alias("__n")), F.col("__s") == F.col("__n"), "left_semi").select(F.col("__t").alias("node")).distinct()
+        ready = stored(left.join(held, "node", "left_anti"), "graph-ready")
+        if ready.isEmpty():
+            return done.unionByName(left.withColumn("level", F.lit(None).cast("int")))
+        done = done.unionByName(ready.withColumn("level", F.lit(level)))
+        left, level = stored(left.join(ready, "node", "left_anti"), "graph-left"), level + 1
+
+
 def turned(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"source": F.col("target"), "target": F.col("source")})
 
@@ -75,21 +127,38 @@ def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return nodes.join(hit, F.col("node") == F.col("__n"), "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, protected: DataFrame) -> DataFrame:
-    """(node, status) of personal data: `derived` along value edges, `influenced` where a derived column is only used.
+# What personal data may be said of a node, the strongest first.
+PII_STATUSES = ("derived", "pseudonymised", "influenced")
+
+
+def propagate(edges: DataFrame, protected: DataFrame, hashed: DataFrame | None = None) -> DataFrame:
+    """(node, status) of personal data: along value edges from the protected nodes, and one step along uses and lookup edges.
 
-    A hash is an expression around the same column, so hashed columns stay derived.
+    A node that some path of value edges reaches is `derived`, or `pseudonymised` if every such path enters a hashed node; one
+    that such a node only steers is `influenced`. Protected nodes are derived. With hashed (node), a column pseudonymised says
+    in addition whether any of a node's paths enters a hashed node, or is null where it has none.
     """
-    derived = reach(edges.where("kind = 'value'"), protected).select("node").distinct()
-    used = edges.where("kind IN ('uses', 'lookup')").join(derived.select(F.col("node").alias("__n")), F.col("source") == F.col("__n"), "left_semi").select(F.col("target").alias("node")).distinct()
-    only = used.join(derived, "node", "left_anti")
-    return derived.withColumn("status", F.lit("derived")).unionByName(only.withColumn("status", F.lit("influenced")))
+    values = edges.where("kind = 'value'")
+    reached = stored(spread(values, protected), "pii-reached")
+    used = edges.where("kind IN ('uses', 'lookup')").join(reached.select(F.col("node").alias("__n")), F.col("source") == F.col("__n"), "left_semi").select(F.col("target").alias("node")).distinct()
+    only = used.where("node IS NOT NULL").join(reached, "node", "left_anti").withColumn("status", F.lit("influenced"))
+    if hashed is None:
+        return reached.withColumn("status", F.lit("derived")).unionByName(only)
+    h = hashed.select(F.col("node").alias("__h")).where("__h IS NOT NULL").distinct()
+    plain = spread(values.join(h, F.col("target") == F.col("__h"), "left_anti"), protected).select(F.col("node").alias("__p"))
+    # a hashed node is entered only along an edge: a protected one is as it stands
+    entered = values.join(h, F.col("target") == F.col("__h"), "left_semi").join(reached.select(F.col("node").alias("__n")), F.col("source") == F.col("__n"), "left_semi").select(F.col("target").alias("node"))
+    touched = spread(values, entered).select(F.col("node").alias("__t"))
+    both = reached.join(plain, F.col("node") == F.col("__p"), "left").join(touched, F.col("node") == F.col("__t"), "left")
+    told = both.select("node", F.when(F.col("__p").isNotNull(), "derived").otherwise("pseudonymised").alias("status"), F.col("__t").isNotNull().alias("pseudonymised"))
+    return told.unionByName(only.withColumn("pseudonymised", F.lit(None).cast("boolean")))
 
 
 def dependent_kpis(links: DataFrame, status: DataFrame) -> DataFrame:
-    """(kpi, status) of the KPIs linked (kpi, node) to personal data; derived beats influenced."""
-    hit = links.join(status.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"))
-    return hit.groupBy("kpi").agg(F.min("status").alias("status"))
+    """(kpi, status) of the KPIs linked (kpi, node) to personal data; the strongest status of its nodes."""
+    hit = links.join(status.select(F.col("node").alias("__n"), "status"), F.col("node") == F.col("__n"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in PII_STATUSES]), F.col("status"))
+    return hit.groupBy("kpi").agg(F.min_by("status", rank).alias("status"))
 
 
 def origins(edges: DataFrame, protected: DataFrame) -> DataFrame:

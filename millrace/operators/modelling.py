@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.graph import reach, turned
+from millrace.operators.graph import levels, reach, spread, turned
+from millrace.session import stored
 
 # Mapping types, those that carry no SQL, statuses of findings that protect a column, and a layer's inputs.
 MAPPING_TYPES = ("direct", "hashed", "derived", "constant", "lookup", "system", "not_in_branch", "unmapped")
@@ -111,6 +112,66 @@ def closure_of_items(items: DataFrame, roots: DataFrame, dependents: bool) -> Da
     return reach(edges if dependents else turned(edges), roots.select(F.col("item").alias("node"))).select(F.col("node").alias("item")).distinct()
 
 
+# Statuses of change-set items that await a decision.
+OPEN_ITEMS = ("pending", "needs_owner")
+
+
+def accepted_items(items: DataFrame, selected: DataFrame | None = None, owner: bool = False) -> DataFrame:
+    """(change_set, item, status, reason) of all items after the selected ones (item; by default all open ones) are accepted.
+
+    items: (change_set, item, depends_on array, status, required_role, stale). What a selected item depends on is accepted
+    with it. Items that need an owner, unless one decides, wait as needs_owner and what depends on them as pending. Of the
+    others, those that are stale, depend on one that was not applied or is not there, or stand on a cycle of dependencies or
+    behind it, are skipped as stale, with all that depend on them; the rest is accepted. Other open items expire, unless they
+    depend on one that an owner has to decide. Closed items stay as they are. reason is stale, not_applied, cycle or
+    depends_on_skipped for skipped items. Null items are left out.
+    """
+    rows = stored(items.where("item IS NOT NULL").select("change_set", "item", "depends_on", "status", "required_role", F.coalesce("stale", F.lit(False)).alias("stale")), "items")
+    node = F.col("item").alias("node")
+    edges = stored(rows.select(F.explode("depends_on").alias("source"), F.col("item").alias("target")).where("source IS NOT NULL"), "item-edges")
+    pick = lambda df: rows.join(df.select(F.col("node").alias("__n")).distinct(), F.col("item") == F.col("__n"), "left_semi")
+    drop = lambda df, other: df.join(other.select(F.col("node").alias("__n")).distinct(), F.col("item") == F.col("__n"), "left_anti")
+    is_open = F.col("status").isin(*OPEN_ITEMS)
+
+    wanted = rows.where(is_open).select(node) if selected is None else selected.select(node)
+    chosen = stored(pick(spread(turned(edges), wanted)).where(is_open), "items-chosen")
+    held = chosen.where("required_role = 'owner'").select(node) if not owner else rows.limit(0).select(node)
+    waiting = stored(pick(spread(edges, held)).join(chosen.select(F.col("item").alias("__c")), F.col("item") == F.col("__c"), "left_semi").select(node), "items-waiting")
+    candidates = stored(drop(chosen, waiting), "items-candidates")
+
+    known = rows.select(F.col("item").alias("ki"), F.col("status").alias("ks"))
+    unmet = edges.join(known, F.col("source") == F.col("ki"), "left").where(F.col("ks").isNull() | ~F.col("ks").isin("accepted", *OPEN_ITEMS))
+    unmet = unmet.select(F.col("target").alias("un"), F.lit("not_applied").alias("u")).distinct()
+    cycle = levels(edges, rows.select(node)).where("level IS NULL").select(F.col("node").alias("cn"), F.lit("cycle").alias("c"))
+    own = F.coalesce("c", "u", F.when(F.col("stale"), F.lit("stale")))
+    blocked = candidates.join(cycle, F.col("item") == F.col("cn"), "left").join(unmet, F.col("item") == F.col("un"), "left").select("item", own.alias("why")).where("why IS NOT NULL")
+    blocked = stored(blocked, "items-blocked")
+    among = edges.join(candidates.select(F.col("item").alias("__s")), F.col("source") == F.col("__s"), "left_semi").join(candidates.select(F.col("item").alias("__t")), F.col("target") == F.col("__t"), "left_semi")
+    skipped = spread(among, blocked.select(node)).select(F.col("node").alias("sn"))
+
+    waits = waiting.select(F.col("node").alias("wn"))
+    needs = rows.join(waits, F.col("item") == F.col("wn"), "left").join(candidates.select(F.col("item").alias("can")), F.col("item") == F.col("can"), "left")
+    needs = needs.join(held.select(F.col("node").alias("hn")).distinct(), F.col("item") == F.col("hn"), "left").join(skipped, F.col("item") == F.col("sn"), "left").join(blocked.select(F.col("item").alias("bn"), "why"), F.col("item") == F.col("bn"), "left")
+    decided = (
+        F.when(F.col("wn").isNotNull(), F.when(F.col("hn").isNotNull(), "needs_owner").otherwise("pending"))
+        .when(F.col("can").isNotNull(), F.when(F.col("sn").isNotNull(), "stale").otherwise("accepted"))
+        .otherwise(F.col("status"))
+    )
+    reason = F.when(F.col("can").isNotNull() & F.col("sn").isNotNull(), F.coalesce("why", F.lit("depends_on_skipped")))
+    after = stored(needs.select("change_set", "item", decided.alias("status"), reason.alias("reason"), F.col("wn").isNotNull().alias("waits")), "items-decided")
+    kept = spread(edges, after.where("status = 'needs_owner'").select(node)).select(F.col("node").alias("kn"))
+    met = after.join(kept, F.col("item") == F.col("kn"), "left")
+    expires = is_open & ~F.col("waits") & F.col("kn").isNull()
+    return met.select("change_set", "item", F.when(expires, "expired").otherwise(F.col("status")).alias("status"), "reason")
+
+
+def change_set_statuses(items: DataFrame) -> DataFrame:
+    """(change_set, status) by its items (change_set, status): pending while one is open, else rejected, applied or partially_applied."""
+    accepted, n = F.count_if(F.col("status") == "accepted"), F.count(F.lit(1))
+    waits = F.count_if(F.col("status").isin(*OPEN_ITEMS)) > 0
+    return items.groupBy("change_set").agg(F.when(waits, "pending").when(accepted == 0, "rejected").when(accepted == n, "applied").otherwise("partially_applied").alias("status"))
+
+
 def feasibility(inputs: DataFrame, existing: DataFrame, mapped: DataFrame) -> DataFrame:
     """(kpi, feasibility) of KPIs by their inputs (kpi, column_id): needs_data where one does not exist, needs_mapping where
     one is not mapped, else computable."""

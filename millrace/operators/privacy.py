@@ -75,8 +75,9 @@ def name_scan(columns: DataFrame, floor: float = RECORD_FROM) -> DataFrame:
 def value_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, rule, matched, total, ratio) for all rules and columns, in one pass with one aggregation."""
     columns = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer")]
-    counts = [F.count(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)]
-    counts += [F.count_if(F.col(c).isNotNull() & check(F.col(c))).alias(f"m{i}_{k}") for i, c in enumerate(columns) for k, (_, _, check) in enumerate(V.VALIDATORS.values())]
+    named = [F.col(f"`{c}`") for c in columns]
+    counts = [F.count(c).alias(f"t{i}") for i, c in enumerate(named)]
+    counts += [F.count_if(c.isNotNull() & check(c)).alias(f"m{i}_{k}") for i, c in enumerate(named) for k, (_, _, check) in enumerate(V.VALIDATORS.values())]
     rows = [F.struct(F.lit(c).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"m{i}_{k}").alias("matched"), F.col(f"t{i}").alias("total")) for i, c in enumerate(columns) for k, rule in enumerate(V.VALIDATORS)]
     return df.agg(*counts).select(F.inline(F.array(*rows))).withColumn("ratio", F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(F.lit(0.0)))
 
@@ -104,7 +105,7 @@ def value_findings(scan: DataFrame) -> DataFrame:
 
 def masked_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with the given columns masked; nulls stay null, so counts do not change."""
-    return df.withColumns({c: V.masked(F.col(c)) for c in columns})
+    return df.select(*[(V.masked(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`")) for c in df.columns])
 
 
 def masked_by_name(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -113,38 +114,86 @@ def masked_by_name(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return masked_columns(df, hit), hit
 
 
-# What free text is searched for, in this order: rule, pattern of a candidate, the check that it must pass.
+# Characters that may stand between the digits of a written number, invisible ones among them; the least and the
+# most digits of a number; the rules for numbers, first match wins.
+JOINERS = r"[\s\-().\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]"
+MIN_DIGITS, MAX_DIGITS = 9, 19
+_W, _DIGIT, _HEX = r"[\p{L}\p{N}_]", r"\p{Nd}", "[0-9A-Fa-f]"
+
+# What free text is searched for, in this order: rule, what a text must hold at all, pattern of a candidate, the
+# check that the candidate without joiners must pass. Numbers come last, see _numbers().
 REDACTIONS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", None),
-    ("iban", r"\bSA[0-9]{2}(?:[ -]?[0-9A-Z]{4}){5}\b", V.iban),
-    ("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", V.ip_address),
-    ("card_number", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", V.card_number),
-    ("national_id", r"\b1[0-9]{9}\b", V.national_id),
-    ("iqama", r"\b2[0-9]{9}\b", V.iqama),
-    ("phone", r"(?:\+966|\b00966|\b966|\b0)[ -]?5(?:[ -]?[0-9]){8}\b", V.mobile),
-]
+    ("email", "@", rf"(?:(?<![\p{{L}}\p{{N}}_.%+\-])|\G)[\p{{L}}\p{{N}}_.%+\-]++@[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_\-]*[\p{{L}}\p{{N}}])?(?:\.[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_\-]*[\p{{L}}\p{{N}}])?)*\.\p{{L}}{{2,}}", V.email),
+    ("iban", r"[Ss][Aa].?[0-9]", rf"(?<![A-Za-z0-9])[Ss][Aa](?:{JOINERS}?[0-9A-Za-z]){{22}}(?![A-Za-z0-9])", V.iban),
+    ("ip_address", rf"{_DIGIT}\.{_DIGIT}", rf"(?<![\p{{L}}\p{{N}}_.])(?:{_DIGIT}{{1,3}}\.){{3}}{_DIGIT}{{1,3}}(?!{_W}|\.{_DIGIT})", V.ip_address),
+    ("ip_address", f":{_HEX}{{0,4}}:", rf"(?<![\p{{L}}\p{{N}}_:])(?:{_HEX}{{0,4}}:){{2,7}}{_HEX}{{0,4}}(?![\p{{L}}\p{{N}}_:])", V.ip_address),
+]
+_RUN = rf"(?<!{_DIGIT})\+?{_DIGIT}(?:{JOINERS}?{_DIGIT}){{{MIN_DIGITS - 1},}}"
 
 
 def redacted(c: Column) -> Column:
-    """Text with each identifier that passes its check replaced by [redacted: rule]; other numbers stay as they are."""
-    for rule, pattern, holds in REDACTIONS:
-        if holds is None:
-            c = F.regexp_replace(c, pattern, f"[redacted: {rule}]")
-        else:
-            c = V.bound(c, _marker(rule, pattern, holds))
-    return c
+    """Text with each identifier that passes its check replaced by [redacted: rule]; all else stays as it is.
+
+    Digits of any script count as digits. Of several numbers in a row, and of numbers written in groups, the longest window
+    of groups that is an identifier is taken, from the left. A text without a rule's mark is not searched for it.
+    """
+    for rule, mark, pattern, holds in REDACTIONS:
+        bare = (lambda hit: F.regexp_replace(hit, JOINERS, "")) if rule == "iban" else (lambda hit: hit)
+        c = V.bound(c, _marker(mark, pattern, lambda hit, rule=rule, holds=holds, bare=bare: F.when(holds(bare(hit)), F.lit(f"[redacted: {rule}]")).otherwise(hit)))
+    return V.bound(c, _marker(f"{_DIGIT}(?:{JOINERS}?{_DIGIT}){{{MIN_DIGITS - 1}}}", _RUN, _numbers))
+
 
+def _marker(mark: str, pattern: str, shown):
+    """A function of a text: the text between the candidates, and each candidate as `shown` gives it."""
 
-def _marker(rule: str, pattern: str, holds):
     def marked(text: Column) -> Column:
-        """The text between the candidates, and each of these or its mark; a text without digits has none."""
         between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        each = F.zip_with(between, found, lambda t, hit: F.concat(t, F.when(hit.isNull(), F.lit("")).when(holds(hit), F.lit(f"[redacted: {rule}]")).otherwise(hit)))
-        return F.when(text.rlike(r"[0-9]{2}|[0-9]\."), F.array_join(each, "")).otherwise(text)
+        each = F.zip_with(between, found, lambda t, hit: F.concat(t, F.when(hit.isNull(), F.lit("")).otherwise(shown(hit))))
+        return F.when(text.rlike(mark), F.array_join(each, "")).otherwise(text)
 
     return marked
 
 
+def _number_rule(digits: Column) -> Column:
+    """The rule for a number of ASCII digits, perhaps behind a plus sign; null if none fits."""
+    size = F.length(digits)
+    return (
+        F.when((size == 10) & V.national_id(digits), "national_id")
+        .when((size == 10) & V.iqama(digits), "iqama")
+        .when(F.length(F.ltrim(digits, F.lit("+"))).between(10, 14) & V.mobile(digits), "phone")
+        .when(size.between(13, MAX_DIGITS) & V.card_number(digits), "card_number")
+    )
+
+
+def _numbers(run: Column) -> Column:
+    """A run of digit groups with each longest window that is an identifier replaced, from the left.
+
+    A window starts at the first group that is still free and ends at the last at which its digits, MAX_DIGITS at most, fit a
+    rule. The groups' own digits are folded to ASCII for the check only, so what stays is as it was written.
+    """
+
+    def folded(parts):
+        groups, between = parts["groups"], parts["between"]
+        n = F.size(groups)
+
+        def step(state, i):
+            ends = F.sequence(i, F.least(i + MAX_DIGITS, n) - 1)
+            window = lambda j: F.array_join(F.slice(parts["plain"], i + 1, j - i + 1), "")
+            sized = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), window(j).alias("digits"))), lambda w: F.length(F.ltrim(w["digits"], F.lit("+"))).between(MIN_DIGITS, MAX_DIGITS))
+            ruled = F.filter(F.transform(sized, lambda w: F.struct(w["j"].alias("j"), _number_rule(w["digits"]).alias("rule"))), lambda w: w["rule"].isNotNull())
+            best = F.get(F.reverse(ruled), F.lit(0))
+            put = lambda text, at: F.struct(F.concat(state["out"], F.get(between, i), text).alias("out"), at.alias("at"))
+            taken = V.bound(best, lambda b: F.when(b.isNotNull(), put(F.concat(F.lit("[redacted: "), b["rule"], F.lit("]")), b["j"] + 1)).otherwise(put(F.get(groups, i), i + 1)))
+            return F.when(i < state["at"], state).otherwise(taken)
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        return F.concat(F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["out"], F.element_at(between, -1))
+
+    group = rf"\+?{_DIGIT}+"
+    groups = F.regexp_extract_all(run, F.lit(group), F.lit(0))
+    return V.bound(F.struct(groups.alias("groups"), F.split(run, group, -1).alias("between"), F.transform(groups, V.ascii_digits).alias("plain")), folded)
+
+
 def redacted_json(c: Column, kind: str) -> Column:
     """A JSON text of the given Spark type with every string in it redacted; null where it is not of that type."""
 

@@ -3,10 +3,11 @@ mappings, suggestions merged with decisions, and sheets of mappings read back as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import reach
+from millrace.session import stored
 from millrace.sources.sinks import sheet_cell
 
 # The columns of a mapping sheet, and of a data dictionary.
@@ -60,6 +61,64 @@ def rewritten(mappings: DataFrame, renames: DataFrame) -> DataFrame:
     return listed.withColumn("new", new).where(~F.col("new").eqNullSafe(F.col("sql"))).select("mapping_id", F.col("new").alias("sql"))
 
 
+def names_now(renames: DataFrame) -> DataFrame:
+    """(scope, name, now): what each former name in a log of renames (scope, from_name, to_name, at) has become.
+
+    A rename is followed by the first later one of the name that it gave; chains are followed by pointer jumping, so rounds
+    grow with the logarithm of the longest. A name that was given up several times means what it became the last time. Names
+    compare without case; of renames at one time, those that give a name come before those that take it.
+    """
+    log = renames.where("from_name IS NOT NULL AND to_name IS NOT NULL AND at IS NOT NULL").select("scope", F.lower("from_name").alias("old"), F.col("to_name").alias("new"), "at").distinct()
+    log = stored(log.withColumn("id", F.xxhash64("scope", "old", "new", "at")), "renames")
+    given = log.select("scope", F.lower("new").alias("name"), "at", F.lit(0).alias("takes"), "id")
+    taken = log.select("scope", F.col("old").alias("name"), "at", F.lit(1).alias("takes"), "id")
+    later = Window.partitionBy("scope", "name").orderBy("at", "takes", "id").rowsBetween(1, Window.unboundedFollowing)
+    after = given.unionByName(taken).withColumn("next", F.first(F.when(F.col("takes") == 1, F.col("id")), ignorenulls=True).over(later)).where("takes = 0").select(F.col("id").alias("ni"), "next")
+    at = stored(log.join(after, F.col("id") == F.col("ni")).select("id", "new", F.when(F.col("next") != F.col("id"), F.col("next")).alias("next")), "renames")
+    while not at.where("next IS NOT NULL").isEmpty():
+        far = at.select(F.col("id").alias("fi"), F.col("new").alias("fn"), F.col("next").alias("ff"))
+        at = stored(at.join(far, F.col("next") == F.col("fi"), "left").select("id", F.coalesce("fn", "new").alias("new"), F.col("ff").alias("next")), "renames")
+    ends = log.select("id", "scope", "old", "at").join(at.select(F.col("id").alias("ei"), F.col("new").alias("now")), F.col("id") == F.col("ei"))
+    return ends.groupBy("scope", F.col("old").alias("name")).agg(F.max_by("now", F.struct("at", "id")).alias("now"))
+
+
+def open_impacts(reads: DataFrame, tables: DataFrame, columns: DataFrame, renames: DataFrame) -> DataFrame:
+    """(object_type, object_id, change, old_name, new_name): the changes behind what mappings read and no longer find.
+
+    reads: (layer, table, column) that mappings name, layer being where they read; column is null where only the table is
+    named. tables: (table_id, layer, name, status); columns: (column_id, table_id, name, status); ids and layers are texts.
+    renames: (scope, from_name, to_name, at), the scope of a table being its layer, that of a column its table's id. A name
+    that is not there means what it was renamed to, if that is: a rename. A column that is neither there nor renamed is
+    removed, its id being that of its table and its name; so are tables and columns of status source_removed. A table that is
+    gone without a rename says nothing. Each change is given once.
+    """
+    former = stored(names_now(renames), "names-now")
+    asked = reads.where("table IS NOT NULL").select("layer", F.lower("table").alias("t"), F.lower("column").alias("c")).distinct()
+    known = tables.select("table_id", F.col("layer").alias("kl"), F.lower("name").alias("kn"), F.col("name").alias("shown"), F.col("status").alias("table_status"))
+    here = known.select("kl", "kn").distinct()
+    was = former.select(F.col("scope").alias("ws"), F.col("name").alias("wn"), F.lower("now").alias("now"))
+    # a name in use is itself, whatever was called so before
+    named = asked.join(here, (F.col("layer") == F.col("kl")) & (F.col("t") == F.col("kn")), "left").join(was, (F.col("layer") == F.col("ws")) & (F.col("t") == F.col("wn")), "left")
+    named = named.select("layer", "t", "c", F.when(F.col("kn").isNotNull(), F.col("t")).otherwise(F.col("now")).alias("meant"))
+    found = stored(named.join(known, (F.col("layer") == F.col("kl")) & (F.col("meant") == F.col("kn"))), "impacts-tables")
+    change = lambda df, kind, key, what, old, new: df.select(F.lit(kind).alias("object_type"), key.alias("object_id"), F.lit(what).alias("change"), old.alias("old_name"), new.alias("new_name"))
+    nothing = F.lit(None).cast("string")
+    out = change(found.where("t <> meant"), "table", F.col("table_id"), "rename", F.col("t"), F.col("shown"))
+    gone = F.coalesce(F.col("table_status") == "source_removed", F.lit(False))
+    out = out.unionByName(change(found.where(gone), "table", F.col("table_id"), "removed", nothing, nothing))
+
+    own = columns.select("column_id", F.col("table_id").alias("ot"), F.lower("name").alias("on"), F.col("name").alias("called"), F.col("status").alias("column_status"))
+    there = own.select("ot", "on").distinct()
+    read = found.where(~gone & F.col("c").isNotNull()).select("table_id", "c").distinct()
+    met = read.join(there, (F.col("table_id") == F.col("ot")) & (F.col("c") == F.col("on")), "left").join(was, (F.col("table_id") == F.col("ws")) & (F.col("c") == F.col("wn")), "left")
+    met = met.select("table_id", "c", F.when(F.col("on").isNotNull(), F.col("c")).otherwise(F.col("now")).alias("is"))
+    column = stored(met.join(own, (F.col("table_id") == F.col("ot")) & (F.col("is") == F.col("on")), "left"), "impacts-columns")
+    out = out.unionByName(change(column.where("column_id IS NOT NULL AND c <> is"), "column", F.col("column_id"), "rename", F.col("c"), F.col("called")))
+    out = out.unionByName(change(column.where("column_status = 'source_removed'"), "column", F.col("column_id"), "removed", nothing, nothing))
+    out = out.unionByName(change(column.where("column_id IS NULL"), "column", F.concat_ws(".", "table_id", "c"), "removed", F.col("c"), nothing))
+    return out.distinct()
+
+
 def retyped(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(node, action) of a change of type (node): `retype` along direct mappings however far, `flag` where another mapping
     reads a retyped column. edges: (source, target, mapping_type)."""

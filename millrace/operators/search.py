@@ -1,6 +1,6 @@
 """Hybrid retrieval: text ranking, vector ranking, rank fusion, collapse to parents, diversity, promotion, metrics.
 
-Text ranking is a BM25 of its own; the capability is the same as a database's cover-density rank, the scores are not.
+Text is ranked by the density of covers of the query's terms, with exact names and phrases first, or by BM25.
 """
 
 from __future__ import annotations
@@ -8,12 +8,16 @@ from __future__ import annotations
 import math
 import re
 import textwrap
+import zlib
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import stem
 from millrace.functions.validators import normalised
 from millrace.session import stored
 
@@ -50,6 +54,79 @@ def text_rank(passages: DataFrame, query: str, k: int = POOL, k1: float = 1.2, b
     return _positions(rows.where(hit).select("passage_id", signal.alias("signal")), k)
 
 
+# Fixed value: what a term without a label of its own weighs in a cover.
+COVER_WEIGHT = 0.1
+
+
+def _postings(words: Column, wanted: list[str], stemmed: bool) -> Column:
+    """The places of the wanted terms among words, in order: an array of (pos, t), t being the term's number from 1.
+
+    Only words that begin like a wanted stem are stemmed at all: stems keep the first two letters, but for Arabic words.
+    """
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("w")))
+    if stemmed:
+        like = lambda x: F.left(x["w"], F.lit(2)).isin(sorted({w[:2] for w in wanted})) | x["w"].rlike("^[ء-ي]")
+        placed = F.transform(F.filter(placed, like), lambda x: F.struct(x["pos"].alias("pos"), stem(x["w"]).alias("w")))
+    known = F.array(*[F.lit(w) for w in wanted])
+    kept = F.filter(placed, lambda x: x["w"].isin(wanted))
+    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.array_position(known, x["w"]).cast("int").alias("t")))
+
+
+def _covers(found: Column, terms_: int) -> Column:
+    """The summed density of all shortest stretches that hold each of the terms, by one sweep over their merged places.
+
+    The sweep keeps the latest place of each term. The earliest of these begins the shortest stretch that ends at the present
+    place; it is new if it begins behind the stretch before it. A stretch weighs COVER_WEIGHT over one plus its other words.
+    """
+    nowhere = F.array(*[F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("pos")) for _ in range(terms_)])
+    start = F.struct(nowhere.alias("seen"), F.lit(-1).alias("begin"), F.lit(0.0).alias("density"))
+
+    def step(state, x):
+        seen = F.transform(state["seen"], lambda s, j: F.when(j + 1 == x["t"], F.struct(x["i"].alias("i"), x["pos"].alias("pos"))).otherwise(s))
+        first = F.array_min(seen)
+        new = first["i"] > state["begin"]
+        others = (x["pos"] - first["pos"]) - (x["i"] - first["i"])
+        density = state["density"] + F.when(new, F.lit(COVER_WEIGHT) / (1 + others)).otherwise(0.0)
+        return F.struct(seen.alias("seen"), F.greatest(state["begin"], first["i"]).alias("begin"), density.alias("density"))
+
+    return F.aggregate(F.transform(found, lambda x, i: F.struct(i.alias("i"), x["pos"].alias("pos"), x["t"].alias("t"))), start, step)["density"]
+
+
+def cover_rank(passages: DataFrame, query: str, match: str = "any", stemmed: bool = True, k: int = POOL) -> DataFrame:
+    """(passage_id, identifier, phrase, signal, position) of the k first passages that hold any, or all, of the query's terms.
+
+    Passages that hold one of the query's identifiers (a word with an underscore or a digit) come first, then those with its
+    words in order and adjacent, then by the density of the query's covers; ties by passage_id. If any term will do, each of
+    its places is a cover by itself; if all must be there, covers are the shortest stretches that hold them all. The texts
+    are read once, and only the places of the query's words are kept of them.
+    """
+    if match not in ("any", "all"):
+        raise ValueError("match is any or all")
+    named = lambda c: F.transform(terms(c), stem) if stemmed else terms(c)
+    asked = passages.sparkSession.range(1).select(named(F.lit(query)).alias("t")).first()["t"]
+    wanted = list(dict.fromkeys(asked))
+    if not wanted:
+        return passages.select("passage_id", F.lit(False).alias("identifier"), F.lit(False).alias("phrase"), F.lit(0.0).alias("signal"), F.lit(0).cast("long").alias("position")).limit(0)
+    found = passages.select("passage_id", _postings(terms(F.col("text")), wanted, stemmed).alias("found"))
+    names = [i + 1 for i, w in enumerate(wanted) if "_" in w or any(ch.isdigit() for ch in w)]
+    order = [wanted.index(w) + 1 for w in asked]
+
+    def follows(e, i):
+        """Whether the query's words stand here, one after the other; they are neighbours among the found places then."""
+        here = F.lit(True)
+        for n, t in enumerate(order):
+            x = F.get("found", i + n)
+            here = here & F.coalesce((x["t"] == t) & (x["pos"] == e["pos"] + n), F.lit(False))
+        return here
+
+    identifier = F.exists("found", lambda x: x["t"].isin(names)) if names else F.lit(False)
+    phrase = F.exists(F.transform("found", follows), lambda x: x) if len(order) > 1 else F.lit(False)
+    signal = F.size("found") * F.lit(COVER_WEIGHT) if match == "any" else _covers(F.col("found"), len(wanted))
+    ranked = found.where(F.size("found") > 0).select("passage_id", identifier.alias("identifier"), phrase.alias("phrase"), signal.alias("signal")).where("signal > 0")
+    by = [F.desc("identifier"), F.desc("phrase"), F.desc("signal"), F.col("passage_id")]
+    return ranked.orderBy(*by).limit(k).withColumn("position", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))  # k rows
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -173,7 +250,13 @@ def idf_rank(items: DataFrame, query: str, name_weight: int = 3) -> DataFrame:
 CHILD, PARENT, OVERLAP = (250, 375), (1000, 1500), 40
 _HEADING = re.compile(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*$")
 _TABLE = re.compile(r"(?m)^[ \t]*\|.*\|[ \t]*\n[ \t]*\|[ \t:|-]*-[ \t:|-]*\|[ \t]*(?:\n[ \t]*\|.*\|[ \t]*)*")
-_FINER = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+")
+_FINER = (r"\n\s*\n", r"\n", r"(?<=[.!?؟])\s+")
+# Fixed value: neighbouring sentences less alike than this belong to different passages.
+SAME_TOPIC = 0.5
+_SENTENCE = re.compile(r"(?<=[.!?؟])\s+|\n+")
+
+#: Texts to as many vectors, in one call for many texts.
+Embedder = Callable[[list[str]], np.ndarray]
 
 
 def tokens(text: str) -> int:
@@ -215,43 +298,91 @@ def _sections(text: str):
             yield heading, number if paged else None, page[m.end() if m else 0 : until]
 
 
-def passages(text: str, aim: int, most: int, overlap: int = 0) -> list[tuple[str | None, int | None, str]]:
+def sentences(text: str) -> list[str]:
+    return [s.strip() for s in _SENTENCE.split(text) if s.strip()]
+
+
+class Topics:
+    """Cuts prose where neighbouring sentences stop being alike, by the vectors that an embedder gives.
+
+    Vectors are asked for in lots of LOT sentences and kept until forget(), so that a batch of documents needs few calls. An
+    embedder that returns another number of vectors than it was given sentences is not used: cut() then gives the text whole.
+    """
+
+    LOT = 4096
+
+    def __init__(self, embed: Embedder):
+        self.embed, self.known = embed, {}
+
+    def learn(self, texts: list[str]) -> None:
+        new = [s for s in dict.fromkeys(texts) if s not in self.known]
+        for lot in (new[i : i + self.LOT] for i in range(0, len(new), self.LOT)):
+            vectors = np.asarray(self.embed(lot), np.float64)
+            if len(vectors) == len(lot):
+                self.known.update(zip(lot, vectors, strict=True))
+
+    def forget(self) -> None:
+        self.known.clear()
+
+    def cut(self, prose: str) -> list[str]:
+        parts = sentences(prose)
+        self.learn(parts)
+        if len(parts) < 2 or any(s not in self.known for s in parts):
+            return [prose]
+        v = np.stack([self.known[s] for s in parts])
+        size = np.sqrt((v * v).sum(1))
+        both = size[:-1] * size[1:]
+        alike = np.divide((v[:-1] * v[1:]).sum(1), both, out=np.zeros(len(both)), where=both > 0)
+        starts = [0, *(np.flatnonzero(alike < SAME_TOPIC) + 1).tolist(), len(parts)]
+        return [" ".join(parts[lo:hi]) for lo, hi in zip(starts, starts[1:], strict=False)]
+
+
+def passages(text: str, aim: int, most: int, overlap: int = 0, topics: Topics | None = None) -> list[tuple[str | None, int | None, str]]:
     """(heading, page, passage) of a text, in order: about `aim` tokens each and never more than `most`.
 
-    A passage never crosses a page, a heading or a table; tables stand alone, split by rows under a repeated header. Prose
-    passages of one stretch share their last `overlap` tokens, as whole words, with the next.
+    A passage never crosses a page, a heading or a table; tables stand alone, split by rows under a repeated header. With
+    topics it never crosses a change of topic either. Prose passages of one stretch share their last `overlap` tokens, as
+    whole words, with the next, but for those on two sides of a change of topic.
     """
     out = []
     for heading, page, part in _sections(text):
-        at, now = 0, ""
+        at = 0
         tables = [(m.start(), m.end(), m[0]) for m in _TABLE.finditer(part)]
         for start, end, table in [*tables, (len(part), len(part), None)]:
-            for unit in _units(part[at:start], min(aim, most - overlap)):
-                if now and tokens(f"{now}\n\n{unit}") > aim:
+            for block in topics.cut(part[at:start]) if topics else [part[at:start]]:
+                now = ""
+                for unit in _units(block, min(aim, most - overlap)):
+                    if now and tokens(f"{now}\n\n{unit}") > aim:
+                        out.append((heading, page, now))
+                        tail = now[-4 * overlap :].partition(" ")[2] if overlap else ""
+                        now = tail if tail and tokens(f"{tail}\n\n{unit}") <= most else ""
+                    now = f"{now}\n\n{unit}" if now else unit
+                if now:
                     out.append((heading, page, now))
-                    tail = now[-4 * overlap :].partition(" ")[2] if overlap else ""
-                    now = tail if tail and tokens(f"{tail}\n\n{unit}") <= most else ""
-                now = f"{now}\n\n{unit}" if now else unit
-            if now:
-                out.append((heading, page, now))
             if table:
                 out += [(heading, page, x) for x in _rows(table, most)]
-            at, now = end, ""
+            at = end
     return out
 
 
-def chunked(docs: DataFrame, child: tuple[int, int] = CHILD, parent: tuple[int, int] = PARENT, overlap: int = OVERLAP) -> DataFrame:
+def chunked(docs: DataFrame, child: tuple[int, int] = CHILD, parent: tuple[int, int] = PARENT, overlap: int = OVERLAP, embed: Embedder | None = None) -> DataFrame:
     """(doc_id, parent, chunk, section, page, text, parent_text): passages to embed, cut from larger parents of about 1 000 tokens.
 
     section is the heading, or "Part n" by the parent's number where there is none; page is null in texts without page breaks.
+    With an embedder (a function that can be sent to tasks), parents also end where the topic changes; a task asks it for the
+    sentences of a batch of documents at once.
     """
 
     def cut(batches):
+        topics = Topics(embed) if embed else None
         for pdf in batches:
             rows, names = [], ["doc_id", "parent", "chunk", "section", "page", "text", "parent_text"]
+            if topics:
+                topics.forget()
+                topics.learn([s for text in pdf["text"] if text for _, _, part in _sections(text) for prose in _TABLE.split(part) for s in sentences(prose)])
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 n = 0
-                for p, (heading, page, whole) in enumerate(passages(text or "", *parent)):
+                for p, (heading, page, whole) in enumerate(passages(text or "", *parent, topics=topics)):
                     for _, _, piece in passages(whole, *child, overlap):
                         rows.append((doc_id, p, n, heading or f"Part {p + 1}", page, piece, whole))
                         n += 1
@@ -261,3 +392,16 @@ def chunked(docs: DataFrame, child: tuple[int, int] = CHILD, parent: tuple[int,
             yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, parent int, chunk int, section string, page int, text string, parent_text string")
+
+
+def bag_of_words(dims: int = 512) -> Embedder:
+    """An embedder without a model: each word adds one to the place that its hash picks."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for row, text in zip(out, texts, strict=True):
+            for word in re.findall(r"\w+", text.lower()):
+                row[zlib.crc32(word.encode()) % dims] += 1
+        return out
+
+    return embed

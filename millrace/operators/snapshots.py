@@ -55,17 +55,67 @@ def column_renames(removed: DataFrame, added: DataFrame) -> DataFrame:
     return r.join(a, same).select(F.col("r_table").alias("table"), F.col("r_name").alias("from_name"), F.col("a_name").alias("to_name"), F.round(0.5 + 0.5 * likeness("r_name", "a_name"), 2).alias("confidence"))
 
 
-def table_rename_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
-    """(from_name, to_name, confidence) of tables (table, child) whose children are alike by Jaccard of 0.6 or more.
+def alike_sets(removed: DataFrame, added: DataFrame, least: float = SAME_CHILDREN) -> DataFrame:
+    """(scope, old, new, jaccard) of the sets (scope, name, child) gone and come whose children are alike by Jaccard of `least`
+    or more, within a scope. Children compare without case.
 
-    Pairs come from an equality join on the children, so tables that share none are never compared.
+    Children are put in order, rare ones first. Two such sets share one of their first n - ceil(least * n) + 1 children, n
+    being the size of each, so only these are joined: a child that all sets have never makes a pair of sets with others. Sets
+    whose sizes alone rule it out are not compared, and the rest is counted exactly.
     """
-    r, a = removed.select(F.col("table").alias("r"), F.lower("child").alias("c")).distinct(), added.select(F.col("table").alias("a"), F.lower("child").alias("c")).distinct()
-    nr, na = r.groupBy("r").agg(F.count(F.lit(1)).alias("nr")), a.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
-    shared = r.join(a, "c").groupBy("r", "a").agg(F.count(F.lit(1)).alias("n")).join(nr, "r").join(na, "a")
-    jaccard = F.col("n") / (F.col("nr") + F.col("na") - F.col("n"))
-    good = shared.withColumn("j", jaccard).where(F.col("j") >= SAME_CHILDREN)
-    return good.select(F.col("r").alias("from_name"), F.col("a").alias("to_name"), F.round(0.7 * F.col("j") + 0.3 * likeness("r", "a"), 2).alias("confidence"))
+    rows = lambda df, side: df.select("scope", F.col("name").alias("set"), F.lower("child").alias("c"), F.lit(side).alias("side")).where("c IS NOT NULL").distinct()
+    every = stored(rows(removed, "old").unionByName(rows(added, "new")), "alike-children")
+    common = every.groupBy(F.col("scope").alias("fs"), F.col("c").alias("fc")).agg(F.count(F.lit(1)).alias("f"))
+    ranked = every.join(common, F.col("scope").eqNullSafe(F.col("fs")) & (F.col("c") == F.col("fc"))).select("scope", "set", "side", F.struct("f", "c").alias("x"))
+    sets = ranked.groupBy("scope", "set", "side").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]).alias("all"))
+    n = F.size("all")
+    sets = stored(sets.withColumn("n", n).withColumn("first", F.slice("all", 1, (n - F.ceil(F.round(n * least, 9)) + 1).cast("int"))), "alike-sets")
+    o, w = (sets.where(F.col("side") == side).select(*[F.col(c).alias(f"{side}_{c}") for c in ("scope", "set", "all", "n")], F.explode("first").alias(f"{side}_c")) for side in ("old", "new"))
+    fits = (F.col("new_n") >= F.round(F.col("old_n") * least, 9)) & (F.col("old_n") >= F.round(F.col("new_n") * least, 9))
+    met = o.join(w, F.col("old_scope").eqNullSafe(F.col("new_scope")) & (F.col("old_c") == F.col("new_c")) & fits)
+    # a pair that shares several of its first children is counted at the first of them
+    both = F.array_intersect("old_all", "new_all")
+    shared = met.where(F.get(both, F.lit(0)) == F.col("old_c")).select("old_scope", "old_set", "new_set", "old_n", "new_n", F.size(both).alias("k"))
+    jaccard = F.col("k") / (F.col("old_n") + F.col("new_n") - F.col("k"))
+    return shared.select(F.col("old_scope").alias("scope"), F.col("old_set").alias("old"), F.col("new_set").alias("new"), jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def _graded(good: DataFrame) -> DataFrame:
+    """(scope, from_name, to_name, confidence): 0.7 of the Jaccard and 0.3 of the names' likeness."""
+    return good.select("scope", F.col("old").alias("from_name"), F.col("new").alias("to_name"), F.round(0.7 * F.col("jaccard") + 0.3 * likeness("old", "new"), 2).alias("confidence"))
+
+
+def _tables(df: DataFrame) -> DataFrame:
+    keys = [c for c in ("schema", "kind") if c in df.columns]
+    return df.select(F.to_json(F.struct(*keys)).alias("scope") if keys else F.lit("").alias("scope"), F.col("table").alias("name"), "child")
+
+
+def table_rename_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(from_name, to_name, confidence) of tables (table, child, and schema and kind if they have them) whose columns are alike
+    by Jaccard of 0.6 or more. Only tables of one schema and kind meet."""
+    return _graded(alike_sets(_tables(removed), _tables(added))).drop("scope")
+
+
+def schema_rename_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(from_name, to_name, confidence) of schemas (schema, table) whose tables are alike, in the same way."""
+    given = lambda df: df.select(F.lit("").alias("scope"), F.col("schema").alias("name"), F.col("table").alias("child"))
+    return _graded(alike_sets(given(removed), given(added))).drop("scope")
+
+
+def renames(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(level, schema, from_name, to_name, confidence): schemas, then tables, that a newer state (schema, table, kind, child) has
+    under another name. Tables of a renamed schema are compared within it; schema is the newer one's name."""
+    b, a = stored(before.select("schema", "table", "kind", "child"), "renames-before"), stored(after.select("schema", "table", "kind", "child"), "renames-after")
+    only = lambda x, y, keys: x.join(y.select(*[F.col(k).alias(f"o_{k}") for k in keys]).distinct(), [F.col(k) == F.col(f"o_{k}") for k in keys], "left_anti")
+    schemas = stored(greedy_pairs(schema_rename_candidates(only(b, a, ["schema"]), only(a, b, ["schema"]))), "renames-schemas")
+    moved = b.join(schemas.select("from_name", "to_name"), F.col("schema") == F.col("from_name"), "left").select(F.coalesce("to_name", "schema").alias("schema"), "table", "kind", "child")
+    found = _graded(alike_sets(_tables(only(moved, a, ["schema", "table"])), _tables(only(a, moved, ["schema", "table"]))))
+    # names are unique within their schema only, so pairs are taken by both
+    full = lambda c: F.to_json(F.struct(F.get_json_object("scope", "$.schema").alias("s"), F.col(c).alias("t"))).alias(c)
+    pairs = greedy_pairs(found.select(full("from_name"), full("to_name"), "confidence"))
+    part = lambda c, x: F.get_json_object(c, f"$.{x}")
+    tables = pairs.select(F.lit("table").alias("level"), part("to_name", "s").alias("schema"), part("from_name", "t").alias("from_name"), part("to_name", "t").alias("to_name"), "confidence")
+    return schemas.select(F.lit("schema").alias("level"), F.col("to_name").alias("schema"), "from_name", "to_name", "confidence").unionByName(tables)
 
 
 def greedy_pairs(candidates: DataFrame) -> DataFrame:

@@ -28,20 +28,48 @@ def mask_by_rule(spark, sf_dir):
     return privacy.masked_by_name(named)[0]
 
 
-_DIGITS = "regexp_replace(h, '[^0-9]', '', 'g')"
-_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CAST({_DIGITS}[length({_DIGITS}) - i] AS INTEGER) * (1 + i % 2) - CASE WHEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INTEGER) * (1 + i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
-_MOD_97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(upper(regexp_replace(h, '[ -]', '', 'g')), 5) || substr(upper(regexp_replace(h, '[ -]', '', 'g')), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, d: (a * (CASE WHEN d > 9 THEN 100 ELSE 10 END) + d) % 97) = 1"
-_HOLDS = {"iban": _MOD_97, "ip_address": "list_max(list_transform(string_split(h, '.'), lambda x: CAST(x AS INTEGER))) <= 255", "card_number": f"{_LUHN} AND regexp_replace({_DIGITS}, substr({_DIGITS}, 1, 1), '', 'g') <> ''", "national_id": _LUHN, "iqama": _LUHN}
+_J = r"[\s\-().\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]"
+_MAIL = r"[\p{L}\p{N}_.%+\-]+@[\p{L}\p{N}](?:[\p{L}\p{N}_\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}_\-]*[\p{L}\p{N}])?)*\.\p{L}{2,}"
+_IBAN = rf"(?:^|[^A-Za-z0-9])[Ss][Aa](?:{_J}?[0-9A-Za-z]){{22}}(?:$|[^A-Za-z0-9])"
+_FOUR = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?:$|\.(?:$|[^0-9]))"
+_NUMBERS = rf"\+?\p{{Nd}}(?:{_J}?\p{{Nd}}){{8,}}"
+_MOD_97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(i, 5) || substr(i, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, d: (a * (CASE WHEN d > 9 THEN 100 ELSE 10 END) + d) % 97) = 1"
+_SUM = "list_sum(list_transform(range(length(d)), lambda i: CAST(d[length(d) - i] AS INTEGER) * (1 + i % 2) - CASE WHEN CAST(d[length(d) - i] AS INTEGER) * (1 + i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+
+
+def _each(source: str, keys: str, pattern: str, shown: str) -> str:
+    """Texts of source with each match h of the pattern, which needs no context, shown otherwise."""
+    shown = re.sub(r"\bh\b", "z[2]", shown)
+    return f"SELECT {keys}, array_to_string(list_transform(list_zip(string_split_regex(text, '{pattern}'), list_append(regexp_extract_all(text, '{pattern}'), '')), lambda z: z[1] || CASE WHEN z[2] = '' THEN '' ELSE {shown} END), '') AS text FROM {source}"
 
 
 def redact_steps(source: str, keys: str) -> tuple[list[str], str]:
-    """Common table expressions that redact the texts of source, kept with its keys, and the last one's name."""
-    steps = []
-    for k, (rule, pattern, _) in enumerate(privacy.REDACTIONS):
-        hit = re.sub(r"\bh\b", "z[2]", f"CASE WHEN h <> '' AND {_HOLDS.get(rule, 'TRUE')} THEN '[redacted: {rule}]' ELSE h END")
-        steps.append(f"s{k} AS (SELECT {keys}, array_to_string(list_transform(list_zip(string_split_regex(text, '{pattern}'), list_append(regexp_extract_all(text, '{pattern}'), '')), lambda z: z[1] || {hit}), '') AS text FROM {source})")
-        source = f"s{k}"
-    return steps, source
+    """Common table expressions that redact the texts of source, kept with its keys, and the last one's name.
+
+    Addresses are judged as whole tokens; numbers as a walk over all windows of their groups.
+    """
+    k = keys.split(", ")
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in k)
+    own = lambda t: ", ".join(f"{t}.{c}" for c in k)
+    core = "regexp_extract(h, '[Ss][Aa].*[0-9A-Za-z]', 0, 's')"
+    iban = f"CASE WHEN {_MOD_97.replace('substr(i,', f'substr(upper(regexp_replace({core}, {chr(39)}{_J}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})),')} AND regexp_matches(upper(regexp_replace({core}, '{_J}', '', 'g')), '^SA[0-9]{{2}}[0-9A-Z]{{20}}$') THEN replace(h, {core}, '[redacted: iban]') ELSE h END"
+    dotted = "regexp_extract(h, '^(?:[0-9]{1,3}\\.){3}[0-9]{1,3}')"
+    four = f"CASE WHEN regexp_matches(h, '{_FOUR}') AND list_max(list_transform(string_split({dotted}, '.'), lambda x: CASE WHEN x LIKE '0_%' THEN 999 ELSE CAST(x AS INTEGER) END)) <= 255 THEN '[redacted: ip_address]' || substr(h, length({dotted}) + 1) ELSE h END"
+    six = "CASE WHEN regexp_matches(h, '^(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}$') AND (regexp_matches(h, '^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$') OR (length(h) - length(replace(h, '::', '')) = 2 AND NOT contains(h, ':::') AND NOT regexp_matches(h, '^:[^:]|[^:]:$'))) THEN '[redacted: ip_address]' ELSE h END"
+    rule = f"CASE WHEN regexp_matches(d, '^1[0-9]{{9}}$') AND {_SUM} THEN 'national_id' WHEN regexp_matches(d, '^2[0-9]{{9}}$') AND {_SUM} THEN 'iqama' WHEN regexp_matches(d, '^(?:0|(?:\\+|00)?966)5[0-9]{{8}}$') THEN 'phone' WHEN regexp_matches(d, '^[0-9]{{13,19}}$') AND {_SUM} AND replace(d, left(d, 1), '') <> '' THEN 'card_number' END"
+    return [
+        f"s0 AS (SELECT {keys}, regexp_replace(text, '{_MAIL}', '[redacted: email]', 'g') AS text FROM {source})",
+        f"s1 AS ({_each('s0', keys, _IBAN, iban)})",
+        f"s2 AS ({_each('s1', keys, r'[\p{L}\p{N}_.]+', four)})",
+        f"s3 AS MATERIALIZED ({_each('s2', keys, r'[\p{L}\p{N}_:]+', six)})",
+        f"run AS (SELECT {keys}, n, run, regexp_extract_all(run, '\\+?\\p{{Nd}}+') AS g, string_split_regex(run, '\\+?\\p{{Nd}}+') AS b FROM (SELECT {keys}, generate_subscripts(r, 1) AS n, unnest(r) AS run FROM (SELECT {keys}, regexp_extract_all(text, '{_NUMBERS}') AS r FROM s3)))",
+        f"win AS (SELECT {keys}, n, i, j, array_to_string(g[i:j], '') AS d FROM run, range(1, len(g) + 1) x(i), range(i, least(i + 19, len(g) + 1)) y(j))",
+        f"fit AS (SELECT {keys}, n, i, max(j) AS j, arg_max(rule, j) AS rule FROM (SELECT {keys}, n, i, j, {rule} AS rule FROM win WHERE length(d) BETWEEN 9 AND 20) WHERE rule IS NOT NULL GROUP BY ALL)",
+        f"walk AS (WITH RECURSIVE w AS (SELECT {keys}, n, 1 AS at FROM run UNION ALL SELECT {own('w')}, w.n, CAST(coalesce(f.j + 1, w.at + 1) AS INTEGER) FROM w JOIN run r ON {on('w', 'r')} AND w.n = r.n LEFT JOIN fit f ON {on('w', 'f')} AND w.n = f.n AND w.at = f.i WHERE w.at <= len(r.g)) SELECT * FROM w)",
+        f"done AS (SELECT {own('r')}, r.n, string_agg(r.b[w.at] || CASE WHEN w.at > len(r.g) THEN '' WHEN f.rule IS NOT NULL THEN '[redacted: ' || f.rule || ']' ELSE r.g[w.at] END, '' ORDER BY w.at) AS run FROM walk w JOIN run r ON {on('w', 'r')} AND w.n = r.n LEFT JOIN fit f ON {on('w', 'f')} AND w.n = f.n AND w.at = f.i GROUP BY {own('r')}, r.n)",
+        f"all_runs AS (SELECT {keys}, list(run ORDER BY n) AS runs FROM done GROUP BY {keys})",
+        f"s4 AS (SELECT {own('s')}, CASE WHEN a.runs IS NULL THEN s.text ELSE array_to_string(list_transform(list_zip(string_split_regex(s.text, '{_NUMBERS}'), list_append(a.runs, '')), lambda z: z[1] || z[2]), '') END AS text FROM s3 s LEFT JOIN all_runs a ON {on('s', 'a')})",
+    ], "s4"
 
 
 _STEPS, _AT = redact_steps("documents", "doc_id")

@@ -145,6 +145,37 @@ def exact_promotion(spark, sf_dir):
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("exact"), "passage_id")) - 1)
 
 
+_PLACES = (
+    "WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS words FROM documents), p AS (SELECT doc_id, pos, words[pos] AS w FROM d, range(1, len(words) + 1) x(pos)), "
+    "e AS (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS w2, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS pos2 FROM p WHERE w IN ('of', 'the')), "
+    "ph AS (SELECT doc_id, max(w = 'of' AND w2 IS NOT DISTINCT FROM 'the' AND pos2 = pos + 1) AS phrase FROM e GROUP BY doc_id)"
+)
+
+
+@query(
+    f"{_PLACES}, r AS (SELECT e.doc_id, any_value(phrase) AS phrase, 0.1 * count(*) AS signal FROM e JOIN ph ON e.doc_id = ph.doc_id GROUP BY 1) SELECT doc_id AS passage_id, phrase, round(signal, 6) AS signal, row_number() OVER (ORDER BY phrase DESC, r.signal DESC, doc_id) - 1 AS position FROM r ORDER BY phrase DESC, r.signal DESC, doc_id LIMIT 20"
+)
+def cover_density_any(spark, sf_dir):
+    """Documents that hold either of two words, those that hold them as a phrase first."""
+    return search.cover_rank(_passages(spark, sf_dir), "of the", stemmed=False).select("passage_id", "phrase", F.round("signal", 6).alias("signal"), "position")
+
+
+@query(
+    f"{_PLACES}, l AS (SELECT *, least(max(i) FILTER (w = 'of') OVER t, max(i) FILTER (w = 'the') OVER t) AS b, max(i) FILTER (w = 'of') OVER t + max(i) FILTER (w = 'the') OVER t AS pair FROM e WINDOW t AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
+    "c AS (SELECT doc_id, b, min(i) AS i FROM l WHERE pair IS NOT NULL GROUP BY doc_id, b), s AS (SELECT c.doc_id, sum(0.1 / (1 + (z.pos - a.pos) - (c.i - c.b))) AS signal FROM c JOIN e a ON c.doc_id = a.doc_id AND c.b = a.i JOIN e z ON c.doc_id = z.doc_id AND c.i = z.i GROUP BY c.doc_id) "
+    "SELECT s.doc_id AS passage_id, phrase, round(signal, 6) AS signal FROM s JOIN ph ON s.doc_id = ph.doc_id ORDER BY phrase DESC, s.signal DESC, s.doc_id LIMIT 20"
+)
+def cover_density_all(spark, sf_dir):
+    """Documents that hold both words, by the density of the shortest stretches that do."""
+    return search.cover_rank(_passages(spark, sf_dir), "of the", match="all", stemmed=False).select("passage_id", "phrase", F.round("signal", 6).alias("signal"))
+
+
+@query()
+def semantic_chunks(spark, sf_dir):
+    """Passages cut where neighbouring sentences stop being alike, sentences being counted words."""
+    return search.chunked(table(spark, sf_dir, "documents"), embed=search.bag_of_words())
+
+
 @query()
 def chunk_documents(spark, sf_dir):
     return search.chunked(table(spark, sf_dir, "documents"))

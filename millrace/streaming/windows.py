@@ -33,19 +33,26 @@ def stale_jobs(jobs: DataFrame, now, after_seconds: int = 60, attempts: int = 3)
     return jobs.where((F.col("status") == "running") & quiet).withColumn("next", F.when(F.col("attempt") < attempts, "requeue").otherwise("fail"))
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """What an append stream, or the last state of an aggregating one, has given once all there is now has been read.
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once all there is now has been read.
 
-    The micro-batches go to files in the shared folder, where the stream also keeps its progress; the result is read back.
+    mode append: all rows that it has emitted, of an aggregating stream those of the windows that its watermark has closed.
+    mode complete: the last state of an aggregating stream, open windows included; it keeps all windows. The micro-batches
+    go to files in the shared folder, where the stream also keeps its progress; the result is read back.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError("mode is append or complete")
     where = f"{shared_dir(stream.sparkSession)}/millrace/drained-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{where}-progress").trigger(availableNow=True)
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}-progress").trigger(availableNow=True)
     q = q.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{where}/batch={batch:08d}")).start()
     q.awaitTermination()
-    last = stream.sparkSession.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{where}").where("batch IS NOT NULL")
-    return last.where(F.col("batch") == (last.agg(F.max("batch")).first()[0] or 0)).drop("batch")
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(where).where("batch IS NOT NULL")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows.drop("batch")
 
 
 def upsert_batches(stream: DataFrame, apply, checkpoint: str):
-    """Start a stream that hands each micro-batch to apply(df, batch_id), which must be idempotent by batch_id."""
+    """Start a stream that hands each micro-batch to apply(df, batch_id): once, or again after a failure. KeyedTable.upsert
+    takes effect once either way; any other function must see to that itself."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()
