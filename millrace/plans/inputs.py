@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import json_schema
 from millrace.operators import guard
 from millrace.plans.base import Book
 from millrace.session import table
@@ -99,3 +100,28 @@ def guard_verdicts(spark, sf_dir):
     for t in ("customer", "nation"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.createDataFrame([(i, guard.accepts(spark, sql, {"customer", "nation"})) for i, (sql, _) in enumerate(_VERDICTS)], "case_no int, accepted boolean")
+
+
+_PROPS = {"type": "object", "properties": {"k": {"anyOf": [{"$ref": "#/$defs/small"}, {"type": "integer", "minimum": 90}]}}, "required": ["k"], "additionalProperties": False, "$defs": {"small": {"type": "integer", "minimum": 10, "maximum": 50}}}
+
+
+@query("WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN k BETWEEN 10 AND 50 OR k >= 90 THEN '' ELSE 'props.k: does not match any allowed form' END AS problems FROM k")
+def event_properties(spark, sf_dir):
+    """Properties of all events held against a schema with a choice of two ranges."""
+    found = json_schema.violations(F.col("props"), _PROPS, "props")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(found, "; ").alias("problems"))
+
+
+_LINES = {"type": "array", "maxItems": 3, "items": {"type": "string", "maxLength": 200}}
+_TURN = {"type": "object", "properties": {"role": {"enum": ["user", "assistant"]}, "turn": {"$ref": "#/$defs/count"}, "lines": _LINES}, "required": ["role", "turn", "lines", "tool"], "additionalProperties": {"type": "null"}, "$defs": {"count": {"type": "integer", "maximum": 2}}}
+
+
+@query(
+    "WITH l AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS lines FROM conversations) SELECT conv_id, turn, array_to_string(list_concat(['args.tool: is required'], CASE WHEN role NOT IN ('user', 'assistant') THEN ['args.role: must be one of ''user'', ''assistant'''] ELSE [] END, CASE WHEN turn > 2 THEN ['args.turn: is above the maximum 2'] ELSE [] END, "
+    "CASE WHEN len(lines) > 3 THEN ['args.lines: has too many items'] ELSE [] END, list_transform(list_filter(range(1, len(lines) + 1), lambda i: length(lines[i]) > 200), lambda i: 'args.lines[' || (i - 1) || ']: is too long'), CASE WHEN turn % 2 = 1 THEN ['args.odd: must be of type null'] ELSE [] END), '; ') AS problems FROM l"
+)
+def conversation_arguments(spark, sf_dir):
+    """Every turn as the arguments of a call, which lack one, have bad roles, long lines and a property too many."""
+    made = F.to_json(F.struct("role", "turn", F.split("text", "\n", -1).alias("lines"), F.when(F.col("turn") % 2 == 1, F.lit(True)).alias("odd")))
+    found = json_schema.violations(made, _TURN, "args")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, "; ").alias("problems"))

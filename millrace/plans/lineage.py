@@ -77,3 +77,14 @@ def trace_to_root(spark, sf_dir):
 @query(f"WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT source AS s, target AS t FROM e UNION SELECT target, source FROM e), r(node, hops) AS (SELECT 5::BIGINT, 0 UNION SELECT b.t, r.hops + 1 FROM r JOIN b ON r.node = b.s WHERE r.hops < 12), m AS (SELECT node, min(hops) AS hops FROM r GROUP BY node) SELECT node, hops FROM m ORDER BY hops, node LIMIT 20")
 def ego_graph(spark, sf_dir):
     return graph.neighbourhood(_edges(spark, sf_dir), spark.createDataFrame([(5,)], "node long"), 20)
+
+
+@query(
+    f"WITH RECURSIVE e AS ({_EDGES}), s(node) AS (VALUES (5::BIGINT), (17), (100)), a(node) AS (SELECT node FROM s UNION SELECT target FROM a JOIN e ON node = source AND kind = 'value'), p(node) AS (SELECT node FROM s UNION SELECT target FROM p JOIN e ON node = source AND kind = 'value' AND target % 7 <> 0), "
+    "h(node) AS (SELECT target FROM a JOIN e ON node = source AND kind = 'value' AND target % 7 = 0 UNION SELECT target FROM h JOIN e ON node = source AND kind = 'value'), u AS (SELECT DISTINCT target AS node FROM a JOIN e ON node = source AND kind <> 'value') "
+    "SELECT node, CASE WHEN node IN (SELECT node FROM p) THEN 'derived' ELSE 'pseudonymised' END AS status, node IN (SELECT node FROM h) AS pseudonymised FROM a UNION ALL SELECT node, 'influenced', NULL FROM u WHERE node NOT IN (SELECT node FROM a)"
+)
+def pii_pseudonymised(spark, sf_dir):
+    """Personal data where every seventh part is a hash of what it comes from."""
+    hashed = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("node"))
+    return graph.propagate(_edges(spark, sf_dir), _seeds(spark), hashed)

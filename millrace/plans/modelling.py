@@ -173,3 +173,39 @@ def values_at_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif(F.regexp_extract("text", r"[a-z0-9]+@[a-z0-9]+\.[a-z]+", 0), F.lit("")).alias("first_email"))
     strong = {k: check for k, (_, weight, check) in V.VALIDATORS.items() if weight == 1.0 and k in ("email", "iban", "card_number")}
     return M.personal_columns(docs, strong, {k: V.VALIDATORS[k][2] for k in ("commercial_registration", "birth_date")})
+
+
+_ITEMS = "i AS (SELECT o_orderkey // 10 AS change_set, o_orderkey AS item, o_orderkey % 10 AS pos, CASE o_custkey % 11 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' WHEN 2 THEN 'needs_owner' ELSE 'pending' END AS status, o_custkey % 13 = 0 AS owner_only, o_custkey % 17 = 0 AS stale, o_custkey AS k FROM orders)"
+_DEPENDS = "d AS (SELECT item, item - 1 AS dep FROM i WHERE pos > 0 AND k % 3 <> 0 UNION SELECT item, item - 3 FROM i WHERE pos >= 3 AND k % 5 = 0 UNION SELECT item, item + 2 FROM i WHERE pos = 0 AND change_set % 20 = 0 UNION SELECT item, -1 FROM i WHERE k % 97 = 5)"
+
+
+def _items(spark, sf_dir):
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    pos, change_set = k % 10, F.floor(k / 10)
+    status = F.when(c % 11 == 0, "rejected").when(c % 11 == 1, "accepted").when(c % 11 == 2, "needs_owner").otherwise("pending")
+    depends = F.array(F.when((pos > 0) & (c % 3 != 0), k - 1), F.when((pos >= 3) & (c % 5 == 0), k - 3), F.when((pos == 0) & (change_set % 20 == 0), k + 2), F.when(c % 97 == 5, F.lit(-1).cast("long")))
+    return o.select(change_set.alias("change_set"), k.alias("item"), F.array_compact(depends).alias("depends_on"), status.alias("status"), F.when(c % 13 == 0, "owner").otherwise("member").alias("required_role"), (c % 17 == 0).alias("stale"))
+
+
+_DECIDED = (
+    f"WITH RECURSIVE {_ITEMS}, {_DEPENDS}, tc(item, dep) AS (SELECT item, dep FROM d UNION SELECT tc.item, d.dep FROM tc JOIN d ON tc.dep = d.item), o AS (SELECT item FROM i WHERE status IN ('pending', 'needs_owner')), s AS (SELECT item FROM i WHERE item % 4 <> 1), "
+    "c AS (SELECT item FROM o WHERE item IN (SELECT item FROM s) OR item IN (SELECT dep FROM tc WHERE item IN (SELECT item FROM s))), ow AS (SELECT c.item FROM c JOIN i ON c.item = i.item WHERE owner_only), w AS (SELECT item FROM c WHERE item IN (SELECT item FROM ow) OR item IN (SELECT item FROM tc WHERE dep IN (SELECT item FROM ow))), "
+    "n AS (SELECT item FROM c WHERE item NOT IN (SELECT item FROM w)), cy AS (SELECT item FROM tc WHERE item = dep), "
+    "b AS (SELECT n.item, CASE WHEN n.item IN (SELECT item FROM cy) OR n.item IN (SELECT item FROM tc WHERE dep IN (SELECT item FROM cy)) THEN 'cycle' WHEN n.item IN (SELECT d.item FROM d LEFT JOIN i ON d.dep = i.item WHERE coalesce(i.status, 'missing') NOT IN ('accepted', 'pending', 'needs_owner')) THEN 'not_applied' WHEN i.stale THEN 'stale' END AS why FROM n JOIN i ON n.item = i.item), "
+    "nt(item, dep) AS (SELECT item, dep FROM d WHERE item IN (SELECT item FROM n) AND dep IN (SELECT item FROM n) UNION SELECT nt.item, d.dep FROM nt JOIN d ON nt.dep = d.item WHERE d.dep IN (SELECT item FROM n)), "
+    "k AS (SELECT item, why FROM b WHERE why IS NOT NULL UNION ALL SELECT item, 'depends_on_skipped' FROM b WHERE why IS NULL AND item IN (SELECT item FROM nt WHERE dep IN (SELECT item FROM b WHERE why IS NOT NULL))), "
+    "f AS (SELECT change_set, i.item, CASE WHEN w.item IS NOT NULL THEN CASE WHEN owner_only THEN 'needs_owner' ELSE 'pending' END WHEN k.item IS NOT NULL THEN 'stale' WHEN n.item IS NOT NULL THEN 'accepted' ELSE status END AS status, k.why AS reason, w.item IS NOT NULL AS waits FROM i LEFT JOIN w ON i.item = w.item LEFT JOIN n ON i.item = n.item LEFT JOIN k ON i.item = k.item), "
+    "no AS (SELECT item FROM f WHERE status = 'needs_owner'), r AS (SELECT change_set, item, CASE WHEN status IN ('pending', 'needs_owner') AND NOT waits AND item NOT IN (SELECT item FROM no) AND item NOT IN (SELECT item FROM tc WHERE dep IN (SELECT item FROM no)) THEN 'expired' ELSE status END AS status, reason FROM f)"
+)
+
+
+@query(f"{_DECIDED} SELECT * FROM r")
+def change_set_items(spark, sf_dir):
+    """Orders as items of change sets of ten, some of them stale, for owners, or on a cycle."""
+    items = _items(spark, sf_dir)
+    return M.accepted_items(items, items.where("item % 4 <> 1").select("item"))
+
+
+@query(f"{_DECIDED} SELECT change_set, CASE WHEN count(*) FILTER (status IN ('pending', 'needs_owner')) > 0 THEN 'pending' WHEN count(*) FILTER (status = 'accepted') = 0 THEN 'rejected' WHEN count(*) FILTER (status = 'accepted') = count(*) THEN 'applied' ELSE 'partially_applied' END AS status FROM r GROUP BY change_set")
+def change_sets_decided(spark, sf_dir):
+    return M.change_set_statuses(change_set_items(spark, sf_dir))

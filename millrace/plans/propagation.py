@@ -140,3 +140,52 @@ def score_export(spark, sf_dir):
     k = F.col("c_custkey")
     checks = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("layer"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("table"), F.lit("check").alias("check"), (F.col("c_acctbal") > 0).alias("passed"), (k % 3 + 1).cast("double").alias("weight"), F.concat(F.lit("fix "), (k % 4).cast("string")).alias("hint"))
     return P.score_sheet(checks)
+
+
+_NAMES = (
+    "s AS (SELECT s_suppkey AS k FROM supplier), st AS (SELECT unnest(range(0, 6)) AS n), "
+    "g AS (SELECT 'core' AS scope, 'sup' || k || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS old, 'sup' || k || '_' || (n + 1) AS new, n AS t FROM s, st WHERE k % 4 = 0 AND n < 5 UNION ALL SELECT 'core', 'sup' || k || '_3', 'other' || k, -10 FROM s WHERE k % 4 = 0 "
+    "UNION ALL SELECT 't' || k, 'c3' || CASE WHEN n = 0 THEN '' ELSE '_' || n END, 'c3_' || (n + 1), n FROM s, st)"
+)
+
+
+def _renamed(spark, sf_dir):
+    """Suppliers as tables of four columns; tables of every fourth have been renamed five times, a column of each six times."""
+    k = F.col("s_suppkey").cast("string")
+    s = table(spark, sf_dir, "supplier").select(k.alias("k"), F.col("s_suppkey").alias("n"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("at")
+    name = lambda stem, i: F.concat(stem, F.when(i == 0, "").otherwise(F.concat(F.lit("_"), i.cast("string"))))
+    stem = F.concat(F.lit("sup"), F.col("k"))
+    fourth = s.where("n % 4 = 0").select("k", steps).where("at < 5").select(F.lit("core").alias("scope"), name(stem, F.col("at")).alias("from_name"), name(stem, F.col("at") + 1).alias("to_name"), "at")
+    # a name that was given up before the chain gave it again
+    early = s.where("n % 4 = 0").select(F.lit("core").alias("scope"), F.concat(stem, F.lit("_3")).alias("from_name"), F.concat(F.lit("other"), F.col("k")).alias("to_name"), F.lit(-10).alias("at"))
+    third = s.select("k", steps).select(F.concat(F.lit("t"), F.col("k")).alias("scope"), name(F.lit("c3"), F.col("at")).alias("from_name"), name(F.lit("c3"), F.col("at") + 1).alias("to_name"), "at")
+    tables = s.select(F.concat(F.lit("t"), F.col("k")).alias("table_id"), F.lit("core").alias("layer"), F.when(F.col("n") % 4 == 0, F.concat(stem, F.lit("_5"))).otherwise(stem).alias("name"), F.when(F.col("n") % 11 == 0, "source_removed").otherwise("present").alias("status"), "n")
+    columns = tables.select("table_id", "n", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    columns = columns.select(F.concat("table_id", F.lit(".c"), F.col("i").cast("string")).alias("column_id"), "table_id", F.when(F.col("i") == 3, "c3_6").otherwise(F.concat(F.lit("c"), F.col("i").cast("string"))).alias("name"), F.when((F.col("n") + F.col("i")) % 13 == 0, "source_removed").otherwise("present").alias("status"))
+    return fourth.unionByName(early).unionByName(third), tables.drop("n"), columns
+
+
+@query(
+    f"WITH RECURSIVE {_NAMES}, x AS (SELECT a.scope, a.old, a.new, a.t, min(b.t) AS later FROM g a LEFT JOIN g b ON a.scope = b.scope AND a.new = b.old AND b.t > a.t GROUP BY ALL), r(scope, old, t, new, later) AS (SELECT scope, old, t, new, later FROM x UNION ALL SELECT r.scope, r.old, r.t, x.new, x.later FROM r JOIN x ON r.scope = x.scope AND r.new = x.old AND r.later = x.t) "
+    "SELECT scope, old AS name, arg_max(new, t) AS now FROM r WHERE later IS NULL GROUP BY scope, old"
+)
+def names_now(spark, sf_dir):
+    """What each name in a log of renames has become."""
+    return P.names_now(_renamed(spark, sf_dir)[0])
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS k FROM supplier), t AS (SELECT k, 't' || k AS id, 'sup' || k || CASE WHEN k % 4 = 0 THEN '_5' ELSE '' END AS name FROM s), r AS (SELECT DISTINCT l_suppkey AS k, CASE WHEN l_suppkey % 4 = 0 AND l_linenumber > 1 THEN 'sup' || l_suppkey || '_' || (l_linenumber - 1) ELSE 'sup' || l_suppkey END AS name, l_partkey % 5 AS c, CASE WHEN l_partkey % 5 = 3 THEN 'c3_' || l_linenumber ELSE 'c' || (l_partkey % 5) END AS col FROM lineitem), "
+    "m AS (SELECT t.k, t.id, t.name AS shown, r.name, r.c, r.col FROM r JOIN t ON r.k = t.k WHERE NOT regexp_matches(r.name, '_6$')) "
+    "SELECT DISTINCT 'table' AS object_type, id AS object_id, 'rename' AS change, name AS old_name, shown AS new_name FROM m WHERE name <> shown UNION ALL SELECT DISTINCT 'table', id, 'removed', NULL, NULL FROM m WHERE k % 11 = 0 "
+    "UNION ALL SELECT DISTINCT 'column', id || '.c3', 'rename', col, 'c3_6' FROM m WHERE k % 11 <> 0 AND c = 3 AND col NOT IN ('c3_6', 'c3_7') UNION ALL SELECT DISTINCT 'column', id || '.' || col, 'removed', col, NULL FROM m WHERE k % 11 <> 0 AND (c = 4 OR col = 'c3_7') "
+    "UNION ALL SELECT DISTINCT 'column', id || '.c' || c, 'removed', NULL, NULL FROM m WHERE k % 11 <> 0 AND c < 4 AND col <> 'c3_7' AND (k + c) % 13 = 0"
+)
+def open_impacts(spark, sf_dir):
+    """What order lines, as mappings, read of the suppliers' tables under names that these no longer have."""
+    renames, tables, columns = _renamed(spark, sf_dir)
+    k, n, c = F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_partkey") % 5
+    name = F.concat(F.lit("SUP"), k.cast("string"), F.when((k % 4 == 0) & (n > 1), F.concat(F.lit("_"), (n - 1).cast("string"))).otherwise(""))
+    column = F.when(c == 3, F.concat(F.lit("C3_"), n.cast("string"))).otherwise(F.concat(F.lit("C"), c.cast("string")))
+    return P.open_impacts(table(spark, sf_dir, "lineitem").select(F.lit("core").alias("layer"), name.alias("table"), column.alias("column")), tables, columns, renames)

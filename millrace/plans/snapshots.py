@@ -92,3 +92,33 @@ def type_warnings(spark, sf_dir):
 def placeholder_numbers(spark, sf_dir):
     old = spark.createDataFrame([("s1", "a", 1), ("s1", "b", 3)], "system string, name string, number long")
     return S.numbered(spark.createDataFrame([("s1", "b"), ("s1", "d"), ("s1", "c"), ("s2", "a")], "system string, name string"), old, "system", "name", "number")
+
+
+_SETS = (
+    "b AS (SELECT DISTINCT p_partkey % 3 AS s, 't' || (p_partkey % 150) AS n, unnest(['id', 'c' || p_size]) AS c FROM part), a AS (SELECT DISTINCT p_partkey % 3 AS s, 'n' || (p_partkey % 150) AS n, unnest(['id', CASE WHEN p_partkey % 10 = 0 THEN 'x' ELSE 'c' END || p_size]) AS c FROM part WHERE p_partkey % 450 <> 9), "
+    "sb AS (SELECT s, n, count(*) AS k FROM b GROUP BY ALL), sa AS (SELECT s, n, count(*) AS k FROM a GROUP BY ALL), m AS (SELECT b.s, b.n AS old, a.n AS new, count(*) AS k FROM b JOIN a ON b.s = a.s AND b.c = a.c GROUP BY ALL)"
+)
+
+
+def _catalogs(spark, sf_dir):
+    """Parts as columns of some 150 tables in three schemas, before and after a change; every table has an id."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    size, t, s = F.col("p_size").cast("string"), (k % 150).cast("string"), k % 3
+    before = p.select(s.alias("scope"), F.concat(F.lit("t"), t).alias("name"), F.explode(F.array(F.lit("id"), F.concat(F.lit("c"), size))).alias("child"))
+    other = F.concat(F.when(k % 10 == 0, "x").otherwise("C"), size)
+    return before, p.where(k % 450 != 9).select(s.alias("scope"), F.concat(F.lit("n"), t).alias("name"), F.explode(F.array(F.lit("ID"), other)).alias("child"))
+
+
+@query(f"WITH {_SETS} SELECT m.s AS scope, old, new, m.k / (sb.k + sa.k - m.k) AS jaccard FROM m JOIN sb ON m.s = sb.s AND old = sb.n JOIN sa ON m.s = sa.s AND new = sa.n WHERE m.k / (sb.k + sa.k - m.k) >= 0.6")
+def alike_tables(spark, sf_dir):
+    """Tables gone and come whose columns are alike."""
+    return S.alike_sets(*_catalogs(spark, sf_dir))
+
+
+@query()
+def renames_of_a_catalog(spark, sf_dir):
+    """Schemas and tables that a later state has under other names."""
+    before, after = _catalogs(spark, sf_dir)
+    full = lambda df, p: df.select(F.concat(F.lit(p), F.col("scope").cast("string")).alias("schema"), F.col("name").alias("table"), F.lit("table").alias("kind"), "child")
+    same = after.withColumn("name", F.when(F.substring("name", 2, 9).cast("int") % 10 > 1, F.concat(F.lit("t"), F.substring("name", 2, 9))).otherwise(F.col("name")))
+    return S.renames(full(before, "old"), full(same, "new"))

@@ -65,7 +65,7 @@ _REQUESTS = f"q AS (SELECT user_id % 10 AS member, ts FROM events WHERE ts < {_E
 
 
 @query(
-    f"WITH {_REQUESTS}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY member ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY member ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g) "
+    f"WITH {_REQUESTS}, g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY member ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY member ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g) "
     f"SELECT member, min(ts) AS first_at, max(ts) + INTERVAL 10 MINUTE AS fired_at, count(*) AS requests FROM b GROUP BY member, burst HAVING max(ts) + INTERVAL 10 MINUTE <= {_END}"
 )
 def debounced_requests(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import io
 import zipfile
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 from xml.etree import ElementTree
@@ -162,6 +164,91 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "content", kind.alias("file_type"))
 
 
+# What is read of a document at most (characters kept, paragraphs and table rows), and its part with the text.
+MAX_CHARS, MAX_PARAGRAPHS = 2_000_000, 100_000
+_BODY, _WORD = "word/document.xml", "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_lines(content: bytes) -> Iterator[str]:
+    """The paragraphs and table rows of a DOCX document in its order, cells apart by tabs, a form feed for each page break.
+
+    The package's XML is unpacked and parsed piece by piece, and what has been read is let go, so memory does not grow with the
+    document. Nested tables' paragraphs belong to the outer cell.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as package, package.open(_BODY) as body:
+        text: list[str] = []
+        cells: list[str] = []
+        tables, path = 0, []
+        for event, e in ElementTree.iterparse(body, ("start", "end")):
+            tag = e.tag.removeprefix(_WORD)
+            if event == "start":
+                path.append(e)
+                tables += tag == "tbl"
+                continue
+            path.pop()
+            if tag == "t":
+                text.append(e.text or "")
+            elif tag == "tab" and path and path[-1].tag == f"{_WORD}r":
+                text.append("\t")
+            elif tag in ("br", "cr"):
+                text.append("\f" if e.get(f"{_WORD}type") == "page" else "\n")
+            elif tag == "p" and not tables:
+                yield "".join(text)
+                text.clear()
+            elif tag == "p":
+                text.append(" ")
+            elif tag == "tc" and tables == 1:
+                cells.append(" ".join("".join(text).split()))
+                text.clear()
+            elif tag == "tr" and tables == 1:
+                yield "\t".join(cells)
+                cells.clear()
+            tables -= tag == "tbl"
+            if path and tag in ("p", "tr", "tbl"):
+                path[-1].remove(e)  # its parent would hold on to it
+
+
+def docx_text(content: bytes, max_chars: int = MAX_CHARS, max_paragraphs: int = MAX_PARAGRAPHS) -> tuple[str | None, str, str | None]:
+    """(text, status, reason) of a DOCX document: extracted, or no_text_found; reason says where a limit cut the text, or why
+    there is none."""
+    out, size, reason = [], 0, None
+    try:
+        for n, line in enumerate(docx_lines(content)):
+            if n >= max_paragraphs:
+                reason = f"only the first {max_paragraphs} paragraphs were read"
+                break
+            if size + len(line) > max_chars:
+                out.append(line[: max_chars - size])
+                reason = f"only the first {max_chars} characters were read"
+                break
+            out.append(line)
+            size += len(line) + 1
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, zlib.error, NotImplementedError, RuntimeError) as why:
+        reason = f"the document is damaged: {type(why).__name__}"
+    text = "\n".join(out).replace("\x00", "").strip(" \n\t\r")
+    return (text, "extracted", reason) if text.strip() else (None, "no_text_found", reason or "there is no text in it")
+
+
+def document_texts(spark: SparkSession, path: str, max_chars: int = MAX_CHARS, max_paragraphs: int = MAX_PARAGRAPHS) -> DataFrame:
+    """(path, file_type, text, status, reason) of the files at path: DOCX by paragraphs and pages, HTML by what is visible, other
+    text as it stands; others are unsupported. Files are read by Spark, one at a time in a task; a text is cut at max_chars."""
+
+    def read(batches):
+        for pdf in batches:
+            rows = [(p, *docx_text(content, max_chars, max_paragraphs)) for p, content in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "text", "status", "reason"])
+
+    prepare(spark)
+    files = binary_files(spark, path)
+    words = files.where("file_type = 'docx'").select("path", "content").mapInPandas(read, "path string, text string, status string, reason string").withColumn("file_type", F.lit("docx"))
+    plain = F.when(F.col("file_type").isin(*_TEXTS), F.decode("content", F.lit("UTF-8")))
+    shown = F.trim(F.when(F.col("file_type").isin("html", "htm"), html_text(plain)).otherwise(plain))
+    cut = F.when(F.length(shown) > max_chars, f"only the first {max_chars} characters were read").when(F.col("file_type").isNull(), "the content does not match the extension").when(shown.isNull(), "files of this type are not read").when(shown == "", "there is no text in it")
+    status = F.when(shown.isNull(), "unsupported").when(shown == "", "no_text_found").otherwise("extracted")
+    other = files.where("file_type IS NULL OR file_type <> 'docx'").select("path", "file_type", F.when(shown != "", F.substring(shown, 1, max_chars)).alias("text"), status.alias("status"), cut.alias("reason"))
+    return words.select("path", "file_type", "text", "status", "reason").unionByName(other)
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags out, common entities read, white space folded."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")

@@ -176,7 +176,8 @@ def debounced(requests: DataFrame, key: str, quiet: str = f"{QUIET} seconds", la
     """Runs that bursts of requests (key, ts) cause: (key, first_at, fired_at, requests), of a stream or of a table.
 
     A run fires once its key has been quiet for `quiet` after a request; each further request puts it off. That is a session
-    window, which needs no code in Python: a late request joins two bursts into one as long as the watermark allows it.
+    window, which needs no code in Python: a late request joins two bursts into one as long as the watermark allows it, and a
+    request at the very moment that a run would fire still puts it off.
     """
     timed = requests.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.col("ts").cast("timestamp").alias("ts"))
     if requests.isStreaming:
