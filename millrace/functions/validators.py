@@ -60,7 +60,8 @@ def iban(c: Column) -> Column:
 
 
 def email(c: Column) -> Column:
-    shape = r"[\w.%+\-]+@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}"
+    part = r"[\p{L}\p{N}](?:[\p{L}\p{N}_\-]*[\p{L}\p{N}])?"
+    shape = rf"[\p{{L}}\p{{N}}_.%+\-]+@{part}(?:\.{part})*\.\p{{L}}{{2,}}"
     return _matches(_text(c), shape) & (F.char_length(_text(c)) <= 254)
 
 

@@ -241,7 +241,7 @@ def document_texts(spark: SparkSession, path: str, max_chars: int = MAX_CHARS, m
     prepare(spark)
     files = binary_files(spark, path)
     words = files.where("file_type = 'docx'").select("path", "content").mapInPandas(read, "path string, text string, status string, reason string").withColumn("file_type", F.lit("docx"))
-    plain = F.when(F.col("file_type").isin(*_TEXTS), F.decode("content", F.lit("UTF-8")))
+    plain = F.when(F.col("file_type").isin(*_TEXTS), F.decode("content", "UTF-8"))
     shown = F.trim(F.when(F.col("file_type").isin("html", "htm"), html_text(plain)).otherwise(plain))
     cut = F.when(F.length(shown) > max_chars, f"only the first {max_chars} characters were read").when(F.col("file_type").isNull(), "the content does not match the extension").when(shown.isNull(), "files of this type are not read").when(shown == "", "there is no text in it")
     status = F.when(shown.isNull(), "unsupported").when(shown == "", "no_text_found").otherwise("extracted")
