@@ -9,11 +9,12 @@ one document that is left over at the very end.
 The pairs form a reduction tree. Documents are dealt by hash to groups of about FAN; each group leaves its residual and a
 few documents of different sizes, and those are dealt to groups again until each source has a single group: about
 log_25(n) levels, each one shuffle of a few numbers a row. The last group rounds its residual by a coin and then flips
-documents of its own where that brings the source nearer to its target.
+documents of its own, one or two at a time, as long as that brings the source nearer to its target.
 
 Rows that agree in doc_id, source and size are one unit of n rows, whose copies are n times the rate: only the fraction of a
 copy that is left meets other units, so a row repeated in a third of the table weighs there no more than any other. The
-unit's copies are spread evenly over its rows, which differ by one copy at most.
+unit's copies are spread evenly over its rows, which differ by one copy at most: rows come in order of a hash of all their
+columns, and equal rows are counted, never numbered, so the result does not depend on how the table is split or ordered.
 
 Defined cases: a null or wordless text has size 0, is copied by an own coin of the same probability and gives no words; a
 null source is a source of its own, last in order; equal rows get copies that differ by one at most; an empty table gives an
@@ -25,12 +26,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._spark import uniform, word_count, written
+from millrace.llm._spark import uniform, width, word_count, written
 
 #: Documents that meet in one group of the reduction tree.
 FAN = 128
 #: Documents of a group that are passed on unrounded, besides the open one, so that the last group holds all sizes.
 KEPT = 4
+#: Times that one or two documents of the last group may be flipped.
+FITS = 6
+#: Equal rows that are written out at once.
+LOT = 10_000
 
 _SETTLED = "struct<id:struct<doc_id:bigint,source:string,size:bigint>,mass:double,taken:boolean>"
 
@@ -109,16 +114,31 @@ def _level(rows: DataFrame, seed: int, depth: int, last: bool) -> DataFrame:
     off = F.when(up, F.col("r.open.mass") * (1 - F.col("r.open.p"))).otherwise(-F.col("r.open.mass") * F.col("r.open.p"))
     out = out.select("source", F.concat("r.done", F.array(closed)).alias("all"), off.alias("off"))
     order = F.sort_array(F.transform("all", lambda x: F.struct((-x["mass"]).alias("order"), x["id"].alias("id"), x["mass"].alias("mass"), x["taken"].alias("taken"))))
+    plain = F.transform(order, lambda x: F.struct(x["id"].alias("id"), x["mass"].alias("mass"), x["taken"].alias("taken")))
+    begin = F.struct(F.col("off").alias("off"), plain.alias("all"))
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(FITS)), begin, lambda state, _: _nearer(state))
+    nothing = F.expr("cast(array() as array<struct<id:struct<doc_id:bigint,source:string,size:bigint>,mass:double,p:double>>)")
+    return out.select("source", F.lit(1).cast("long").alias("groups"), fitted["all"].alias("done"), nothing.alias("rest"))
 
-    def fit(state, x):
-        after = state["off"] + F.when(x["taken"], -x["mass"]).otherwise(x["mass"])
-        flip = F.abs(after) < F.abs(state["off"])
-        now = F.struct(x["id"].alias("id"), x["mass"].alias("mass"), (x["taken"] != flip).alias("taken"))
-        return F.struct(F.when(flip, after).otherwise(state["off"]).alias("off"), F.concat(state["done"], F.array(now)).alias("done"))
 
-    begin = F.struct(F.col("off").alias("off"), F.expr(f"cast(array() as array<{_SETTLED}>)").alias("done"))
-    nothing = F.expr("cast(array() as array<struct<id:struct<doc_id:bigint,source:string,size:bigint>,mass:double,p:double>>)")
-    return out.select("source", F.lit(1).cast("long").alias("groups"), F.aggregate(order, begin, fit)["done"].alias("done"), nothing.alias("rest"))
+def _nearer(state):
+    """state (off, all) after the one or two flips that bring off nearest to 0; of equal ones the first. None is taken in vain.
+
+    all holds the documents of one group, so its pairs are few.
+    """
+    change = lambda x: F.when(x["taken"], -x["mass"]).otherwise(x["mass"])
+    at = F.sequence(F.lit(0), F.size(state["all"]) - 1)
+    moves = F.transform(at, lambda i: F.array_min(F.transform(F.filter(at, lambda j: j >= i), lambda j: _move(state, i, j, change))))
+    best = F.array_min(moves)
+    flip = F.abs(best["left"]) < F.abs(state["off"])
+    flipped = F.transform(state["all"], lambda x, i: F.struct(x["id"].alias("id"), x["mass"].alias("mass"), (x["taken"] != (flip & ((i == best["i"]) | (i == best["j"])))).alias("taken")))
+    return F.struct(F.when(flip, best["left"]).otherwise(state["off"]).alias("off"), flipped.alias("all"))
+
+
+def _move(state, i, j, change):
+    x, y = F.get(state["all"], i), F.get(state["all"], j)
+    left = state["off"] + change(x) + F.when(i == j, 0.0).otherwise(change(y))
+    return F.struct(F.abs(left).alias("by"), i.alias("i"), j.alias("j"), left.alias("left"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -130,7 +150,8 @@ def copies(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float =
     """Copies of each distinct (doc_id, source, size) of rows, as sized() gives them: n rows of it, and copies of all n.
 
     Columns: doc_id, source, size, n, source_size, target, rate, copies. The sum of size * copies over a source differs
-    from its target by less than the words of one small document. Only whole documents are taken.
+    from its target by less than a document's words; in practice by a few, as pairs of the last group's documents close the
+    gap where their sizes allow it. Only whole documents are taken.
     """
     units = written(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-units")
     targets = written(source_targets(units, tuple(weights), share, cap).coalesce(1), "mix-targets")
@@ -168,27 +189,36 @@ def copies(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float =
 def shared(rows: DataFrame, decided: DataFrame, size: str = "size") -> DataFrame:
     """Each row of rows (doc_id, source, size and others) with __source_size, __target and __c, its own copies, as decided says.
 
-    Only where a unit's copies do not come out even are its rows numbered: within their partition, and partitions by a
-    running sum of their counts, so no unit is brought to one task.
+    Only where a unit's copies do not come out even are its rows told apart: by a hash of the whole row, equal rows counted
+    as one, and ranked by running sums over cells of the hash, so no unit is brought to one task.
     """
     decided = decided.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("n").alias("__n"), F.col("copies").alias("__all"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col(size) == F.col("__z"))
     uneven = F.col("__all") % F.col("__n") != 0
     each = F.floor(F.col("__all") / F.col("__n"))
-    even = rows.join(decided.where(~uneven), on).withColumn("__c", each.cast("int"))
+    kept = [*[F.col(f"`{c}`") for c in rows.columns], "__source_size", "__target"]
+    even = rows.join(decided.where(~uneven), on).select(*kept, each.cast("int").alias("__c"))
     if decided.where(uneven).isEmpty():
-        return even.drop("__d", "__s", "__z", "__n", "__all")
-    met = rows.withColumn("__p", F.spark_partition_id()).join(decided.where(uneven), on)
+        return even
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    met = rows.join(decided.where(uneven), on).withColumn("__h", F.sha2(F.to_json(row), 256)).withColumn("__cell", F.substring("__h", 1, 3))
     unit = ["__d", "__s", "__z"]
-    so_far = Window.partitionBy(*unit).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = met.groupBy(*unit, "__p").agg(F.count(F.lit(1)).alias("__k"))
-    parts = parts.select(*[F.col(c).alias(f"{c}1") for c in (*unit, "__p")], F.coalesce(F.sum("__k").over(so_far), F.lit(0)).alias("__before"))
+    alike = written(met.groupBy(*unit, "__n", "__all", "__source_size", "__target", "__cell", "__h").agg(F.count(F.lit(1)).alias("__k"), F.first(row).alias("__row")), "mix-alike")
+    # how many rows of the unit come before: those of its lower cells, and of lower hashes in its own
+    sum_before = lambda *keys, by: F.coalesce(F.sum("__k").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = alike.groupBy(*unit, "__cell").agg(F.sum("__k").alias("__k"))
+    cells = cells.select(*[F.col(c).alias(f"{c}1") for c in (*unit, "__cell")], sum_before(*unit, by="__cell").alias("__lower"))
     same = F.lit(True)
-    for c in (*unit, "__p"):
+    for c in (*unit, "__cell"):
         same = same & F.col(c).eqNullSafe(F.col(f"{c}1"))
-    met = met.withColumn("__i", F.row_number().over(Window.partitionBy(*unit, "__p").orderBy("__p"))).join(parts, same)
-    own = each + (F.col("__before") + F.col("__i") <= F.col("__all") % F.col("__n")).cast("int")
-    return even.unionByName(met.withColumn("__c", own.cast("int")).select(*even.columns)).drop("__d", "__s", "__z", "__n", "__all")
+    ranked = alike.withColumn("__within", sum_before(*unit, "__cell", by="__h")).join(cells, same)
+    more = F.greatest(F.lit(0), F.least(F.col("__k"), F.col("__all") % F.col("__n") - F.col("__lower") - F.col("__within")))
+    # `more` of the equal rows get one copy more; they are written out again in lots, so that many are no one task's work
+    parts = F.array(F.struct(more.alias("rows"), (each + 1).alias("c")), F.struct((F.col("__k") - more).alias("rows"), each.alias("c")))
+    lots = ranked.select("__row", "__source_size", "__target", F.explode(parts).alias("__p")).where("__p.rows > 0")
+    lots = lots.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__p.rows") - 1) / LOT)))).repartition(width(rows.sparkSession))
+    again = lots.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT).cast("long"), F.col("__p.rows") - F.col("__lot") * LOT))))
+    return even.unionByName(again.select("__row.*", "__source_size", "__target", F.col("__p.c").cast("int").alias("__c")))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
