@@ -4,8 +4,10 @@ Base spans come from four patterns on the text as it is. Then a chain of transdu
 character it puts out, the source characters it stands for: look-alike letters and digits become ASCII and invisible
 characters go; disguised at and dot ("[at]", "(dot)", "name at site dot org") become signs; runs of spelled digits become
 digits, runs of fewer than four only beside digits. Addresses of four numbers with disguised dots or spelled digits are
-rewritten by themselves, since elsewhere a full stop between spelled digits parts nothing. The same patterns run on the rewritten text, and what they find is mapped back to source offsets. A found span is
-added where it overlaps no base span and something in it was rewritten.
+rewritten by themselves, since elsewhere a full stop between spelled digits parts nothing. The same patterns run on the rewritten
+text, and what they find is mapped back to source offsets. A found span is added if something in it was rewritten and it
+overlaps no base span, or holds all those that it overlaps whole and these are of its kind: a disguise may leave a part of an
+identifier as a base span, which stays beside the wider one. The counts take such a pair as one.
 
 Offsets are code points, ends exclusive. Every search is linear in the text's length.
 
@@ -50,7 +52,7 @@ _LOOK_ALIKE |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _LOOK_ALIKE |= {chr(c): n for c in (*range(0x1D400, 0x1D800), *range(0x2100, 0x2150), *range(0x24B6, 0x24EA)) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii() and n.isalnum()}
 _UNSEEN = "­​‌‍⁠﻿"
 _ODD_CHARACTERS = frozenset([*_LOOK_ALIKE, *_UNSEEN])
-_ODD = re.compile("[" + "".join(re.escape(c) for c in sorted(_ODD_CHARACTERS)) + "]")
+_ASCII_FORMS, _HIDDEN = str.maketrans(_LOOK_ALIKE), re.compile(f"[{_UNSEEN}]+")
 
 # The digits as words in English, German, French and Spanish.
 _SPELLED = {
@@ -164,7 +166,9 @@ class Mapped:
 
 
 def _plain_letters(t: Mapped) -> None:
-    t.rewrite([(m.start(), m.end(), _LOOK_ALIKE.get(m[0], "")) for m in _ODD.finditer(t.text)])
+    """Look-alikes stand for one character each, so places stay; only invisible characters move what follows."""
+    t.text = t.text.translate(_ASCII_FORMS)
+    t.rewrite([(m.start(), m.end(), "") for m in _HIDDEN.finditer(t.text)])
 
 
 def _signs(t: Mapped) -> None:
@@ -226,6 +230,34 @@ def _apart(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]
     return [s for s in spans if free(s[1], s[2])]
 
 
+def _wider(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap no base span, or hold those that they overlap whole, all of their own kind."""
+    if not spans or not base:
+        return spans
+    others = sorted((a, b, kind) for kind, a, b in base)
+    starts, reach, out = [a for a, _, _ in others], list(accumulate((b for _, b, _ in others), max)), []
+    for kind, a, b in spans:
+        k, fits, inside = bisect_left(starts, b) - 1, True, False
+        while k >= 0 and reach[k] > a and fits:
+            x, y, other = others[k]
+            if y > a:
+                fits, inside = other == kind and a <= x and y <= b, True
+            k -= 1
+        if fits and not (inside and any((x, y) == (a, b) for x, y, _ in others[max(0, k) :] if x <= a)):
+            out.append((kind, a, b))
+    return out
+
+
+def _outer(spans: list[tuple[str, int, int]]) -> dict[str, int]:
+    """The number of spans of each kind that no other span of it holds."""
+    out, last = dict.fromkeys(KINDS, 0), {}
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if b > last.get(kind, -1):
+            out[kind] += 1
+            last[kind] = b
+    return out
+
+
 def _steps(text: str) -> tuple[list, bool]:
     """The transducers that may find something in a text of plain letters, and whether a disguised address may be there.
 
@@ -270,11 +302,11 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: base ones and those behind a disguise that touch none of them."""
+    """Base spans, and all spans: base ones and those behind a disguise that are apart from them or hold them."""
     if not text:
         return [], []
     base = detect(text)
-    more = _apart(disguised(text), base)
+    more = _wider(disguised(text), base)
     if not more:
         return base, base
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -285,17 +317,18 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans."""
+    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (spans that no other of their kind holds), base_sha256, spans."""
 
     def look(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 1000):
                 rows = [find(t) for t in texts[lo : lo + 1000]]
+                counts = [_outer(spans) for _, spans in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, len(rows)),
-                        *[pa.array([sum(s[0] == kind for s in spans) for _, spans in rows], pa.int64()) for kind in KINDS],
+                        *[pa.array([n[kind] for n in counts], pa.int64()) for kind in KINDS],
                         pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string()),
                         pa.array([joined(spans) for _, spans in rows], pa.string()),
                     ],
@@ -312,7 +345,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def mask(text):
         out, at = [], 0
-        for kind, a, b in sorted(find(text)[1], key=lambda s: (s[1], s[2])):
+        for kind, a, b in sorted(find(text)[1], key=lambda s: (s[1], -s[2])):
             if a >= at:
                 out += [text[at:a], f"<{kind}>"]
                 at = b
