@@ -139,7 +139,7 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 def groups_for(docs: DataFrame, least: int, each: int = 16_000_000) -> int:
     """Groups of about `each` bytes of text that docs are dealt to, `least` at least: counted, not taken from a setting."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(1 << 20, max(least, -(-size // each)))
+    return max(least, -(-size // each))
 
 
 def packed_docs(docs: DataFrame, groups: int) -> DataFrame:

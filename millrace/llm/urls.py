@@ -70,16 +70,16 @@ def domain(host_col) -> F.Column:
     return F.substring_index(host_col, ".", -2)
 
 
-def templates(pages: DataFrame, levels: int = 32, share: float = 0.02, least: int = 3, z: float = 2.0, support: int = 3) -> DataFrame:
+def templates(pages: DataFrame, share: float = 0.02, least: int = 3, z: float = 2.0, support: int = 3) -> DataFrame:
     """(tree, path, template, n, labelled, bad) of each distinct tree and path in pages (tree, path, n, labelled, bad).
 
     share, support: the part of the parent's pages, and the pages, that keep a child literal. least: labelled pages below which
-    a branch is not merged. Literals are looked for down to `levels` segments; all that is deeper goes by its shape.
+    a branch is not merged. Levels are gone down until one keeps no literal; all that is deeper goes by its shape.
     """
     rows = written(pages.groupBy("tree", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]), "url-paths")  # every level reads it again
     rows = rows.withColumn("segments", F.split(F.regexp_replace("path", r"^/", ""), "/")).withColumn("template", F.lit(""))
     level = 0
-    while level < levels:
+    while True:
         rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
         child = rows.where(F.col("segment").isNotNull() & (F.col("segment") != "")).groupBy("tree", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         parent = child.groupBy(F.col("tree").alias("pt"), F.col("template").alias("pp")).agg(F.sum("n").alias("n_all"))
@@ -104,6 +104,8 @@ def templates(pages: DataFrame, levels: int = 32, share: float = 0.02, least: in
         step = F.concat(F.col("template"), F.lit("/"), F.coalesce(token, _shape(F.col("segment"))))
         rows = rows.withColumn("template", F.when(F.size("segments") < level + 1, F.col("template")).otherwise(step)).drop("lt", "lp", "kept", "alike")
         level += 1
+        if level % 8 == 0:
+            rows = written(rows, f"url-rows{level}")  # deep trees: the plan stays short
     deeper = F.transform(F.slice("segments", level + 1, F.greatest(F.lit(1), F.size("segments"))), lambda x: F.concat(F.lit("/"), _shape(x)))
     return rows.select("tree", "path", F.concat("template", F.array_join(deeper, "")).alias("template"), "n", "labelled", "bad")
 
