@@ -410,13 +410,13 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text is lost. Rows without a doc_id or text stay as they are.
     """
     found = written(_classified(docs, threshold), "near-classes")
-    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct(), "near-gone")
-    twice = written(found.groupBy(F.col("doc_id").alias("twice"), F.col("text_key").alias("twice_key")).count().where("count > 1").drop("count"), "near-twice")
+    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct(), "near-gone")
+    twice = written(found.groupBy(F.col("doc_id").alias("__twice"), F.col("text_key").alias("__twice_key")).count().where("count > 1").drop("count"), "near-twice")
     key = _text_key(F.col("text"))
     own = lambda d, k: (F.col("doc_id") == F.col(d)) & (key == F.col(k))
-    left = docs.join(gone, own("gone", "gone_key"), "left_anti")
+    left = docs.join(gone, own("__gone", "__gone_key"), "left_anti")
     if twice.isEmpty():
         return left
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    repeated = left.join(twice, own("twice", "twice_key"), "left_semi").groupBy("doc_id", key.alias("__k")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    return left.join(twice, own("twice", "twice_key"), "left_anti").unionByName(repeated.select("__row.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = left.join(twice, own("__twice", "__twice_key"), "left_semi").groupBy("doc_id", key.alias("__k")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return left.join(twice, own("__twice", "__twice_key"), "left_anti").unionByName(repeated.select("__row.*"))

@@ -10,7 +10,8 @@ of the cells.
 
 Defined cases: a null text has no bytes and the checksum of nothing (0); a null source is a source of its own; rows equal
 in doc_id, source and text are interchangeable and get consecutive ranks; an empty table gives an empty result; further
-columns are carried, and names starting with two underscores are reserved.
+columns are carried, but for columns named shard or slot, which the result's replace; names starting with two underscores are
+reserved.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def assign(docs: DataFrame, tie: str, shards: int = 24, seed: int = 29) -> DataF
     Counts differ by one at most. tie tells rows with one doc_id apart. All columns of docs are shuffled twice, so it is
     meant for a few short ones.
     """
+    docs = docs.drop("shard", "slot")
     u = uniform(F.lit(seed), "doc_id", F.col("source").cast("string"), tie)
     stats = docs.groupBy(F.col("source").cast("string").alias("__src")).agg(F.count(F.lit(1)).alias("__n_s"))
     stats = written(stats.coalesce(1), "shard-sources")
@@ -61,7 +63,7 @@ def assign(docs: DataFrame, tie: str, shards: int = 24, seed: int = 29) -> DataF
     at, size = F.col("__at") - 1, F.lit(max(1, n))
     number = F.floor(at * shards / size)
     first = F.ceil(number * size / F.lit(shards))  # the first position that floors to this shard
-    return rows.select(*[rows[c] for c in docs.columns], number.cast("int").alias("shard"), (at - first).cast("long").alias("slot"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], number.cast("int").alias("shard"), (at - first).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 29) -> DataFrame:
@@ -70,12 +72,13 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 29) -> DataFrame:
     Places are worked out on short columns; the texts are shuffled once, to meet them. Rows that agree in doc_id, source
     and text are numbered on both sides and meet one to one.
     """
+    docs = docs.drop("shard", "slot")
     same = F.xxhash64("doc_id", F.col("source").cast("string"), checksum(F.col("text")))
     slim = docs.select("doc_id", "source", checksum(F.col("text")).alias("__tie"), same.alias("__same"))
     placed = assign(slim, "__tie", shards, seed)
     nth = F.row_number().over(Window.partitionBy("__same").orderBy("shard", "slot"))
-    placed = placed.select(F.col("__same").alias("__k"), "shard", "slot", nth.alias("__j"))
+    placed = placed.select(F.col("__same").alias("__k"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), nth.alias("__j"))
     rows = docs.withColumn("__same", same).withColumn("__i", F.row_number().over(Window.partitionBy("__same").orderBy("__same")))
     # the number is compared as a range, so the join stays on the key that the texts are already dealt by
     met = rows.join(placed, (F.col("__same") == F.col("__k")) & (F.col("__i") >= F.col("__j")) & (F.col("__i") <= F.col("__j")))
-    return met.select(*[rows[c] for c in docs.columns], "shard", "slot")
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))

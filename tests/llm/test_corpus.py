@@ -711,3 +711,76 @@ def test_texts_under_one_id_are_kept_in_any_order(spark):
 
 def prose_of(rng, n):
     return " ".join(f"q{rng.randrange(4000)}" for _ in range(n))
+
+
+def test_mix_does_not_depend_on_partitions_or_order(spark):
+    rows = [(None, f"w{i} " + "word " * 9, "a") for i in range(150)] + [(i, "x " * (i % 9 + 1), "b") for i in range(200)] + [(None, "same text here", "a")] * 41
+    seen = []
+    for n, turned in ((3, False), (5, True), (1, False)):
+        docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string, source string").repartition(n)
+        seen.append(Counter(tuple(r) for r in mixing.mix(docs).collect()))
+    assert seen[0] == seen[1] == seen[2] and max(seen[0].values()) > 1
+
+
+def test_mix_comes_within_the_smallest_document_where_sizes_allow_it(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join("w" * rng.choice([1, 3, 40, 200])), f"s{i % 4}") for i in range(400)] + [(1000 + i, "x " * n, "few") for i, n in enumerate((79, 515, 900, 1300, 44, 7))]
+    sizes = mixing.sized(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    got = mixing.copies(sizes).collect()
+    off = check_mix([(r["source"], r["size"], r["source_size"], r["target"], r["size"] * r["copies"]) for r in got])
+    assert all(abs(x) <= 1 for s, x in off.items() if s != "few") and abs(off["few"]) <= 44
+
+
+CLASHES = "doc_id long, text string, lang string, source string, gone int, twice string, shard string, slot int, `a.b` string, class_id int"
+
+
+def test_stages_keep_columns_whose_names_clash(spark, odd_rows):
+    rows = [(r[0], r[1], r[2], r[3], 1, "t", "s", 5, "dot", 9) for r in odd_rows]
+    docs = spark.createDataFrame(rows, CLASHES)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows) and {r["a.b"] for r in kept.collect()} == {"dot"}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {r["shard"] for r in mixed.collect()} == {"s"}
+    dealt = sharding.shard(docs, shards=3)
+    assert dealt.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert sorted(r["slot"] for r in dealt.where("shard = 0").collect()) == list(range(dealt.where("shard = 0").count()))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "whole", "base"),
+    [
+        ("mail jаne@example.org now", "email", (5, 21), (7, 21)),  # a Cyrillic letter in the local part
+        ("x.y@ex.com [dot] org", "email", (0, 20), (0, 10)),
+        ("card 4111 1111 1111 1111", "card", (5, 24), (5, 24)),
+    ],
+)
+def test_a_disguise_that_leaves_a_part_as_base_span_is_found_whole(text, kind, whole, base):
+    plain, spans = pii.find(text)
+    assert (kind, *base) in plain and (kind, *whole) in spans and (kind, *base) in spans
+    assert pii._outer(spans)[kind] == 1
+
+
+def test_disguised_identifiers_of_all_kinds_are_found(spark):
+    """Recall over generated disguises: letters and digits of other scripts, spelled digits, words for signs."""
+    rng = random.Random(9)
+    look = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "x": "х"}
+    words = "zero one two three four five six seven eight nine".split()
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)
+    arabic = lambda s: "".join("٠١٢٣٤٥٦٧٨٩"[int(c)] if c.isdigit() else c for c in s)
+    spelled = lambda s: " ".join(words[int(c)] if c.isdigit() else c for c in s)
+    made = []
+    for _ in range(200):
+        name = "".join(rng.choice("aecopxzkm") for _ in range(6))
+        mail = f"{name}@site{rng.randrange(99)}.org"
+        made.append(("email", rng.choice([mail.replace("@", " [at] "), mail.replace("@", " at ").replace(".", " dot "), "".join(look.get(c, c) for c in mail.split("@")[0]) + "@" + mail.split("@")[1], mail.replace(".org", "​.org")])))
+        ip = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        made.append(("ip", rng.choice([wide(ip), arabic(ip), ip.replace(".", " [dot] "), ip.replace(".", " dot ")])))
+        card = "411111111111111" + "1"
+        made.append(("card", rng.choice([wide(card), arabic(card), spelled(card), card[:8] + "​" + card[8:]])))
+        phone = "+" + "".join(str(rng.randrange(1, 10)) for _ in range(11))
+        made.append(("phone", rng.choice([wide(phone), arabic(phone), phone[:6] + "⁠" + phone[6:]])))
+    hit = Counter()
+    for kind, text in made:
+        full = f"so, {text} !"
+        hit[kind] += any(k == kind and a <= 4 and b >= 4 + len(text) for k, a, b in pii.find(full)[1])
+    assert all(hit[kind] >= 190 for kind in pii.KINDS), hit
