@@ -172,6 +172,40 @@ def change_set_statuses(items: DataFrame) -> DataFrame:
     return items.groupBy("change_set").agg(F.when(waits, "pending").when(accepted == 0, "rejected").when(accepted == n, "applied").otherwise("partially_applied").alias("status"))
 
 
+def input_problems(reads: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(mapping_id, code, name): what mappings read that is not there any more (broken_reference), or that is gone from the
+    source (removed_input).
+
+    reads: (mapping_id, layer, table, column), layer being where they read; column is null where a table alone is named.
+    tables: (layer, table, status); columns: (layer, table, column, status). A table that is not there is named once, and its
+    columns are not looked for. Names compare without case.
+    """
+    asked = reads.select("mapping_id", "layer", F.lower("table").alias("t"), F.lower("column").alias("c")).distinct()
+    tt = tables.select(F.col("layer").alias("tl"), F.lower("table").alias("tn"), F.col("status").alias("ts")).distinct()
+    cc = columns.select(F.col("layer").alias("cl"), F.lower("table").alias("ct"), F.lower("column").alias("cn"), F.col("status").alias("cs")).distinct()
+    met = asked.join(tt, (F.col("layer") == F.col("tl")) & (F.col("t") == F.col("tn")), "left")
+    met = met.join(cc, (F.col("layer") == F.col("cl")) & (F.col("t") == F.col("ct")) & (F.col("c") == F.col("cn")), "left")
+    gone = lambda c: F.coalesce(F.col(c) == "source_removed", F.lit(False))
+    name = F.concat_ws(".", "t", "c")
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("tn").isNull(), F.struct(F.lit("broken_reference").alias("code"), F.col("t").alias("name"))),
+            F.when(F.col("tn").isNotNull() & F.col("c").isNotNull() & F.col("cn").isNull(), F.struct(F.lit("broken_reference").alias("code"), name.alias("name"))),
+            F.when(gone("ts"), F.struct(F.lit("removed_input").alias("code"), F.col("t").alias("name"))),
+            F.when(~gone("ts") & gone("cs"), F.struct(F.lit("removed_input").alias("code"), name.alias("name"))),
+        )
+    )
+    return met.select("mapping_id", F.explode(found).alias("f")).select("mapping_id", "f.code", "f.name").distinct()
+
+
+def unintegrated(branches: DataFrame, rules: DataFrame) -> DataFrame:
+    """(table_id, branches) of the tables that several branches (table_id, branch) feed without an integration rule (table_id,
+    integration_rule) that says how their rows become one."""
+    told = rules.where("trim(coalesce(integration_rule, '')) <> ''").select(F.col("table_id").alias("__t")).distinct()
+    n = branches.groupBy("table_id").agg(F.count_distinct("branch").alias("branches")).where("branches > 1")
+    return n.join(told, F.col("table_id") == F.col("__t"), "left_anti")
+
+
 def feasibility(inputs: DataFrame, existing: DataFrame, mapped: DataFrame) -> DataFrame:
     """(kpi, feasibility) of KPIs by their inputs (kpi, column_id): needs_data where one does not exist, needs_mapping where
     one is not mapped, else computable."""

@@ -51,6 +51,50 @@ def folded_name(name: str) -> str:
     return re.sub(r"[\W_]|[ً-ٰٟـ]", "", n)
 
 
+# Categories of rules, and the limits of a rule of one's own.
+CATEGORIES = ("direct_identifier", "financial", "sensitive", "quasi_identifier")
+MAX_KEYWORDS, MAX_KEYWORD, MAX_PATTERN, LEAST_SURE = 20, 64, 200, 0.5
+_RULE_NAME, _NESTED = re.compile(r"[a-z][a-z0-9_]{0,39}"), re.compile(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)\s*(?:[+*]|\{\d*,\d*\})")
+
+
+def custom_rule(name: str, category: str, confidence: float, keywords: list[str] = (), pattern: str | None = None):
+    """A rule of one's own: what name_rule() takes for its keywords, and a function of a column for its pattern, or nulls.
+
+    Keywords are parts of folded column names; the pattern must fit a value whole, of MAX_LENGTH characters at most. A
+    ValueError names the limit that a rule breaks: a pattern may not repeat what is repeated inside it, as (a+)+ does, which
+    can take a match forever.
+    """
+    if not _RULE_NAME.fullmatch(name):
+        raise ValueError("the name is 1 to 40 lower-case letters, digits and underscores, a letter first")
+    if category not in CATEGORIES:
+        raise ValueError(f"the category is one of {', '.join(CATEGORIES)}")
+    if not LEAST_SURE <= confidence <= 1:
+        raise ValueError(f"the confidence is {LEAST_SURE} to 1")
+    if len(keywords) > MAX_KEYWORDS or any(len(k) > MAX_KEYWORD for k in keywords):
+        raise ValueError(f"there are {MAX_KEYWORDS} keywords of {MAX_KEYWORD} characters at most")
+    folded = list(dict.fromkeys(map(folded_name, keywords)))
+    if "" in folded:
+        raise ValueError("a keyword needs a letter or a digit")
+    if not folded and not pattern:
+        raise ValueError("a rule needs a keyword or a pattern")
+    if pattern:
+        if len(pattern) > MAX_PATTERN:
+            raise ValueError(f"the pattern has {MAX_PATTERN} characters at most")
+        if _NESTED.search(pattern):
+            raise ValueError("the pattern has a nested quantifier")
+        try:
+            re.compile(pattern)
+        except re.error as why:
+            raise ValueError(f"the pattern is no regular expression: {why}") from None
+
+    def fits(c: Column) -> Column:
+        text = c.cast("string")
+        return F.coalesce((F.length(text) <= V.MAX_LENGTH) & text.rlike(f"^(?:{pattern})$"), F.lit(False))
+
+    by_name = (f"custom:{name}", category, confidence, "|".join(map(re.escape, folded))) if folded else None
+    return by_name, fits if pattern else None
+
+
 def name_rule(name: str, custom: list[tuple[str, str, float, str]] = ()) -> tuple[str, str, float] | None:
     """The first rule that fits a column's name, custom ones before the fixed ones: (rule, category, confidence)."""
     n = folded_name(name)

@@ -149,6 +149,14 @@ def growth(points: DataFrame, key: str, at: str = "taken_at", size: str = "row_e
     return facts.select(key, "first", "latest", change.alias("change_pct"), "per_month", F.greatest(F.lit(0.0), F.col("latest") + F.col("per_month") * 12).alias("in_12_months"), "dropped_at")
 
 
+def left_out(tables: DataFrame, points: DataFrame) -> DataFrame:
+    """(table_id, reason) of the tables (table_id, kind) whose growth is not told: it is a view, has no estimate, is new (one
+    estimate), or unchanged. points: (table_id, row_estimate), one for each snapshot."""
+    p = points.where("row_estimate IS NOT NULL").groupBy(F.col("table_id").alias("pt")).agg(F.count(F.lit(1)).alias("n"), F.min("row_estimate").alias("lo"), F.max("row_estimate").alias("hi"))
+    reason = F.when(F.col("kind") == "view", "view").when(F.col("n").isNull(), "no_estimate").when(F.col("n") == 1, "new").when(F.col("lo") == F.col("hi"), "unchanged")
+    return tables.join(p, F.col("table_id") == F.col("pt"), "left").select("table_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def source_summaries(tables: DataFrame, findings: DataFrame) -> DataFrame:
     """(source, tables, documented_pct, profiled_pct, accepted, to_review, status) of each source.
 

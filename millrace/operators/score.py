@@ -227,14 +227,16 @@ def pii_in_mart(m):
     return _out(_columns(m, (), ("mart",)), ~F.coalesce("pii", F.lit(False)), "column_id")
 
 
-def run_checks(model: Model, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of all enabled checks: check_code, severity, object_id, table_id, layer, passed, message.
+def run_checks(model: Model, disabled: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of all enabled checks, or of `only` some: check_code, severity, object_id, table_id, layer, passed, message.
 
     The model's tables are written once: every check reads them, and Spark then knows which are small enough to broadcast.
     """
-    model, parts = {name: stored(df, f"model-{name}") for name, df in model.items()}, []
+    wanted = [code for code in CHECKS if code not in disabled and (not only or code in only)]
+    # a single check reads its tables once or twice, which a copy of the whole model would not pay for
+    model, parts = model if len(wanted) == 1 else {name: stored(df, f"model-{name}") for name, df in model.items()}, []
     for code, (severity, f) in CHECKS.items():
-        if code not in disabled:
+        if code in wanted:
             severe = F.when(F.col("layer") == "staging", "warning").otherwise(severity) if code == "no_source_removed_inputs" else F.lit(severity)
             parts.append(f(model).select(F.lit(code).alias("check_code"), severe.alias("severity"), "object_id", "table_id", "layer", "passed", "message"))
     return reduce(lambda a, b: a.unionByName(b), parts)

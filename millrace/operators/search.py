@@ -232,6 +232,18 @@ def retrieval_metrics(results: DataFrame, gold: DataFrame, k: int = 3) -> DataFr
     return per.agg(F.avg(F.when(F.col("first") < k, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.when(F.col("first").isNotNull(), 1.0 / (F.col("first") + 1)).otherwise(0.0)).alias("mrr"))
 
 
+def citation_correctness(cited: DataFrame, results: DataFrame, gold: DataFrame, k: int = 3) -> DataFrame:
+    """One row (correctness): the share of the cases of gold (case_id, passage_id) whose answers cite passages (case_id,
+    passage_id), at least one, and only such as are among the first k results (case_id, passage_id, position from 0) and gold."""
+    pair = lambda df, a, b: df.select(F.col("case_id").alias(a), F.col("passage_id").alias(b)).distinct()
+    c = cited.select("case_id", "passage_id").distinct()
+    met = c.join(pair(results.where(F.col("position") < k), "rc", "rp"), (F.col("case_id") == F.col("rc")) & (F.col("passage_id") == F.col("rp")), "left")
+    met = met.join(pair(gold, "gc", "gp"), (F.col("case_id") == F.col("gc")) & (F.col("passage_id") == F.col("gp")), "left")
+    good = met.groupBy(F.col("case_id").alias("c")).agg(F.min(F.col("rc").isNotNull() & F.col("gc").isNotNull()).alias("good"))
+    per = gold.select("case_id").distinct().join(good, F.col("case_id") == F.col("c"), "left")
+    return per.agg(F.avg(F.when(F.coalesce("good", F.lit(False)), 1.0).otherwise(0.0)).alias("correctness"))
+
+
 def idf_rank(items: DataFrame, query: str, name_weight: int = 3) -> DataFrame:
     """(name, score) of items (name, description) by damped idf of the query's words; words in names count threefold."""
     words = lambda c: F.array_distinct(F.transform(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 2), lambda w: F.when(w.endswith("s") & (F.length(w) > 3), F.left(w, F.length(w) - 1)).otherwise(w)))

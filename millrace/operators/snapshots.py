@@ -1,14 +1,11 @@
-"""Snapshots of metadata: differences, renames, content hashes, staging types and names, and what a sync has to do."""
+"""Snapshots of metadata: differences, renames, content hashes, and what a sync of staging has to do."""
 
 from __future__ import annotations
 
 import difflib
-import hashlib
-import re
-import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,31 +134,6 @@ def greedy_pairs(candidates: DataFrame) -> DataFrame:
     return chosen
 
 
-# Neutral kinds of the supported source type names.
-_KINDS = [
-    (r"^(smallint|int2|tinyint|smallserial)\b", "smallint"), (r"^(bigint|int8|bigserial)\b", "bigint"), (r"^(int|integer|int4|serial|mediumint)\b", "integer"), (r"^(double|double precision|float8)\b", "double"),
-    (r"^(float|real|float4|binary_float)\b", "float"), (r"^(numeric|decimal|number|money|smallmoney)\b", "decimal"), (r"^(bool|boolean|bit)\b", "boolean"), (r"^(uuid|uniqueidentifier)\b", "uuid"), (r"^(jsonb?|array|struct|map)", "json"),
-    (r"^(timestamptz|timestamp with (local )?time zone|datetimeoffset)", "timestamptz"), (r"^(timestamp|datetime2?|smalldatetime)", "timestamp"), (r"^date\b", "date"), (r"^time\b", "time"), (r"^(char|nchar|character|bpchar)\b(?! varying)", "char"),
-    (r"^(varchar2?|nvarchar2?|character varying|string)\(", "string"), (r"^(binary|varbinary|bytea|blob|raw)", "binary"),
-]
-
-
-def neutral_kind(data_type: Column) -> Column:
-    """The neutral kind of a source type name; anything unknown, and text without a length, is text."""
-    low = F.lower(F.trim(data_type))
-    out = F.lit("text")
-    for pattern, kind in reversed(_KINDS):
-        out = F.when(low.rlike(pattern), kind).otherwise(out)
-    return out
-
-
-#: Spark types of the neutral kinds that need no length.
-SPARK_TYPES = {
-    "smallint": "smallint", "integer": "int", "bigint": "bigint", "float": "float", "double": "double", "boolean": "boolean", "uuid": "string", "json": "string", "text": "string", "binary": "binary",
-    "date": "date", "time": "string", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "char": "string", "string": "string", "decimal": "decimal(38,10)",
-}
-
-
 def type_warnings(pairs: DataFrame) -> DataFrame:
     """(name, warning) for column pairs (name, from_kind, from_length, from_nullable, to_kind, to_length, to_nullable)."""
     rank = lambda c: F.expr(f"array_position(array('smallint','integer','bigint','decimal','float','double'), {c})")
@@ -178,14 +150,6 @@ def type_warnings(pairs: DataFrame) -> DataFrame:
     return pairs.select("name", F.explode(warnings).alias("warning"))
 
 
-def staging_name(name: str, limit: int = 63, taken: frozenset[str] = frozenset(["select", "table", "order", "group", "user"])) -> str:
-    """A safe lower-case name: accents dropped, signs to underscores, reserved words marked, long ones cut with a hash."""
-    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
-    safe = re.sub(r"_+", "_", re.sub(r"[^a-z0-9]+", "_", plain)).strip("_") or "unnamed"
-    safe = f"_{safe}" if safe[0].isdigit() else safe + "_" if safe in taken else safe
-    return safe if len(safe) <= limit else f"{safe[: limit - 7]}_{hashlib.sha256(name.encode()).hexdigest()[:6]}"
-
-
 def sync_plan(source: DataFrame, staging: DataFrame) -> DataFrame:
     """(table, column, action) that brings staging in line with source.
 
@@ -211,10 +175,25 @@ def sync_plan(source: DataFrame, staging: DataFrame) -> DataFrame:
     return both.select(F.coalesce("st", "gt").alias("table"), F.coalesce("sc", "gc").alias("column"), action.alias("action")).where("action IS NOT NULL")
 
 
+def droppable(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """(object_type, object_id, label) of what an owner may drop of staging: tables and columns that are gone from the source
+    and that nothing reads.
+
+    tables: (table_id, name, status); columns: (column_id, table_id, name, status); edges: (source), column ids that are read.
+    A table goes with its columns, none of which may be read; columns go one by one where their table stays.
+    """
+    read = edges.select(F.col("source").alias("__r")).where("__r IS NOT NULL").distinct()
+    own = columns.join(read, F.col("column_id") == F.col("__r"), "left").withColumn("used", F.col("__r").isNotNull())
+    busy = own.where("used").select(F.col("table_id").alias("__b")).distinct()
+    gone = tables.where("status = 'source_removed'")
+    whole = gone.join(busy, F.col("table_id") == F.col("__b"), "left_anti").select(F.lit("table").alias("object_type"), F.col("table_id").alias("object_id"), F.col("name").alias("label"))
+    stay = tables.where("NOT status <=> 'source_removed'").select(F.col("table_id").alias("__t"), F.col("name").alias("__name"))
+    single = own.where("status = 'source_removed' AND NOT used").join(stay, F.col("table_id") == F.col("__t"))
+    return whole.unionByName(single.select(F.lit("column").alias("object_type"), F.col("column_id").alias("object_id"), F.concat_ws(".", "__name", "name").alias("label")))
+
+
 def numbered(new: DataFrame, existing: DataFrame, scope: str, name: str, number: str) -> DataFrame:
     """new (scope, name) with stable numbers: they go on after the highest of their scope, by name."""
-    from pyspark.sql import Window
-
     top = existing.groupBy(F.col(scope).alias("__s")).agg(F.max(number).alias("__top"))
     fresh = new.join(existing.select(F.col(scope).alias("__es"), F.col(name).alias("__en")), (F.col(scope) == F.col("__es")) & (F.col(name) == F.col("__en")), "left_anti")
     rank = F.row_number().over(Window.partitionBy(scope).orderBy(name))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import json_schema
+from millrace.functions import json_schema, validators
 from millrace.operators import guard
 from millrace.plans.base import Book
 from millrace.session import table
-from millrace.sources import files, sinks
+from millrace.sources import files, schema_import, sinks
 
 book = Book()
 query = book.query
@@ -22,20 +22,6 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(files.html_text(F.col("html"))).alias("text_hash"))
 
 
-@query("SELECT * FROM (VALUES ('duplicate_table', 'a'), ('duplicate_column', 'a.x'), ('unknown_table', 'ghost.y'), ('unknown_reference', 'fk1'), ('reference_arity', 'fk2'), ('unknown_column', 'fk3')) t(problem, object)")
-def schema_import_problems(spark, sf_dir):
-    tables = spark.createDataFrame([("a",), ("a",), ("b",)], "table string")
-    columns = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "k"), ("ghost", "y")], "table string, column string")
-    constraints = [("a", "fk1", "x", "nowhere", "k"), ("a", "fk2", "x", "b", "k,l"), ("b", "fk3", "zz", "b", "k"), ("b", "pk", "k", None, None)]
-    return files.schema_problems(tables, columns, spark.createDataFrame(constraints, "table string, name string, columns string, ref_table string, ref_columns string"))
-
-
-@query("SELECT * FROM (VALUES ('direct', 'email; phone', 'mail; tel'), ('financial', '''=iban', 'iban')) t(category, columns, rules)")
-def pii_inventory(spark, sf_dir):
-    found = [("direct", "email", "mail"), ("direct", "phone", "tel"), ("direct", "email", "mail"), ("financial", "=iban", "iban")]
-    return sinks.pii_inventory(spark.createDataFrame(found, "category string, column string, rule string"))
-
-
 _SHEETS = "t AS (SELECT p_partkey % 500 AS t FROM part), c AS (SELECT l_partkey % 520 AS t, l_suppkey % 40 AS c FROM lineitem), k AS (SELECT o_orderkey AS n, o_orderkey % 500 AS t, o_custkey % 45 AS c, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 530 END AS rt, CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS rn FROM orders)"
 
 
@@ -125,3 +111,64 @@ def conversation_arguments(spark, sf_dir):
     made = F.to_json(F.struct("role", "turn", F.split("text", "\n", -1).alias("lines"), F.when(F.col("turn") % 2 == 1, F.lit(True)).alias("odd")))
     found = json_schema.violations(made, _TURN, "args")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, "; ").alias("problems"))
+
+
+_FULL = (
+    "WITH t0 AS (SELECT p_partkey AS n, p_partkey % 300 AS t, CASE p_size % 9 WHEN 0 THEN 'matview' WHEN 1 THEN NULL WHEN 2 THEN 'VIEW' WHEN 3 THEN 'view' ELSE 'table' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN 'SELECT 1' END AS def, CASE WHEN p_partkey % 31 = 0 THEN 'many' WHEN p_partkey % 3 = 0 THEN '12' END AS cnt FROM part), "
+    "t1 AS (SELECT *, lower(kind) IN ('table', 'view') AS ok FROM t0), t2 AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n) AS k FROM t1 WHERE ok), tt AS (SELECT *, lower(kind) AS low FROM t2 WHERE k = 1), "
+    "c0 AS (SELECT o_orderkey AS n, o_custkey % 320 AS t, 'c' || (o_orderkey % 12) AS c, CASE WHEN o_orderkey % 50 > 0 THEN 'int' END AS ty, CASE WHEN o_orderkey % 40 = 0 THEN '0' WHEN o_orderkey % 2 = 0 THEN '3' END AS o, CASE WHEN o_orderkey % 45 = 0 THEN 'maybe' WHEN o_orderkey % 7 = 0 THEN 'No' END AS nu FROM orders), "
+    "c1 AS (SELECT * FROM c0 WHERE ty IS NOT NULL), c2 AS (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY n) AS k FROM c1 WHERE t IN (SELECT t FROM tt)), cc AS (SELECT * FROM c2 WHERE k = 1), "
+    "k0 AS (SELECT c_custkey AS n, c_custkey % 310 AS t, 'k' || (c_custkey % 3) AS name, ['pk', 'FK', 'fk', 'unique', 'check'][c_custkey % 5 + 1] AS ty, CASE WHEN c_custkey % 11 = 0 THEN ['c1', 'c99'] ELSE ['c' || (c_custkey % 12)] END AS cols, CASE WHEN c_custkey % 13 > 0 THEN c_custkey * 7 % 330 END AS rt, CASE WHEN c_custkey % 6 = 0 THEN ['c2', 'c3'] ELSE ['c' || (c_custkey % 14)] END AS rc FROM customer), "
+    "k1 AS (SELECT *, lower(ty) AS low FROM k0 WHERE t IN (SELECT t FROM tt)), k2 AS (SELECT *, row_number() OVER (PARTITION BY t, name ORDER BY n) AS k FROM k1 WHERE low <> 'check'), cl AS (SELECT t AS lt, list(c) AS have FROM cc GROUP BY t), k3 AS (SELECT k2.*, list_filter(cols, lambda x: NOT list_contains(coalesce(have, []), x)) AS gone FROM k2 LEFT JOIN cl ON t = lt WHERE k = 1), "
+    "k4 AS (SELECT * FROM k3 WHERE len(gone) = 0), k5 AS (SELECT * FROM k4 WHERE NOT (low = 'fk' AND rt IS NULL)), k6 AS (SELECT k5.*, coalesce(rt IN (SELECT t FROM tt), FALSE) AS there, list_filter(rc, lambda x: NOT list_contains(coalesce(have, []), x)) AS lost FROM k5 LEFT JOIN cl ON rt = lt WHERE NOT (low = 'fk' AND len(rc) <> len(cols)))"
+)
+
+
+def _sheets(spark, sf_dir):
+    """Parts as tables, orders as columns, customers as constraints of an import, with everything wrong that can be."""
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    at = lambda x: (text("s", x % 3).alias("schema"), text("t", x).alias("table"))
+    p, z, o, c, u = F.col("p_partkey"), F.col("p_size"), F.col("o_orderkey"), F.col("o_custkey") % 320, F.col("c_custkey")
+    kind = F.when(z % 9 == 0, "matview").when(z % 9 == 2, "VIEW").when(z % 9 == 3, "view").when(z % 9 != 1, "table")
+    tables = table(spark, sf_dir, "part").select(p.cast("int").alias("row"), *at(p % 300), kind.alias("kind"), F.when(p % 31 == 0, "many").when(p % 3 == 0, "12").alias("row_count"), F.lit(None).cast("string").alias("comment"), F.when(p % 4 == 0, "SELECT 1").alias("definition"))
+    nothing = F.lit(None).cast("string")
+    columns = table(spark, sf_dir, "orders").select(o.cast("int").alias("row"), *at(c), text("c", o % 12).alias("column"), F.when(o % 50 > 0, "int").alias("data_type"), F.when(o % 40 == 0, "0").when(o % 2 == 0, "3").alias("ordinal"), F.when(o % 45 == 0, "maybe").when(o % 7 == 0, "No").alias("is_nullable"), nothing.alias("default"), nothing.alias("comment"))
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("pk", "FK", "fk", "unique", "check")]), (u % 5 + 1).cast("int"))
+    ref = F.when(u % 13 > 0, u * 7 % 330)
+    constraints = table(spark, sf_dir, "customer").select(
+        u.cast("int").alias("row"), *at(u % 310), text("k", u % 3).alias("constraint"), kinds.alias("type"), F.when(u % 11 == 0, "c1, c99").otherwise(text("c", u % 12)).alias("columns"), text("s", ref % 3).alias("ref_schema"), text("t", ref).alias("ref_table"), F.when(u % 6 == 0, "c2,c3").otherwise(text("c", u % 14)).alias("ref_columns"),
+    )
+    return {"tables": tables, "columns": columns, "constraints": constraints}
+
+
+@query(
+    f"{_FULL} SELECT 'tables' AS sheet, n AS row, 'error' AS severity, 'empty' AS code, 'kind' AS object FROM t0 WHERE kind IS NULL UNION ALL SELECT 'tables', n, 'error', 'kind_unknown', lower(kind) FROM t1 WHERE kind IS NOT NULL AND NOT ok UNION ALL SELECT 'tables', n, 'error', 'listed_twice', 's' || (t % 3) || '.t' || t FROM t2 WHERE k > 1 "
+    "UNION ALL SELECT 'tables', n, 'warning', 'view_without_definition', 's' || (t % 3) || '.t' || t FROM tt WHERE low = 'view' AND def IS NULL UNION ALL SELECT 'tables', n, 'warning', 'definition_ignored', 's' || (t % 3) || '.t' || t FROM tt WHERE low = 'table' AND def IS NOT NULL UNION ALL SELECT 'tables', n, 'error', 'not_a_number', cnt FROM tt WHERE cnt = 'many' "
+    "UNION ALL SELECT 'columns', n, 'error', 'empty', 'data_type' FROM c0 WHERE ty IS NULL UNION ALL SELECT 'columns', n, 'error', 'unknown_table', 's' || (t % 3) || '.t' || t FROM c1 WHERE t NOT IN (SELECT t FROM tt) UNION ALL SELECT 'columns', n, 'error', 'listed_twice', 't' || t || '.' || c FROM c2 WHERE k > 1 UNION ALL SELECT 'columns', n, 'error', 'not_a_number', o FROM cc WHERE o = '0' "
+    "UNION ALL SELECT 'columns', n, 'error', 'not_a_flag', nu FROM cc WHERE nu = 'maybe' UNION ALL SELECT 'columns', NULL, 'warning', 'table_without_columns', 's' || (t % 3) || '.t' || t FROM tt WHERE t NOT IN (SELECT t FROM cc) "
+    "UNION ALL SELECT 'constraints', n, 'error', 'unknown_table', 's' || (t % 3) || '.t' || t FROM k0 WHERE t NOT IN (SELECT t FROM tt) UNION ALL SELECT 'constraints', n, 'error', 'type_unknown', 'check' FROM k1 WHERE low = 'check' UNION ALL SELECT 'constraints', n, 'error', 'listed_twice', 't' || t || '.' || name FROM k2 WHERE k > 1 UNION ALL SELECT 'constraints', n, 'error', 'unknown_columns', name || ': ' || array_to_string(gone, ', ') FROM k3 WHERE len(gone) > 0 "
+    "UNION ALL SELECT 'constraints', n, 'error', 'no_reference', name FROM k4 WHERE low = 'fk' AND rt IS NULL UNION ALL SELECT 'constraints', n, 'error', 'reference_arity', name FROM k5 WHERE low = 'fk' AND len(rc) <> len(cols) UNION ALL SELECT 'constraints', n, 'warning', 'reference_outside', name || ': t' || rt FROM k6 WHERE low = 'fk' AND NOT there UNION ALL SELECT 'constraints', n, 'error', 'unknown_reference_columns', name || ': ' || array_to_string(lost, ', ') FROM k6 WHERE low = 'fk' AND there AND len(lost) > 0"
+)
+def import_issues(spark, sf_dir):
+    """What is wrong with the sheets, errors and warnings."""
+    return schema_import.checked(_sheets(spark, sf_dir))[1]
+
+
+@query(
+    f"{_FULL}, ks AS (SELECT * FROM k6 WHERE NOT (low = 'fk' AND there AND len(lost) > 0)), pk AS (SELECT DISTINCT t, unnest(cols) AS c FROM ks WHERE low = 'pk') SELECT 's' || (cc.t % 3) AS schema, 't' || cc.t AS \"table\", cc.c AS \"column\", CAST(coalesce(TRY_CAST(o AS INTEGER), row_number() OVER (PARTITION BY cc.t ORDER BY TRY_CAST(o AS INTEGER) NULLS LAST, n)) AS INTEGER) AS ordinal, "
+    "CASE WHEN nu IS NULL THEN TRUE WHEN nu = 'No' THEN FALSE END AS is_nullable, pk.c IS NOT NULL AS is_pk FROM cc LEFT JOIN pk ON cc.t = pk.t AND cc.c = pk.c"
+)
+def imported_columns(spark, sf_dir):
+    """The columns of the catalog that the sheets describe, with their keys."""
+    return schema_import.checked(_sheets(spark, sf_dir))[0]["columns"].select("schema", "table", "column", "ordinal", "is_nullable", "is_pk")
+
+
+_MAILS = "WITH m AS (SELECT c_custkey, concat(lower(replace(c_name, '#', '.')), '@', lower(c_mktsegment), '.org') AS mail, c_nationkey FROM customer) SELECT m.c_custkey AS k, upper(m.mail) AS contact, n_name, (SELECT max(n_name) FROM nation) AS last FROM m JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey > 0"
+
+
+@query("SELECT 'customer.' || c AS column_name, 'email' AS rule FROM (SELECT unnest(['c_name', 'c_mktsegment']) AS c) WHERE (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) > 0")
+def findings_behind_a_query(spark, sf_dir):
+    """The columns behind an output that turns out to hold addresses."""
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
+    strong = {k: check for k, (_, weight, check) in validators.VALIDATORS.items() if weight == 1.0}
+    return guard.recorded(spark, _MAILS, tables, strong, {})

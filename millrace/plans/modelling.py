@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import validators as V
 from millrace.operators import modelling as M
+from millrace.operators.formulas import formula_problems
 from millrace.plans.base import Book
 from millrace.session import table
 
@@ -209,3 +210,41 @@ def change_set_items(spark, sf_dir):
 @query(f"{_DECIDED} SELECT change_set, CASE WHEN count(*) FILTER (status IN ('pending', 'needs_owner')) > 0 THEN 'pending' WHEN count(*) FILTER (status = 'accepted') = 0 THEN 'rejected' WHEN count(*) FILTER (status = 'accepted') = count(*) THEN 'applied' ELSE 'partially_applied' END AS status FROM r GROUP BY change_set")
 def change_sets_decided(spark, sf_dir):
     return M.change_set_statuses(change_set_items(spark, sf_dir))
+
+
+_FORMULAS = (
+    "SELECT sum(amount) FROM sales", "SELECT sum(s.amount) / count(*) AS ratio FROM core.sales s JOIN client c ON s.client_id = c.id", "SELECT sum(price) FROM sales", "SELECT sum(amount) FROM stg_sales", "SELECT x.amount FROM sales s",
+    "WITH t AS (SELECT client_id, sum(amount) AS total FROM sales GROUP BY client_id) SELECT avg(total) FROM t", "INSERT INTO sales SELECT * FROM sales", "SELECT sum(amount FROM sales", "SELECT region, extra FROM client WHERE id IN (SELECT client_id FROM sales WHERE gone > 1)",
+)
+_FOUND = ("", "", "no table in the query has a column `price`", "`stg_sales` is not a core or mart table; no table in the query has a column `amount`", "`x` is not a table or alias in the query", "", "not one SELECT", "not valid SQL", "no table in the query has a column `extra`; no table in the query has a column `gone`")
+
+
+@query("SELECT s_suppkey AS kpi, [" + ", ".join(f"'{x}'" for x in _FOUND) + "][s_suppkey % 9 + 1] AS problems FROM supplier")
+def kpi_formulas(spark, sf_dir):
+    """Suppliers as KPIs, whose formulas are checked against a small core and mart."""
+    model = {("mart", "sales"): {"amount", "client_id", "day"}, ("core", "sales"): {"amount", "client_id", "note"}, ("core", "client"): {"id", "region"}}
+    kpis = [r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()]  # metadata: a row for each KPI
+    rows = [(k, "; ".join(formula_problems(spark, _FORMULAS[k % 9], model))) for k in kpis]
+    found = spark.createDataFrame(rows, "kpi long, problems string")
+    return found.withColumn("problems", F.regexp_replace("problems", r"(?s)^(not valid SQL): .*", "$1"))
+
+
+@query(
+    "WITH t AS (SELECT 't' || s_suppkey AS t, CASE WHEN s_suppkey % 7 = 0 THEN 'source_removed' ELSE 'present' END AS st FROM supplier WHERE s_suppkey % 5 > 0), c AS (SELECT t, 'c' || n AS c, CASE WHEN n % 4 = 3 THEN 'source_removed' ELSE 'present' END AS st FROM t, range(0, 6) x(n)), r AS (SELECT DISTINCT l_orderkey AS m, 't' || l_suppkey AS t, CASE WHEN l_linenumber < 7 THEN 'c' || l_partkey % 8 END AS c FROM lineitem) "
+    "SELECT DISTINCT m AS mapping_id, 'broken_reference' AS code, r.t AS name FROM r WHERE r.t NOT IN (SELECT t FROM t) UNION ALL SELECT DISTINCT m, 'removed_input', r.t FROM r JOIN t ON r.t = t.t WHERE st = 'source_removed' UNION ALL SELECT DISTINCT m, 'broken_reference', r.t || '.' || r.c FROM r JOIN t ON r.t = t.t LEFT JOIN c ON r.t = c.t AND r.c = c.c WHERE r.c IS NOT NULL AND c.c IS NULL "
+    "UNION ALL SELECT DISTINCT m, 'removed_input', r.t || '.' || r.c FROM r JOIN t ON r.t = t.t JOIN c ON r.t = c.t AND r.c = c.c WHERE t.st = 'present' AND c.st = 'source_removed'"
+)
+def inputs_of_mappings(spark, sf_dir):
+    """Orders as mappings whose lines name suppliers' tables and columns, some of which are gone."""
+    s, n = F.col("s_suppkey"), F.col("n")
+    tables = table(spark, sf_dir, "supplier").where(s % 5 > 0).select(F.lit("staging").alias("layer"), F.concat(F.lit("t"), s.cast("string")).alias("table"), F.when(s % 7 == 0, "source_removed").otherwise("present").alias("status"))
+    columns = tables.select("layer", "table", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")).select("layer", "table", F.concat(F.lit("c"), n.cast("string")).alias("column"), F.when(n % 4 == 3, "source_removed").otherwise("present").alias("status"))
+    reads = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mapping_id"), F.lit("staging").alias("layer"), F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("table"), F.when(F.col("l_linenumber") < 7, F.concat(F.lit("C"), (F.col("l_partkey") % 8).cast("string"))).alias("column"))
+    return M.input_problems(reads, tables, columns)
+
+
+@query("SELECT o_custkey AS table_id, count(DISTINCT o_orderstatus) AS branches FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def unintegrated_tables(spark, sf_dir):
+    """Customers as tables, the states of their orders as branches; every fourth says how its rows become one."""
+    rules = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_id"), F.when(F.col("c_custkey") % 4 == 0, "the latest row wins").when(F.col("c_custkey") % 4 == 1, " ").alias("integration_rule"))
+    return M.unintegrated(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderstatus").alias("branch")), rules)

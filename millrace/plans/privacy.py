@@ -129,15 +129,6 @@ def script_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.script_language(F.col("text")).alias("script"))
 
 
-@query(
-    "SELECT * FROM (VALUES ('a', 'email', 0.9::DOUBLE, 'accepted'), ('b', 'phone', 0.8::DOUBLE, 'suggested'), ('c', 'iban', 0.9::DOUBLE, 'suggested'), ('d', 'email', 0.7::DOUBLE, 'rejected')) t(column_name, rule, confidence, status)"
-)
-def finding_upsert(spark, sf_dir):
-    old = spark.createDataFrame([("a", "email", 0.6, "accepted"), ("b", "email", 0.7, "suggested"), ("d", "email", 0.7, "rejected")], "column_name string, rule string, confidence double, status string")
-    new = spark.createDataFrame([("a", "email", 0.9), ("b", "phone", 0.8), ("c", "iban", 0.9), ("d", "email", 0.5)], "column_name string, rule string, confidence double")
-    return privacy.merged_findings(old, new)
-
-
 _KNOWN = "o AS (SELECT c_custkey AS c, ['email', 'phone', 'iban'][c_custkey % 3 + 1] AS rule, (c_custkey % 10) / 10.0 AS conf, ['suggested', 'accepted', 'rejected'][c_nationkey % 3 + 1] AS status FROM customer WHERE c_custkey % 4 > 0), n AS (SELECT c_custkey AS c, ['email', 'phone'][c_custkey % 2 + 1] AS rule, (c_custkey % 7) / 7.0 AS conf FROM customer WHERE c_custkey % 5 > 0)"
 
 

@@ -108,3 +108,15 @@ def growth_left_out(spark, sf_dir):
     s = _points(spark, sf_dir).groupBy("series").agg(F.count(F.lit(1)).alias("k"), F.min("row_estimate").alias("lo"), F.max("row_estimate").alias("hi"))
     reason = F.when(F.col("k") < 2, "new").when(F.col("lo") == F.col("hi"), "unchanged").otherwise("counted")
     return s.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "WITH t AS (SELECT p_partkey AS table_id, CASE WHEN p_size % 6 = 0 THEN 'view' ELSE 'table' END AS kind FROM part), p AS (SELECT l_partkey AS id, count(*) AS n, min(x) AS lo, max(x) AS hi FROM (SELECT l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 5 ELSE l_quantity END AS x FROM lineitem WHERE l_partkey % 5 > 0 AND l_linenumber > l_partkey % 6) GROUP BY 1) "
+    "SELECT table_id, CASE WHEN kind = 'view' THEN 'view' WHEN n IS NULL THEN 'no_estimate' WHEN n = 1 THEN 'new' ELSE 'unchanged' END AS reason FROM t LEFT JOIN p ON table_id = id WHERE kind = 'view' OR n IS NULL OR n = 1 OR lo = hi"
+)
+def growth_reasons(spark, sf_dir):
+    """Parts as tables, order lines as their estimates: why the growth of some is not told."""
+    tables = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("table_id"), F.when(F.col("p_size") % 6 == 0, "view").otherwise("table").alias("kind"))
+    k = F.col("l_partkey")
+    points = table(spark, sf_dir, "lineitem").where((k % 5 > 0) & (F.col("l_linenumber") > k % 6)).select(k.alias("table_id"), F.when(k % 3 == 0, 5.0).otherwise(F.col("l_quantity")).alias("row_estimate"))
+    return profile.left_out(tables, points)

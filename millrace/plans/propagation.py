@@ -189,3 +189,17 @@ def open_impacts(spark, sf_dir):
     name = F.concat(F.lit("SUP"), k.cast("string"), F.when((k % 4 == 0) & (n > 1), F.concat(F.lit("_"), (n - 1).cast("string"))).otherwise(""))
     column = F.when(c == 3, F.concat(F.lit("C3_"), n.cast("string"))).otherwise(F.concat(F.lit("C"), c.cast("string")))
     return P.open_impacts(table(spark, sf_dir, "lineitem").select(F.lit("core").alias("layer"), name.alias("table"), column.alias("column")), tables, columns, renames)
+
+
+@query(
+    "SELECT 'S' || (p_partkey % 4) AS schema, 'T' || (p_partkey % 37) AS \"table\", CASE WHEN p_partkey % 9 = 0 THEN chr(39) || '=' || p_name ELSE p_name END AS \"column\", p_type AS data_type, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END AS nullable, CASE WHEN p_size % 7 = 0 THEN 'true' ELSE 'false' END AS is_key, "
+    "CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN chr(39) || '-' || p_brand ELSE p_brand END AS description FROM part"
+)
+def data_dictionary(spark, sf_dir):
+    """Parts as columns of a data dictionary, some of them with names or descriptions that a spreadsheet would run."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    columns = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("S"), (k % 4).cast("string")).alias("schema"), F.concat(F.lit("T"), (k % 37).cast("string")).alias("table"), F.concat(F.when(k % 9 == 0, "=").otherwise(""), "p_name").alias("column"), F.col("p_type").alias("data_type"),
+        (z % 2 == 0).alias("nullable"), (z % 7 == 0).alias("is_key"), F.when(k % 5 != 0, F.concat(F.when(k % 5 == 1, "-").otherwise(""), "p_brand")).alias("description"),
+    )
+    return P.data_dictionary(columns)

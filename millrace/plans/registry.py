@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiling", "relational", "relationships", "privacy", "warehouse", "lineage", "usage", "snapshots", "staging", "modelling", "propagation", "texts", "scoring", "retrieval", "inputs", "streams")
+MODULES = ("profiling", "relational", "relationships", "privacy", "warehouse", "lineage", "usage", "snapshots", "staging", "modelling", "propagation", "texts", "scoring", "checks", "retrieval", "inputs", "streams")
 
 
 def _books():

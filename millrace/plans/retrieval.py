@@ -84,13 +84,6 @@ def retrieval_metrics_of_orders(spark, sf_dir):
     return search.retrieval_metrics(lines.where("position > 0"), lines.where("position % 3 = 1").select("case_id", "passage_id").distinct())
 
 
-@query("SELECT * FROM (VALUES (0, 'a'), (1, 'd'), (2, 'b')) t(place, passage)")
-def mmr_select(spark, sf_dir):
-    rows = [("a", 1.0, 1, "s1"), ("b", 0.95, 1, "s1"), ("c", 0.5, 1, "s1"), ("d", 0.75, 2, "s1")]
-    ranked = spark.createDataFrame(rows, "passage string, score double, file_id int, section string")
-    return search.diversify(ranked, 3).select("place", "passage")
-
-
 @query(
     "WITH RECURSIVE p AS (SELECT doc_id AS passage, source AS file_id, lang AS section, n_chars / 1000.0 AS score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30), s AS (SELECT max(score) AS top FROM p), "
     "c(place, i, taken) AS (SELECT 0, 1::BIGINT, [1::BIGINT] UNION ALL SELECT place + 1, b.i, list_append(taken, b.i) FROM c, LATERAL (SELECT p.i FROM p, s WHERE NOT list_contains(c.taken, p.i) ORDER BY 0.7 * p.score / s.top - 0.3 * (SELECT max(CASE WHEN q.file_id <> p.file_id THEN 0.0 WHEN q.section IS NOT DISTINCT FROM p.section THEN 1.0 ELSE 0.3 END) FROM p q WHERE list_contains(c.taken, q.i)) DESC, p.i LIMIT 1) b WHERE place < 9) "
@@ -120,22 +113,6 @@ def embedding_staleness(spark, sf_dir):
     return search.staleness(_vectors(spark, sf_dir), "m1")
 
 
-@query("SELECT CAST(0.75 AS DOUBLE) AS recall, CAST((1 + 0.5 + 1.0 / 3 + 0) / 4 AS DOUBLE) AS mrr")
-def retrieval_metrics(spark, sf_dir):
-    got = [(1, 10, 0), (2, 9, 0), (2, 20, 1), (3, 30, 2), (4, 1, 0)]
-    r = spark.createDataFrame(got, "case_id int, passage_id int, position int")
-    return search.retrieval_metrics(r, spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40)], "case_id int, passage_id int"))
-
-
-@query(
-    "WITH n AS (SELECT 3 AS n), d AS (SELECT sqrt(ln(1 + (3 - 2 + 0.5) / 2.5)) AS w2, sqrt(ln(1 + (3 - 1 + 0.5) / 1.5)) AS w1) SELECT 'list_tables' AS name, round(3 * w2 + w2, 6) AS score FROM d UNION ALL SELECT 'profile_table', round(3 * w2 + w2 + w1, 6) FROM d UNION ALL SELECT 'send_mail', 0.0 FROM d"
-)
-def idf_rank(spark, sf_dir):
-    items = [("list_tables", "All table names"), ("profile_table", "Counts of a table, column by column"), ("send_mail", "Mail a person")]
-    out = search.idf_rank(spark.createDataFrame(items, "name string, description string"), "which tables have a column")
-    return out.select("name", F.round("score", 6).alias("score"))
-
-
 @query("SELECT p_partkey AS passage_id, regexp_matches(p_name, '(^|[^A-Za-z0-9_-])(red|large)($|[^A-Za-z0-9_-])', 'i') AS exact, row_number() OVER (ORDER BY regexp_matches(p_name, '(^|[^A-Za-z0-9_-])(red|large)($|[^A-Za-z0-9_-])', 'i') DESC, p_partkey) - 1 AS place FROM part")
 def exact_promotion(spark, sf_dir):
     """All parts, those first that hold one of two identifiers as written."""
@@ -190,3 +167,27 @@ def workspace_search(spark, sf_dir):
     parts = [table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(c).alias("name")).distinct() for t, c, kind in (("documents", "source", "document"), ("part", "p_brand", "table"), ("region", "r_name", "kpi"))]
     hit = [p.where(F.lower("name").contains("1") | F.lower("name").contains("a")).orderBy("name").limit(5) for p in parts]
     return reduce(lambda a, b: a.unionByName(b), hit)
+
+
+_RANKED = (
+    "w AS (SELECT p_name || '_' || p_partkey AS name, list_distinct(list_transform(list_filter(string_split_regex(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+'), lambda x: length(x) > 2), lambda x: CASE WHEN x LIKE '%s' AND length(x) > 3 THEN left(x, length(x) - 1) ELSE x END)) AS n, "
+    "list_distinct(list_transform(list_filter(string_split_regex(lower(p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: length(x) > 2), lambda x: CASE WHEN x LIKE '%s' AND length(x) > 3 THEN left(x, length(x) - 1) ELSE x END)) AS d FROM part), q AS (SELECT unnest(['small', 'brand', 'red', 'part']) AS q), "
+    "f AS (SELECT q, count(*) AS df, (SELECT count(*) FROM w) AS total FROM w JOIN q ON list_contains(n, q) OR list_contains(d, q) GROUP BY q), s AS (SELECT name, sum(sqrt(ln(1 + (total - df + 0.5) / (df + 0.5))) * (3 * list_contains(n, f.q)::INT + list_contains(d, f.q)::INT)) AS score FROM w JOIN f ON list_contains(n, f.q) OR list_contains(d, f.q) GROUP BY name)"
+)
+
+
+@query(f"WITH {_RANKED} SELECT w.name, round(coalesce(score, 0), 6) AS score FROM w LEFT JOIN s ON w.name = s.name")
+def idf_rank_of_parts(spark, sf_dir):
+    """All parts ranked by the words of a question in their names and descriptions."""
+    items = table(spark, sf_dir, "part").select(F.concat_ws("_", "p_name", "p_partkey").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("description"))
+    return search.idf_rank(items, "small brands, red parts?").select("name", F.round("score", 6).alias("score"))
+
+
+@query(
+    "WITH l AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS p, l_linenumber - 1 AS position FROM lineitem), g AS (SELECT DISTINCT c, p FROM l WHERE position % 3 < 2), x AS (SELECT DISTINCT c, p FROM l WHERE p % 3 = 0), "
+    "j AS (SELECT x.c, bool_and((x.c, x.p) IN (SELECT (c, p) FROM l WHERE position < 3) AND (x.c, x.p) IN (SELECT (c, p) FROM g)) AS good FROM x GROUP BY x.c) SELECT avg(CASE WHEN coalesce(good, FALSE) THEN 1.0 ELSE 0.0 END) AS correctness FROM (SELECT DISTINCT c FROM g) a LEFT JOIN j ON a.c = j.c"
+)
+def citations_of_orders(spark, sf_dir):
+    """Every order is a case whose answer cites those of its parts that three divides."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("passage_id"), (F.col("l_linenumber") - 1).alias("position")).distinct()
+    return search.citation_correctness(lines.where("passage_id % 3 = 0"), lines, lines.where("position % 3 < 2"))

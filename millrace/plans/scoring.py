@@ -1,4 +1,4 @@
-"""Scoring queries: a small model with known faults, and a large roll-up over the orders."""
+"""Scores of tables, layers and the warehouse from findings: a large roll-up over the orders."""
 
 from __future__ import annotations
 
@@ -12,58 +12,6 @@ book = Book()
 query = book.query
 
 
-def model(spark) -> score.Model:
-    """Two staging tables, a core star and a mart fact with one fault for many of the checks."""
-    t = "table_id string, layer string, name string, kind string, grain string, is_aggregate boolean, is_time_based boolean, scd_type int, is_conformed boolean, description string, generated boolean"
-    tables = [
-        ("s1", "staging", "stg_orders", "staging", None, False, False, None, False, None, False),
-        ("d1", "core", "dim_customer", "dimension", None, False, False, 2, True, "customers", False),
-        ("d2", "core", "dim_city", "dimension", None, False, False, None, False, " ", False),
-        ("dd", "core", "dim_date", "date", None, False, False, None, False, "days", True),
-        ("f1", "core", "fact_sales", "fact", "one line", False, True, None, False, "sales", False),
-        ("m1", "mart", "SalesMonthly", "fact", "", True, False, None, False, "", False),
-    ]
-    c = "column_id string, table_id string, name string, role string, kind string, additivity string, references string, description string, is_system boolean, source_removed boolean, pii boolean"
-    columns = [
-        ("s1a", "s1", "id", "attribute", "integer", None, None, None, False, False, False), ("d1k", "d1", "customer_key", "sk", "bigint", None, None, None, True, False, False),
-        ("d1n", "d1", "customer_id", "nk", "integer", None, None, None, False, False, False), ("d1c", "d1", "city_key", "fk", "bigint", None, "d2", None, False, False, False),
-        ("d2k", "d2", "city_key", "sk", "string", None, None, None, True, False, False), ("f1c", "f1", "customer_key", "fk", "bigint", None, "d1", None, False, False, False),
-        ("f1d", "f1", "date_key", "fk", "integer", None, "dd", None, False, False, False), ("f1a", "f1", "amount", "measure", "decimal", "additive", None, "paid", False, False, False),
-        ("f1t", "f1", "note", "attribute", "text", None, None, None, False, False, True), ("m1f", "m1", "sale_ref", "fk", "bigint", None, "f1", None, False, False, False),
-        ("m1a", "m1", "amount", "measure", "double", None, None, None, False, False, True),
-    ]
-    mapped = [("d1n", 1, "direct", False, True), ("f1c", 1, "lookup", False, True), ("f1d", 1, "direct", False, True), ("f1a", 1, "derived", False, True), ("f1t", 1, "unmapped", False, True), ("m1f", 1, "direct", False, True), ("m1a", 1, "derived", False, False)]
-    inputs = [("d1n", "staging", "s1a", True, False), ("f1a", "staging", "s1b", True, True), ("m1a", "staging", "s1a", True, False), ("f1d", None, None, False, False)]
-    return {
-        "tables": spark.createDataFrame(tables, t), "columns": spark.createDataFrame(columns, c), "mapped": spark.createDataFrame(mapped, "column_id string, branch int, mapping_type string, grouped boolean, parses boolean"),
-        "inputs": spark.createDataFrame(inputs, "column_id string, input_layer string, input_id string, input_exists boolean, input_removed boolean"),
-        "flags": spark.createDataFrame([("s1", "s1a", False)], "table_id string, column_id string, overridden boolean"),
-        "kpis": spark.createDataFrame([("k1", "sales", "all sales"), ("k2", "lost", None)], "kpi_id string, name string, description string"),
-        "kpi_links": spark.createDataFrame([("k1", "f1a"), ("k2", "f1t")], "kpi_id string, column_id string"),
-    }
-
-
-# check, passed, failed: worked out by hand from the model above
-_EXPECTED = [
-    ("fact_has_grain", 1, 1), ("column_covered", 8, 2), ("aggregate_group_by", 0, 1), ("dimension_has_keys", 1, 1), ("fact_has_dimension_fk", 1, 1), ("no_fact_to_fact_fk", 2, 1), ("time_fact_has_date_dimension", 1, 0),
-    ("measure_has_additivity", 1, 1), ("dimension_has_scd_type", 1, 1), ("no_deep_snowflake", 2, 0), ("fact_fk_is_lookup", 1, 0), ("naming_conventions", 5, 1), ("same_name_same_type", 0, 2), ("inputs_from_layer_below", 2, 1),
-    ("conformed_dimension_shared", 0, 1), ("mapping_parses", 6, 1), ("inputs_exist", 3, 1), ("no_source_removed_inputs", 2, 1), ("review_flags_resolved", 0, 1), ("table_has_description", 3, 2), ("measure_has_description", 1, 1),
-    ("kpi_has_description", 1, 1), ("kpi_links_measure", 1, 1), ("surrogate_key_integer", 1, 1), ("fact_no_free_text", 2, 1), ("fact_width", 2, 0), ("pii_in_mart", 1, 1),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {p}::BIGINT, {f}::BIGINT)" for c, p, f in _EXPECTED) + ") t(check_code, passed, failed)")
-def model_checks(spark, sf_dir):
-    found = score.run_checks(model(spark))
-    return found.groupBy("check_code").agg(F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
-
-
-@query()
-def model_scores(spark, sf_dir):
-    m = model(spark)
-    return score.layer_scores(score.run_checks(m), m["tables"], m["columns"])
-
-
 _FINDINGS = "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'error' WHEN o_orderkey % 3 = 0 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN o_custkey % 2 = 0 THEN 'core' ELSE 'mart' END AS layer, CAST(o_custkey % 97 AS VARCHAR) AS table_id, o_orderstatus <> 'P' AS passed FROM orders"
 _WEIGHT = "CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END"
 

@@ -16,27 +16,32 @@ query = book.query
     "SELECT CAST(year(d) * 10000 + month(d) * 100 + day(d) AS INTEGER) AS date_key, d AS full_date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name, "
     "CAST(day(d) AS INTEGER) AS day_of_month, CAST(isodow(d) AS INTEGER) AS day_of_week, dayname(d) AS day_name, CAST(dayofyear(d) AS INTEGER) AS day_of_year, CAST(weekofyear(d) AS INTEGER) AS iso_week, CAST(year(d) * 100 + month(d) AS INTEGER) AS year_month, "
     "isodow(d) IN (6, 7) AS is_weekend, d = last_day(d) AS is_month_end, CAST(year(d) + CASE WHEN month(d) >= 7 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year, CAST((month(d) + 5) % 12 // 3 + 1 AS INTEGER) AS fiscal_quarter, CAST((month(d) + 5) % 12 + 1 AS INTEGER) AS fiscal_month "
-    "FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS d)"
+    "FROM (SELECT CAST(unnest(generate_series(date_trunc('year', low), date_trunc('year', high) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT min(o_orderdate) AS low, max(o_orderdate) AS high FROM orders))"
 )
 def date_dim(spark, sf_dir):
-    return WH.date_dimension(spark, 1992, 1999, fiscal_start=7)
+    """Every day of the years that the orders span."""
+    span = table(spark, sf_dir, "orders").agg(F.year(F.min("o_orderdate")), F.year(F.max("o_orderdate"))).first()
+    return WH.date_dimension(spark, *span, fiscal_start=7)
 
 
 @query(
     "SELECT CAST(i // 60 * 100 + i % 60 AS INTEGER) AS time_key, CAST(i // 60 AS INTEGER) AS hour_24, CAST(CASE WHEN i // 60 % 12 = 0 THEN 12 ELSE i // 60 % 12 END AS INTEGER) AS hour_12, CAST(i % 60 AS INTEGER) AS minute, CASE WHEN i < 720 THEN 'AM' ELSE 'PM' END AS am_pm, "
-    "CASE WHEN i < 360 THEN 'night' WHEN i < 720 THEN 'morning' WHEN i < 1080 THEN 'afternoon' ELSE 'evening' END AS day_period, lpad(CAST(i // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i % 60 AS VARCHAR), 2, '0') AS time_label FROM (SELECT unnest(range(1440)) AS i)"
+    "CASE WHEN i < 360 THEN 'night' WHEN i < 720 THEN 'morning' WHEN i < 1080 THEN 'afternoon' ELSE 'evening' END AS day_period, lpad(CAST(i // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i % 60 AS VARCHAR), 2, '0') AS time_label, coalesce(n, 0) AS events FROM (SELECT unnest(range(1440)) AS i) LEFT JOIN (SELECT hour(ts) * 60 + minute(ts) AS m, count(*) AS n FROM events GROUP BY 1) ON i = m"
 )
 def time_dim(spark, sf_dir):
-    return WH.time_dimension(spark)
+    """Every minute of the day, and the events that fell into it."""
+    calls = table(spark, sf_dir, "events").groupBy((F.hour("ts") * 100 + F.minute("ts")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return WH.time_dimension(spark).join(calls, F.col("time_key") == F.col("k"), "left").withColumn("events", F.coalesce("n", F.lit(0))).drop("k", "n")
 
 
 @query(
-    "WITH d AS (SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS full_date), n AS (SELECT full_date, date_diff('day', DATE '0622-07-19', full_date) AS n FROM d), y AS (SELECT *, (30 * n + 10646) // 10631 AS y FROM n), "
+    "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS full_date FROM orders), n AS (SELECT full_date, date_diff('day', DATE '0622-07-19', full_date) AS n FROM d), y AS (SELECT *, (30 * n + 10646) // 10631 AS y FROM n), "
     "r AS (SELECT *, n - 354 * (y - 1) - (3 + 11 * y) // 30 AS r FROM y), m AS (SELECT *, least(12, CAST(ceil((r + 0.5) / 29.5) AS BIGINT)) AS m FROM r) SELECT full_date, CAST(y AS INTEGER) AS hijri_year, CAST(m AS INTEGER) AS hijri_month, CAST(r - ceil(29.5 * (m - 1)) + 1 AS INTEGER) AS hijri_day, "
     "CAST(y * 100 + m AS INTEGER) AS hijri_year_month, ['Muharram', 'Safar', 'Rabi al-Awwal', 'Rabi al-Thani', 'Jumada al-Ula', 'Jumada al-Akhirah', 'Rajab', 'Shaaban', 'Ramadan', 'Shawwal', 'Dhu al-Qadah', 'Dhu al-Hijjah'][m] AS hijri_month_name FROM m"
 )
 def hijri_dates(spark, sf_dir):
-    return WH.hijri(WH.date_dimension(spark, 2020, 2024).select("full_date"), "full_date")
+    """The days that have orders."""
+    return WH.hijri(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("full_date")).distinct(), "full_date")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT -1, NULL, NULL")
@@ -128,13 +133,6 @@ def mapping_validation(spark, sf_dir):
     return spark.createDataFrame([(k, p) for k, p, _ in found], "branch int, problem string")
 
 
-@query("SELECT * FROM (VALUES ('fact', 3::BIGINT, 2::BIGINT, 66::BIGINT), ('dim', 2::BIGINT, 0::BIGINT, 0::BIGINT)) t(\"table\", columns, covered, percent)")
-def mapping_coverage(spark, sf_dir):
-    columns = spark.createDataFrame([("fact", "a"), ("fact", "b"), ("fact", "c"), ("dim", "x"), ("dim", "y")], "table string, column string")
-    mapped = spark.createDataFrame([("fact", 1, "a"), ("fact", 2, "a"), ("fact", 1, "b"), ("fact", 2, "b"), ("fact", 1, "c")], "table string, branch int, column string")
-    return WH.coverage(columns, mapped)
-
-
 _KPI = "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS kpi_sum, round(avg(l_quantity), 6) AS kpi_avg, count(DISTINCT l_suppkey) AS kpi_distinct, round(sum(l_tax) / nullif(sum(l_discount), 0), 6) AS kpi_ratio FROM lineitem"
 
 
@@ -156,3 +154,15 @@ def kpi_growth(spark, sf_dir):
     facts = table(spark, sf_dir, "orders").join(days, F.col("o_orderdate").cast("date") == F.col("full_date"))
     g = WH.month_growth(facts, "year", "month", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"))
     return g.select("year", "month", "total", F.round("mom", 6).alias("mom"), F.round("yoy", 6).alias("yoy"))
+
+
+@query(
+    "WITH m AS (SELECT p_brand AS t, 1 AS b, p_partkey AS c FROM part WHERE p_size % 3 > 0 UNION ALL SELECT p_brand, 2, p_partkey FROM part WHERE p_size % 4 > 0), b AS (SELECT t, count(DISTINCT b) AS n FROM m GROUP BY t), d AS (SELECT t, c, count(DISTINCT b) AS n FROM m GROUP BY t, c) "
+    "SELECT p_brand AS \"table\", count(*) AS columns, sum(CASE WHEN coalesce(d.n, 0) >= coalesce(b.n, 1) THEN 1 ELSE 0 END)::BIGINT AS covered, CAST(floor(sum(CASE WHEN coalesce(d.n, 0) >= coalesce(b.n, 1) THEN 1 ELSE 0 END) * 100 / count(*)) AS BIGINT) AS percent FROM part LEFT JOIN b ON p_brand = b.t LEFT JOIN d ON p_brand = d.t AND p_partkey = d.c GROUP BY p_brand"
+)
+def mapping_coverage_of_parts(spark, sf_dir):
+    """Parts as columns of their brands, mapped in two branches or not."""
+    p, z = table(spark, sf_dir, "part"), F.col("p_size")
+    names = (F.col("p_brand").alias("table"), F.col("p_partkey").alias("column"))
+    one = lambda n, b: p.where(z % n > 0).select(*names, F.lit(b).alias("branch"))
+    return WH.coverage(p.select(*names), one(3, 1).unionByName(one(4, 2)))

@@ -66,6 +66,13 @@ def test_reach_of_an_empty_graph_is_the_seeds(spark):
         ("SELECT k FROM secrets UNION ALL (WITH secrets AS (SELECT 1 AS k) SELECT k FROM secrets)", False),
         ("WITH u AS (SELECT k FROM t) SELECT k FROM u ORDER BY (SELECT max(k) FROM secrets)", False),
         ("WITH u AS (SELECT k FROM t), w AS (SELECT k FROM u) SELECT k FROM w", True),
+        ("WITH RECURSIVE t AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM t WHERE k < 5) SELECT k FROM t", False),
+        ("WITH RECURSIVE u AS (SELECT k FROM t) SELECT k FROM u", False),
+        ("SELECT current_user FROM t", False),
+        ("SELECT k FROM t WHERE v = session_user", False),
+        ("SELECT (SELECT user) AS u FROM t", False),
+        ("WITH u AS (SELECT current_user AS c FROM t) SELECT c FROM u", False),
+        ("SELECT current_date FROM t", True),
         ("", False),
     ],
 )
@@ -89,6 +96,16 @@ def test_guard_masks_in_every_branch_and_subquery(spark):
     assert guard.run(spark, "SELECT k FROM people WHERE name = 'Ann'", {"people": people}, {("people", "name")}).count() == 0
 
 
+def test_guard_leaves_the_callers_views_alone(spark):
+    mine = spark.createDataFrame([(7, "mine")], "k int, name string")
+    mine.createOrReplaceTempView("people")
+    before = {t.name for t in spark.catalog.listTables()}
+    one = guard.run(spark, "SELECT name FROM people", {"people": spark.createDataFrame([(1, "Ann")], "k int, name string")}, {("people", "k")})
+    two = guard.run(spark, "WITH p AS (SELECT k, name FROM people) SELECT k AS name FROM p ORDER BY k LIMIT 3", {"people": mine}, {("people", "name")})
+    assert [tuple(r) for r in one.collect()] == [("Ann",)] and [tuple(r) for r in two.collect()] == [(7,)]
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.table("people").first()["name"] == "mine"
+
+
 def test_masking_by_place(spark):
     df = spark.createDataFrame([("a", "b")], "x string, y string").select("x", "y", "x")
     assert [tuple(r) for r in guard.masked_places(df, {2}).collect()] == [("a", "b", "[masked]")]
@@ -197,3 +214,30 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
+
+
+def test_outputs_are_traced_to_the_columns_behind_them(spark):
+    from millrace.functions import validators as V
+
+    people = spark.createDataFrame([(1, "a@b.co", "x"), (2, "c@d.org", "y")], "k int, mail string, note string")
+    other = spark.createDataFrame([(1, "q")], "k int, name string")
+    strong = {"email": V.email}
+    found = lambda sql: {(r["column_name"], r["rule"]) for r in guard.recorded(spark, sql, {"people": people, "other": other}, strong, {}).collect()}
+    assert found("SELECT lower(p.mail) AS m, name FROM people p JOIN other o ON p.k = o.k") == {("people.mail", "email")}
+    assert found("WITH t AS (SELECT concat(note, mail) AS c FROM people) SELECT c FROM t UNION ALL SELECT name FROM other") == {("people.mail", "email"), ("people.note", "email"), ("other.name", "email")}
+    assert found("SELECT (SELECT max(mail) FROM people) AS top, k FROM other") == {("people.mail", "email")}
+    assert found("SELECT note, count(*) AS n FROM people WHERE mail LIKE '%@%' GROUP BY note") == set()
+    assert guard.recorded(spark, "SELECT mail FROM people", {"people": people}, strong, {}, {("people", "mail")}).count() == 0  # masked
+
+
+def test_formulas_are_checked_against_the_model(spark):
+    from millrace.operators.formulas import formula_problems
+
+    model = {("mart", "sales"): {"amount", "client_id"}, ("core", "sales"): {"amount", "note"}, ("core", "client"): {"id", "region"}}
+    good = ["SELECT sum(amount) FROM sales", "select s.NOTE from core.sales s", "WITH t AS (SELECT id AS x FROM client) SELECT count(x) FROM t", "SELECT q.v FROM (SELECT amount AS v FROM sales) q", "SELECT amount AS a FROM sales ORDER BY a;"]
+    assert [formula_problems(spark, f, model) for f in good] == [[]] * len(good)
+    assert formula_problems(spark, "SELECT note FROM sales", model) == ["no table in the query has a column `note`"]  # the mart's table comes first
+    assert formula_problems(spark, "SELECT s.x, s.y, t.z FROM mart.sales s", model) == ["`sales` has no column `x`", "`sales` has no column `y`", "`t` is not a table or alias in the query"]
+    assert formula_problems(spark, "SELECT a, b, c, d, e, f, g FROM nowhere", model)[0] == "`nowhere` is not a core or mart table" and len(formula_problems(spark, "SELECT a, b, c, d, e, f, g FROM nowhere", model)) == 5
+    assert formula_problems(spark, "DELETE FROM sales", model) == ["not one SELECT"] and formula_problems(spark, "SELECT 1; SELECT 2", model)[0].startswith("not valid SQL")
+    assert formula_problems(spark, "SELECT anything FROM anywhere") == []

@@ -376,3 +376,22 @@ def test_a_document_of_100_mb_is_read_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert lines == 430_000 and 430 * len(line) * 1000 > 100_000_000 and peak < 30_000_000
+
+
+@pytest.mark.parametrize(
+    ("rule", "why"),
+    [
+        ({"name": "Bad Name"}, "name"), ({"category": "odd"}, "category"), ({"confidence": 0.1}, "confidence"), ({"keywords": ["k"] * 21}, "keywords"), ({"keywords": ["x" * 65]}, "keywords"), ({"keywords": ["--"]}, "letter or a digit"),
+        ({"keywords": []}, "keyword or a pattern"), ({"pattern": "a" * 201}, "200"), ({"pattern": "(a+)+"}, "nested"), ({"pattern": "(a|b*c)*"}, "nested"), ({"pattern": "(x+){2,}"}, "nested"), ({"pattern": "("}, "no regular expression"),
+    ],
+)
+def test_rules_of_ones_own_have_limits(rule, why):
+    with pytest.raises(ValueError, match=why):
+        privacy.custom_rule(**({"name": "badge", "category": "direct_identifier", "confidence": 0.8, "keywords": ["Badge No"]} | rule))
+
+
+def test_rules_of_ones_own_fit_names_and_values(spark):
+    by_name, fits = privacy.custom_rule("badge", "direct_identifier", 0.8, ["Badge No"], r"B-\d{4}")
+    assert privacy.name_rule("employee_badge_no", [by_name]) == ("custom:badge", "direct_identifier", 0.8) and privacy.name_rule("email", [by_name])[0] == "email"
+    df = spark.createDataFrame([("B-1234",), ("xB-1234",), (None,), ("B-1234" + " " * 300,)], "v string")
+    assert [r["f"] for r in df.select(fits(F.col("v")).alias("f")).collect()] == [True, False, False, False]

@@ -151,3 +151,28 @@ def test_approximate_profiles_are_close(spark):
 def test_source_types_become_staging_types(spark, source, platform, engine, want):
     df = spark.createDataFrame([(source, engine)], "t string, e string").select(staging.translated(F.col("t"), platform, F.col("e")).alias("r"))
     assert tuple(df.first()["r"]) == want
+
+
+def test_a_schema_is_imported_from_csv_sheets(spark, tmp_path):
+    from millrace.sources import schema_import
+
+    (tmp_path / "tables.csv").write_text("Schema,Table,Kind,odd\ns, a ,table,1\ns,b,VIEW,\n")
+    (tmp_path / "columns.csv").write_text('schema,table,column,data_type,ordinal,is_nullable\ns,a,id,"numeric(10,2)",,no\ns,a,name,text,1,\ns,b,x,int,,\n')
+    (tmp_path / "constraints.csv").write_text('schema,table,constraint,type,columns,ref_schema,ref_table,ref_columns\ns,a,pk_a,PK,"id, name",,,\ns,b,fk_b,fk,x,,a,id\ns,b,fk_c,fk,x,,elsewhere,id\n')
+    (tmp_path / "notes.csv").write_text("x\n1\n")
+    sheets, issues = schema_import.read_sheets(spark, str(tmp_path))
+    assert {(r["sheet"], r["severity"], r["code"], r["object"]) for r in issues.collect()} == {("tables", "warning", "column_unknown", "odd"), ("notes", "warning", "sheet_unknown", "notes")}
+    catalog, found = schema_import.checked(sheets)
+    assert {(r["row"], r["code"], r["object"]) for r in found.collect()} == {(3, "view_without_definition", "s.b"), (4, "reference_outside", "fk_c: elsewhere")}
+    columns = {(r["table"], r["column"]): (r["data_type"], r["ordinal"], r["is_nullable"], r["is_pk"]) for r in catalog["columns"].collect()}
+    assert columns == {("a", "id"): ("numeric(10,2)", 2, False, True), ("a", "name"): ("text", 1, True, True), ("b", "x"): ("int", 1, True, False)}
+    assert {(r["constraint"], r["type"], r["ref_table"], tuple(r["columns"])) for r in catalog["constraints"].collect()} == {("pk_a", "pk", None, ("id", "name")), ("fk_b", "fk", "a", ("x",)), ("fk_c", "fk", "elsewhere", ("x",))}
+    assert [r["schema"] for r in catalog["schemas"].collect()] == ["s"]
+
+
+def test_an_import_without_its_sheets_says_so(spark, tmp_path):
+    from millrace.sources import schema_import
+
+    (tmp_path / "tables.csv").write_text("schema,table,table\ns,a,b\n")
+    _, issues = schema_import.read_sheets(spark, str(tmp_path))
+    assert {(r["sheet"], r["code"], r["object"]) for r in issues.collect()} >= {("columns", "sheet_missing", "columns"), ("tables", "column_missing", "kind")}
