@@ -13,7 +13,7 @@ LONGEST, MOST_DIGITS = 300, 5
 # What an outbound query must not carry, in the order it is taken out: quoted literals, marks of what has been
 # redacted, groups of digits (telephone numbers), dates, amounts.
 QUOTED = "'[^']*'|\"[^\"]*\"|`[^`]*`|“[^”]*”|‘[^’]*’"
-VALUES = (r"\[redacted: [^\]]*\]", r"(?:^|[^\w+])\+?[0-9]+(?:[ -][0-9]+){2,}\b", r"\b[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}\b", r"\b[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\b|\b[0-9]+\.[0-9]{2,}\b")
+VALUES = (r"\[redacted: [^\]]*\]", r"(?<![\w+])\+?[0-9]+(?:[ -][0-9]+){2,}\b", r"\b[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}\b", r"\b[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\b|\b[0-9]+\.[0-9]{2,}\b")
 
 # Phrases that address a model rather than a reader, in English and Arabic, whatever the case.
 INJECTIONS = (

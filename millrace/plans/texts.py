@@ -28,7 +28,9 @@ _QUOTED = f"q AS (SELECT conv_id, turn, regexp_replace(text, '{_sql(X.QUOTED)}',
 _STEPS, _AT = redact_steps("q", "conv_id, turn")
 _BARE = "text"
 for _p in X.VALUES:
-    _BARE = f"regexp_replace({_BARE}, '{_sql(_p)}', ' ', 'g')"
+    # DuckDB's patterns cannot look back, so what stands before a match is taken along and put back
+    _before = _p.startswith(r"(?<![\w+])")
+    _BARE = f"regexp_replace({_BARE}, '{_sql(_p.replace('(?<![', '(^|[^').replace('+])', '+])', 1)) if _before else _sql(_p)}', '{chr(92) + '1 ' if _before else ' '}', 'g')"
 
 
 @query(
@@ -71,3 +73,15 @@ def name_scan(spark, sf_dir):
     columns = catalog(spark, sf_dir).select("column_id", "column")
     known = spark.createDataFrame([("conversations.text", "address", 0.4, "rejected")], "column_name string, rule string, confidence double, status string")
     return privacy.merged_findings(known, privacy.name_scan(columns))
+
+
+_JSON_STEPS, _JSON_AT = redact_steps("conversations", "conv_id, turn")
+
+
+@query(f"WITH {', '.join(_JSON_STEPS)} SELECT conv_id, turn, md5(text) AS redacted FROM {_JSON_AT}")
+def redacted_json_turns(spark, sf_dir):
+    """Every turn as a JSON value with its text inside, redacted as JSON and read back."""
+    c = table(spark, sf_dir, "conversations")
+    made = F.to_json(F.struct("role", F.struct(F.array("text").alias("parts")).alias("body")))
+    out = privacy.redacted_json(made, "role string, body struct<parts: array<string>>")
+    return c.select("conv_id", "turn", F.md5(F.get_json_object(out, "$.body.parts[0]")).alias("redacted"))

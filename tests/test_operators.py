@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, guard, privacy, search, snapshots, warehouse
+from millrace.operators import graph, guard, privacy, propagation, search, snapshots, warehouse
 from millrace.sources import files
 
 
@@ -241,3 +241,10 @@ def test_formulas_are_checked_against_the_model(spark):
     assert formula_problems(spark, "SELECT a, b, c, d, e, f, g FROM nowhere", model)[0] == "`nowhere` is not a core or mart table" and len(formula_problems(spark, "SELECT a, b, c, d, e, f, g FROM nowhere", model)) == 5
     assert formula_problems(spark, "DELETE FROM sales", model) == ["not one SELECT"] and formula_problems(spark, "SELECT 1; SELECT 2", model)[0].startswith("not valid SQL")
     assert formula_problems(spark, "SELECT anything FROM anywhere") == []
+
+
+def test_renames_leave_literals_and_comments_alone(spark):
+    mappings = spark.createDataFrame([(1, "T.code || 't.code' /* t.code\n */ || x.code -- t.code\n || t.code"), (2, "'t.code'"), (3, "u.a + it''s")], "mapping_id int, sql string")
+    renames = spark.createDataFrame([("t", "code", "code2")], "table string, from_name string, to_name string")
+    got = {r["mapping_id"]: r["sql"] for r in propagation.rewritten(mappings, renames).collect()}
+    assert got == {1: "T.code2 || 't.code' /* t.code\n */ || x.code -- t.code\n || t.code2"}
