@@ -58,14 +58,21 @@ def inferred_relationships(spark, sf_dir):
 
 
 @query(
-    "SELECT 'v1' AS object, 'orders' AS from_table, 'custkey' AS from_column, 'customer' AS to_table, 'custkey' AS to_column UNION ALL SELECT 'v2', 'lineitem', 'suppkey', 'supplier', 'suppkey' UNION ALL SELECT 'v2', 'customer', 'nationkey', 'supplier', 'nationkey'"
+    "SELECT 'v' || s_suppkey AS object, 'orders' AS from_table, 'custkey' AS from_column, 'customer' AS to_table, 'custkey' AS to_column FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'v' || s_suppkey, 'lineitem', 'suppkey', 'supplier', 'suppkey' FROM supplier WHERE s_suppkey % 4 = 1 "
+    "UNION ALL SELECT 'v' || s_suppkey, 'customer', 'nationkey', 'supplier', 'nationkey' FROM supplier WHERE s_suppkey % 4 = 1 UNION ALL SELECT 'v' || s_suppkey, 'lineitem', 'partkey', 'part', 'partkey' FROM supplier WHERE s_suppkey % 4 = 2"
 )
 def mined_joins(spark, sf_dir):
-    text = [
-        ("v1", "SELECT o.orderkey, c.name FROM orders o JOIN customer AS c ON o.custkey = c.custkey WHERE o.orderstatus = 'F'"),
-        ("v2", "SELECT 1 FROM lineitem, supplier s, customer WHERE lineitem.suppkey = s.suppkey AND customer.nationkey = s.nationkey AND s.unknown = customer.custkey"),
-    ]
-    return relate.mined_joins(spark.createDataFrame(text, "object string, sql string"), _catalog(spark, sf_dir))
+    """A view for each supplier, whose text joins tables by aliases, comma lists or schemas, or not at all."""
+    k = F.col("s_suppkey")
+    texts = (
+        "SELECT o.orderkey, c.name FROM orders o JOIN customer AS c ON o.custkey = c.custkey WHERE o.orderkey > {}",
+        "SELECT {} FROM lineitem, supplier s, customer WHERE lineitem.suppkey = s.suppkey AND customer.nationkey = s.nationkey AND s.unknown = customer.custkey",
+        "select p.name\nfrom dbo.part p\nleft join dbo.lineitem l on l.partkey=p.partkey\nwhere l.quantity > {}",
+        "SELECT count(*) FROM orders WHERE orderkey = {}",
+    )
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (k % 4 + 1).cast("int"))
+    views = table(spark, sf_dir, "supplier").select(F.concat(F.lit("v"), k.cast("string")).alias("object"), F.replace(text, F.lit("{}"), k.cast("string")).alias("sql"))
+    return relate.mined_joins(views, _catalog(spark, sf_dir))
 
 
 @query(

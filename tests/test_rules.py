@@ -395,3 +395,20 @@ def test_rules_of_ones_own_fit_names_and_values(spark):
     assert privacy.name_rule("employee_badge_no", [by_name]) == ("custom:badge", "direct_identifier", 0.8) and privacy.name_rule("email", [by_name])[0] == "email"
     df = spark.createDataFrame([("B-1234",), ("xB-1234",), (None,), ("B-1234" + " " * 300,)], "v string")
     assert [r["f"] for r in df.select(fits(F.col("v")).alias("f")).collect()] == [True, False, False, False]
+
+
+def test_scores_of_guesses_and_counts_that_ran_out_of_time(spark):
+    from millrace.operators import relate
+
+    rows = [(0.6, 0.7, True), (0.6, 0.9, False), (None, 0.9, True), (None, 0.9, False), (0.6, None, True), (None, None, True), (0.98, 0.99, True)]
+    df = spark.createDataFrame(rows, "rule double, ai double, counted boolean")
+    best = relate.guess_score(F.col("rule"), F.col("ai"), F.col("counted"))
+    got = df.select(best.alias("g"), relate.timed_out_confidence(best).alias("t")).collect()
+
+    def plain(rule, ai, counted):
+        held = None if ai is None else ai if counted else min(ai, relate.UNCOUNTED_CAP)
+        both = relate.BOTH_BONUS if rule is not None and ai is not None else 0
+        return round(min(1.0, max(rule or 0.0, held or 0.0) + both), 4)
+
+    want = [plain(*r) for r in rows]
+    assert [r["g"] for r in got] == want and [r["t"] for r in got] == [round(max(relate.TIMEOUT_FLOOR, g - relate.TIMEOUT_PENALTY), 4) for g in want]
