@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import prepare, stored
 
-__all__ = ["WORD", "prepare", "uniform", "width", "word_count", "written"]
+__all__ = ["WORD", "discarded", "prepare", "uniform", "width", "word_count", "written"]
 
 #: A word, wherever a contract speaks of words: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,3 +30,11 @@ def word_count(text) -> F.Column:
 def uniform(*cols) -> F.Column:
     """A number in [0, 1) that depends on the values alone, so reruns and recomputed tasks agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def discarded(table: DataFrame) -> None:
+    """Delete a table that written() gave, once nothing will read it again: what was made from it must be written itself."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

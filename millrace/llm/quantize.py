@@ -9,7 +9,8 @@ if the upper bound is below its lower bound or below half its distance from the
 near as the own one is never skipped; what is left is compared by exact integer distances, ties to the lower index. Bounds
 are rounded outwards to 32 bits.
 
-Each round is one pass over the rows as the round before wrote them to the shared folder. A task adds a row with the sums of
+Each round is one pass over the rows as the round before wrote them to the shared folder, and then deletes what that one
+wrote, so two rounds' rows stand there at most. A task adds a row with the sums of
 its pieces by entry, and these are added up in Spark; the driver sees the codebooks only, parts * entries entries. A hot
 label or repeated rows change nothing about a pass, which deals by files.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._integers import integer_vectors, matrix
-from millrace.llm._spark import written
+from millrace.llm._spark import discarded, written
 
 #: Distances that are computed at once in a task.
 BLOCK = 1_000_000
@@ -144,9 +145,12 @@ def codebooks_and_codes(vectors: DataFrame, factor: float = 4096, parts: int = 8
     start = rows.orderBy(*order).limit(entries).collect()
     books = np.array([np.frombuffer(r["vector"], np.int32) for r in start], np.int64).reshape(-1, parts, dims // parts).transpose(1, 0, 2)
     label = rows.schema["label"].dataType.simpleString()
-    moved = None
+    moved = last = None
     for _ in range(rounds):
         state = written(_pass(rows, books, moved, label), "pq-round")
+        if last is not None:
+            discarded(last)  # this round's rows are written, so that nothing goes back to the round before
+        last = state
         new = _moved_books(state, books)
         moved = np.sqrt(_square(new, books).astype(np.float64)) * (1 + 1e-12)
         books, rows = new, state.where("vector IS NOT NULL")
@@ -159,8 +163,11 @@ def codebooks_and_codes(vectors: DataFrame, factor: float = 4096, parts: int = 8
             error = sum((_square(x[:, p], books[p][code[:, p]]) for p in range(parts_)), np.zeros(len(x), np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), batch.column("code"), pa.array(error)], names=["vec_id", "label", "code", "error"])
 
-    last = _pass(rows, books, moved, label).where("vector IS NOT NULL")
-    return books, written(last.mapInArrow(finish, f"vec_id long, label {label}, code binary, error long"), "pq-codes")
+    final = _pass(rows, books, moved, label).where("vector IS NOT NULL")
+    codes = written(final.mapInArrow(finish, f"vec_id long, label {label}, code binary, error long"), "pq-codes")
+    if last is not None:
+        discarded(last)
+    return books, codes
 
 
 def digest(books: np.ndarray) -> str:
