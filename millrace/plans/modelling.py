@@ -180,7 +180,7 @@ _ITEMS = "i AS (SELECT o_orderkey // 10 AS change_set, o_orderkey AS item, o_ord
 _DEPENDS = "d AS (SELECT item, item - 1 AS dep FROM i WHERE pos > 0 AND k % 3 <> 0 UNION SELECT item, item - 3 FROM i WHERE pos >= 3 AND k % 5 = 0 UNION SELECT item, item + 2 FROM i WHERE pos = 0 AND change_set % 20 = 0 UNION SELECT item, -1 FROM i WHERE k % 97 = 5)"
 
 
-def _items(spark, sf_dir):
+def _set_items(spark, sf_dir):
     o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     pos, change_set = k % 10, F.floor(k / 10)
     status = F.when(c % 11 == 0, "rejected").when(c % 11 == 1, "accepted").when(c % 11 == 2, "needs_owner").otherwise("pending")
@@ -203,7 +203,7 @@ _DECIDED = (
 @query(f"{_DECIDED} SELECT * FROM r")
 def change_set_items(spark, sf_dir):
     """Orders as items of change sets of ten, some of them stale, for owners, or on a cycle."""
-    items = _items(spark, sf_dir)
+    items = _set_items(spark, sf_dir)
     return M.accepted_items(items, items.where("item % 4 <> 1").select("item"))
 
 
