@@ -98,7 +98,7 @@ def cover_rank(passages: DataFrame, query: str, match: str = "any", stemmed: boo
     Passages that hold one of the query's identifiers (a word with an underscore or a digit) come first, then those with its
     words in order and adjacent, then by the density of the query's covers; ties by passage_id. If any term will do, each of
     its places is a cover by itself; if all must be there, covers are the shortest stretches that hold them all. The texts
-    are read once, and only the places of the query's words are kept of them.
+    are read once, and only the places of the query's words are kept and written.
     """
     if match not in ("any", "all"):
         raise ValueError("match is any or all")
@@ -107,7 +107,8 @@ def cover_rank(passages: DataFrame, query: str, match: str = "any", stemmed: boo
     wanted = list(dict.fromkeys(asked))
     if not wanted:
         return passages.select("passage_id", F.lit(False).alias("identifier"), F.lit(False).alias("phrase"), F.lit(0.0).alias("signal"), F.lit(0).cast("long").alias("position")).limit(0)
-    found = passages.select("passage_id", _postings(terms(F.col("text")), wanted, stemmed).alias("found"))
+    # written once: what follows names the places several times, and each time would read the texts again
+    found = stored(passages.select("passage_id", _postings(terms(F.col("text")), wanted, stemmed).alias("found")), "cover-places")
     names = [i + 1 for i, w in enumerate(wanted) if "_" in w or any(ch.isdigit() for ch in w)]
     order = [wanted.index(w) + 1 for w in asked]
 
