@@ -186,7 +186,9 @@ def staging(columns: DataFrame, platform: str, audit: tuple[str, str] = ("load_t
     own = fitted(own, ["table_id"], "column_id", limit, audit).withColumn("t", translated(F.col("data_type"), platform, F.col("engine"))).drop("engine")
 
     quoted = lambda c: F.when(F.col(c).rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.col(c)).otherwise(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
-    slim = tables.select(F.col("table_id").alias("ti"), "staging_table", "schema", "table", "table_flags")
+    # tables are rows by the million where there are as many sources: names take many times what the source's file does, so
+    # they are merged, never sent whole to all tasks through the driver
+    slim = tables.select(F.col("table_id").alias("ti"), "staging_table", "schema", "table", "table_flags").hint("merge")
     direct = own.join(slim, F.col("table_id") == F.col("ti")).select(
         "staging_table", "ordinal", F.col("name").alias("staging_column"), "t.kind", "t.length", "t.precision", "t.scale", "nullable", F.lit("attribute").alias("role"), F.lit("direct").alias("mapping_type"),
         F.concat_ws(".", quoted("schema"), quoted("table"), quoted("column")).alias("sql"), F.col("table_id").alias("source_table_id"), F.col("column_id").alias("source_column_id"), "table_flags",

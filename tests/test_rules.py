@@ -412,3 +412,12 @@ def test_scores_of_guesses_and_counts_that_ran_out_of_time(spark):
 
     want = [plain(*r) for r in rows]
     assert [r["g"] for r in got] == want and [r["t"] for r in got] == [round(max(relate.TIMEOUT_FLOOR, g - relate.TIMEOUT_PENALTY), 4) for g in want]
+
+
+def test_staging_tables_are_merged_not_broadcast(spark, sf):
+    """A small file of sources makes tables that no driver could send around."""
+    from millrace.operators import staging
+    from millrace.plans.staging import _part_columns
+
+    plan = staging.staging(_part_columns(spark, sf), "sqlserver", longest=30)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
