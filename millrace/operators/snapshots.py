@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,21 +36,63 @@ def content_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, digest.alias("__h")).groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__h")), ""), 256).alias("digest"))
 
 
+#: From this length on difflib leaves out what is frequent in the second name.
+_POPULAR = 200
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in the matching blocks of two texts: the longest common stretch, the first in a and then in b, and so on
+    before and behind it. Short texts are searched by the interpreter's own `find`, many times as fast as difflib's tables."""
+    if not a or not b:
+        return 0
+    size = at = i = 0
+    while i + size < len(a):
+        if a[i : i + size + 1] in b:
+            size, at = size + 1, i
+        else:
+            i += 1
+    if not size:
+        return 0
+    to = b.find(a[at : at + size])
+    return size + _matched(a[:at], b[:to]) + _matched(a[at + size :], b[to + size :])
+
+
+def _ratio(a: str, b: str) -> float:
+    if len(b) >= _POPULAR or len(a) >= _POPULAR:
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    return 2.0 * _matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(T.DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two names, case folded. Spark has no such function."""
-    return pd.Series([difflib.SequenceMatcher(None, x.casefold(), y.casefold()).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([_ratio(x.casefold(), y.casefold()) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+#: Columns come of one place that a task compares with the columns gone.
+DEAL = 64
 
 
 def column_renames(removed: DataFrame, added: DataFrame) -> DataFrame:
     """(from_name, to_name, confidence) of columns (table, name, data_type, ordinal) gone and come in one place of one table.
 
-    Same table, type and position is an equality join; names only grade the pair.
+    Same table, type and position is an equality join; names only grade the pair. The pairs, not the columns, are the work: the
+    columns come of a place are dealt out in lots of about DEAL, and those gone meet each lot, so a place with many of both is
+    many small joins.
     """
+    place = ("table", "data_type", "ordinal")
     r = removed.select(*[F.col(c).alias(f"r_{c}") for c in removed.columns])
+    lots = added.groupBy(*[F.col(c).alias(f"l_{c}") for c in place]).agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("long").alias("lots"))
     a = added.select(*[F.col(c).alias(f"a_{c}") for c in added.columns])
-    same = (F.col("r_table") == F.col("a_table")) & (F.col("r_data_type") == F.col("a_data_type")) & (F.col("r_ordinal") == F.col("a_ordinal"))
-    return r.join(a, same).select(F.col("r_table").alias("table"), F.col("r_name").alias("from_name"), F.col("a_name").alias("to_name"), F.round(0.5 + 0.5 * likeness("r_name", "a_name"), 2).alias("confidence"))
+    of = lambda side: reduce(lambda x, y: x & y, [F.col(f"{side}_{c}") == F.col(f"l_{c}") for c in place])
+    a = a.join(lots, of("a")).withColumn("a_lot", F.pmod(F.xxhash64("a_name"), F.col("lots"))).drop("lots", *[f"l_{c}" for c in place])
+    r = r.join(lots, of("r")).withColumn("r_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("lots", *[f"l_{c}" for c in place])
+    same = reduce(lambda x, y: x & y, [F.col(f"r_{c}") == F.col(f"a_{c}") for c in (*place, "lot")])
+    # the two small sides make many times their rows, so they are spread over all tasks and neither sent around nor put together
+    tasks = int(removed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df, side: df.repartition(tasks, *[f"{side}_{c}" for c in (*place, "lot")])
+    met = spread(r, "r").hint("shuffle_hash").join(spread(a, "a"), same)
+    return met.select(F.col("r_table").alias("table"), F.col("r_name").alias("from_name"), F.col("a_name").alias("to_name"), F.round(0.5 + 0.5 * likeness("r_name", "a_name"), 2).alias("confidence"))
 
 
 def alike_sets(removed: DataFrame, added: DataFrame, least: float = SAME_CHILDREN) -> DataFrame:

@@ -421,3 +421,21 @@ def test_staging_tables_are_merged_not_broadcast(spark, sf):
 
     plan = staging.staging(_part_columns(spark, sf), "sqlserver", longest=30)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_likeness_is_that_of_difflib():
+    import difflib
+
+    r = random.Random(3)
+    for alphabet in ("ab", "abcde_1", "large ringnew_0123456789") * 300:
+        a, b = ("".join(r.choices(alphabet, k=r.choice((0, 1, 7, 25, 230)))) for _ in range(2))
+        assert snapshots._ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_column_renames_of_a_full_place(spark):
+    """A place with many columns is compared in many lots, each pair once; nulls meet nothing."""
+    make = lambda p, n: spark.createDataFrame([("t", f"{p}{i}", "int", 1) for i in range(n)] + [("u", f"{p}u", "int", 1), (None, f"{p}n", "int", 1)], "table string, name string, data_type string, ordinal int")
+    found = snapshots.column_renames(make("a", 30), make("b", 3 * snapshots.DEAL))
+    got = [(r["from_name"], r["to_name"]) for r in found.collect()]
+    assert sorted(got) == sorted([(f"a{i}", f"b{j}") for i in range(30) for j in range(3 * snapshots.DEAL)] + [("au", "bu")])
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().sparkPlan().toString()  # a broadcast leaves all pairs to the few tasks that read the columns
