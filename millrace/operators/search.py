@@ -318,7 +318,7 @@ def sentences(text: str) -> list[str]:
 class Topics:
     """Cuts prose where neighbouring sentences stop being alike, by the vectors that an embedder gives.
 
-    Vectors are asked for in lots of LOT sentences and kept until forget(), so that a batch of documents needs few calls. An
+    Vectors are asked for in lots of LOT sentences and kept until forget(), so that some documents together need few calls. An
     embedder that returns another number of vectors than it was given sentences is not used: cut() then gives the text whole.
     """
 
@@ -378,30 +378,51 @@ def passages(text: str, aim: int, most: int, overlap: int = 0, topics: Topics |
     return out
 
 
+#: Characters of passages and their parents that a task holds before it gives them on.
+_GIVEN = 4_000_000
+
+
+def _lots(docs, topics: Topics | None):
+    """docs (id, text) in lists whose sentences, a lot of them or a document's, the topics have learnt and no others."""
+    lot, new = [], {}
+    for doc in docs:
+        lot.append(doc)
+        if topics and doc[1]:
+            new |= dict.fromkeys(s for _, _, part in _sections(doc[1]) for prose in _TABLE.split(part) for s in sentences(prose))
+        if len(new) >= Topics.LOT or len(lot) >= Topics.LOT:
+            if topics:
+                topics.forget()
+                topics.learn(list(new))
+            yield lot
+            lot, new = [], {}
+    if topics:
+        topics.forget()
+        topics.learn(list(new))
+    yield lot
+
+
 def chunked(docs: DataFrame, child: tuple[int, int] = CHILD, parent: tuple[int, int] = PARENT, overlap: int = OVERLAP, embed: Embedder | None = None) -> DataFrame:
     """(doc_id, parent, chunk, section, page, text, parent_text): passages to embed, cut from larger parents of about 1 000 tokens.
 
     section is the heading, or "Part n" by the parent's number where there is none; page is null in texts without page breaks.
     With an embedder (a function that can be sent to tasks), parents also end where the topic changes; a task asks it for the
-    sentences of a batch of documents at once.
+    sentences of some documents at once, Topics.LOT or those of a single document, and holds no more vectors than these.
     """
 
     def cut(batches):
         topics = Topics(embed) if embed else None
         for pdf in batches:
-            rows, names = [], ["doc_id", "parent", "chunk", "section", "page", "text", "parent_text"]
-            if topics:
-                topics.forget()
-                topics.learn([s for text in pdf["text"] if text for _, _, part in _sections(text) for prose in _TABLE.split(part) for s in sentences(prose)])
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                n = 0
-                for p, (heading, page, whole) in enumerate(passages(text or "", *parent, topics=topics)):
-                    for _, _, piece in passages(whole, *child, overlap):
-                        rows.append((doc_id, p, n, heading or f"Part {p + 1}", page, piece, whole))
-                        n += 1
-                if len(rows) > 5000:
-                    yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
-                    rows = []
+            rows, size, names = [], 0, ["doc_id", "parent", "chunk", "section", "page", "text", "parent_text"]
+            for lot in _lots(zip(pdf["doc_id"], pdf["text"], strict=True), topics):
+                for doc_id, text in lot:
+                    n = 0
+                    for p, (heading, page, whole) in enumerate(passages(text or "", *parent, topics=topics)):
+                        for _, _, piece in passages(whole, *child, overlap):
+                            rows.append((doc_id, p, n, heading or f"Part {p + 1}", page, piece, whole))
+                            n, size = n + 1, size + len(piece) + len(whole)
+                            if size > _GIVEN:
+                                yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+                                rows, size = [], 0
             yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, parent int, chunk int, section string, page int, text string, parent_text string")

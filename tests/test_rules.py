@@ -439,3 +439,14 @@ def test_column_renames_of_a_full_place(spark):
     got = [(r["from_name"], r["to_name"]) for r in found.collect()]
     assert sorted(got) == sorted([(f"a{i}", f"b{j}") for i in range(30) for j in range(3 * snapshots.DEAL)] + [("au", "bu")])
     assert "ShuffledHashJoin" in found._jdf.queryExecution().sparkPlan().toString()  # a broadcast leaves all pairs to the few tasks that read the columns
+
+
+def test_topics_hold_the_vectors_of_a_lot_only(monkeypatch):
+    monkeypatch.setattr(search.Topics, "LOT", 8)
+    topics, most, seen = search.Topics(search.bag_of_words(16)), 0, []
+    docs = [(i, " ".join(f"Word{i} is {j} here." for j in range(3)) if i != 4 else None) for i in range(40)]
+    for lot in search._lots(iter(docs), topics):
+        seen += lot
+        assert all(s in topics.known for _, text in lot if text for s in search.sentences(text))
+        most = max(most, len(topics.known))
+    assert seen == docs and most <= 8 + 3
