@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import validators as V
 from millrace.operators import modelling as M
-from millrace.operators.formulas import formula_problems
+from millrace.operators.formulas import checked_formulas
 from millrace.plans.base import Book
 from millrace.session import table
 
@@ -223,9 +223,9 @@ _FOUND = ("", "", "no table in the query has a column `price`", "`stg_sales` is
 def kpi_formulas(spark, sf_dir):
     """Suppliers as KPIs, whose formulas are checked against a small core and mart."""
     model = {("mart", "sales"): {"amount", "client_id", "day"}, ("core", "sales"): {"amount", "client_id", "note"}, ("core", "client"): {"id", "region"}}
-    kpis = [r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()]  # metadata: a row for each KPI
-    rows = [(k, "; ".join(formula_problems(spark, _FORMULAS[k % 9], model))) for k in kpis]
-    found = spark.createDataFrame(rows, "kpi long, problems string")
+    texts = F.array(*[F.lit(x) for x in _FORMULAS])
+    kpis = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("kpi"), F.element_at(texts, (F.col("s_suppkey") % 9 + 1).cast("int")).alias("sql"))
+    found = checked_formulas(kpis, model).select("kpi", F.array_join("problems", "; ").alias("problems"))
     return found.withColumn("problems", F.regexp_replace("problems", r"(?s)^(not valid SQL): .*", "$1"))
 
 

@@ -450,3 +450,14 @@ def test_topics_hold_the_vectors_of_a_lot_only(monkeypatch):
         assert all(s in topics.known for _, text in lot if text for s in search.sentences(text))
         most = max(most, len(topics.known))
     assert seen == docs and most <= 8 + 3
+
+
+def test_each_formula_is_parsed_once(spark, monkeypatch):
+    from millrace.operators import formulas
+
+    asked = []
+    monkeypatch.setattr(formulas, "LOT", 2)
+    monkeypatch.setattr(formulas, "formula_problems", lambda _, sql, tables: asked.append(sql) or ([] if sql != "c" else ["bad", "worse"]))
+    got = formulas.checked_formulas(spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)] + [(30, None)], "kpi long, sql string"), {})
+    assert {r["kpi"]: r["problems"] for r in got.collect()} == {i: ["bad", "worse"] if i % 3 == 2 else [] for i in range(30)} | {30: None}
+    assert sorted(asked) == ["a", "b", "c"]
