@@ -8,9 +8,10 @@ checkpoint gives what one without a break gives. State is kept a row for a key,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +20,9 @@ from millrace.session import prepare
 # Seconds without a sign of life after which a worker is lost, runs of a job in all, seconds of a debounce.
 STALE, ATTEMPTS, QUIET = 60, 3, 2
 
+#: Kinds of rows that a packed number tells apart, and rows of a packed stretch.
+KINDS, PACK = 4, 100_000
+
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,63 +38,78 @@ def with_state_store(spark: SparkSession) -> None:
 class _InOrder(StatefulProcessor):
     """Rows of a key, handed to `step` in order of their time once the watermark has passed them.
 
-    Rows wait in a list. One timer stands at the earliest moment at which something can happen: the first waiting row, or
-    `due`, the moment that the state itself waits for.
+    A row is one number: its time in microseconds, and a kind below KINDS that orders rows of one time. Rows wait packed, 8 bytes
+    each, in sorted stretches of PACK at most, so that a key with very many rows takes little more than these. One timer stands
+    at the earliest moment at which something can happen: the first waiting row, or `due`, the moment that the state itself
+    waits for. Where it stands is kept with the state, so a key costs few calls to the state store.
     """
 
-    #: Schemas of the key's state and of a waiting row (`at` in microseconds, then what step needs).
-    state, waiting = "", ""
+    #: Schema of the key's state, the key's name, and the names of what follows it in a result.
+    state, key, gives = "", "", ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.state)
-        self.rows = handle.getListState("rows", self.waiting)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows))
-        at = new["ts"].astype("datetime64[us]").astype("int64")
-        fields = [new[c.split()[0]].tolist() for c in self.waiting.split(", ")[1:]]
-        self.rows.appendList(list(zip(at.tolist(), *fields, strict=True)))
-        self._wake(int(at.min()) // 1000 + 1)
+        self.held = handle.getValueState("held", f"{self.state}, wake long")
+        self.rows = handle.getListState("rows", "packed binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        packed, first = [], None
+        while lot := [r[-1] for r in islice(rows, PACK)]:
+            part = np.sort(np.array(lot, np.int64))
+            first = int(part[0]) if first is None else min(first, int(part[0]))
+            packed.append((part.tobytes(),))
+        if first is not None:
+            self.rows.appendList(packed)
+            held = self.held.get()
+            *held, wake = held if held is not None else (*self.begin(), -1)
+            at = first // KINDS // 1000 + 1
+            if wake < 0 or at < wake:
+                self._wake(held, wake, at)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.rows.get())
-        ready, later = [r for r in waiting if r[0] < now], [r for r in waiting if r[0] >= now]
-        held = self.held.get()
-        held, out = list(held) if held is not None else self.begin(), []
-        for row in ready:
-            self.idle(held, row[0], out)
-            self.step(held, row, out)
-        self.idle(held, now, out)
-        self.held.update(tuple(held))
-        self.rows.put(later) if later else self.rows.clear()
-        moments = [later[0][0]] if later else []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now, given = timerValues.getCurrentWatermarkInMs() * 1000, Row(self.key, *self.gives)
+        parts = [np.frombuffer(r[0], np.int64) for r in self.rows.get()]
+        waiting = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        waiting.sort()
+        split = int(np.searchsorted(waiting, now * KINDS))
+        ready, later = waiting[:split], waiting[split:]
+        *held, wake = self.held.get()
+        for lo in range(0, split, PACK):
+            for row in ready[lo : lo + PACK].tolist():
+                at, kind = divmod(row, KINDS)
+                yield from (given(*key, *o) for o in self.idle(held, at))
+                self.step(held, at, kind)
+        yield from (given(*key, *o) for o in self.idle(held, now))
+        if len(later):
+            self.rows.put([(later[lo : lo + PACK].tobytes(),) for lo in range(0, len(later), PACK)])
+        elif split:
+            self.rows.clear()
+        moments = [int(later[0]) // KINDS] if len(later) else []
         if (due := self.due(held)) is not None:
             moments.append(due)
-        if moments:
-            self._wake(min(moments) // 1000 + 1)
-        if out:
-            yield pd.DataFrame([(*key, *o) for o in out], columns=[*self.keys, *self.gives]).astype({c: "datetime64[us]" for c in self.times})
-
-    def _wake(self, at: int) -> None:
-        """Leave one timer only: the earlier of those that stand and `at`."""
-        standing = list(self.handle.listTimers())
-        if not standing or at < min(standing):
-            for t in standing:
-                self.handle.deleteTimer(t)
+        self._wake(held, -1, min(moments) // 1000 + 1 if moments else -1)  # the timer that went off is gone
+
+    def _wake(self, held: list, standing: int, at: int) -> None:
+        """Keep the state, and leave one timer, at `at`, or none where that is negative."""
+        if standing >= 0:
+            self.handle.deleteTimer(standing)
+        if at >= 0:
             self.handle.registerTimer(at)
+        self.held.update((*held, at))
 
     def close(self) -> None:
         pass
 
 
+CHECKPOINT, DONE = 1, 2
+
+
 class _Jobs(_InOrder):
     """held: whether the job runs, whether it has ended, its runs so far, its last sign of life, whether a checkpoint is saved."""
 
-    state, waiting = "runs boolean, ended boolean, attempts int, seen long, saved boolean", "at long, kind string"
-    keys, gives, times = ["job_id"], ["at", "action", "attempt"], ["at"]
+    state = "runs boolean, ended boolean, attempts int, seen long, saved boolean"
+    key, gives = "job_id", ("at", "action", "attempt")
 
     def __init__(self, stale: int, attempts: int):
         self.stale, self.attempts = stale * 1_000_000, attempts
@@ -101,32 +120,31 @@ class _Jobs(_InOrder):
     def due(self, held: list) -> int | None:
         return held[3] + self.stale + 1 if held[0] else None
 
-    def idle(self, held: list, until: int, out: list) -> None:
+    def idle(self, held: list, until: int) -> Iterator[tuple]:
         runs, _, attempts, seen, saved = held
         if runs and until > seen + self.stale:
             again = saved and attempts < self.attempts
-            out.append((seen + self.stale, "requeue" if again else "fail", attempts))
             held[0], held[1] = False, not again
+            yield seen + self.stale, "requeue" if again else "fail", attempts
 
-    def step(self, held: list, row: tuple, out: list) -> None:
-        at, kind = row
+    def step(self, held: list, at: int, kind: int) -> None:
         if held[1]:
             return
         if not held[0]:  # a queued job's first sign of life is its next run
             held[0], held[2] = True, held[2] + 1
-        held[3], held[4] = at, held[4] or kind == "checkpoint"
-        if kind == "done":
+        held[3], held[4] = at, held[4] or kind == CHECKPOINT
+        if kind == DONE:
             held[0], held[1] = False, True
 
 
 class _Gathered(_InOrder):
     """held: when the pending run was asked for first (-1: none pending), and how many requests it has gathered."""
 
-    state, waiting = "first long, requests long", "at long"
-    gives, times = ["first_at", "fired_at", "requests"], ["first_at", "fired_at"]
+    state = "first long, requests long"
+    gives = ("first_at", "fired_at", "requests")
 
     def __init__(self, key: str, seconds: float):
-        self.keys, self.wait = [key], int(seconds * 1_000_000)
+        self.key, self.wait = key, int(seconds * 1_000_000)
 
     def begin(self) -> list:
         return [-1, 0]
@@ -134,13 +152,18 @@ class _Gathered(_InOrder):
     def due(self, held: list) -> int | None:
         return held[0] + self.wait if held[0] >= 0 else None
 
-    def idle(self, held: list, until: int, out: list) -> None:
-        if held[0] >= 0 and until >= held[0] + self.wait:
-            out.append((held[0], held[0] + self.wait, held[1]))
+    def idle(self, held: list, until: int) -> Iterator[tuple]:
+        first, requests = held
+        if first >= 0 and until >= first + self.wait:
             held[0], held[1] = -1, 0
+            yield first, first + self.wait, requests
+
+    def step(self, held: list, at: int, kind: int) -> None:
+        held[0], held[1] = (at if held[0] < 0 else held[0]), held[1] + 1
+
 
-    def step(self, held: list, row: tuple, out: list) -> None:
-        held[0], held[1] = (row[0] if held[0] < 0 else held[0]), held[1] + 1
+def _packed(kind: Column) -> Column:
+    return (F.unix_micros("ts") * KINDS + kind).alias("packed")
 
 
 def lost_jobs(signs: DataFrame, late: str = "0 seconds", stale: int = STALE, attempts: int = ATTEMPTS) -> DataFrame:
@@ -154,9 +177,11 @@ def lost_jobs(signs: DataFrame, late: str = "0 seconds", stale: int = STALE, att
     """
     with_state_store(signs.sparkSession)
     prepare(signs.sparkSession)
-    timed = signs.where("job_id IS NOT NULL AND ts IS NOT NULL").select("job_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("kind", F.lit("")).alias("kind")).withWatermark("ts", late)
+    timed = signs.where("job_id IS NOT NULL AND ts IS NOT NULL").select("job_id", F.col("ts").cast("timestamp").alias("ts"), "kind").withWatermark("ts", late)
     kind = signs.schema["job_id"].dataType.simpleString()
-    return timed.groupBy("job_id").transformWithStateInPandas(_Jobs(stale, attempts), f"job_id {kind}, at timestamp, action string, attempt int", "append", "eventTime")
+    signs_ = timed.select("job_id", "ts", _packed(F.when(F.col("kind") == "done", DONE).when(F.col("kind") == "checkpoint", CHECKPOINT).otherwise(0)))
+    told = signs_.groupBy("job_id").transformWithState(_Jobs(stale, attempts), f"job_id {kind}, at long, action string, attempt int", "append", "eventTime")
+    return told.withColumn("at", F.timestamp_micros("at"))
 
 
 def gathered(requests: DataFrame, key: str, seconds: float = QUIET, late: str = "0 seconds") -> DataFrame:
@@ -169,7 +194,8 @@ def gathered(requests: DataFrame, key: str, seconds: float = QUIET, late: str =
     prepare(requests.sparkSession)
     timed = requests.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     kind = requests.schema[key].dataType.simpleString()
-    return timed.groupBy(key).transformWithStateInPandas(_Gathered(key, seconds), f"`{key}` {kind}, first_at timestamp, fired_at timestamp, requests long", "append", "eventTime")
+    told = timed.select(key, "ts", _packed(F.lit(0))).groupBy(key).transformWithState(_Gathered(key, seconds), f"`{key}` {kind}, first_at long, fired_at long, requests long", "append", "eventTime")
+    return told.withColumns({"first_at": F.timestamp_micros("first_at"), "fired_at": F.timestamp_micros("fired_at")})
 
 
 def debounced(requests: DataFrame, key: str, quiet: str = f"{QUIET} seconds", late: str = "0 seconds") -> DataFrame:

@@ -138,3 +138,35 @@ def test_upsert_of_the_latest_row_touches_its_buckets_only(spark, tmp_path):
     got = {r["k"]: (r["v"], r["s"]) for r in target.read().collect()}
     assert got == {k: (1, "a") for k in range(50)} | {3: (5, "b"), 77: (1, "d")}
     assert len(before) > 5 and target.ledger().where("batch_id = 1").count() <= 2 and target.applied(2)
+
+
+def test_waiting_rows_are_packed():
+    """A key's waiting rows take eight bytes each, in sorted stretches, and its state and timer are one value."""
+    import types
+
+    import numpy as np
+
+    from pyspark.sql import Row
+
+    class Value(list):
+        get = lambda self: self[-1] if self else None
+        update = list.append
+
+    class Rows(list):
+        get = lambda self: iter(self)
+        appendList = list.extend  # noqa: N815
+
+        def put(self, rows):
+            self[:] = rows
+
+    held, rows, timers = Value(), Rows(), set()
+    handle = types.SimpleNamespace(getValueState=lambda *_: held, getListState=lambda *_: rows, registerTimer=timers.add, deleteTimer=timers.discard)
+    s = stateful._Gathered("k", 1)
+    s.init(handle)
+    at = [5_000_000, 1_000_000, 1_500_000, 9_000_000]
+    list(s.handleInputRows((1,), (Row(k=1, ts=None, packed=x * stateful.KINDS) for x in at), None))
+    assert [np.frombuffer(r[0], np.int64).tolist() for r in rows] == [[x * stateful.KINDS for x in sorted(at)]] and timers == {1001}
+    timers.clear()
+    out = list(s.handleExpiredTimer((1,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 8000), None))
+    assert [tuple(r) for r in out] == [(1, 1_000_000, 2_000_000, 2), (1, 5_000_000, 6_000_000, 1)]
+    assert [len(r[0]) for r in rows] == [8] and timers == {9001}
