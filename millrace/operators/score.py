@@ -271,11 +271,15 @@ def table_scores(findings: DataFrame) -> DataFrame:
 
 def layer_scores(findings: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     """(layer, score, grade): table scores weighted by their columns; tables without findings are left out."""
+    # the checks run once: what they add up to for a table is written, and both the scores and the errors are read from it
+    good, all_ = F.sum(F.when(F.col("passed"), weight()).otherwise(0)), F.sum(weight())
+    sums = stored(findings.groupBy(F.col("table_id").alias("st"), F.col("layer").alias("bl")).agg(good.alias("good"), all_.alias("all"), has_errors().alias("bad")), "model-sums")
+    per = sums.where("st IS NOT NULL").groupBy("st").agg(F.round(F.try_divide(100.0 * F.sum("good"), F.sum("all").cast("double")), 2).alias("score"))
     n = columns.groupBy(F.col("table_id").cast("string").alias("nt")).agg(F.count(F.lit(1)).alias("n"))
-    t = tables.select(F.col("table_id").cast("string").alias("tt"), "layer").join(table_scores(findings), F.col("tt") == F.col("table_id")).join(n, F.col("tt") == F.col("nt"), "left")
+    t = tables.select(F.col("table_id").cast("string").alias("tt"), "layer").join(per, F.col("tt") == F.col("st")).join(n, F.col("tt") == F.col("nt"), "left")
     w = F.greatest(F.lit(1), F.coalesce("n", F.lit(1)))
     scores = t.groupBy("layer").agg(F.round(F.sum(F.col("score") * w) / F.sum(w), 2).alias("score"))
-    bad = findings.groupBy(F.col("layer").alias("bl")).agg(has_errors().alias("bad"))
+    bad = sums.groupBy("bl").agg(F.max("bad").alias("bad"))
     return scores.join(bad, F.col("layer") == F.col("bl")).select("layer", "score", grade(F.col("score"), F.col("bad")).alias("grade"))
 
 

@@ -461,3 +461,20 @@ def test_each_formula_is_parsed_once(spark, monkeypatch):
     got = formulas.checked_formulas(spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)] + [(30, None)], "kpi long, sql string"), {})
     assert {r["kpi"]: r["problems"] for r in got.collect()} == {i: ["bad", "worse"] if i % 3 == 2 else [] for i in range(30)} | {30: None}
     assert sorted(asked) == ["a", "b", "c"]
+
+
+def test_checks_run_once_for_scores_and_errors(spark):
+    """Scores and errors are read from sums that are written once."""
+    from millrace.operators import score
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def passed(x):
+        runs.add(1)
+        return x != "a"
+
+    findings = spark.createDataFrame([("error", "a", "core"), ("info", "b", "core"), ("warning", "c", "mart")], "severity string, table_id string, layer string")
+    findings = findings.withColumn("passed", F.udf(passed, "boolean").asNondeterministic()("table_id"))
+    tables = spark.createDataFrame([("a", "core"), ("b", "core"), ("c", "mart")], "table_id string, layer string")
+    got = score.layer_scores(findings, tables, tables.select("table_id")).collect()
+    assert {(r["layer"], r["score"], r["grade"]) for r in got} == {("core", 50.0, "F"), ("mart", 100.0, "A")} and runs.value == 3
