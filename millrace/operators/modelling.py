@@ -3,8 +3,12 @@ set depends on, whether a KPI can be computed and what it may link to. All rules
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.graph import levels, reach, spread, turned
 from millrace.session import stored
@@ -114,9 +118,11 @@ def closure_of_items(items: DataFrame, roots: DataFrame, dependents: bool) -> Da
 
 # Statuses of change-set items that await a decision.
 OPEN_ITEMS = ("pending", "needs_owner")
+#: Items up to which a change set is decided by one task.
+SMALL_SET = 10_000
 
 
-def accepted_items(items: DataFrame, selected: DataFrame | None = None, owner: bool = False) -> DataFrame:
+def accepted_items(items: DataFrame, selected: DataFrame | None = None, owner: bool = False, small: int = SMALL_SET) -> DataFrame:
     """(change_set, item, status, reason) of all items after the selected ones (item; by default all open ones) are accepted.
 
     items: (change_set, item, depends_on array, status, required_role, stale). What a selected item depends on is accepted
@@ -125,15 +131,128 @@ def accepted_items(items: DataFrame, selected: DataFrame | None = None, owner: b
     behind it, are skipped as stale, with all that depend on them; the rest is accepted. Other open items expire, unless they
     depend on one that an owner has to decide. Closed items stay as they are. reason is stale, not_applied, cycle or
     depends_on_skipped for skipped items. Null items are left out.
+
+    Change sets of `small` items at most that share no item and no dependency with another are dealt over the tasks and
+    decided one by one; all others are walked together by joins, with the same result.
     """
-    rows = stored(items.where("item IS NOT NULL").select("change_set", "item", "depends_on", "status", "required_role", F.coalesce("stale", F.lit(False)).alias("stale")), "items")
+    asked = F.col("status").isin(*OPEN_ITEMS) if selected is None else F.col("__w").isNotNull()
+    rows = items.where("item IS NOT NULL")
+    if selected is not None:
+        rows = rows.join(selected.select(F.col("item").alias("__w")).distinct(), F.col("item") == F.col("__w"), "left")
+    flags = (F.coalesce("stale", F.lit(False)).alias("stale"), F.coalesce(asked, F.lit(False)).alias("wanted"))
+    rows = stored(rows.select("change_set", "item", "depends_on", "status", "required_role", *flags), "items")
+    if not _plain_keys(rows):
+        return _accepted_by_joins(rows, owner)
+    apart = _sets_apart(rows, small)
+    if apart.isEmpty():
+        return _accepted_by_sets(rows, owner)
+    near = rows.join(apart, F.col("change_set") == F.col("__a"), "left_anti").where("change_set IS NOT NULL")
+    far = rows.join(apart, F.col("change_set") == F.col("__a"), "left_semi").unionByName(rows.where("change_set IS NULL"))
+    return _accepted_by_sets(near, owner).unionByName(_accepted_by_joins(stored(far, "items-apart"), owner))
+
+
+def _plain_keys(rows: DataFrame) -> bool:
+    """Whether Python tells items and change sets apart as Spark does: whole numbers or texts."""
+    kind = lambda t: "number" if isinstance(t, T.IntegralType) else t.simpleString()
+    of = {f.name: f.dataType for f in rows.schema.fields}
+    item, change_set = kind(of["item"]), kind(of["change_set"])
+    return {item, change_set} <= {"number", "string"} and kind(of["depends_on"].elementType) == item
+
+
+def _sets_apart(rows: DataFrame, small: int) -> DataFrame:
+    """(__a): the change sets of more than `small` items, and those that name an item which another set holds or names, or that
+    is there more than once; null where there are items without a change set."""
+    named = rows.select("change_set", F.explode("depends_on").alias("node")).where("node IS NOT NULL").withColumn("here", F.lit(0))
+    every = rows.select("change_set", F.col("item").alias("node"), F.lit(1).alias("here")).unionByName(named)
+    low, high, bare = F.min("change_set").alias("low"), F.max("change_set").alias("high"), F.count_if(F.col("change_set").isNull()).alias("bare")
+    linking = every.groupBy("node").agg(low, high, bare, F.sum("here").alias("n")).where("n > 1 OR (n = 1 AND (low <> high OR bare > 0))")
+    linking = stored(linking.select(F.col("node").alias("__l")), "items-linking")
+    large = rows.groupBy("change_set").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > small) | F.col("change_set").isNull()).select("change_set")
+    linked = every.join(linking, F.col("node") == F.col("__l"), "left_semi").select("change_set")
+    found = large if linking.isEmpty() else large.unionByName(linked)
+    return stored(found.select(F.col("change_set").alias("__a")).distinct(), "sets-apart")
+
+
+def _accepted_by_sets(rows: DataFrame, owner: bool) -> DataFrame:
+    """accepted_items() of change sets that have nothing to do with one another; a task holds one set and a batch of rows."""
+    told = rows.select("change_set", "item", "depends_on", "status", (F.lit(not owner) & F.coalesce(F.col("required_role") == "owner", F.lit(False))).alias("for_owner"), "stale", "wanted")
+    schema = T.StructType([rows.schema["change_set"], rows.schema["item"], T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())])
+
+    def decide(batches):
+        members: list[tuple] = []  # those of the last set so far, which may go on in the next batch
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in (0, 1)] + [pa.string(), pa.string()]
+            sets = [list(x) for _, x in groupby(members + list(zip(*[c.to_pylist() for c in batch.columns])), key=lambda r: r[0])]
+            members = sets.pop() if sets else []
+            yield from out(sets, kinds)
+        yield from out([members] if members else [], kinds)
+
+    def out(sets, kinds):
+        decided = [x for one in sets for x in _decided(one)]
+        if decided:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*decided), kinds)], names=schema.names)
+
+    return told.repartition("change_set").sortWithinPartitions("change_set").mapInArrow(decide, schema)
+
+
+def _decided(members: list[tuple]) -> list[tuple]:
+    """(change_set, item, status, reason) of the members (change_set, item, depends_on, status, for_owner, stale, wanted) of one set."""
+    at = {m[1]: i for i, m in enumerate(members)}
+    status = [m[3] for m in members]
+    before: list[list[int]] = [[] for _ in members]
+    after: list[list[int]] = [[] for _ in members]
+    unmet = set()
+    for i, m in enumerate(members):
+        for d in m[2] or ():
+            if d is None:
+                continue
+            j = at.get(d)
+            if j is None or status[j] not in ("accepted", *OPEN_ITEMS):
+                unmet.add(i)
+            if j is not None:
+                before[i].append(j)
+                after[j].append(i)
+
+    def walk(start, step, inside=None):
+        seen = set(start)
+        queue = list(seen)
+        for n in queue:
+            for t in step[n]:
+                if t not in seen and (inside is None or t in inside):
+                    seen.add(t)
+                    queue.append(t)
+        return seen
+
+    chosen = {i for i in walk((i for i, m in enumerate(members) if m[6]), before) if status[i] in OPEN_ITEMS}
+    held = {i for i in chosen if members[i][4]}
+    waiting = walk(held, after) & chosen
+    candidates = chosen - waiting
+    left = [len(b) for b in before]
+    ready = [i for i, n in enumerate(left) if n == 0]
+    for n in ready:
+        for t in after[n]:
+            left[t] -= 1
+            if left[t] == 0:
+                ready.append(t)
+    why = {i: "cycle" if left[i] else "not_applied" if i in unmet else "stale" for i in candidates if left[i] or i in unmet or members[i][5]}
+    skipped = walk(why, after, candidates)
+    for i in chosen:
+        status[i] = ("needs_owner" if i in held else "pending") if i in waiting else "stale" if i in skipped else "accepted"
+    kept = walk((i for i, x in enumerate(status) if x == "needs_owner"), after) | waiting
+    reason = lambda i: why.get(i, "depends_on_skipped") if i in skipped else None
+    return [(m[0], m[1], "expired" if status[i] in OPEN_ITEMS and i not in kept else status[i], reason(i)) for i, m in enumerate(members)]
+
+
+def _accepted_by_joins(rows: DataFrame, owner: bool) -> DataFrame:
+    """accepted_items() of the stored rows, whose dependencies are walked in rounds of joins."""
     node = F.col("item").alias("node")
     edges = stored(rows.select(F.explode("depends_on").alias("source"), F.col("item").alias("target")).where("source IS NOT NULL"), "item-edges")
     pick = lambda df: rows.join(df.select(F.col("node").alias("__n")).distinct(), F.col("item") == F.col("__n"), "left_semi")
     drop = lambda df, other: df.join(other.select(F.col("node").alias("__n")).distinct(), F.col("item") == F.col("__n"), "left_anti")
     is_open = F.col("status").isin(*OPEN_ITEMS)
 
-    wanted = rows.where(is_open).select(node) if selected is None else selected.select(node)
+    wanted = rows.where("wanted").select(node)
     chosen = stored(pick(spread(turned(edges), wanted)).where(is_open), "items-chosen")
     held = chosen.where("required_role = 'owner'").select(node) if not owner else rows.limit(0).select(node)
     waiting = stored(pick(spread(edges, held)).join(chosen.select(F.col("item").alias("__c")), F.col("item") == F.col("__c"), "left_semi").select(node), "items-waiting")

@@ -289,6 +289,44 @@ def test_accepted_items_agree_with_a_plain_walk(spark, seed, owner):
     assert {(r["item"], r["status"], r["reason"]) for r in got} == plain_accept(items, selected, owner) and len(got) == 60
 
 
+_SET_ITEMS = "change_set int, item int, depends_on array<int>, status string, required_role string, stale boolean"
+
+
+def test_closed_change_sets_take_no_rounds(spark, monkeypatch):
+    """Sets that nothing links are decided where they lie, however long their chains are."""
+    written = []
+    monkeypatch.setattr(modelling, "stored", lambda df, name, f=modelling.stored: written.append(name) or f(df, name))
+    monkeypatch.setattr(modelling, "spread", None)
+    rows = [(s, 100 * s + i, [100 * s + i - 1] if i else [-1] * (s == 3), "pending", "owner" if (s, i) == (1, 20) else "member", (s, i) == (2, 30)) for s in range(5) for i in range(40)]
+    got = {r["item"]: (r["status"], r["reason"]) for r in modelling.accepted_items(spark.createDataFrame(rows, _SET_ITEMS)).collect()}
+    want = {100 * s + i: ("accepted", None) for s in range(5) for i in range(40)}
+    want |= {i: ("pending", None) for i in range(121, 140)} | {120: ("needs_owner", None)}
+    want |= {i: ("stale", "depends_on_skipped") for i in [*range(231, 240), *range(301, 340)]} | {230: ("stale", "stale"), 300: ("stale", "not_applied")}
+    assert got == want and len(written) <= 3
+
+
+@pytest.mark.parametrize(("seed", "owner"), [(3, False), (4, True)])
+def test_change_sets_agree_whether_near_large_or_linked(spark, seed, owner):
+    """Sets of 10, one of 40, two that share a dependency; then the same with items that are there twice or in no set."""
+    rng = random.Random(seed)
+    items = []
+    for i in range(160):
+        first = i // 10 * 10 if i < 120 else 120
+        depends = sorted({rng.randrange(first, first + 10) for _ in range(rng.randrange(3))} - {i})
+        items.append({"change_set": first // 10, "item": i, "depends_on": depends, "status": rng.choice(["pending"] * 6 + ["needs_owner", "accepted", "rejected"]), "required_role": rng.choice(["member"] * 9 + ["owner"]), "stale": rng.random() < 0.1})
+    items[31]["depends_on"], items[45]["depends_on"], items[52]["depends_on"], items[61]["depends_on"] = [47], [900], [52], [900]
+    selected = {i for i in range(160) if i % 3 != 1}
+    chosen = spark.createDataFrame([(i,) for i in selected], "item int")
+    rows = [tuple(i.values()) for i in items]
+    told = lambda x, small: sorted((tuple(r) for r in modelling.accepted_items(spark.createDataFrame(x, _SET_ITEMS), chosen, owner, small).collect()), key=str)
+    apart = modelling._sets_apart(spark.createDataFrame(rows, _SET_ITEMS), 20).collect()
+    assert {r[0] for r in apart} == {3, 4, 12}
+    mixed = told(rows, 20)
+    assert {r[1:] for r in mixed} == plain_accept(items, selected, owner) and len(mixed) == 160
+    rows += [(14, 75, [81], "pending", "owner", False), (None, 200, [93], "pending", "member", True), (None, 201, None, "pending", None, None)]
+    assert told(rows, 20) == told(rows, 0)
+
+
 def test_names_follow_their_chains_in_time(spark):
     rng = random.Random(4)
     log = [(rng.choice("st"), f"N{rng.randrange(8)}", f"n{rng.randrange(8)}", t) for t in range(60)]
