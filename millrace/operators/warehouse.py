@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import stored
+
 UNKNOWN_KEY = -1
 #: Date and time keys are numbers that read as the date and the time.
 _HIJRI_FIRST, _HIJRI_LAST = "1924-08-01", "2077-11-16"
@@ -71,18 +73,42 @@ def asof_lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], as_of: str,
 
     Default: half open, an open valid_to never ends. strict: BETWEEN with both ends, as the emitted text has it, where an
     open version matches nothing. The join is an equality on the natural key with the range as a residual, so it stays
-    partitioned by key; where ranges touch, the later version counts.
+    partitioned by key; where ranges touch or overlap, the one that begins last counts. Each fact is given once: strict
+    versions are cut to spans that do not meet before the join, so no facts are grouped after it.
     """
     side = dim.select(*[F.col(d).alias(f"__{d}") for d in on.values()], F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"), F.col(key).alias("__key"))
     at = F.col(as_of)
-    inside = at.between(F.col("__from"), F.col("__to")) if strict else (at >= F.col("__from")) & (F.col("__to").isNull() | (at < F.col("__to")))
+    if strict:
+        side = _apart(side, [f"__{d}" for d in on.values()])
+        inside = ((at > F.col("__from")) | ((at == F.col("__from")) & F.col("__first"))) & ((at < F.col("__to")) | ((at == F.col("__to")) & F.col("__last")))
+    else:
+        inside = (at >= F.col("__from")) & (F.col("__to").isNull() | (at < F.col("__to")))
     cond = reduce(lambda a, b: a & b, [F.col(f) == F.col(f"__{d}") for f, d in on.items()]) & inside
     joined = fact.join(side, cond, "left")
-    if strict:
-        joined = joined.groupBy(*fact.columns).agg(F.max_by("__key", "__from").alias("__key"))
     return joined.select(*[joined[c] for c in fact.columns], F.coalesce("__key", F.lit(unknown)).alias(into))
 
 
+def _apart(side: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __from, __to, __key, __first, __last): spans of versions (keys, __from, __to, __key), ends included, cut so that
+    no two of a key meet; where several hold, the one that begins last does. __first and __last say whether an end is inside.
+
+    A version ends where the next one begins. Only keys where a version outlasts a later one are cut at all their ends.
+    """
+    order = Window.partitionBy(*keys).orderBy("__from", "__to")
+    known = side.where("__from <= __to").withColumn("__next", F.lead("__from").over(order)).withColumn("__outlasted", F.max("__to").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("__to"))
+    known = stored(known.withColumn("__nested", F.coalesce(F.max("__outlasted").over(Window.partitionBy(*keys)), F.lit(False))).drop("__outlasted"), "versions")
+    cut = F.coalesce(F.col("__next") <= F.col("__to"), F.lit(False))
+    plain = known.where("NOT __nested").select(*keys, "__from", F.when(cut, F.col("__next")).otherwise(F.col("__to")).alias("__to"), "__key", F.lit(True).alias("__first"), (~cut).alias("__last"))
+    nested = known.where("__nested").select(*keys, "__from", "__to", "__key")
+    if nested.isEmpty():
+        return plain
+    ends = nested.select(*keys, F.explode(F.array("__from", "__to")).alias("__p")).distinct().withColumn("__q", F.lead("__p").over(Window.partitionBy(*keys).orderBy("__p")))
+    spans = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.array(F.struct(F.col("__p").alias("p"), F.col("__p").alias("q"), F.lit(True).alias("ends")), F.struct(F.col("__p").alias("p"), F.col("__q").alias("q"), F.lit(False).alias("ends")))).alias("s"))
+    holds = reduce(lambda a, b: a & b, [F.col(f"_{k}") == F.col(k) for k in keys]) & (F.col("__from") <= F.col("s.p")) & (F.col("s.q") <= F.col("__to"))
+    held = spans.join(nested, holds).groupBy(*keys, "s").agg(F.max_by("__key", "__from").alias("__key"))
+    return plain.unionByName(held.select(*keys, F.col("s.p").alias("__from"), F.col("s.q").alias("__to"), "__key", F.col("s.ends").alias("__first"), F.col("s.ends").alias("__last")))
+
+
 @dataclass(frozen=True)
 class Branch:
     """One SELECT of a mapping: a driving input, joins (table, condition, how), filters, and an expression for each column."""

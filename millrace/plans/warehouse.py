@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import warehouse as WH
@@ -94,7 +95,10 @@ def scd2_asof_lookup(spark, sf_dir):
 
 @query(f"{_VERSIONS}{_KEYED}, sh AS (SELECT DISTINCT * FROM ({_SHIPPED})) SELECT l_orderkey, l_linenumber, l_partkey, coalesce(max_by(sk, valid_from), -1) AS version_key FROM sh LEFT JOIN d ON custkey = o_custkey AND l_shipdate BETWEEN valid_from AND valid_to GROUP BY l_orderkey, l_linenumber, l_partkey, l_shipdate, custkey")
 def scd2_asof_lookup_strict(spark, sf_dir):
-    out = WH.asof_lookup(_facts(spark, sf_dir).distinct(), _keyed(spark, sf_dir), {"custkey": "o_custkey"}, "l_shipdate", "sk", "version_key", strict=True)
+    facts = _facts(spark, sf_dir)
+    nth = F.row_number().over(Window.partitionBy(*facts.columns).orderBy("l_orderkey"))  # a sort spills by the row, where distinct() holds two tables of all rows
+    facts = facts.withColumn("nth", nth).where("nth = 1").drop("nth")
+    out = WH.asof_lookup(facts, _keyed(spark, sf_dir), {"custkey": "o_custkey"}, "l_shipdate", "sk", "version_key", strict=True)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "version_key")
 
 

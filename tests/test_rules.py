@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import json_schema
 from millrace.functions import text as X
-from millrace.operators import graph, modelling, privacy, propagation, search, snapshots
+from millrace.operators import graph, modelling, privacy, propagation, search, snapshots, warehouse
 from millrace.sources import files
 
 # --- redaction
@@ -516,3 +516,24 @@ def test_checks_run_once_for_scores_and_errors(spark):
     tables = spark.createDataFrame([("a", "core"), ("b", "core"), ("c", "mart")], "table_id string, layer string")
     got = score.layer_scores(findings, tables, tables.select("table_id")).collect()
     assert {(r["layer"], r["score"], r["grade"]) for r in got} == {("core", 50.0, "F"), ("mart", 100.0, "A")} and runs.value == 3
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_strict_lookups_group_no_facts(spark, nested):
+    """Each fact is given once, with the version that begins last of those that hold, ends included."""
+    rng = random.Random(5)
+    spans = [(k, a, a + 4, 100 * k + a) for k in range(4) for a in (0, 4, 9)] + [(5, 0, None, 500), (6, 0, 3, 600), (6, 3, None, 603), (7, 0, 6, 700), (7, 2, 8, 702), (None, 0, 9, 1)]
+    if nested:
+        spans += [(k, a, a + rng.randrange(1, 9), 100 * k + a) for k in (8, 9) for a in rng.sample(range(12), 7)] + [(8, 20, 40, 820), (8, 25, 30, 825), (8, 26, 27, 826)]
+    facts = [(n, k, at) for n, (k, at) in enumerate(itertools.product([*range(11), None], [*range(-1, 42), None]))]
+    facts.append(facts[0])
+    fact, dim = spark.createDataFrame(facts, "n int, k int, at int"), spark.createDataFrame(spans, "k int, valid_from int, valid_to int, sk int")
+
+    def found(k, at):
+        hit = [(a, sk) for x, a, b, sk in spans if None not in (x, at, b) and x == k and a <= at <= b]
+        return max(hit)[1] if hit else -1
+
+    out = warehouse.asof_lookup(fact, dim, {"k": "k"}, "at", "sk", "version", strict=True)
+    assert sorted(tuple(r)[::3] for r in out.collect()) == sorted((n, found(k, at)) for n, k, at in facts)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert nested or "Aggregate" not in plan
