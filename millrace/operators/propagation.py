@@ -55,17 +55,22 @@ def rewritten(mappings: DataFrame, renames: DataFrame) -> DataFrame:
     """(mapping_id, sql) of the mappings (mapping_id, sql) whose text names a renamed column (table, from_name, to_name).
 
     A name is found qualified by its table's own name, as a whole word and without case: table.column; columns behind an
-    alias of the table stay as they are. What stands in a text literal or a comment is left alone. Each mapping meets only the
-    renames of tables that it names.
+    alias of the table stay as they are. What stands in a text literal or a comment is left alone. Each different text is
+    rewritten once, whatever number of mappings have it, and meets only the renames of tables that it names. Mappings that are
+    there twice are given once.
     """
-    named = mappings.select("mapping_id", "sql", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql"), F.lit(r"\b([a-z_]\w*)\.[a-z_]\w*\b"), F.lit(1)))).alias("t"))
-    met = named.join(renames.select(F.lower("table").alias("rt"), F.struct("table", "from_name", "to_name").alias("rename")), F.col("t") == F.col("rt"))
-    listed = met.groupBy("mapping_id", "sql").agg(F.sort_array(F.collect_set("rename")).alias("renames"))
+    texts = stored(mappings.where("sql IS NOT NULL").select("sql").distinct().withColumn("no", F.monotonically_increasing_id()), "texts")
+    by_table = stored(renames.select(F.lower("table").alias("rt"), F.struct("table", "from_name", "to_name").alias("rename")).where("rt IS NOT NULL"), "renames-by-table")
+    named = texts.select("no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql"), F.lit(r"\b([a-z_]\w*)\.[a-z_]\w*\b"), F.lit(1)))).alias("t"))
+    listed = named.join(by_table, F.col("t") == F.col("rt")).groupBy(F.col("no").alias("ln")).agg(F.sort_array(F.collect_set("rename")).alias("renames"))
     word = lambda r: F.concat(F.lit(r"(?i)\b("), r["table"], F.lit(r")\."), r["from_name"], F.lit(r"\b"))
     renamed = lambda text: F.aggregate("renames", text, lambda t, r: F.regexp_replace(t, word(r), F.concat(F.lit("$1."), r["to_name"])))
     code, quoted = F.split("sql", _QUOTED, -1), F.regexp_extract_all("sql", F.lit(_QUOTED), F.lit(0))
     new = F.array_join(F.zip_with(code, quoted, lambda c, q: F.concat(renamed(c), F.coalesce(q, F.lit("")))), "")
-    return listed.withColumn("new", new).where(~F.col("new").eqNullSafe(F.col("sql"))).select("mapping_id", F.col("new").alias("sql"))
+    changed = stored(texts.join(listed, F.col("no") == F.col("ln")).select("no", F.col("sql").alias("old"), new.alias("new")).where(~F.col("new").eqNullSafe(F.col("old"))), "texts-rewritten")
+    # numbers, not texts, go along while mappings are made unique
+    met = mappings.join(changed.select("no", "old"), F.col("sql") == F.col("old")).select("mapping_id", F.col("no").alias("mn")).distinct()
+    return met.join(changed.select("no", "new"), F.col("mn") == F.col("no")).select("mapping_id", F.col("new").alias("sql"))
 
 
 def names_now(renames: DataFrame) -> DataFrame:

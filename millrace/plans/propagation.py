@@ -42,7 +42,7 @@ def adopted_identity(spark, sf_dir):
 def rename_propagation(spark, sf_dir):
     sup, part = (F.col("l_suppkey") % 50).cast("string"), (F.col("l_partkey") % 30).cast("string")
     sql = F.concat(F.lit("coalesce(s"), sup, F.lit(".name, T"), part, F.lit(".Code, s1.names)"))
-    mappings = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mapping_id"), sql.alias("sql")).distinct()
+    mappings = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mapping_id"), sql.alias("sql"))
     renames = spark.createDataFrame([(f"S{i}", "name", "fresh") for i in range(20)] + [(f"t{i}", "CODE", "code2") for i in range(15)], "table string, from_name string, to_name string")
     return P.rewritten(mappings, renames)
 

@@ -537,3 +537,15 @@ def test_strict_lookups_group_no_facts(spark, nested):
     assert sorted(tuple(r)[::3] for r in out.collect()) == sorted((n, found(k, at)) for n, k, at in facts)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert nested or "Aggregate" not in plan
+
+
+def test_each_text_is_rewritten_once(spark):
+    """Many mappings share a text, some are there twice; no text goes along with the mappings of a table."""
+    texts = ["T.a + u.b", "t.a", "u.b", "x.a", None, "t.a || 't.a'"]
+    rows = [(i, texts[i % 6]) for i in range(600)] + [(0, texts[0]), (1, texts[2]), (None, "t.a"), (None, "t.a")]
+    renames = spark.createDataFrame([("t", "a", "a2"), ("T", "A", "a2"), ("v", "b", "c"), (None, "a", "b"), ("u", "b", "b")], "table string, from_name string, to_name string")
+    out = propagation.rewritten(spark.createDataFrame(rows, "mapping_id int, sql string"), renames)
+    now = {0: "T.a2 + u.b", 1: "t.a2", 5: "t.a2 || 't.a'"}
+    assert sorted(((r["mapping_id"], r["sql"]) for r in out.collect()), key=str) == sorted([(i, now[i % 6]) for i in range(600) if i % 6 in now] + [(None, "t.a2")], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "collect_set" not in plan and "regexp" not in plan.lower()
