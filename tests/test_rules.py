@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.functions import json_schema
 from millrace.functions import text as X
 from millrace.operators import graph, modelling, privacy, propagation, search, snapshots, warehouse
+from millrace.plans import registry
 from millrace.sources import files
 
 # --- redaction
@@ -305,6 +306,20 @@ def test_closed_change_sets_take_no_rounds(spark, monkeypatch):
     assert got == want and len(written) <= 3
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_orders_as_change_sets_take_no_rounds(spark, sf, duck, tmp_path, monkeypatch, copies):
+    """change_set_items over copies of the orders with shifted keys writes as few tables for many copies as for one."""
+    written = []
+    monkeypatch.setattr(modelling, "stored", lambda df, name, f=modelling.stored: written.append(name) or f(df, name))
+    monkeypatch.setattr(modelling, "spread", None)
+    path = tmp_path / "orders.parquet"
+    duck.execute(f"COPY (SELECT o.* REPLACE (o_orderkey + c * n AS o_orderkey, o_custkey + c * k AS o_custkey) FROM range({copies}) r(c), (SELECT max(o_orderkey) + 1 AS n, max(o_custkey) + 1 AS k FROM orders), orders o) TO '{path}' (FORMAT parquet)")
+    got = registry.queries()["change_set_items"](spark, str(tmp_path)).collect()
+    want = duck.execute(registry.oracle_sql()["change_set_items"].replace("FROM orders)", f"FROM '{path}')")).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == copies * duck.execute("SELECT count(*) FROM orders").fetchone()[0]
+    assert written == ["items", "items-linking", "sets-apart"]
+
+
 @pytest.mark.parametrize(("seed", "owner"), [(3, False), (4, True)])
 def test_change_sets_agree_whether_near_large_or_linked(spark, seed, owner):
     """Sets of 10, one of 40, two that share a dependency; then the same with items that are there twice or in no set."""
